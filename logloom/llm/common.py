@@ -48,3 +48,11 @@ def left_join_sized(left: DataFrame, right: DataFrame, keys: list[str], max_rows
     salted = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     spread = left.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in left.columns if c not in keys][:4]), F.lit(salts)).cast("int"))
     return spread.join(salted, [*keys, "_salt"], "left").drop("_salt")
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

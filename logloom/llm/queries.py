@@ -8,7 +8,10 @@ from importlib import import_module
 _MODULES = {
     "op1_token_binary": "token_binary",
     "op5_token_counts": "token_counts",
+    "op7_quality_rules": "quality_rules",
     "op8_packing": "packing",
+    "op9_byte_cnn": "byte_cnn",
+    "op10_warc": "warc",
 }
 
 
