@@ -7,6 +7,7 @@ from importlib import import_module
 #: name of the query -> module
 _MODULES = {
     "op1_token_binary": "token_binary",
+    "op2_jaccard_join": "jaccard_join",
     "op3_decontaminate": "decontaminate",
     "op5_token_counts": "token_counts",
     "op7_quality_rules": "quality_rules",
