@@ -9,6 +9,7 @@ _MODULES = {
     "op1_token_binary": "token_binary",
     "op2_jaccard_join": "jaccard_join",
     "op3_decontaminate": "decontaminate",
+    "op4_suffix_dedup": "suffix_dedup",
     "op5_token_counts": "token_counts",
     "op7_quality_rules": "quality_rules",
     "op8_packing": "packing",
