@@ -11,6 +11,7 @@ _MODULES = {
     "op3_decontaminate": "decontaminate",
     "op4_suffix_dedup": "suffix_dedup",
     "op5_token_counts": "token_counts",
+    "op6_pii": "pii",
     "op7_quality_rules": "quality_rules",
     "op8_packing": "packing",
     "op9_byte_cnn": "byte_cnn",
