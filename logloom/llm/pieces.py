@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from itertools import filterfalse
 
 import numpy as np
@@ -17,6 +18,13 @@ import numpy as np
 #: A space with a visible Latin or ASCII character behind it is a break; other spaces stay inside their piece.
 _BREAK = re.compile(" (?=[!-~¡-¬®-ȳ])")
 _OTHER_SPACE = re.compile(" (?![!-~¡-¬®-ȳ])")
+#: A comma or full stop between a letter or digit and a space is a piece of its own, here written with a mark before it.
+_MARK = "\0"
+_AFTER_OTHER = re.compile(" \0(?<![0-9A-Za-zÀ-ÖØ-öø-ɏ] \0)")
+#: Pieces of such letters alone are one word for either pre-tokenizer.
+_WORD = re.compile("[A-Za-zÀ-ÖØ-öø-įıĲ-ɏ]+").fullmatch
+#: Byte-level models name a byte by the character with its number if that is printable, else by those from 256 on.
+_BYTE_NAMES = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b))}
 _LOADED: dict[str, "PieceEncoder"] = {}
 
 
@@ -31,6 +39,13 @@ def id_type(vocabulary: int) -> np.dtype:
     return np.dtype("<u2") if vocabulary <= 1 << 16 else np.dtype("<u4")
 
 
+def _split(text: str) -> list[str]:
+    if _OTHER_SPACE.search(text) or _MARK in text:
+        return _BREAK.split(text)
+    marked = text.replace(", ", " \0, ").replace(". ", " \0. ")
+    return (text if _AFTER_OTHER.search(marked) else marked).split(" ")
+
+
 class PieceEncoder:
     """``encode(texts)`` gives each text's ids as little-endian bytes of ``self.dtype``."""
 
@@ -40,6 +55,13 @@ class PieceEncoder:
         self.most, self.longest = most_pieces, longest
         self.known: dict[str, bytes] = {}
         self.heads: dict[str, bytes] = {}
+        self._marked(self.known)
+        config = self.tokenizer.to_str().split('"model"')[0]
+        self.lower, self.prefix = '"Lowercase"' in config, "" if '"invert":true' in config else "\u0120"
+        samples = ["the", "Étrangère", "Größe", "niño", "Zzyzx", "internationalisation"]
+        words: dict[str, bytes] = {}
+        self._words(samples, words)
+        self.direct = [words[p] for p in samples] == self._plain([" " + p for p in samples])
 
     @classmethod
     def of(cls, path: str) -> "PieceEncoder":
@@ -51,9 +73,21 @@ class PieceEncoder:
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _words(self, words: list[str], out: dict[str, bytes]) -> None:
+        """Words of letters go to the model at once, which skips the pre-tokenizer; used only if that gives the same ids for samples."""
+        tokenize, code = self.tokenizer.model.tokenize, "H" if self.dtype.itemsize == 2 else "I"
+        for p in words:
+            w = p.lower() if self.lower else p
+            if not w.isascii():
+                w = w.encode().decode("latin-1").translate(_BYTE_NAMES)
+            out[p] = array(code, [t.id for t in tokenize(self.prefix + w)]).tobytes()
+
     def _pieces(self, pieces: list[str], out: dict[str, bytes]) -> None:
         """Encode pieces that follow a space, several in one call, and cut the ids where a piece begins."""
-        short = [p for p in pieces if len(p) <= self.longest and " " not in p and "<|" not in p]
+        if self.direct:
+            self._words([p for p in pieces if _WORD(p)], out)
+            pieces = [p for p in pieces if p not in out]
+        short = [p for p in pieces if len(p) <= self.longest and " " not in p and "<|" not in p and not p.startswith(_MARK)]
         rest = set(pieces).difference(short)
         for p, ids in zip(rest, self._plain([" " + p for p in rest])):
             out[p] = ids
@@ -68,8 +102,12 @@ class PieceEncoder:
             for p, a, b in zip(some, cuts[:-1].tolist(), cuts[1:].tolist()):
                 out[p] = data[a:b]
 
+    def _marked(self, out: dict[str, bytes]) -> None:
+        for p in ",.":
+            out[_MARK + p] = self._plain([p])[0]
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [_BREAK.split(t) if _OTHER_SPACE.search(t) else t.split(" ") for t in texts]
+        split = [_split(t) for t in texts]
         heads, new, known = set(), set(), self.known
         for parts in split:
             heads.add(parts[0])
