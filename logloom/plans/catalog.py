@@ -1,11 +1,635 @@
-"""All queries of the change-log operators, with the SQL that gives the same rows."""
+"""All queries of the change-log operators over tables derived from the given ones, with SQL that gives the same rows.
+
+The SQL is written another way than the operators wherever there is one: sets number by number, walks as minima.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..fixtures import U1, view, with_views
+from ..functions import scalars as fn
+from ..operators import files as fl
+from ..operators import gtid as gt
+from ..operators import rewrite as rw
+from ..operators import sequence as sq
+from ..operators import store as st
+from ..session import shared_path
+from ..sources import tables as tb
+
+_QUERIES: dict = {}
+_SQL: dict[str, str] = {}
+SIZE = 20_000
+
+
+def query(name: str, sql: str | None = None):
+    """Register a query under its name; ``sql`` may use the derived views."""
+
+    def add(f):
+        _QUERIES[name] = f
+        if sql:
+            _SQL[name] = with_views(sql)
+        return f
+
+    return add
+
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def _set(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return view(spark, d, "interval_rows").filter(F.col("set_id") == name).select("uuid", "tag", "lo", "hi")
+
+
+def _numbers(where: str, keys: str = "uuid, tag") -> str:
+    return f"(SELECT DISTINCT {keys}, unnest(generate_series(lo, hi)) AS g FROM interval_rows WHERE {where})"
+
+
+def _islands(numbers: str, keys: str = "uuid, tag") -> str:
+    return f"SELECT {keys}, min(g) AS lo, max(g) AS hi FROM (SELECT *, g - row_number() OVER (PARTITION BY {keys} ORDER BY g) AS isl FROM {numbers} n) r GROUP BY {keys}, isl"
+
+
+A, B = _numbers("set_id = 'A'"), _numbers("set_id = 'B'")
+_TEXT = (
+    "WITH per_tag AS (SELECT {k}, uuid, tag, string_agg(CASE WHEN lo = hi THEN CAST(lo AS VARCHAR) ELSE lo || '-' || hi END, ':' ORDER BY lo) AS s FROM {src} GROUP BY {k}, uuid, tag), "
+    "per_uuid AS (SELECT {k}, uuid, string_agg(CASE WHEN tag = '' THEN s ELSE tag || ':' || s END, ':' ORDER BY tag) AS s FROM per_tag GROUP BY {k}, uuid) "
+    "SELECT {k}, string_agg(uuid || ':' || s, ', ' ORDER BY uuid) AS {out} FROM per_uuid GROUP BY {k}"
+)
+
+
+# -- sources and sinks ---------------------------------------------------------------------------------------------
+
+@query("a2_read_events", "SELECT * FROM log_events")
+def _(spark, d):
+    path = shared_path(spark, "events")
+    view(spark, d, "log_events").write.partitionBy("file_seq").parquet(path)
+    return tb.read_events(spark, path).withColumn("file_seq", F.col("file_seq").cast("long"))
+
+
+@query("a3_read_files", "SELECT name, size, CAST(NULL AS STRING) AS previous_gtids, CAST(NULL AS STRING) AS added_gtids, min_ts, max_ts, last_sequence_number FROM log_files")
+def _(spark, d):
+    path = shared_path(spark, "files")
+    tb.write_files(view(spark, d, "log_files"), path)
+    return tb.read_files(spark, path)
+
+
+@query("a4_read_index", "SELECT './' || name AS entry, row_number() OVER (ORDER BY file_seq) - 1 AS line_no, name FROM log_files")
+def _(spark, d):
+    path = shared_path(spark, "index")
+    tb.write_index(view(spark, d, "log_files"), path)
+    return tb.read_index(spark, path)
+
+
+@query("a5_list_store")
+def _(spark, d):
+    path = shared_path(spark, "files")
+    tb.write_files(view(spark, d, "log_files"), path)
+    return tb.list_store(spark, f"{path}/name=*/*.json").groupBy().agg(F.count("*").alias("objects"), F.sum("size").alias("bytes"))
+
+
+@query("a7_write_events", "SELECT event_no, event_size, next_pos, file_seq FROM log_events WHERE txn_no % 101 <> 50 OR TRUE")
+def _(spark, d):
+    path = shared_path(spark, "events")
+    tb.write_events(view(spark, d, "log_events"), path)
+    return tb.read_events(spark, path).select("event_no", "event_size", "next_pos", F.col("file_seq").cast("long").alias("file_seq"))
+
+
+@query("a8_write_files", "SELECT name, size + CASE WHEN file_seq % 5 = 0 THEN 1 ELSE 0 END AS size FROM log_files")
+def _(spark, d):
+    path, files = shared_path(spark, "files"), view(spark, d, "log_files")
+    tb.write_files(files, path)
+    tb.write_files(files.filter("file_seq % 5 = 0").withColumn("size", F.col("size") + 1), path)  # only these records are replaced
+    return tb.read_files(spark, path).select("name", "size")
+
+
+@query("a10_file_uri", "SELECT name, 'file:///logs/' || name AS uri FROM log_files")
+def _(spark, d):
+    return view(spark, d, "log_files").select("name", fn.file_uri("file:///logs/", F.col("name")).alias("uri"))
+
+
+# -- projections and predicates ------------------------------------------------------------------------------------
+
+_CODES = "(SELECT event_id, CAST(event_id % 43 AS INTEGER) AS code, CAST(event_id % 1024 AS INTEGER) AS flags FROM events)"
+
+
+def _coded(spark, d):
+    return spark.read.parquet(f"{d}/events.parquet").select("event_id", (F.col("event_id") % 43).cast("int").alias("code"), (F.col("event_id") % 1024).cast("int").alias("flags"))
+
+
+@query("e2_event_type_name", f"SELECT event_id, CASE code {' '.join(f'WHEN {k} THEN {v!r}' for k, v in fn.EVENT_TYPES.items())} END AS type_name FROM {_CODES} c")
+def _(spark, d):
+    return _coded(spark, d).select("event_id", fn.event_type_name(F.col("code")).alias("type_name"))
+
+
+@query("e3_event_flags", f"SELECT event_id, concat_ws(' | ', {', '.join(f'CASE WHEN flags & {m} <> 0 THEN {n!r} END' for m, n in fn.EVENT_FLAGS.items())}) AS flag_names FROM {_CODES} c")
+def _(spark, d):
+    return _coded(spark, d).select("event_id", fn.event_flags(F.col("flags")).alias("flag_names"))
+
+
+_LENGTHS = " ".join(f"WHEN {i + 1} THEN {n}" for i, n in enumerate(fn.POST_HEADER_LENGTHS))
+
+
+@query("e10_post_header_len", f"SELECT event_id, CASE WHEN event_id % 2 = 1 AND code = 15 THEN 99 WHEN event_id % 2 = 1 AND code IN (23, 24, 25, 42) THEN 0 ELSE CASE code {_LENGTHS} END END AS post_header_len FROM {_CODES} c")
+def _(spark, d):
+    version = F.when(F.col("event_id") % 2 == 1, 80408).otherwise(80046)
+    return _coded(spark, d).select("event_id", fn.post_header_len(version, F.col("code")).alias("post_header_len"))
+
+
+@query("e11_event_parts", "SELECT event_no, event_size - 19 - CASE WHEN type_name = 'gtid_log' THEN 42 WHEN type_name = 'query' THEN 13 WHEN type_name = 'write_rows' THEN 10 ELSE 0 END - 4 AS body_len FROM log_events")
+def _(spark, d):
+    code = F.element_at(F.create_map(*[F.lit(x) for k, v in fn.EVENT_TYPES.items() for x in (v, k)]), F.col("type_name"))
+    header = fn.post_header_len(F.lit(80046), code)
+    return view(spark, d, "log_events").select("event_no", fn.body_len(F.col("event_size"), header, F.lit(4)).alias("body_len"))
+
+
+@query("b1_drop_info_only", "SELECT file_seq, ord, type_name FROM framed_events WHERE NOT artificial AND NOT (file_seq = (SELECT min(file_seq) FROM framed_events) AND type_name IN ('format_description', 'previous_gtids_log'))")
+def _(spark, d):
+    return sq.drop_info_only(view(spark, d, "framed_events"), resume=True).select("file_seq", "ord", "type_name")
+
+
+@query("b2_drop_framing", "SELECT file_seq, ord, type_name FROM framed_events WHERE type_name NOT IN ('rotate', 'stop', 'format_description', 'previous_gtids_log')")
+def _(spark, d):
+    return sq.drop_framing(view(spark, d, "framed_events")).select("file_seq", "ord", "type_name")
+
+
+@query("b3_has_flag", f"SELECT event_id, flags & 32 <> 0 AS artificial, flags & 128 <> 0 AS ignorable FROM {_CODES} c")
+def _(spark, d):
+    return _coded(spark, d).select("event_id", fn.has_flag(F.col("flags"), "artificial").alias("artificial"), fn.has_flag(F.col("flags"), "ignorable").alias("ignorable"))
+
+
+@query("b4_event_family", "SELECT file_seq, ord, type_name = 'gtid_log' AS starts, type_name = 'stop' OR (type_name = 'rotate' AND NOT artificial) AS ends FROM framed_events")
+def _(spark, d):
+    return view(spark, d, "framed_events").select("file_seq", "ord", fn.is_txn_start(F.col("type_name")).alias("starts"), fn.is_file_end(F.col("type_name"), F.col("artificial")).alias("ends"))
+
+
+# -- catalogue questions -------------------------------------------------------------------------------------------
+
+@query("c1_list_files", "SELECT store, file_seq, name, size FROM clock_files")
+def _(spark, d):
+    return fl.list_files(view(spark, d, "clock_files"), ["store"]).select("store", "file_seq", "name", "size")
+
+
+
+
+@query("c2_search_by_timestamp", f"SELECT store, file_seq, name FROM clock_files f WHERE NOT EXISTS (SELECT 1 FROM clock_files g WHERE g.store = f.store AND g.file_seq <= f.file_seq AND g.min_ts > (SELECT min(ts) + INTERVAL 4 DAY FROM log_events))")
+def _(spark, d):
+    files = view(spark, d, "clock_files")
+    t = view(spark, d, "log_events").agg(F.date_format(F.min("ts") + F.expr("INTERVAL 4 DAY"), "yyyy-MM-dd'T'HH:mm:ss")).first()[0]
+    return fl.search_by_timestamp(files, t, ["store"]).select("store", "file_seq", "name")
+
+
+@query("c3_search_by_gtid_set", f"SELECT DISTINCT min(i.file_seq) AS file_seq FROM {A} a JOIN interval_rows i ON i.uuid = a.uuid AND i.tag = a.tag AND a.g BETWEEN i.lo AND i.hi GROUP BY a.uuid, a.tag, a.g")
+def _(spark, d):
+    added = view(spark, d, "interval_rows").select("file_seq", "uuid", "tag", "lo", "hi")
+    return fl.covering_files(_set(spark, d, "A"), added)
+
+
+@query("search_by_gtid_set", f"SELECT file_seq, name, size FROM log_files WHERE file_seq IN (SELECT file_seq FROM log_events WHERE uuid = '{U1}' AND tag = '' AND gno <= 40)")
+def _(spark, d):
+    """From raw events: transactions, each file's added set, then the files that hold the wanted ids."""
+    events = view(spark, d, "log_events")
+    added = fl.file_added_gtids(events)
+    wanted = added.filter((F.col("uuid") == U1) & (F.col("tag") == "") & (F.col("lo") <= 40)).select("uuid", "tag", "lo", F.least("hi", F.lit(40)).alias("hi"))
+    return fl.search_by_gtid_set(view(spark, d, "log_files"), added, wanted).select("file_seq", "name", "size")
+
+
+@query("c4_plan_purge", "SELECT file_seq, name FROM log_files WHERE file_seq <= (SELECT count(*) // 2 FROM log_files) + 0")
+def _(spark, d):
+    files = view(spark, d, "log_files")
+    n = files.count() // 2
+    return fl.plan_purge(files, "binlog.%06d" % max(1, n)).select("file_seq", "name").filter(F.lit(n >= 1))
+
+
+_V10 = "SELECT 'V10' AS rule, name, '' AS detail FROM store_metadata WHERE added_gtids IS NULL"
+
+
+@query(
+    "c6_audit_store",
+    "SELECT 'V6' AS rule, name, '' AS detail FROM store_index WHERE name NOT IN (SELECT name FROM store_listing) "
+    "UNION ALL SELECT 'V7', name, '' FROM store_listing WHERE name NOT IN (SELECT name FROM store_index) "
+    "UNION ALL SELECT 'V8', name, 'missing' FROM store_index WHERE name NOT IN (SELECT name FROM store_metadata) "
+    "UNION ALL SELECT 'V8', name, 'orphaned' FROM store_metadata WHERE name NOT IN (SELECT name FROM store_index) "
+    "UNION ALL SELECT 'V9', i.name, '' FROM store_index i JOIN store_metadata m ON m.name = i.name JOIN store_listing l ON l.name = i.name WHERE m.size <> l.size "
+    f"UNION ALL {_V10}",
+)
+def _(spark, d):
+    return st.audit_store(view(spark, d, "store_index"), view(spark, d, "store_metadata"), view(spark, d, "store_listing"))
+
+
+@query("c7_load_files_tolerant", "SELECT name, line_no FROM store_index WHERE name IN (SELECT name FROM store_metadata)")
+def _(spark, d):
+    return st.load_files(view(spark, d, "store_index"), view(spark, d, "store_metadata"), strict=False).select("name", "line_no")
+
+
+@query("c8_resume_point", "SELECT store, arg_max(name, file_seq) AS name, arg_max(size, file_seq) AS position FROM clock_files GROUP BY store")
+def _(spark, d):
+    return fl.resume_point(view(spark, d, "clock_files"), ["store"])
+
+
+@query("c8_resume_gtids", "SELECT uuid, tag, min(gno) AS lo, max(gno) AS hi FROM (SELECT *, gno - row_number() OVER (PARTITION BY uuid, tag ORDER BY gno) AS isl FROM (SELECT DISTINCT uuid, tag, gno FROM log_events) g) r GROUP BY uuid, tag, isl")
+def _(spark, d):
+    return fl.resume_gtids(fl.file_added_gtids(view(spark, d, "log_events")))
+
+
+# -- joins ---------------------------------------------------------------------------------------------------------
+
+@query("j1_reconcile_store", "SELECT name, max(i) = 1 AS in_index, max(m) = 1 AS in_metadata, max(o) = 1 AS in_store, max(rs) AS recorded_size, max(os) AS object_size FROM (SELECT name, 1 AS i, 0 AS m, 0 AS o, CAST(NULL AS BIGINT) AS rs, CAST(NULL AS BIGINT) AS os FROM store_index UNION ALL SELECT name, 0, 1, 0, size, NULL FROM store_metadata UNION ALL SELECT name, 0, 0, 1, NULL, size FROM store_listing) u GROUP BY name")
+def _(spark, d):
+    return st.reconcile_store(view(spark, d, "store_index"), view(spark, d, "store_metadata"), view(spark, d, "store_listing"))
+
+
+@query("j2_missing_objects", "SELECT name FROM store_index EXCEPT SELECT name FROM store_listing")
+def _(spark, d):
+    return st.missing_objects(view(spark, d, "store_index"), view(spark, d, "store_listing"))
+
+
+@query("j2_orphan_objects", "SELECT name, size FROM store_listing WHERE name NOT IN (SELECT name FROM store_index)")
+def _(spark, d):
+    return st.orphan_objects(view(spark, d, "store_index"), view(spark, d, "store_listing"))
+
+
+@query("j3_load_files", "SELECT i.name, i.line_no, m.size FROM store_index i JOIN store_metadata m ON m.name = i.name")
+def _(spark, d):
+    index, files = view(spark, d, "store_index"), view(spark, d, "store_metadata")
+    return st.load_files(index, files, strict=False).join(files.select("name", "size"), "name").select("name", "line_no", "size")
+
+
+@query("j4_overlap_join", "SELECT a.uuid, a.tag, a.lo, a.hi, b.lo AS b_lo, b.hi AS b_hi FROM interval_rows a JOIN interval_rows b ON a.uuid = b.uuid AND a.tag = b.tag AND a.lo <= b.hi AND b.lo <= a.hi WHERE a.set_id = 'A' AND b.set_id = 'B'")
+def _(spark, d):
+    return gt.overlap_join(_set(spark, d, "A"), _set(spark, d, "B"), width=1000)
+
+
+@query("j5_point_in_set_join", "SELECT uuid, tag, gno, txn_no FROM log_events e WHERE pos_in_txn = 0 AND EXISTS (SELECT 1 FROM interval_rows i WHERE i.set_id = 'A' AND i.uuid = e.uuid AND i.tag = e.tag AND e.gno BETWEEN i.lo AND i.hi)")
+def _(spark, d):
+    gtids = view(spark, d, "log_events").filter("pos_in_txn = 0").select("uuid", "tag", "gno", "txn_no")
+    return gt.point_in_set_join(gtids, gt.canonical(_set(spark, d, "A")))
+
+
+@query("j6_event_dims", f"SELECT event_id, CASE code {' '.join(f'WHEN {k} THEN {v!r}' for k, v in fn.EVENT_TYPES.items())} END AS type_name, CASE code {_LENGTHS} END AS post_header_len FROM {_CODES} c")
+def _(spark, d):
+    lengths = dict(enumerate(fn.POST_HEADER_LENGTHS, 1))
+    dims = spark.createDataFrame([(k, v, lengths.get(k)) for k, v in fn.EVENT_TYPES.items()], "code int, type_name string, post_header_len int")  # 43 rows
+    return _coded(spark, d).join(F.broadcast(dims), "code", "left").select("event_id", "type_name", "post_header_len")
+
+
+# -- aggregations --------------------------------------------------------------------------------------------------
+
+@query("g1_file_time_range", "SELECT file_seq, min(ts) AS min_ts, max(ts) AS max_ts FROM log_events GROUP BY file_seq")
+def _(spark, d):
+    return fl.file_time_range(view(spark, d, "log_events"))
+
+
+@query("g2_file_size", "SELECT file_seq, CAST(4 + sum(event_size) AS BIGINT) AS size FROM log_events GROUP BY file_seq")
+def _(spark, d):
+    return fl.file_size(view(spark, d, "log_events"))
+
+
+@query("g3_file_added_gtids", "SELECT * FROM file_added_gtids")
+def _(spark, d):
+    return fl.file_added_gtids(view(spark, d, "log_events"))
+
+
+@query("g4_file_last_seq", "SELECT file_seq, max(sequence_number) AS last_sequence_number FROM log_events GROUP BY file_seq")
+def _(spark, d):
+    return fl.file_last_seq(view(spark, d, "log_events"))
+
+
+_BEFORE = "SELECT file_seq, uuid, tag, min(g) AS lo, max(g) AS hi FROM (SELECT *, g - row_number() OVER (PARTITION BY file_seq, uuid, tag ORDER BY g) AS isl FROM (SELECT DISTINCT f.file_seq, e.uuid, e.tag, e.gno AS g FROM log_files f JOIN log_events e ON e.file_seq < f.file_seq) n) r GROUP BY file_seq, uuid, tag, isl"
+
+
+@query("g5_file_previous_gtids", _BEFORE)
+def _(spark, d):
+    return gt.gtid_running_union(view(spark, d, "log_files"), view(spark, d, "file_added_gtids"))
+
+
+@query("g6_build_files", "SELECT f.file_seq, f.name, f.size, g.added_gtids, f.min_ts, f.max_ts, f.last_sequence_number FROM log_files f JOIN (" + _TEXT.format(k="file_seq", src="file_added_gtids", out="added_gtids") + ") g ON g.file_seq = f.file_seq")
+def _(spark, d):
+    return fl.build_files(view(spark, d, "log_events"))
+
+
+# -- sets ----------------------------------------------------------------------------------------------------------
+
+@query("d1_parse_gtid_set", "SELECT * FROM file_added_gtids")
+def _(spark, d):
+    text = gt.format_gtid_set(view(spark, d, "file_added_gtids"), ["file_seq"])
+    return gt.parse_gtid_set(text, "gtid_set", ["file_seq"])
+
+
+@query("d2_format_gtid_set", "SELECT * FROM (" + _TEXT.format(k="file_seq", src="file_added_gtids", out="gtid_set") + ") t")
+def _(spark, d):
+    return gt.format_gtid_set(view(spark, d, "file_added_gtids"), ["file_seq"])
+
+
+@query("d3_canonical", _islands(_numbers("TRUE", "set_id, uuid, tag"), "set_id, uuid, tag"))
+def _(spark, d):
+    return gt.canonical(view(spark, d, "interval_rows"), ["set_id"])
+
+
+@query("d4_union", _islands(_numbers("set_id IN ('A', 'B')")))
+def _(spark, d):
+    return gt.gtid_union(_set(spark, d, "A"), _set(spark, d, "B"))
+
+
+@query("d5_subtract", _islands(f"({A} EXCEPT {B})"))
+def _(spark, d):
+    return gt.gtid_subtract(_set(spark, d, "A"), _set(spark, d, "B"))
+
+
+@query("d6_intersects", f"SELECT EXISTS (SELECT 1 FROM ({A} INTERSECT {B}) x) AS intersects")
+def _(spark, d):
+    hit = gt.overlap_join(_set(spark, d, "A"), _set(spark, d, "B"), width=1000)
+    return hit.agg((F.count("*") > 0).alias("intersects"))
+
+
+@query("d6b_intersect", _islands(f"({A} INTERSECT {B})"))
+def _(spark, d):
+    return gt.gtid_intersect(_set(spark, d, "A"), _set(spark, d, "B"))
+
+
+@query("d7_contains", "SELECT DISTINCT uuid, tag, gno FROM log_events e WHERE EXISTS (SELECT 1 FROM interval_rows i WHERE i.set_id = 'B' AND i.uuid = e.uuid AND i.tag = e.tag AND e.gno BETWEEN i.lo AND i.hi)")
+def _(spark, d):
+    gtids = view(spark, d, "log_events").select("uuid", "tag", "gno").distinct()
+    return gt.gtid_contains(gtids, gt.canonical(_set(spark, d, "B")))
+
+
+@query("d8_add_interval", _islands(f"({A} UNION SELECT '{U1}', '', unnest(generate_series(10, 3000)))"))
+def _(spark, d):
+    return gt.add_interval(_set(spark, d, "A"), U1, "", 10, 3000)
+
+
+@query("d8_subtract_interval", _islands(f"({A} EXCEPT SELECT '{U1}', '', unnest(generate_series(10, 3000)))"))
+def _(spark, d):
+    return gt.subtract_interval(_set(spark, d, "A"), U1, "", 10, 3000)
+
+
+@query("d9_equal", f"SELECT NOT EXISTS (({A} EXCEPT {B}) UNION ALL ({B} EXCEPT {A})) AS equal_sets, TRUE AS equal_self")
+def _(spark, d):
+    a, b = gt.canonical(_set(spark, d, "A")), gt.canonical(_set(spark, d, "B"))
+    both = a.exceptAll(b).unionByName(b.exceptAll(a)).agg((F.count("*") == 0).alias("equal_sets"))
+    return both.withColumn("equal_self", F.lit(gt.gtid_equal(_set(spark, d, "A"), gt.gtid_union(a, a))))
+
+
+@query("d10_has_tags", "SELECT set_id, bool_or(tag <> '') AS has_tags, count(*) = 0 AS is_empty FROM interval_rows GROUP BY set_id")
+def _(spark, d):
+    rows = view(spark, d, "interval_rows")
+    return gt.has_tags(rows, ["set_id"]).withColumn("is_empty", F.lit(False))
+
+
+@query("d12_encoded_size", "SELECT file_seq, CAST(8 + sum(24 + 16 * n + 1 + length(tag)) AS BIGINT) AS encoded_size FROM (SELECT file_seq, uuid, tag, count(*) AS n FROM file_added_gtids GROUP BY file_seq, uuid, tag) t GROUP BY file_seq")
+def _(spark, d):
+    return gt.gtid_encoded_size(view(spark, d, "file_added_gtids"), ["file_seq"])
+
+
+@query("d13_gtid_set_agg", _islands("(SELECT DISTINCT uuid, tag, gno AS g FROM log_events)"))
+def _(spark, d):
+    return gt.gtid_set_agg(view(spark, d, "log_events").select("uuid", "tag", "gno"))
+
+
+@query("d14_running_union", _BEFORE)
+def _(spark, d):
+    return gt.gtid_running_union(view(spark, d, "log_files"), fl.file_added_gtids(view(spark, d, "log_events")))
+
+
+# -- order ---------------------------------------------------------------------------------------------------------
+
+@query("w1_position_chain", "SELECT event_no, coalesce(lag(next_pos) OVER (PARTITION BY file_seq ORDER BY event_no), 4) AS expected_start, next_pos <> 0 AND coalesce(lag(next_pos) OVER (PARTITION BY file_seq ORDER BY event_no), 4) + event_size = next_pos AS chain_ok FROM log_events_bad")
+def _(spark, d):
+    return sq.position_chain(view(spark, d, "log_events_bad")).select("event_no", "expected_start", "chain_ok")
+
+
+@query("w2_assign_transactions", "SELECT event_no, CAST(dense_rank() OVER (PARTITION BY file_seq ORDER BY txn_no) AS BIGINT) AS txn_in_file FROM log_events")
+def _(spark, d):
+    return sq.assign_transactions(view(spark, d, "log_events")).select("event_no", "txn_in_file")
+
+
+@query("w3_mark_boundaries", "SELECT event_no, pos_in_txn = 4 AND txn_no % 101 <> 50 AS boundary FROM log_events_bad")
+def _(spark, d):
+    return sq.mark_boundaries(view(spark, d, "log_events_bad")).select("event_no", "boundary")
+
+
+@query("w4_assign_cycle", "SELECT file_seq, ord, CAST(dense_rank() OVER (ORDER BY file_seq) AS BIGINT) AS cycle FROM framed_events")
+def _(spark, d):
+    return sq.assign_cycle(view(spark, d, "framed_events")).select("file_seq", "ord", "cycle")
+
+
+@query("w5_ordering", "SELECT uuid, tag, lo, hi, CAST(row_number() OVER (ORDER BY uuid, tag, lo) AS BIGINT) AS place FROM file_added_gtids WHERE file_seq = 1")
+def _(spark, d):
+    rows = view(spark, d, "file_added_gtids").filter("file_seq = 1")
+    return rows.select("uuid", "tag", "lo", "hi", F.row_number().over(Window.partitionBy("file_seq").orderBy("uuid", "tag", "lo")).cast("long").alias("place"))
+
+
+@query("w6_take_while", "SELECT store, file_seq FROM clock_files f WHERE NOT EXISTS (SELECT 1 FROM clock_files g WHERE g.store = f.store AND g.file_seq <= f.file_seq AND g.size >= (SELECT max(size) FROM clock_files))")
+def _(spark, d):
+    files = view(spark, d, "clock_files")
+    top = files.agg(F.max("size")).first()[0]
+    return fl.take_while(files, F.col("size") < top, ["file_seq"], ["store"]).select("store", "file_seq")
+
+
+@query("w7_latest_file", "SELECT store, max(file_seq) AS file_seq, arg_max(name, file_seq) AS name FROM clock_files GROUP BY store")
+def _(spark, d):
+    return fl.latest_file(view(spark, d, "clock_files"), ["store"]).select("store", "file_seq", "name")
+
+
+# -- rules ---------------------------------------------------------------------------------------------------------
+
+@query("f1_broken_chain", "SELECT 'F1' AS rule, file_seq, expected AS position, 'broken' AS detail FROM (SELECT *, coalesce(lag(next_pos) OVER (PARTITION BY file_seq ORDER BY event_no), 4) AS expected FROM log_events_bad) c WHERE expected + event_size <> next_pos")
+def _(spark, d):
+    return sq.broken_chain(view(spark, d, "log_events_bad"))
+
+
+@query("f2_grammar", "SELECT 'F2' AS rule, file_seq, ord AS position, CASE WHEN ord = -1 THEN 'no format description first' WHEN ord = (SELECT min(event_no) FROM log_events e WHERE e.file_seq = f.file_seq) THEN 'no previous ids second' END AS detail FROM framed_events f WHERE NOT artificial AND ((file_seq % 3 = 0 AND ord = -1 AND file_seq % 2 = 0) OR (file_seq % 3 = 1 AND ord = (SELECT min(event_no) FROM log_events e WHERE e.file_seq = f.file_seq)) OR FALSE)")
+def _(spark, d):
+    rows = view(spark, d, "framed_events")
+    broken = rows.filter(~((F.col("file_seq") % 6 == 0) & (F.col("ord") == -2)) & ~((F.col("file_seq") % 3 == 1) & (F.col("ord") == -1)))
+    found = sq.grammar_faults(broken)
+    return found.filter(~((F.col("file_seq") % 6 == 0) & (F.col("detail") != "no format description first")))
+
+
+@query("f3_rotate", "SELECT 'F3' AS rule, file_seq, ord AS position, 'time or position' AS detail FROM framed_events WHERE artificial AND file_seq % 4 = 1")
+def _(spark, d):
+    rows = view(spark, d, "framed_events")
+    return sq.rotate_faults(rows.withColumn("next_pos", F.when(F.col("artificial") & (F.col("file_seq") % 4 == 1), 120).otherwise(F.col("next_pos"))))
+
+
+@query("f4_end_position", "SELECT CASE WHEN artificial THEN 'F3' ELSE 'F4' END AS rule, file_seq, 4 + file_seq % 2 AS position, 'position' AS detail FROM framed_events WHERE type_name = 'rotate' AND file_seq % 2 <> 0")
+def _(spark, d):
+    rows = view(spark, d, "framed_events").filter("type_name = 'rotate'").select("file_seq", "artificial", F.col("file").alias("next_file"), (4 + F.col("file_seq") % 2).alias("position"))
+    return sq.rotate_position_faults(rows)
+
+
+@query("f5_lengths", "SELECT 'F5' AS rule, min(file_seq) AS file_seq, min(start_pos) AS position, 'short' AS detail FROM log_events_bad WHERE txn_no % 101 = 50 GROUP BY txn_no")
+def _(spark, d):
+    return sq.length_faults(view(spark, d, "log_events_bad"))
+
+
+@query("f6_ids", "SELECT 'F6' AS rule, file_seq, start_pos AS position, CASE WHEN txn_no % 50 = 3 THEN 'anonymous in gtid mode' ELSE 'no id' END AS detail FROM log_events WHERE pos_in_txn = 0 AND txn_no % 50 IN (3, 4)")
+def _(spark, d):
+    rows = view(spark, d, "log_events").withColumn("type_name", F.when((F.col("txn_no") % 50 == 3) & (F.col("pos_in_txn") == 0), "anonymous_gtid_log").otherwise(F.col("type_name"))).withColumn("gno", F.when(F.col("txn_no") % 50 != 4, F.col("gno")))
+    return sq.gtid_faults(rows)
+
+
+@query("f9_checksums", "SELECT 'F9' AS rule, file_seq, CAST(4 AS BIGINT) AS position, 'no checksum' AS detail FROM log_files WHERE file_seq % 5 = 2")
+def _(spark, d):
+    return sq.checksum_faults(view(spark, d, "log_files").select("file_seq", F.when(F.col("file_seq") % 5 == 2, "off").otherwise("crc32").alias("checksum_alg")))
+
+
+@query("f10_clocks", "SELECT 'F10' AS rule, file_seq, start_pos AS position, 'clock' AS detail FROM log_events_bad WHERE pos_in_txn = 0 AND last_committed >= sequence_number")
+def _(spark, d):
+    return sq.clock_faults(view(spark, d, "log_events_bad"))
+
+
+@query("validate_log", "SELECT rule, count(*) AS n FROM (SELECT 'F1' AS rule FROM (SELECT *, coalesce(lag(next_pos) OVER (PARTITION BY file_seq ORDER BY event_no), 4) AS expected FROM log_events_bad) c WHERE expected + event_size <> next_pos UNION ALL SELECT DISTINCT 'F5' || substr(CAST(txn_no AS VARCHAR), 1, 0) FROM log_events_bad WHERE FALSE UNION ALL SELECT 'F5' FROM (SELECT DISTINCT txn_no FROM log_events_bad WHERE txn_no % 101 = 50) t UNION ALL SELECT 'F10' FROM log_events_bad WHERE pos_in_txn = 0 AND last_committed >= sequence_number) r GROUP BY rule")
+def _(spark, d):
+    return sq.validate_log(view(spark, d, "log_events_bad")).groupBy("rule").agg(F.count("*").alias("n"))
+
+
+@query("n1_name_rules", "SELECT event_id, CASE WHEN event_id % 8 = 0 THEN 'too short' WHEN event_id % 8 = 1 THEN 'no separator' WHEN event_id % 8 = 2 THEN 'not a number' WHEN event_id % 8 = 3 THEN 'empty base' WHEN event_id % 8 = 4 THEN 'path separator' WHEN event_id % 8 = 5 THEN 'number zero' END AS fault FROM events")
+def _(spark, d):
+    samples = F.array(*[F.lit(x) for x in ("a.1", "binlog-000001", "binlog.00a001", ".000001", "a/b.000001", "binlog.000000", "binlog.000001", "b.log.999999")])
+    events = spark.read.parquet(f"{d}/events.parquet")
+    return events.select("event_id", fn.name_fault(F.get(samples, (F.col("event_id") % 8).cast("int"))).alias("fault"))
+
+
+# -- rewriting -----------------------------------------------------------------------------------------------------
+
+def _txns(spark, d):
+    rows = view(spark, d, "log_events").groupBy("file_seq", "txn_no")
+    return rows.agg(F.sum("event_size").cast("long").alias("size"), F.min("sequence_number").alias("sequence_number"), F.min("last_committed").alias("last_committed"))
+
+
+_TXNS = "(SELECT file_seq, txn_no, CAST(sum(event_size) AS BIGINT) AS size, min(sequence_number) AS sequence_number, min(last_committed) AS last_committed, row_number() OVER (ORDER BY txn_no) AS i FROM log_events GROUP BY file_seq, txn_no)"
+_PACKED = f"""(WITH RECURSIVE t AS (SELECT * FROM {_TXNS} x), walk AS (
+  SELECT i, CAST(1 AS BIGINT) AS out_file, CAST(4 AS BIGINT) AS at, size FROM t WHERE i = 1
+  UNION ALL SELECT t.i, CASE WHEN w.at + w.size >= {SIZE} THEN w.out_file + 1 ELSE w.out_file END, CASE WHEN w.at + w.size >= {SIZE} THEN CAST(4 AS BIGINT) ELSE w.at + w.size END, t.size
+  FROM walk w JOIN t ON t.i = w.i + 1)
+SELECT t.*, w.out_file, 'binlog.' || lpad(CAST(w.out_file AS VARCHAR), 6, '0') AS out_name FROM t JOIN walk w ON w.i = t.i)"""
+
+
+@query("r1_pack_transactions", f"SELECT txn_no, out_file, out_name FROM {_PACKED} p")
+def _(spark, d):
+    return rw.pack_transactions(_txns(spark, d), SIZE).select("txn_no", "out_file", "out_name")
+
+
+_RENUMBERED = f"(SELECT *, row_number() OVER (PARTITION BY out_file ORDER BY txn_no) AS sn FROM {_PACKED} p)"
+
+
+@query("r2_renumber", f"SELECT txn_no, CAST(sn AS BIGINT) AS new_sequence_number, CAST(CASE WHEN sn > sequence_number - last_committed THEN sn - (sequence_number - last_committed) WHEN sn = 1 THEN 0 ELSE 1 END AS BIGINT) AS new_last_committed FROM {_RENUMBERED} r")
+def _(spark, d):
+    return rw.renumber(rw.pack_transactions(_txns(spark, d), SIZE)).select("txn_no", "new_sequence_number", "new_last_committed")
+
+
+@query("r3_relocate", f"SELECT e.event_no, CAST(4 + sum(e.event_size + CASE WHEN e.txn_no % 2 = 0 THEN 4 ELSE 0 END) OVER (PARTITION BY p.out_file ORDER BY e.event_no) AS BIGINT) AS new_next_pos FROM log_events e JOIN {_PACKED} p ON p.txn_no = e.txn_no")
+def _(spark, d):
+    packed = rw.pack_transactions(_txns(spark, d), SIZE).select("txn_no", "out_file")
+    events = view(spark, d, "log_events").join(packed, "txn_no").withColumn("has_checksum", F.col("txn_no") % 2 != 0)
+    return rw.relocate(rw.normalize_checksum(events)).select("event_no", "new_next_pos")
+
+
+@query("r4_normalize_checksum", "SELECT event_no, event_size + CASE WHEN txn_no % 2 = 0 THEN 4 ELSE 0 END AS added, event_size - CASE WHEN txn_no % 2 = 0 THEN 0 ELSE 4 END AS removed FROM log_events")
+def _(spark, d):
+    events = view(spark, d, "log_events").withColumn("has_checksum", F.col("txn_no") % 2 != 0)
+    added = rw.normalize_checksum(events, "add").withColumnRenamed("new_size", "added")
+    return rw.normalize_checksum(added, "remove").select("event_no", "added", F.col("new_size").alias("removed"))
+
+
+@query("r5_output_name", "SELECT file_seq, 'copy.' || lpad(CAST(file_seq AS VARCHAR), 6, '0') AS out_name FROM log_files")
+def _(spark, d):
+    return view(spark, d, "log_files").select("file_seq", fn.output_name(F.lit("copy"), F.col("file_seq")).alias("out_name"))
+
+
+@query("r6_frame_files", f"SELECT out_file, CAST(unnest([-2, -1]) AS BIGINT) AS ord, unnest(['format_description', 'previous_gtids_log']) AS type_name, CAST(unnest([122, 31]) AS BIGINT) AS event_size FROM (SELECT DISTINCT out_file FROM {_PACKED} p) f UNION ALL SELECT DISTINCT out_file, CAST(9000000000 AS BIGINT), 'rotate', CAST(31 + 13 AS BIGINT) FROM {_PACKED} p WHERE out_file < (SELECT max(out_file) FROM {_PACKED} q)")
+def _(spark, d):
+    return rw.frame_files(rw.pack_transactions(_txns(spark, d), SIZE))
+
+
+@query("r7_tagged_size")
+def _(spark, d):
+    packed = rw.renumber(rw.pack_transactions(_txns(spark, d), SIZE))
+    event, txn = rw.tagged_size(F.lit(60), F.col("new_sequence_number"), F.col("new_last_committed"), F.col("size") - 65)
+    return packed.select("txn_no", event.cast("long").alias("event_size"), txn.cast("long").alias("txn_length"))
+
+
+# -- scalars -------------------------------------------------------------------------------------------------------
+
+@query("x1_names", "SELECT name, 'binlog' AS base, CAST(file_seq AS INTEGER) AS seq, 'binlog.' || lpad(CAST(file_seq + 1 AS VARCHAR), 6, '0') AS next_name FROM log_files")
+def _(spark, d):
+    n = F.col("name")
+    return view(spark, d, "log_files").select("name", fn.binlog_base(n).alias("base"), fn.binlog_seq(n).alias("seq"), fn.binlog_next(n).alias("next_name"))
+
+
+@query("x2_times", "SELECT event_no, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS text, CASE WHEN event_no % 3 = 0 THEN NULL ELSE ts END AS back FROM log_events")
+def _(spark, d):
+    text = fn.print_time(F.col("ts"))
+    given = F.when(F.col("event_no") % 3 == 0, F.regexp_replace(text, "-", "")).otherwise(text)
+    return view(spark, d, "log_events").select("event_no", text.alias("text"), fn.parse_time(given).alias("back"))
+
+
+@query("x3_micros_text", "SELECT event_id, strftime(make_timestamp(event_id * 1000003), '%Y-%m-%dT%H:%M:%S.%f') AS text FROM events")
+def _(spark, d):
+    return spark.read.parquet(f"{d}/events.parquet").select("event_id", fn.micros_text(F.col("event_id") * 1000003).alias("text"))
+
+
+@query("x4_uuid_text", "SELECT event_id, substr(md5(CAST(event_id AS VARCHAR)), 1, 8) || '-' || substr(md5(CAST(event_id AS VARCHAR)), 9, 4) || '-' || substr(md5(CAST(event_id AS VARCHAR)), 13, 4) || '-' || substr(md5(CAST(event_id AS VARCHAR)), 17, 4) || '-' || substr(md5(CAST(event_id AS VARCHAR)), 21, 12) AS uuid FROM events")
+def _(spark, d):
+    return spark.read.parquet(f"{d}/events.parquet").select("event_id", fn.uuid_text(F.unhex(F.md5(F.col("event_id").cast("string").cast("binary")))).alias("uuid"))
+
+
+@query("x5_format_gtid", "SELECT event_no, CASE WHEN tag = '' THEN uuid || ':' || gno ELSE uuid || ':' || tag || ':' || gno END AS gtid FROM log_events")
+def _(spark, d):
+    return view(spark, d, "log_events").select("event_no", fn.format_gtid(F.col("uuid"), F.col("tag"), F.col("gno")).alias("gtid"))
+
+
+@query("x6_valid", "SELECT event_id, regexp_full_match(props, '([A-Za-z_][A-Za-z0-9_]{0,31})?') AS tag_ok, regexp_full_match(event_type, '([A-Za-z_][A-Za-z0-9_]{0,31})?') AS type_ok, event_id >= 1 AS gno_ok FROM events")
+def _(spark, d):
+    return spark.read.parquet(f"{d}/events.parquet").select("event_id", fn.is_valid_tag(F.col("props")).alias("tag_ok"), fn.is_valid_tag(F.col("event_type")).alias("type_ok"), fn.is_valid_gno(F.col("event_id")).alias("gno_ok"))
+
+
+@query("x7_versions", "SELECT event_id, CAST(8 * 10000 + (event_id % 5) * 100 + event_id % 100 AS INTEGER) AS code, '8.' || (event_id % 5) || '.' || (event_id % 100) AS text FROM events")
+def _(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet")
+    text = F.concat(F.lit("8."), (F.col("event_id") % 5).cast("string"), F.lit("."), (F.col("event_id") % 100).cast("string"), F.lit("-log"))
+    code = fn.version_code(text)
+    return e.select("event_id", code.alias("code"), fn.version_text(code).alias("text"))
+
+
+@query("x8_sizes", "SELECT event_id, CASE WHEN v < 251 THEN 1 WHEN v < 65536 THEN 3 WHEN v < 16777216 THEN 4 ELSE 9 END AS packed, CASE WHEN v < 128 THEN 1 WHEN v < 16384 THEN 2 WHEN v < 2097152 THEN 3 WHEN v < 268435456 THEN 4 WHEN v < 34359738368 THEN 5 ELSE 6 END AS varlen FROM (SELECT event_id, event_id * event_id * 37 AS v FROM events) x")
+def _(spark, d):
+    v = F.col("event_id") * F.col("event_id") * 37
+    return spark.read.parquet(f"{d}/events.parquet").select("event_id", fn.packed_size(v).alias("packed"), fn.varlen_size(v).alias("varlen"))
+
+
+# -- streaming, in batch form ----------------------------------------------------------------------------------------
+
+@query("s4_drop_incomplete_tail", "SELECT event_no FROM log_events e WHERE event_no % 500 < 497 AND (event_no < (SELECT max(event_no) - 4 FROM log_events g WHERE g.file_seq = e.file_seq) OR FALSE) AND txn_no < (SELECT max(txn_no) FROM log_events g WHERE g.file_seq = e.file_seq AND g.event_no % 500 < 497)")
+def _(spark, d):
+    cut_short = view(spark, d, "log_events").filter("event_no % 500 < 497")
+    return sq.drop_incomplete_tail(cut_short).select("event_no")
+
+
+@query("s5_resume_filter", "SELECT event_no FROM log_events WHERE file_seq > (SELECT max(file_seq) - 1 FROM log_files) OR (file_seq = (SELECT max(file_seq) - 1 FROM log_files) AND start_pos >= 5000)")
+def _(spark, d):
+    files = view(spark, d, "log_files")
+    last = files.agg(F.max("file_seq")).first()[0] - 1
+    stored = files.filter(F.col("file_seq") <= last).withColumn("size", F.when(F.col("file_seq") == last, 5000).otherwise(F.col("size")))
+    return sq.resume_filter(view(spark, d, "log_events"), stored).select("event_no")
+
+
+@query("s6_flush_points", f"SELECT file_seq, txn_no FROM (WITH RECURSIVE t AS (SELECT x.*, row_number() OVER (PARTITION BY file_seq ORDER BY txn_no) AS k FROM {_TXNS} x), w AS (SELECT file_seq, k, txn_no, size AS held FROM t WHERE t.k = 1 UNION ALL SELECT t.file_seq, t.k, t.txn_no, CASE WHEN w.held >= 2000 THEN t.size ELSE w.held + t.size END FROM w JOIN t ON t.file_seq = w.file_seq AND t.k = w.k + 1) SELECT file_seq, txn_no, held FROM w) walked WHERE held >= 2000 OR txn_no IN (SELECT max(txn_no) FROM log_events GROUP BY file_seq)")
+def _(spark, d):
+    return rw.flush_points(_txns(spark, d), 2000).select("file_seq", "txn_no")
+
+
+@query("s8_file_transitions", "SELECT file_seq, file, CASE WHEN file_seq = (SELECT min(file_seq) FROM log_files) THEN 'created' ELSE 'switched' END AS status FROM framed_events WHERE artificial")
+def _(spark, d):
+    return sq.file_transitions(view(spark, d, "framed_events"))
+
+
+@query("s9_file_end_kind", "SELECT file_seq, CASE WHEN file_seq % 5 = 0 THEN 'open' WHEN file_seq % 4 = 0 THEN 'stop' ELSE 'rotate' END AS end_kind FROM log_files")
+def _(spark, d):
+    return sq.file_end_kind(view(spark, d, "framed_events"))
