@@ -620,7 +620,7 @@ def _(spark, d):
     return sq.resume_filter(view(spark, d, "log_events"), stored).select("event_no")
 
 
-@query("s6_flush_points", f"SELECT file_seq, txn_no FROM (WITH RECURSIVE t AS (SELECT x.*, row_number() OVER (PARTITION BY file_seq ORDER BY txn_no) AS k FROM {_TXNS} x), w AS (SELECT file_seq, k, txn_no, size AS held FROM t WHERE t.k = 1 UNION ALL SELECT t.file_seq, t.k, t.txn_no, CASE WHEN w.held >= 2000 THEN t.size ELSE w.held + t.size END FROM w JOIN t ON t.file_seq = w.file_seq AND t.k = w.k + 1) SELECT file_seq, txn_no, held FROM w) walked WHERE held >= 2000 OR txn_no IN (SELECT max(txn_no) FROM log_events GROUP BY file_seq)")
+@query("s6_flush_points", f"SELECT file_seq, txn_no FROM (WITH RECURSIVE t AS (SELECT * FROM (SELECT x.*, row_number() OVER (PARTITION BY file_seq ORDER BY txn_no) AS k FROM {_TXNS} x) y), w AS (SELECT file_seq, k, txn_no, size AS held FROM t WHERE t.k = 1 UNION ALL SELECT t.file_seq, t.k, t.txn_no, CASE WHEN w.held >= 2000 THEN t.size ELSE w.held + t.size END FROM w JOIN t ON t.file_seq = w.file_seq AND t.k = w.k + 1) SELECT file_seq, txn_no, held FROM w) walked WHERE held >= 2000 OR txn_no IN (SELECT max(txn_no) FROM log_events GROUP BY file_seq)")
 def _(spark, d):
     return rw.flush_points(_txns(spark, d), 2000).select("file_seq", "txn_no")
 
@@ -633,3 +633,29 @@ def _(spark, d):
 @query("s9_file_end_kind", "SELECT file_seq, CASE WHEN file_seq % 5 = 0 THEN 'open' WHEN file_seq % 4 = 0 THEN 'stop' ELSE 'rotate' END AS end_kind FROM log_files")
 def _(spark, d):
     return sq.file_end_kind(view(spark, d, "framed_events"))
+
+
+def _streamed(spark, d):
+    """Log events in pieces that cut transactions, drained by the streaming job."""
+    from ..streaming import ingest as stream
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    source, out = shared_path(spark, "stream-in"), shared_path(spark, "stream-out")
+    rows = view(spark, d, "log_events")
+    for piece in range(3):
+        rows.filter((F.col("event_no") % 500 >= piece * 167) & (F.col("event_no") % 500 < (piece + 1) * 167)).coalesce(1).write.parquet(f"{source}/piece{piece}")
+    events = stream.read_event_stream(spark, f"{source}/*", rows.schema, max_files=1)
+    stream.ingest(events, out, f"{out}/checkpoint").awaitTermination()
+    return stream, out
+
+
+@query("s1_ingest_once", "SELECT event_no, file_seq, txn_no, next_pos FROM log_events")
+def _(spark, d):
+    stream, out = _streamed(spark, d)
+    return stream.stored_events(spark, out).select("event_no", "file_seq", "txn_no", "next_pos")
+
+
+@query("s7_live_files", "SELECT * FROM log_files")
+def _(spark, d):
+    stream, out = _streamed(spark, d)
+    return stream.live_files(spark, out)
