@@ -123,7 +123,7 @@ def tagged_size(fixed: Column, seq: Column, committed: Column, rest: Column) ->
 
     ``fixed``: bytes that do not change; ``rest``: bytes of the transaction's other events.  Three rounds reach the fixed point.
     """
-    own = fixed + varlen_size(seq) + varlen_size(committed)
+    own = fixed + varlen_size(2 * seq) + varlen_size(2 * committed)  # both are signed: a sign bit comes with them
     event = own + 1
     for _ in range(3):
         event = own + varlen_size(event + rest)

@@ -32,7 +32,7 @@ def write_files(files: DataFrame, path: str) -> None:
 
 def read_files(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     """Catalogue records; a record that cannot be read or has another version than 1 raises, or is left out if not strict."""
-    rows = spark.read.schema(METADATA.add("name", "string") if "name" not in METADATA.names else METADATA).option("columnNameOfCorruptRecord", "_corrupt").option("mode", "PERMISSIVE").json(path)
+    rows = spark.read.schema(METADATA).option("columnNameOfCorruptRecord", "_corrupt").option("mode", "PERMISSIVE").json(path)
     good = (F.col("version") == 1) & F.col("size").isNotNull()
     if strict:
         rows = rows.withColumn("version", F.when(F.coalesce(good, F.lit(False)), F.col("version")).otherwise(F.raise_error(F.lit("unsupported metadata")).cast("int")))
