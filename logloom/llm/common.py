@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -22,13 +23,51 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Folders that the running operators have written, by operator, the innermost last.
+_scratch: list[list[str]] = []
+
+
 def saved(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there and lost executors cost nothing."""
     path = shared_dir(df.sparkSession, name)
     df.write.option("compression", codec).parquet(path)
+    if _scratch:
+        _scratch[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_folder(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def tidy(operator):
+    """For operators with small results: the result becomes a table, and the tables written on the way to it go."""
+
+    @functools.wraps(operator)
+    def run(docs: DataFrame, *args, **options) -> DataFrame:
+        _scratch.append([])
+        try:
+            result = operator(docs, *args, **options)
+            path = shared_dir(docs.sparkSession, operator.__name__)
+            result.write.option("compression", "zstd").parquet(path)
+        finally:
+            for old in _scratch.pop():
+                drop_folder(docs.sparkSession, old)
+        if _scratch:
+            _scratch[-1].append(path)
+        return docs.sparkSession.read.schema(result.schema).parquet(path)
+
+    return run
+
+
+def slices(stream, rows: int = 1000):
+    """The batches of a mapInArrow stream in parts of fewer rows, so that what is made from them stays small."""
+    for batch in stream:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -50,6 +89,11 @@ def left_join_sized(left: DataFrame, right: DataFrame, keys: list[str], max_rows
     return spread.join(salted, [*keys, "_salt"], "left").drop("_salt")
 
 
+def sized(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
+    """``df`` (a written table of a few numbers a row) marked for broadcast if it has at most ``max_rows`` rows."""
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """A column name that ``df`` does not have."""
     taken = {c.lower() for c in df.columns}

@@ -11,15 +11,18 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from itertools import filterfalse
 
 import numpy as np
 
+from .common import slices
+
 #: A space with a visible Latin or ASCII character behind it is a break; other spaces stay inside their piece.
 _BREAK = re.compile(" (?=[!-~¡-¬®-ȳ])")
 _OTHER_SPACE = re.compile(" (?![!-~¡-¬®-ȳ])")
 #: A comma or full stop between a letter or digit and a space is a piece of its own, here written with a mark before it.
 _MARK = "\0"
+#: A line end between visible characters is a word of its own.
+_OTHER_LINE = re.compile("(?<![!-~¡-¬®-ȳ])\n|\n(?![!-~¡-¬®-ȳ])")
 _AFTER_OTHER = re.compile(" \0(?<![0-9A-Za-zÀ-ÖØ-öø-ɏ] \0)")
 #: Pieces of such letters alone are one word for either pre-tokenizer.
 _WORD = re.compile("[A-Za-zÀ-ÖØ-öø-įıĲ-ɏ]+").fullmatch
@@ -39,29 +42,44 @@ def id_type(vocabulary: int) -> np.dtype:
     return np.dtype("<u2") if vocabulary <= 1 << 16 else np.dtype("<u4")
 
 
-def _split(text: str) -> list[str]:
-    if _OTHER_SPACE.search(text) or _MARK in text:
-        return _BREAK.split(text)
-    marked = text.replace(", ", " \0, ").replace(". ", " \0. ")
-    return (text if _AFTER_OTHER.search(marked) else marked).split(" ")
+def _lines(text: str) -> list[list[str]] | None:
+    """The pieces of each line; None if some space, line end or mark stands where pieces would not be safe."""
+    if _MARK in text or _OTHER_SPACE.search(text) or _OTHER_LINE.search(text):
+        return None
+    marked = text.replace(", ", " \0, ").replace(". ", " \0. ").replace(".\n", " \0.\n")
+    return [line.split(" ") for line in (text if _AFTER_OTHER.search(marked) else marked).split("\n")]
+
+
+class _Known(dict):
+    """Ids of pieces; a missing one is encoded and, while there is room, remembered."""
+
+    def __init__(self, encode, most: int, longest: int):
+        self.encode, self.most, self.longest = encode, most, longest
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.encode(piece)
+        if len(self) < self.most and len(piece) <= self.longest:
+            self[piece] = ids
+        return ids
 
 
 class PieceEncoder:
     """``encode(texts)`` gives each text's ids as little-endian bytes of ``self.dtype``."""
 
-    def __init__(self, path: str, most_pieces: int = 700_000, longest: int = 40):
+    def __init__(self, path: str, most_pieces: int = 600_000, longest: int = 40):
         self.tokenizer = load(path)
         self.dtype = id_type(self.tokenizer.get_vocab_size())
-        self.most, self.longest = most_pieces, longest
-        self.known: dict[str, bytes] = {}
-        self.heads: dict[str, bytes] = {}
-        self._marked(self.known)
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         config = self.tokenizer.to_str().split('"model"')[0]
         self.lower, self.prefix = '"Lowercase"' in config, "" if '"invert":true' in config else "\u0120"
+        self.direct = True
         samples = ["the", "Étrangère", "Größe", "niño", "Zzyzx", "internationalisation"]
-        words: dict[str, bytes] = {}
-        self._words(samples, words)
-        self.direct = [words[p] for p in samples] == self._plain([" " + p for p in samples])
+        self.direct = all(self._encode(p, self.prefix, " ") == self._plain(" " + p) and self._encode(p, "", "") == self._plain(p) for p in samples)
+        self.inside = _Known(lambda p: self._encode(p, self.prefix, " "), most_pieces, longest)
+        self.heads = _Known(lambda p: self._encode(p, "", ""), most_pieces // 10, longest)
+        for p in ",.":
+            self.inside[_MARK + p] = self._plain(p)
+        self.line_end = self._plain("\n")
 
     @classmethod
     def of(cls, path: str) -> "PieceEncoder":
@@ -70,69 +88,42 @@ class PieceEncoder:
             _LOADED[path] = cls(path)
         return _LOADED[path]
 
-    def _plain(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _plain(self, text: str) -> bytes:
+        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _words(self, words: list[str], out: dict[str, bytes]) -> None:
-        """Words of letters go to the model at once, which skips the pre-tokenizer; used only if that gives the same ids for samples."""
-        tokenize, code = self.tokenizer.model.tokenize, "H" if self.dtype.itemsize == 2 else "I"
-        for p in words:
-            w = p.lower() if self.lower else p
+    def _encode(self, piece: str, prefix: str, space: str) -> bytes:
+        """Words of letters go to the model at once, which skips the pre-tokenizer (only if that gave the same ids for samples)."""
+        if self.direct and _WORD(piece):
+            w = piece.lower() if self.lower else piece
             if not w.isascii():
                 w = w.encode().decode("latin-1").translate(_BYTE_NAMES)
-            out[p] = array(code, [t.id for t in tokenize(self.prefix + w)]).tobytes()
-
-    def _pieces(self, pieces: list[str], out: dict[str, bytes]) -> None:
-        """Encode pieces that follow a space, several in one call, and cut the ids where a piece begins."""
-        if self.direct:
-            self._words([p for p in pieces if _WORD(p)], out)
-            pieces = [p for p in pieces if p not in out]
-        short = [p for p in pieces if len(p) <= self.longest and " " not in p and "<|" not in p and not p.startswith(_MARK)]
-        rest = set(pieces).difference(short)
-        for p, ids in zip(rest, self._plain([" " + p for p in rest])):
-            out[p] = ids
-        for i in range(0, len(short), 2000):
-            some = short[i : i + 2000]
-            encoded = self.tokenizer.encode_batch([" " + " ".join(some)], add_special_tokens=False)[0]
-            ids = np.array(encoded.ids, self.dtype)
-            begins = np.cumsum([0] + [len(p) + 1 for p in some])
-            starts = np.fromiter((s for s, _ in encoded.offsets), np.int64, len(ids))
-            cuts = np.searchsorted(starts, begins, "left") * self.dtype.itemsize
-            data = ids.tobytes()
-            for p, a, b in zip(some, cuts[:-1].tolist(), cuts[1:].tolist()):
-                out[p] = data[a:b]
-
-    def _marked(self, out: dict[str, bytes]) -> None:
-        for p in ",.":
-            out[_MARK + p] = self._plain([p])[0]
+            return array(self.code, [t.id for t in self.tokenizer.model.tokenize(prefix + w)]).tobytes()
+        return self._plain(space + piece)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [_split(t) for t in texts]
-        heads, new, known = set(), set(), self.known
-        for parts in split:
-            heads.add(parts[0])
-            new.update(filterfalse(known.__contains__, parts[1:]))
-        head_ids = {}
-        fresh = [h for h in heads if h not in self.heads]
-        for h, ids in zip(fresh, self._plain(fresh)):
-            head_ids[h] = ids
-            if len(self.heads) < self.most // 20 and len(h) <= self.longest:
-                self.heads[h] = ids
-        extra: dict[str, bytes] = {}
-        self._pieces(list(new), extra)
-        if len(known) < self.most:
-            known.update((p, ids) for p, ids in extra.items() if len(p) <= self.longest)
+        inside, heads = self.inside.__getitem__, self.heads.__getitem__
         out = []
-        for parts in split:
-            head = self.heads.get(parts[0]) or head_ids.get(parts[0], b"")
-            try:
-                tail = b"".join(map(known.__getitem__, parts[1:]))
-            except KeyError:
-                tail = b"".join([known[p] if p in known else extra[p] for p in parts[1:]])
-            out.append(head + tail)
+        for text in texts:
+            lines = _lines(text)
+            if lines is None:
+                parts = _BREAK.split(text)
+                out.append(self._plain(parts[0]) + b"".join([self._plain(" " + p) if not _WORD(p) else inside(p) for p in parts[1:]]))
+                continue
+            got = []
+            for parts in lines:
+                got.append(heads(parts[0]))
+                got.extend(map(inside, parts[1:]))
+                got.append(self.line_end)
+            got.pop()
+            out.append(b"".join(got))
         return out
 
 
+def forget() -> None:
+    """Give a worker's remembered pieces back: for the first lines of stages that come after encoding."""
+    _LOADED.clear()
+
+
 def batches(texts: list[str], most_chars: int = 4_000_000):
     """Slices of ``texts`` of a bounded number of characters each (a longer text alone makes one)."""
     start, size = 0, 0
@@ -153,7 +144,7 @@ def encode_rows(path: str, text_column: str, keep: list[str], end_id: int | None
 
         encoder = PieceEncoder.of(path)
         end = b"" if end_id is None else np.array([end_id], encoder.dtype).tobytes()
-        for batch in stream:
+        for batch in slices(stream):
             texts = [t or "" for t in batch.column(text_column).to_pylist()]
             for a, b in batches(texts):
                 ids = [x + end for x in encoder.encode(texts[a:b])]

@@ -26,13 +26,13 @@ from .common import partitions, saved, shared_dir
 
 MAGIC = b"RKB1"
 HEAD = "<4sQQQ"
-BLOCK_IDS = 1 << 20
+BLOCK_IDS = 1 << 17
 
 _LENGTHS = 1 + (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3)  # of the four ranks of a control byte
 _COVERS = _LENGTHS.sum(1)
 _FROM = np.cumsum(_LENGTHS, 1) - _LENGTHS
 #: Where each of 16 output bytes comes from; -1 for a leading zero.
-_PLACES = np.where(np.arange(4) < _LENGTHS[:, :, None], _FROM[:, :, None] + np.arange(4), -1).reshape(256, 16)
+_PLACES = np.where(np.arange(4) < _LENGTHS[:, :, None], _FROM[:, :, None] + np.arange(4), -1).reshape(256, 16).astype(np.int8)
 
 
 def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
@@ -75,10 +75,10 @@ def id_counts(tokens: DataFrame, dtype: np.dtype, size: int) -> np.ndarray:
     def count(stream):
         import pyarrow as pa
 
+        pieces.forget()
         total = np.zeros(size, np.int64)
         for batch in stream:
-            for ids in batch.column("ids"):
-                total += np.bincount(np.frombuffer(ids.as_buffer(), dtype), minlength=size)
+            total += np.bincount(np.frombuffer(b"".join(batch.column("ids").to_pylist()), dtype), minlength=size)
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], ["id", "n"])
 
@@ -95,6 +95,7 @@ def _shards(folder: str, dtype: np.dtype, size: int):
         import pyarrow as pa
         from pyspark import TaskContext
 
+        pieces.forget()
         filesystem, base = _filesystem(folder)
         with filesystem.open_input_stream(f"{base}/ranks.bin") as f:
             order = np.frombuffer(f.read(), "<u4")
@@ -155,8 +156,12 @@ def write_ids(tokens: DataFrame, folder: str, vocabulary: int) -> DataFrame:
     return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
 
-def read_ids(spark: SparkSession, folder: str) -> DataFrame:
-    """``doc_id, start, n_tokens, ids`` (little-endian unsigned 32 bits) of every document, decoded from the shards; start: ids of all before it."""
+def read_ids(spark: SparkSession, folder: str, digest: bool = False) -> DataFrame:
+    """``doc_id, start, n_tokens, ids`` (little-endian unsigned 32 bits) of every document, decoded from the shards; start: ids of all before it.
+
+    ``digest``: the unsigned crc32 of the decoded ids (``ids_crc32``) in place of them.
+    """
+    last = ["ids_crc32", "long"] if digest else ["ids", "binary"]
     shards = sorted(spark.read.schema(MANIFEST).parquet(f"{folder}/manifest").collect(), key=lambda r: r.part)  # a row for each shard
     starts = np.cumsum([0] + [r.n_ids for r in shards]).tolist()
     listed = spark.createDataFrame([(r.file, s) for r, s in zip(shards, starts)], "file string, start long")
@@ -164,6 +169,7 @@ def read_ids(spark: SparkSession, folder: str) -> DataFrame:
     def decode(stream):
         import pyarrow as pa
 
+        pieces.forget()
         filesystem, base = _filesystem(folder)
         with filesystem.open_input_stream(f"{base}/ranks.bin") as f:
             order = np.frombuffer(f.read(), "<u4")
@@ -182,13 +188,14 @@ def read_ids(spark: SparkSession, folder: str) -> DataFrame:
                         ends = np.cumsum(counts)
                         begins = ends - counts
                         ids = [data[4 * a : 4 * b] for a, b in zip(begins.tolist(), ends.tolist())]
-                        yield pa.RecordBatch.from_arrays([pa.array(docs, mask=~given), pa.array(start + begins), pa.array(counts), pa.array(ids, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
+                        told = pa.array([zlib.crc32(x) for x in ids], pa.int64()) if digest else pa.array(ids, pa.binary())
+                        yield pa.RecordBatch.from_arrays([pa.array(docs, mask=~given), pa.array(start + begins), pa.array(counts), told], ["doc_id", "start", "n_tokens", last[0]])
                         start += n_ids
 
-    return listed.repartition(max(1, len(shards))).mapInArrow(decode, "doc_id long, start long, n_tokens long, ids binary")
+    return listed.repartition(max(1, len(shards))).mapInArrow(decode, f"doc_id long, start long, n_tokens long, {' '.join(last)}")
 
 
-def encode_documents(docs: DataFrame, tokenizer: str, end_id: int | None = 0, folder: str | None = None) -> DataFrame:
+def encode_documents(docs: DataFrame, tokenizer: str, end_id: int | None = 0, folder: str | None = None, digest: bool = False) -> DataFrame:
     """Encode, write and read back.
 
     Null texts count as empty and still get the end id; null ids come first; repeated rows are kept, each as a document
@@ -198,16 +205,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int | None = 0, fo
     folder = folder or shared_dir(spark, "token-ids")
     vocabulary = pieces.load(tokenizer).get_vocab_size()
     write_ids(saved(tokenise(docs, tokenizer, end_id), "tokens"), folder, vocabulary)
-    return read_ids(spark, folder)
-
-
-def crc_of(stream):
-    """For mapInArrow: unsigned crc32 of each row's ids in place of the ids."""
-    import pyarrow as pa
-
-    for batch in stream:
-        crc = pa.array([zlib.crc32(x.as_buffer()) for x in batch.column("ids")], pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), batch.column("n_tokens"), crc], ["doc_id", "start", "n_tokens", "ids_crc32"])
+    return read_ids(spark, folder, digest)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -215,5 +213,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from .common import table
 
-    out = encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
-    return out.mapInArrow(crc_of, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), digest=True)
