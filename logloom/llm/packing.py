@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import pieces
-from .common import partitions, saved, table
+from .common import partitions, saved, slices, table
 
 UNIT = 1 << 20
 PERIOD = 256
@@ -133,8 +133,9 @@ def _cut_rows(schedule: Schedule, dtype: np.dtype):
     def run(stream):
         import pyarrow as pa
 
+        pieces.forget()
         names = ["doc_id", "source", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-        for batch in stream:
+        for batch in slices(stream):
             docs, sources = batch.column("doc_id").to_pylist(), batch.column("source").to_pylist()
             queues, begins = batch.column("queue").to_pylist(), batch.column("begins").to_pylist()
             doc, source, crc, total, cols = [], [], [], [], []

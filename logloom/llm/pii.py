@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, table
+from .common import free_name, slices, table
 
 KINDS = ["email", "ip", "card", "phone"]
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -216,7 +216,8 @@ class Field:
 
 def train(docs: DataFrame, text_col: str = "text", most_docs: int = 600, most_words: int = 200) -> Field:
     """Learn from the base labels of ``most_docs`` documents in hash order; at most ``most_words`` words of each come to the driver."""
-    texts = docs.select(F.col(text_col).cast("string").alias("text")).filter(F.col("text").rlike("[0-9@+]"))
+    texts = docs.select(F.col(text_col).cast("string").alias("text")).filter(F.col("text").rlike("[0-9@+]")).withColumn("h", F.xxhash64("text"))
+    chosen = [r.h for r in texts.select("h").distinct().orderBy("h").limit(most_docs).collect()]
 
     def run(stream):
         import pyarrow as pa
@@ -229,7 +230,7 @@ def train(docs: DataFrame, text_col: str = "text", most_docs: int = 600, most_wo
             pairs = pa.list_(pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pairs if c != "y" else pa.list_(pa.int64())) for c in ("f", "y", "chain", "skip")], ["f", "y", "chain", "skip"])
 
-    some = texts.select("text", F.xxhash64("text").alias("h"), F.md5("text").alias("m")).orderBy("h", "m").limit(most_docs).select("text")
+    some = texts.filter(F.col("h").isin(chosen)).groupBy("h").agg(F.min("text").alias("text")).select("text")
     rows = some.mapInArrow(run, "f array<array<bigint>>, y array<bigint>, chain array<array<bigint>>, skip array<array<bigint>>").collect()
     rows.sort(key=lambda r: (r.f, r.y))
     return Field().fit([(r.f, r.y, r.chain, r.skip) for r in rows])
@@ -255,7 +256,7 @@ def find(docs: DataFrame, text_col: str = "text", field: Field | None = None, ke
 
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
         spans = lambda found: [{"kind": KINDS[k], "start": a, "end": b} for k, a, b in found]
-        for batch in stream:
+        for batch in slices(stream):
             base, whole = [], []
             for text in batch.column(at).to_pylist():
                 first = base_spans(text) if text else []
@@ -286,7 +287,7 @@ def mask(docs: DataFrame, text_col: str = "text", field: Field | None = None) ->
     def run(stream):
         import pyarrow as pa
 
-        for batch in stream:
+        for batch in slices(stream):
             texts = []
             for text, pii in zip(batch.column(at).to_pylist(), batch.column(out).to_pylist()):
                 texts.append(text if not text or not pii["spans"] else mask_text(text, [(s["start"], s["end"], s["kind"]) for s in pii["spans"]]))

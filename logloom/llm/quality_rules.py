@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, left_join_sized, saved, table
+from .common import free_name, left_join_sized, saved, slices, table, tidy
 
 WINDOW = 5
 _SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -75,7 +75,7 @@ def measured(docs: DataFrame, text_col: str = "text", out: str = "measures") ->
     def run(stream):
         import pyarrow as pa
 
-        for batch in stream:
+        for batch in slices(stream):
             rows = [measure_text(t or "") for t in batch.column(at).to_pylist()]
             fields = [pa.array([r[i] for r in rows], pa.int64()) for i in range(len(MEASURES))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.StructArray.from_arrays(fields, MEASURES)], [*names, out])
@@ -110,21 +110,26 @@ def bad_hosts(rows: DataFrame, measures: str, host_col: str, limit: float) -> Da
     return hosts.select("host", worst.alias("host_rate")).filter(F.col("host_rate") > limit)
 
 
+@tidy
+def rejected_hosts(docs: DataFrame, host_col: str = "source", text_col: str = "text", limit: float = 0.5) -> DataFrame:
+    """``host, host_rate`` of the hosts that a rule rejects; only measures are written, no texts."""
+    out, host = free_name(docs, "measures"), free_name(docs, "_host")
+    rows = measured(docs.select(F.col(host_col).cast("string").alias(host), F.col(text_col).alias(text_col)), text_col, out)
+    return bad_hosts(saved(rows.select(host, out), "measured"), out, host, limit)
+
+
 def judge(docs: DataFrame, host_col: str = "source", text_col: str = "text", limit: float = 0.5, keep: list[str] | None = None) -> DataFrame:
     """The kept columns of every row of ``docs`` (all by default) and a struct ``verdict``: the measures, ``base_failed``, ``host_failed``, ``kept``.
 
-    Null and empty texts have no words and fail; a null host has no verdict; repeated rows are judged each; an empty
-    table gives no rows; a column of ``docs`` that is named like the struct only lengthens the struct's name (it is
-    the last column).
+    Two passes over the texts: one for the hosts, one for the documents.  Null and empty texts have no words and fail; a null host has no
+    verdict; repeated rows are judged each; an empty table gives no rows; a column of ``docs`` that is named like the
+    struct only lengthens the struct's name (it is the last column).
     """
     wanted = keep or docs.columns
-    out = free_name(docs, "verdict")
+    out, host, rate = (free_name(docs, n) for n in ("verdict", "_host", "host_rate"))
+    bad = rejected_hosts(docs, host_col, text_col, limit).select(F.col("host").alias(host), F.col("host_rate").alias(rate))
     rows = measured(docs.select(*dict.fromkeys([*wanted, host_col, text_col])), text_col, out)
-    host = free_name(docs, "_host")
-    rows = saved(rows.select(*wanted, F.col(host_col).cast("string").alias(host), out), "measured")
-    bad = saved(bad_hosts(rows, out, host, limit), "bad-hosts").withColumnRenamed("host", host)
-    rate = free_name(docs, "host_rate")
-    judged = left_join_sized(rows, bad.withColumnRenamed("host_rate", rate), [host])
+    judged = left_join_sized(rows.withColumn(host, F.col(host_col).cast("string")).select(*wanted, host, out), bad, [host])
     m = F.col(out)
     base = RULES["short"](m) | RULES["repeat"](m)
     failed = F.col(rate).isNotNull()

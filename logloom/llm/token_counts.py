@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import pieces
-from .common import saved, table
+from .common import saved, slices, table
 
 MARGIN = 32
 #: Texts of more characters than this are cut.
@@ -28,7 +28,7 @@ def _count_short(path: str):
         import pyarrow as pa
 
         encoder = pieces.PieceEncoder.of(path)
-        for batch in stream:
+        for batch in slices(stream):
             texts = batch.column("text").to_pylist()
             for a, b in pieces.batches(texts):
                 n = [len(x) // encoder.dtype.itemsize for x in encoder.encode(texts[a:b])]
