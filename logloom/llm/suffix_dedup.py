@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions, saved, table
+from .common import partitions, saved, slices, table
 from .shingles import _BYTE, U, _mix, powers
 
 GRAM = 160
@@ -67,7 +67,15 @@ def runs_of(data: bytes, length: int, gram: int, step: int = 1 << 22):
         p = place[first]
         with np.errstate(over="ignore"):
             block = _mix(hash_of(h, first, last + length) + (p - first).astype(np.uint64) * U(0x9E3779B97F4A7C15))
-        yield g[p].view(np.int64), p + at, first + at, last + at, block.view(np.int64)
+        # equal blocks one after the other (a text that repeats a short string) are two rows: the first, and one that reaches over the others
+        same = np.zeros(len(p), bool)
+        same[1:] = (g[p[1:]] == g[p[:-1]]) & (block[1:] == block[:-1])
+        row = np.cumsum(~same) - 1
+        ends = np.append(np.flatnonzero(~same)[1:], len(p)) - 1
+        second = same & ~np.concatenate([[False], same[:-1]])
+        last = np.where(second, last[ends][row], last)
+        keep = ~same | second
+        yield g[p].view(np.int64)[keep], (p + at)[keep], (first + at)[keep], (last + at)[keep], block.view(np.int64)[keep]
 
 
 def _anchors(length: int, gram: int):
@@ -75,7 +83,7 @@ def _anchors(length: int, gram: int):
         import pyarrow as pa
 
         names = ["anchor", "block", "key", "place", "lo", "hi"]
-        for batch in stream:
+        for batch in slices(stream):
             out, held = [], 0
             for key, text in zip(batch.column("key").to_pylist(), batch.column("text")):
                 for g, p, lo, hi, b in runs_of(text.as_buffer().to_pybytes(), length, gram):
@@ -260,7 +268,7 @@ def _cut_blocks(length: int):
     def run(stream):
         import pyarrow as pa
 
-        for batch in stream:
+        for batch in slices(stream):
             grp, keys, los, parts = [], [], [], []
             for key, text, wanted in zip(batch.column("key").to_pylist(), batch.column("text"), batch.column("wanted").to_pylist()):
                 data = text.as_buffer().to_pybytes()
@@ -303,7 +311,7 @@ def _strip(stream):
     import pyarrow as pa
 
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"]
-    for batch in stream:
+    for batch in slices(stream):
         removed, spans, kept = [], [], []
         for text, marks in zip(batch.column("text"), batch.column("marks").to_pylist()):
             data = text.as_buffer().to_pybytes()
