@@ -5,10 +5,12 @@ similar enough share one of their first shingles (the prefix), so an index of pr
 
 * Skipping in the lists: a list of the index is sorted by set size, in blocks that know their sizes and positions; blocks
   whose sizes or positions cannot reach the needed overlap are skipped whole.
-* Skipping by answers: first every list only compares its sets with one leader of like size.  A set that turns out to be
-  highly similar to its leader shares its answers: inside a component no further pair is compared, and for pairs
-  that lead out of it the distance follows incrementally from the leader's computed one: it differs by no more than the distance
-  of set and leader, which settles most of them unread.  Only what that leaves open is compared in full.
+* Skipping by answers: in rounds, every set is first compared with the one that looks most alike among its neighbours in the
+  lists (in another order each round).  Sets that turn out to be highly similar share their answers: inside a component no further
+  pair is compared, and for pairs that lead out of it the distance follows incrementally from the computed one of a linked set: it
+  differs by no more than the distance of the two, which settles pairs unread.
+* Skipping by counts: a pair's common shingles up to the last one in both prefixes are all seen, so their number and what
+  is left behind them bound the overlap.  Only pairs that all this leaves open are compared in full.
 
 No list, group or component is capped.  Frequencies come from a table of fixed size that only sets the order of shingles,
 which the result does not depend on.
@@ -20,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_name, left_join_sized, partitions, saved, table
+from .common import free_name, left_join_sized, partitions, saved, sized, slices, table, tidy
 from .components import components
 from .shingles import common, set_id, sets_of
 
@@ -32,7 +34,7 @@ BLOCK = 64
 def frequency_levels(docs: DataFrame, k: int) -> np.ndarray:
     """For each slot of a table of SLOTS bytes the bit length of the count of its most frequent shingle, 0 under FREQUENT.
 
-    Shingles found at least twice in a batch are counted over all documents; each range of slots is made in one task.
+    Shingles found at least twice in a few thousand texts are counted over all documents; each range of slots is made in one task.
     """
     spark = docs.sparkSession
     pieces = 64
@@ -40,7 +42,7 @@ def frequency_levels(docs: DataFrame, k: int) -> np.ndarray:
     def count(stream):
         import pyarrow as pa
 
-        for batch in stream:
+        for batch in slices(stream, 3000):
             found = [s for s in sets_of(batch.column("text").to_pylist(), k) if len(s)]
             if found:
                 values, n = np.unique(np.concatenate(found), return_counts=True)
@@ -78,8 +80,31 @@ def prefix_of(values: np.ndarray, levels: np.ndarray, percent: int) -> np.ndarra
     return values[:length]
 
 
+_SKETCH = np.random.default_rng(11).integers(1, 1 << 63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Digits of two sketches that must agree for their sets to be tried early; it decides the order of work only.
+ALIKE = 9
+
+
+def sketch_of(values: np.ndarray) -> int:
+    """Sixteen minhashes of four bits each."""
+    with np.errstate(over="ignore"):
+        least = np.array([(values * m).min() for m in _SKETCH])
+    digits = (least * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(60)).astype(np.uint64)
+    return int((digits << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(dtype=np.uint64).view(np.int64))
+
+
+def agreeing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many of the sixteen digits agree."""
+    x = (a ^ b).view(np.uint64)
+    x |= x >> np.uint64(2)
+    x |= x >> np.uint64(1)
+    differ = x & np.uint64(0x1111111111111111)
+    with np.errstate(over="ignore"):
+        return (16 - (differ * np.uint64(0x1111111111111111) >> np.uint64(60))).astype(np.int64) % 16 + 16 * (differ == 0)
+
+
 def summarise(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
-    """``doc_id, text_key, n, node, prefix``: a written table with one row for each document."""
+    """``doc_id, text_key, n, node, sketch, prefix``: a written table with one row for each document."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).cast("string").alias("text"))
     levels = spark.sparkContext.broadcast(frequency_levels(rows.select("text"), k))
@@ -87,27 +112,28 @@ def summarise(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int)
     def run(stream):
         import pyarrow as pa
 
-        for batch in stream:
+        for batch in slices(stream):
             sets = list(sets_of(batch.column("text").to_pylist(), k))
             n = pa.array([len(s) for s in sets], pa.int64())
             node = pa.array([set_id(s) if len(s) else None for s in sets], pa.int64())
+            sketch = pa.array([sketch_of(s) if len(s) else None for s in sets], pa.int64())
             prefix = pa.array([prefix_of(s, levels.value, percent).tobytes() if len(s) else b"" for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), n, node, prefix], ["doc_id", "text_key", "n", "node", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), n, node, sketch, prefix], ["doc_id", "text_key", "n", "node", "sketch", "prefix"])
 
-    return saved(rows.mapInArrow(run, "doc_id long, text_key long, n long, node long, prefix binary"), "sets")
+    return saved(rows.mapInArrow(run, "doc_id long, text_key long, n long, node long, sketch long, prefix binary"), "sets")
 
 
 def _postings(stream):
     import pyarrow as pa
 
-    for batch in stream:
+    for batch in slices(stream):
         prefix = [np.frombuffer(p, np.int64) for p in batch.column("prefix").to_pylist()]
         sizes = np.array([len(p) for p in prefix])
         if not sizes.sum():
             continue
-        node, n = np.repeat(batch.column("node").to_numpy(), sizes), np.repeat(batch.column("n").to_numpy(), sizes)
+        node, n, sketch = (np.repeat(batch.column(c).to_numpy(), sizes) for c in ("node", "n", "sketch"))
         pos = np.concatenate([np.arange(s) for s in sizes])
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(prefix)), pa.array(node), pa.array(n.astype(np.int32)), pa.array(pos.astype(np.int32))], ["shingle", "node", "n", "pos"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(prefix)), pa.array(node), pa.array(n.astype(np.int32)), pa.array(pos.astype(np.int32)), pa.array(sketch)], ["shingle", "node", "n", "pos", "sketch"])
 
 
 def _lists(stream, columns):
@@ -134,66 +160,89 @@ def _needed(n1, n2, percent):
     return -(-percent * (n1 + n2) // (100 + percent))
 
 
-def _stars(percent: int):
-    """For each list, pairs of a leader and the sets of other components; a new leader where sizes are too far apart."""
+def _proposals(percent: int, turn: int):
+    """For each list, put into an order that changes with the turn, neighbours of different components that look alike."""
 
     def run(stream):
         import pyarrow as pa
 
-        for (shingle, node, n, pos, label), cuts in _lists(stream, ["shingle", "node", "n", "pos", "label"]):
-            out = []
-            bounds = cuts.tolist() + ([len(shingle)] if cuts[-1] != len(shingle) else [])
-            for a, b in zip(bounds[:-1], bounds[1:]):
-                if b - a < 2:
-                    continue
-                i = a
-                while i < b:
-                    j = a + int(np.searchsorted(n[a:b], n[i] * 100 // percent, "right"))
-                    other = i + 1 + np.flatnonzero(label[i + 1 : j] != label[i])
-                    if len(other):
-                        _, first = np.unique(label[other], return_index=True)
-                        other = other[first]
-                        ok = 1 + np.minimum(n[i] - pos[i], n[other] - pos[other]) - 1 >= _needed(n[i].astype(np.int64), n[other].astype(np.int64), percent)
-                        other = other[ok]
-                        out.append((np.full(len(other), node[i]), node[other]))
-                    i = max(j, i + 1)
-            if out:
-                x, y = (np.concatenate(z) for z in zip(*out))
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+        for (shingle, node, n, pos, sketch, label), _ in _lists(stream, ["shingle", "node", "n", "pos", "sketch", "label"]):
+            with np.errstate(over="ignore"):
+                mixed = ((node ^ shingle).astype(np.uint64) + np.uint64(turn)) * np.uint64(0xD6E8FEB86659FD93)
+            order = np.lexsort((mixed ^ (mixed >> np.uint64(32)), shingle))
+            i, j = order[:-1], order[1:]
+            small, large = np.minimum(n[i], n[j]).astype(np.int64), np.maximum(n[i], n[j]).astype(np.int64)
+            same = agreeing(sketch[i], sketch[j])
+            ok = (shingle[i] == shingle[j]) & (label[i] != label[j]) & (100 * small >= percent * large) & (same >= ALIKE)
+            if ok.any():
+                i, j, same = i[ok], j[ok], same[ok]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j])), pa.array(same)], ["a", "b", "alike"])
 
     return run
 
 
+def best_proposals(proposed: DataFrame) -> DataFrame:
+    """For every set at most two pairs, the most alike."""
+    pairs = proposed.groupBy("a", "b").agg(F.max("alike").alias("alike"))
+    ends = pairs.select(F.col("a").alias("x"), "a", "b", "alike").unionByName(pairs.select(F.col("b").alias("x"), "a", "b", "alike"))
+    best = ends.groupBy("x").agg(F.max(F.struct("alike", "a", "b")).alias("first"), F.max(F.struct("alike", "b", "a")).alias("second"))
+    two = best.select(F.explode(F.array(F.struct("first.a", "first.b"), F.struct("second.a", "second.b"))).alias("p"))
+    return two.select("p.a", "p.b").distinct()
+
+
 def _crossings(percent: int):
-    """For each list, all pairs of different components that sizes and positions allow; blocks that cannot hold one are skipped."""
+    """For each list, all pairs of different components that sizes and positions allow; blocks that cannot hold one are skipped.
+
+    A common shingle at these positions has at most as many common ones before it as the lower position, and behind
+    it as the shorter rest.  ``rest`` is what may be common behind it.
+    """
 
     def run(stream):
         import pyarrow as pa
 
         for (shingle, node, n, pos, label), cuts in _lists(stream, ["shingle", "node", "n", "pos", "label"]):
             bounds = cuts.tolist() + ([len(shingle)] if cuts[-1] != len(shingle) else [])
+            found = []
             for a, b in zip(bounds[:-1], bounds[1:]):
                 if b - a < 2 or (label[a:b] == label[a]).all():
                     continue
-                ids, size, left, lab = node[a:b], n[a:b].astype(np.int64), (n[a:b] - pos[a:b]).astype(np.int64), label[a:b]
+                size, at, lab = n[a:b].astype(np.int64), pos[a:b].astype(np.int64), label[a:b]
+                left = size - at
                 starts = np.arange(0, b - a, BLOCK)
-                top = np.maximum.reduceat(left, starts)  # no pair with a set of the block overlaps more, from here on
+                far, top = np.maximum.reduceat(at, starts), np.maximum.reduceat(left, starts)
                 for i in range(b - a - 1):
                     end = int(np.searchsorted(size, size[i] * 100 // percent, "right"))
-                    hit = []
                     for block in range((i + 1) // BLOCK, -(-end // BLOCK)):
                         lo, hi = max(i + 1, block * BLOCK), min(end, (block + 1) * BLOCK)
-                        if lo >= hi or min(left[i], top[block]) < _needed(size[i], size[lo], percent):
+                        if lo >= hi or min(at[i], far[block]) + min(left[i], top[block]) < _needed(size[i], size[lo], percent):
                             continue
                         j = np.arange(lo, hi)
-                        hit.append(j[(lab[j] != lab[i]) & (np.minimum(left[i], left[j]) >= _needed(size[i], size[j], percent))])
-                    if hit and len(j := np.concatenate(hit)):
-                        x = np.full(len(j), ids[i])
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, ids[j])), pa.array(np.maximum(x, ids[j]))], ["a", "b"])
+                        need = _needed(size[i], size[j], percent)
+                        rest = np.minimum(left[i], left[j])
+                        ok = (lab[j] != lab[i]) & (np.minimum(at[i], at[j]) + rest >= need)
+                        if ok.any():
+                            found.append((np.full(int(ok.sum()), node[a + i]), node[a + j[ok]], rest[ok] - 1, need[ok]))
+                if len(found) > 1000:
+                    yield told(found)
+                    found = []
+            if found:
+                yield told(found)
+
+    def told(found):
+        import pyarrow as pa
+
+        x, y, rest, need = (np.concatenate(c) for c in zip(*found))
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(rest), pa.array(need)], ["a", "b", "rest", "need"])
 
     return run
 
 
+def open_by_count(crossings: DataFrame) -> DataFrame:
+    """Pairs whose common prefix shingles and what may follow the last of them reach the needed overlap."""
+    counted = crossings.groupBy("a", "b").agg(F.count("*").alias("seen"), F.min("rest").alias("rest"), F.max("need").alias("need"))
+    return counted.filter(F.col("seen") + F.col("rest") >= F.col("need")).select("a", "b")
+
+
 def _compare(percent: int, k: int):
     """Sorted rows: a leader's text, then those to compare with it, then the next leader's.  Gives the sizes, the overlap and whether they link."""
 
@@ -201,7 +250,7 @@ def _compare(percent: int, k: int):
         import pyarrow as pa
 
         leader, mine = None, None
-        for batch in stream:
+        for batch in slices(stream):
             lead, other = batch.column("a").to_pylist(), batch.column("b").to_pylist()
             out = []
             for a, b, s in zip(lead, other, sets_of(batch.column("text").to_pylist(), k)):
@@ -218,24 +267,27 @@ def _compare(percent: int, k: int):
     return run
 
 
+@tidy
 def compare(docs: DataFrame, text_col: str, nodes: DataFrame, pairs: DataFrame, percent: int, k: int, most: int = 500) -> DataFrame:
     """Compare the sets of ``pairs`` (a written table): a leader's text goes once to each part of ``most`` of its pairs, so that no leader is hot."""
     spark = docs.sparkSession
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    keys = saved(nodes.join(wanted, "node", "left_semi").select("node", "text_key"), "wanted")
+    few = sized(pairs)
+    wanted = few.select(F.col("a").alias("node")).unionByName(few.select(F.col("b").alias("node"))).distinct()
+    keys = saved(nodes.join(sized(saved(wanted, "asked")), "node", "left_semi").select("node", "text_key"), "wanted")
     rows = docs.select(F.xxhash64(text_col).alias("text_key"), F.col(text_col).cast("string").alias("text"))
     texts = saved(left_join_sized(rows, keys, ["text_key"]).filter("node is not null").groupBy("node").agg(F.first("text").alias("text")), "pair-texts")
     parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / most).cast("int").alias("parts"))
-    split = pairs.join(parts, "a").withColumn("part", F.pmod(F.xxhash64("b"), "parts").cast("int")).select("a", "b", "part")
-    members = split.join(texts.withColumnRenamed("node", "b"), "b").select("a", "part", "b", "text")
-    leaders = split.select("a", "part").distinct().join(texts.withColumnRenamed("node", "a"), "a").select("a", "part", F.lit(None).cast("long").alias("b"), "text")
+    split = saved(pairs.join(parts, "a").withColumn("part", F.pmod(F.xxhash64("b"), "parts").cast("int")).select("a", "b", "part"), "split")
+    heads = saved(split.select("a", "part").distinct(), "heads")
+    members = texts.withColumnRenamed("node", "b").join(sized(split), "b").select("a", "part", "b", "text")
+    leaders = texts.withColumnRenamed("node", "a").join(sized(heads), "a").select("a", "part", F.lit(None).cast("long").alias("b"), "text")
     together = members.unionByName(leaders).repartition(partitions(spark), "a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
-    return saved(together.mapInArrow(_compare(percent, k), "a long, b long, n_a long, n_b long, overlap long, link boolean"), "compared")
+    return together.mapInArrow(_compare(percent, k), "a long, b long, n_a long, n_b long, overlap long, link boolean")
 
 
 def _labelled(index: DataFrame, labels: DataFrame | None) -> DataFrame:
     rows = index.withColumn("label", F.col("node")) if labels is None else left_join_sized(index, labels, ["node"]).withColumn("label", F.coalesce("label", "node"))
-    return rows.select("shingle", "node", "n", "pos", "label").repartition(partitions(index.sparkSession), "shingle").sortWithinPartitions("shingle", "n", "node")
+    return rows.select("shingle", "node", "n", "pos", "sketch", "label").repartition(partitions(index.sparkSession), "shingle").sortWithinPartitions("shingle", "n", "node")
 
 
 def _settled(pairs: DataFrame, compared: DataFrame, percent: int) -> DataFrame:
@@ -249,6 +301,7 @@ def _settled(pairs: DataFrame, compared: DataFrame, percent: int) -> DataFrame:
     known = saved(known.unionByName(known.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("n_b").alias("n_a"), F.col("n_a").alias("n_b"), "d", "link")), "known")
     near = known.filter("link").groupBy(F.col("a").alias("x")).agg(F.min(F.struct("d", F.col("b").alias("y"), F.col("n_a").alias("n_x"))).alias("near")).select("x", "near.y", "near.n_x", F.col("near.d").alias("d_xy"))
     far = known.filter("not link").select(F.col("a").alias("y"), F.col("b").alias("z"), F.col("n_b").alias("n_z"), F.col("d").alias("d_yz"))
+    near, far = sized(saved(near, "near")), saved(far, "far")
     for x, z in (("a", "b"), ("b", "a")):
         bound = far.withColumnRenamed("z", z)
         tried = pairs.join(near.withColumnRenamed("x", x), x, "left").join(bound, ["y", z], "left")
@@ -257,6 +310,7 @@ def _settled(pairs: DataFrame, compared: DataFrame, percent: int) -> DataFrame:
     return pairs
 
 
+@tidy
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, text_key, n_shingles, node, label, component_id`` of every row.
 
@@ -266,26 +320,37 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     of null ids alone has none; an empty table gives no rows.
     """
     rows = summarise(docs, id_col, text_col, k, percent)
-    nodes = saved(rows.filter("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.min("text_key").alias("text_key"), F.first("prefix").alias("prefix")), "nodes")
-    postings = nodes.select("node", "n", "prefix").mapInArrow(_postings, "shingle long, node long, n int, pos int")
+    nodes = saved(rows.filter("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.min("text_key").alias("text_key"), F.first("sketch").alias("sketch"), F.first("prefix").alias("prefix")), "nodes")
+    postings = nodes.select("node", "n", "sketch", "prefix").mapInArrow(_postings, "shingle long, node long, n int, pos int, sketch long")
     # lists of one set propose nothing
     counted = postings.repartition(partitions(docs.sparkSession), "shingle").sortWithinPartitions("shingle")
-    index = saved(counted.mapInArrow(_shared_only, "shingle long, node long, n int, pos int"), "index")
-    compared, labels = None, None
+    index = saved(counted.mapInArrow(_shared_only, "shingle long, node long, n int, pos int, sketch long"), "index")
+    compared, labels, turn = None, None, 0
     while True:
-        pairs = _labelled(index, labels).mapInArrow(_stars(percent), "a long, b long").distinct()
+        proposed = _labelled(index, labels).mapInArrow(_proposals(percent, turn), "a long, b long, alike long")
         if compared is not None:
-            pairs = pairs.join(compared, ["a", "b"], "left_anti")
-        found = compare(docs, text_col, nodes, saved(pairs, "pairs"), percent, k)
-        compared = found if compared is None else saved(compared.unionByName(found), "compared")
-        if found.filter("link").isEmpty():
+            proposed = proposed.join(compared.select("a", "b"), ["a", "b"], "left_anti")
+        pairs = saved(best_proposals(proposed), "pairs")
+        tried = pairs.count()
+        found = compare(docs, text_col, nodes, pairs, percent, k) if tried else None
+        if found is not None:
+            compared = found if compared is None else saved(compared.unionByName(found), "compared")
+        links = found.filter("link").count() if found is not None else 0
+        turn += 1
+        done = 50 * links <= tried  # what is rare enough is left to the full comparison
+        if links or (done and compared is not None):
+            labels = components(compared.filter("link"), None if done else 2)  # between rounds labels need not be final
+        if done:
             break
-        labels = components(compared.filter("link"))
-    crossing = _labelled(index, labels).mapInArrow(_crossings(percent), "a long, b long").distinct().join(compared, ["a", "b"], "left_anti")
-    open_pairs = saved(_settled(saved(crossing, "crossings"), compared, percent), "open")
+    crossing = open_by_count(_labelled(index, labels).mapInArrow(_crossings(percent), "a long, b long, rest long, need long"))
+    if compared is not None:
+        crossing = crossing.join(compared, ["a", "b"], "left_anti")
+        crossing = _settled(saved(crossing, "crossings"), compared, percent)
+    open_pairs = saved(crossing, "open")
     if not open_pairs.isEmpty():
         last = compare(docs, text_col, nodes, open_pairs, percent, k)
-        labels = components(compared.filter("link").unionByName(last.filter("link")))
+        linked = last.filter("link") if compared is None else compared.filter("link").unionByName(last.filter("link"))
+        labels = components(linked)
     skinny = rows.select("doc_id", "text_key", F.col("n").alias("n_shingles"), "node")
     named = (skinny.withColumn("label", F.col("node")) if labels is None else left_join_sized(skinny, labels, ["node"]).withColumn("label", F.coalesce("label", "node"))).select(*skinny.columns, "label")
     smallest = saved(named.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("members")).filter("members > 1").drop("members"), "smallest")
@@ -296,17 +361,17 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def _shared_only(stream):
     import pyarrow as pa
 
-    for rows, cuts in _lists(stream, ["shingle", "node", "n", "pos"]):
+    for rows, cuts in _lists(stream, ["shingle", "node", "n", "pos", "sketch"]):
         bounds = np.append(cuts, len(rows[0])) if cuts[-1] != len(rows[0]) else cuts
         sizes = np.diff(bounds)
         keep = np.repeat(sizes > 1, sizes)
         if keep.any():
-            yield pa.RecordBatch.from_arrays([pa.array(r[keep]) for r in rows], ["shingle", "node", "n", "pos"])
+            yield pa.RecordBatch.from_arrays([pa.array(r[keep]) for r in rows], ["shingle", "node", "n", "pos", "sketch"])
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """All columns of one row of each group: one with the smallest id; rows without words all stay."""
-    groups = saved(similar_groups(docs, id_col, text_col, **options), "groups")
+    groups = similar_groups(docs, id_col, text_col, **options)
     # the text that stands for its component: of the smallest id, and of those the smallest key
     chosen = groups.filter("label is not null").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("c"))
     key, id_key, stays = free_name(docs, "_text_key"), free_name(docs, "_id_key"), free_name(docs, "_stays")
