@@ -132,9 +132,8 @@ def tagged_size(fixed: Column, seq: Column, committed: Column, rest: Column) ->
 
 def flush_points(txns: DataFrame, size: int) -> DataFrame:
     """Transactions after which completed data of their file is flushed: those that reach ``size`` bytes since the last flush, and each file's last."""
-    packed = next_flush(txns, size)
-    w = Window.partitionBy("file_seq")
-    return packed.filter((F.col("flushed") != F.lead("flushed", 1, -1).over(w.orderBy("txn_no"))))
+    after = F.lead("flushed", 1, -1).over(Window.partitionBy("file_seq").orderBy("txn_no"))
+    return next_flush(txns, size).withColumn("_after", after).filter("flushed <> _after").drop("_after")
 
 
 def next_flush(txns: DataFrame, size: int) -> DataFrame:
