@@ -10,7 +10,7 @@ similar enough share one of their first shingles (the prefix), so an index of pr
   pair is compared, and for pairs that lead out of it the distance follows incrementally from the computed one of a linked set: it
   differs by no more than the distance of the two, which settles pairs unread.
 * Skipping by counts: a pair's common shingles up to the last one in both prefixes are all seen, so their number and what
-  is left behind them bound the overlap.  Only pairs that all this leaves open are compared in full.
+  is left behind them bound the overlap; so do the sets' counts in 64 buckets.  Only pairs that all this leaves open are compared in full.
 
 No list, group or component is capped.  Frequencies come from a table of fixed size that only sets the order of shingles,
 which the result does not depend on.
@@ -103,8 +103,20 @@ def agreeing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return (16 - (differ * np.uint64(0x1111111111111111) >> np.uint64(60))).astype(np.int64) % 16 + 16 * (differ == 0)
 
 
+def bucket_counts(values: np.ndarray) -> bytes:
+    """How many of the set's shingles fall into each of 64 buckets (255 stands for more)."""
+    return np.minimum(np.bincount((values >> np.uint64(58)).astype(np.int64), minlength=64), 255).astype(np.uint8).tobytes()
+
+
+def may_reach(a: list, b: list, need: np.ndarray) -> np.ndarray:
+    """Whether sets with these bucket counts can have ``need`` in common: no more than the lesser count of each bucket."""
+    x, y = (np.frombuffer(b"".join(side), np.uint8).reshape(-1, 64).astype(np.int64) for side in (a, b))
+    full = (x == 255) & (y == 255)
+    return (np.minimum(x, y).sum(1) >= need) | full.any(1)
+
+
 def summarise(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
-    """``doc_id, text_key, n, node, sketch, prefix``: a written table with one row for each document."""
+    """``doc_id, text_key, n, node, sketch, buckets, prefix``: a written table with one row for each document."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).cast("string").alias("text"))
     levels = spark.sparkContext.broadcast(frequency_levels(rows.select("text"), k))
@@ -118,9 +130,10 @@ def summarise(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int)
             node = pa.array([set_id(s) if len(s) else None for s in sets], pa.int64())
             sketch = pa.array([sketch_of(s) if len(s) else None for s in sets], pa.int64())
             prefix = pa.array([prefix_of(s, levels.value, percent).tobytes() if len(s) else b"" for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), n, node, sketch, prefix], ["doc_id", "text_key", "n", "node", "sketch", "prefix"])
+            buckets = pa.array([bucket_counts(s) for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), n, node, sketch, buckets, prefix], ["doc_id", "text_key", "n", "node", "sketch", "buckets", "prefix"])
 
-    return saved(rows.mapInArrow(run, "doc_id long, text_key long, n long, node long, sketch long, prefix binary"), "sets")
+    return saved(rows.mapInArrow(run, "doc_id long, text_key long, n long, node long, sketch long, buckets binary, prefix binary"), "sets")
 
 
 def _postings(stream):
@@ -240,7 +253,23 @@ def _crossings(percent: int):
 def open_by_count(crossings: DataFrame) -> DataFrame:
     """Pairs whose common prefix shingles and what may follow the last of them reach the needed overlap."""
     counted = crossings.groupBy("a", "b").agg(F.count("*").alias("seen"), F.min("rest").alias("rest"), F.max("need").alias("need"))
-    return counted.filter(F.col("seen") + F.col("rest") >= F.col("need")).select("a", "b")
+    return counted.filter(F.col("seen") + F.col("rest") >= F.col("need")).select("a", "b", "need")
+
+
+def open_by_buckets(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs whose bucket counts leave them open."""
+    counts = nodes.select("node", "buckets")
+    both = pairs.join(counts.select(F.col("node").alias("a"), F.col("buckets").alias("x")), "a").join(counts.select(F.col("node").alias("b"), F.col("buckets").alias("y")), "b")
+
+    def run(stream):
+        import pyarrow as pa
+
+        for batch in stream:
+            if batch.num_rows:
+                ok = pa.array(may_reach(batch.column("x").to_pylist(), batch.column("y").to_pylist(), batch.column("need").to_numpy()))
+                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(ok)
+
+    return both.select("a", "b", "x", "y", "need").mapInArrow(run, "a long, b long")
 
 
 def _compare(percent: int, k: int):
@@ -320,7 +349,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     of null ids alone has none; an empty table gives no rows.
     """
     rows = summarise(docs, id_col, text_col, k, percent)
-    nodes = saved(rows.filter("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.min("text_key").alias("text_key"), F.first("sketch").alias("sketch"), F.first("prefix").alias("prefix")), "nodes")
+    nodes = saved(rows.filter("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.min("text_key").alias("text_key"), F.first("sketch").alias("sketch"), F.first("buckets").alias("buckets"), F.first("prefix").alias("prefix")), "nodes")
     postings = nodes.select("node", "n", "sketch", "prefix").mapInArrow(_postings, "shingle long, node long, n int, pos int, sketch long")
     # lists of one set propose nothing
     counted = postings.repartition(partitions(docs.sparkSession), "shingle").sortWithinPartitions("shingle")
@@ -337,12 +366,13 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             compared = found if compared is None else saved(compared.unionByName(found), "compared")
         links = found.filter("link").count() if found is not None else 0
         turn += 1
-        done = 50 * links <= tried  # what is rare enough is left to the full comparison
+        done = 20 * links <= tried  # what is rare enough is left to the full comparison
         if links or (done and compared is not None):
             labels = components(compared.filter("link"), None if done else 2)  # between rounds labels need not be final
         if done:
             break
     crossing = open_by_count(_labelled(index, labels).mapInArrow(_crossings(percent), "a long, b long, rest long, need long"))
+    crossing = open_by_buckets(saved(crossing, "counted"), nodes)
     if compared is not None:
         crossing = crossing.join(compared, ["a", "b"], "left_anti")
         crossing = _settled(saved(crossing, "crossings"), compared, percent)
