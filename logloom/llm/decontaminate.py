@@ -1,10 +1,11 @@
 """Benchmark decontamination with templates, in DataFrame functions only.
 
 Numbers, units behind numbers, and names (capitalised words inside a sentence) become typed placeholders, so that a
-question asked again with other values has the same template.  Every run of ``WINDOW`` template words of a benchmark item is
-hashed; of a document it is enough to hash every ``WINDOW``-th run, as a shared passage of 2 * WINDOW - 1 words holds one of
-them at any alignment.  Equal hashes propose an alignment of document and item, which is then read word by word: literal
-words must agree, and slots must be filled consistently, one value of the item always standing for one value in the document.
+question asked again with other values has the same template.  At every place of items and documents alike, the run of at
+least ``WINDOW`` template words that goes on until it has ``LITERALS`` literal ones is hashed, so that a shared passage of that
+many words, literal ones among them, is met at any alignment and whatever else the benchmark holds.  Equal hashes propose an
+alignment of document and item, which is then read word by word: literal words must agree, and slots must be filled
+consistently, one value of the item always standing for one value in the document.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from .common import free_name, left_join_sized, saved, table, tidy
 
 WINDOW = 5
+LITERALS = 3
 #: fixed values: units that are recognised behind a number
 UNITS = "mm cm dm m km in ft yd mi inch inches foot feet yard yards mile miles meter meters metre metres kilometers kilometres mg g kg lb lbs oz gram grams kilogram kilograms pound pounds ounce ounces ton tons ml cl l liter liters litre litres gallon gallons s sec min h hr hrs second seconds minute minutes hour hours day days week weeks month months year years percent degrees dollars euros cents usd eur gbp mph kph km/h m/s kb mb gb tb hz khz mhz ghz w kw mw v kv a j kj cal kcal pa kpa".split()
 _SPACE = r"[\x20\x09-\x0D]+"
@@ -37,11 +39,33 @@ def is_slot(word: Column) -> Column:
     return word.rlike("[\u0001-\u0003]")
 
 
-def windows(words: Column, width: int, stride: int) -> Column:
-    """``at`` and hash of the runs of ``width`` words at every ``stride``-th place."""
-    last = F.size(words) - width
-    places = F.when(last >= 0, F.sequence(F.lit(0), last, F.lit(stride))).otherwise(F.array().cast("array<int>"))
-    return F.transform(places, lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(words, i + 1, width)).alias("hash")))
+def windows(words: Column) -> Column:
+    """``at`` and hash of the shortest run from each place on with ``WINDOW`` words and ``LITERALS`` literal ones; none where the text ends before."""
+    literal = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: ~is_slot(F.get(words, i)))
+
+    def runs(at: Column) -> Column:
+        """For each literal word the places behind the literal word before it; their runs end at the same literal word or later."""
+        return F.transform(
+            F.sequence(F.lit(0), F.size(at) - LITERALS),
+            lambda k: F.transform(
+                F.sequence(F.when(k > 0, F.get(at, k - 1) + 1).otherwise(F.lit(0)), F.get(at, k)),
+                lambda i: F.struct(i.alias("at"), F.greatest(F.lit(WINDOW), F.get(at, k + LITERALS - 1) - i + 1).alias("width")),
+            ),
+        )
+
+    enough = F.transform(F.array(literal), lambda at: F.when(F.size(at) >= LITERALS, F.flatten(runs(at))))
+    found = F.filter(F.coalesce(F.get(enough, 0), F.array().cast("array<struct<at:int,width:int>>")), lambda w: w["at"] + w["width"] <= F.size(words))
+    return F.transform(found, lambda w: F.struct(w["at"].alias("at"), F.xxhash64(F.slice(words, w["at"] + 1, w["width"])).alias("hash")))
+
+
+def whole_windows(words: Column, raw: Column, sizes: list[int]) -> Column:
+    """``at`` and hash of the runs of ``sizes`` words with fewer than ``LITERALS`` literal ones, slots with their values."""
+    parts = []
+    for n in sizes:
+        places = F.when(F.size(words) >= n, F.sequence(F.lit(0), F.size(words) - n)).otherwise(F.array().cast("array<int>"))
+        few = F.filter(places, lambda i: F.size(F.filter(F.slice(words, i + 1, n), lambda w: ~is_slot(w))) < LITERALS)
+        parts.append(F.transform(few, lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(raw, i + 1, n)).alias("hash"))))
+    return F.concat(*parts)
 
 
 def benchmark_items(benchmark: DataFrame) -> DataFrame:
@@ -51,11 +75,12 @@ def benchmark_items(benchmark: DataFrame) -> DataFrame:
     return saved(items.filter(F.size("words") > 0).distinct(), "items")
 
 
-def item_windows(items: DataFrame, width: int) -> DataFrame:
-    """Windows with at least ``width - 2`` literal words; templates of slots alone would match anything."""
-    rows = items.select("item_id", "words", F.explode(windows(F.col("words"), width, 1)).alias("w"))
-    literal = F.size(F.filter(F.slice("words", F.col("w.at") + 1, width), lambda x: ~is_slot(x)))
-    return rows.filter(literal >= width - 2).select("item_id", F.col("w.at").alias("item_at"), F.col("w.hash").alias("hash"))
+def item_windows(items: DataFrame, sizes: list[int]) -> DataFrame:
+    """The windows of all items; those with fewer than ``LITERALS`` literal words, whose templates would match anything, are met by their own values."""
+    own = windows(F.col("words"))
+    if sizes:
+        own = F.when(F.col("thin"), F.filter(whole_windows(F.col("words"), F.col("raw"), sizes), lambda w: (w["at"] == 0) & (w["hash"] == F.xxhash64("raw")))).otherwise(own)
+    return items.select("item_id", F.explode(own).alias("w")).select("item_id", F.col("w.at").alias("item_at"), F.col("w.hash").alias("hash"))
 
 
 @tidy
@@ -63,20 +88,20 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.5, enough
     """``key, item_id, matched, slots, item_words``: one row for each different text (``key``: its md5) and item it holds.
 
     A text holds an item if, at one alignment, ``share`` of the item's words or ``enough`` of them match (and at least WINDOW).
-    Items of fewer than WINDOW words are too short to tell; null texts hold nothing; repeated rows share their row here.
+    Items of fewer than WINDOW words are too short to tell; items of fewer than LITERALS literal words are told by their own values only; null texts hold nothing; repeated rows share their row here.
     """
     spark = docs.sparkSession
     items = benchmark_items(benchmark)
     text = F.col(text_col).cast("string")
     base = docs.filter(F.col(text_col).isNotNull()).select(F.md5(text.cast("binary")).alias("key"), text.alias("text"))
-    shortest = items.filter(F.size("words") >= WINDOW).agg(F.min(F.size("words"))).first()[0]
-    if shortest is None:
-        return spark.createDataFrame([], "key string, item_id long, matched long, slots long, item_words long")
-    # runs shorter than 2 * WINDOW - 1 are certain to be met only if every place is hashed
-    stride = WINDOW if shortest >= 2 * WINDOW - 1 else max(1, shortest - WINDOW + 1)
-    split = base.select("key", words_of(template(F.col("text"))).alias("words"))  # a column of its own: the windows read it many times
-    hashed = split.select("key", F.explode(windows(F.col("words"), WINDOW, stride)).alias("w")).select("key", F.col("w.at").alias("doc_at"), F.col("w.hash").alias("hash"))
-    probes = saved(item_windows(items, WINDOW), "item-windows")
+    told = items.filter(F.size("words") >= WINDOW).withColumn("thin", F.size(F.filter("words", lambda w: ~is_slot(w))) < LITERALS)
+    sizes = sorted(r[0] for r in told.filter("thin").select(F.size("words")).distinct().collect())
+    # columns of their own: the windows read them many times
+    split = base.select("key", words_of(template(F.col("text"))).alias("words"), *([words_of(F.col("text")).alias("raw")] if sizes else []))
+    split = split.filter(F.size("words") >= WINDOW)
+    placed = F.concat(windows(F.col("words")), whole_windows(F.col("words"), F.col("raw"), sizes)) if sizes else windows(F.col("words"))
+    hashed = split.select("key", F.explode(placed).alias("w")).select("key", F.col("w.at").alias("doc_at"), F.col("w.hash").alias("hash"))
+    probes = saved(item_windows(told, sizes), "item-windows")
     small = probes.limit(1_000_001).count() <= 1_000_000  # 20 bytes a row
     found = hashed.join(F.broadcast(probes) if small else probes, "hash")
     aligned = saved(found.select("key", "item_id", (F.col("doc_at") - F.col("item_at")).alias("shift")).distinct(), "alignments")

@@ -162,6 +162,20 @@ def test_inconsistent_slots(spark):
     assert got[1] == 6 and got.get(2, 0) == 0
 
 
+def leaks(spark, docs, items):
+    docs = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    return sorted((r.doc_id, r.item_id) for r in decontaminate.leaked(docs, spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect())
+
+
+def test_items_of_many_slots_at_all_offsets(spark):
+    heavy, thin = "Tom has 3 apples Ann has 5 pears Bob has 7 plums", "sum 3 5 7 11 13 17"
+    other = "the quick brown fox jumps over the lazy dog"
+    docs = [" ".join(["well"] * i + [text] + ["then"] * 9) for text in (heavy, thin) for i in range(10)] + ["sum 4 5 7 11 13 17 then"]
+    want = [(i, i // 10) for i in range(20)]
+    assert leaks(spark, docs, [heavy, thin, other]) == want
+    assert leaks(spark, docs, [heavy, thin, other, "what is five plus six"]) == want
+
+
 def test_decontamination_is_native(spark):
     docs = spark.createDataFrame([(1, ITEM)], "doc_id long, text string")
     plan = decontaminate.leaked(docs, spark.createDataFrame([(1, ITEM)], "item_id long, text string"))._jdf.queryExecution().toString()
