@@ -4,12 +4,15 @@ Numbers, units behind numbers, and names (capitalised words inside a sentence) b
 question asked again with other values has the same template.  At every place of items and documents alike, the run of at
 least ``WINDOW`` template words that goes on until it has ``LITERALS`` literal ones is hashed, so that a shared passage of that
 many words, literal ones among them, is met at any alignment and whatever else the benchmark holds.  Equal hashes propose an
-alignment of document and item, which is then read word by word: literal words must agree, and slots must be filled
-consistently, one value of the item always standing for one value in the document.
+alignment of document and item, which is then read word by word, together with the pieces at the shifts near it: literal words
+must agree, and slots must be filled consistently, one value of the item always standing for one value in the document.  Names of
+several words, and numbers with their units, are one placeholder.  A copy without any such run left whole is not told.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +20,8 @@ from .common import free_name, left_join_sized, saved, table, tidy
 
 WINDOW = 5
 LITERALS = 3
+#: words put in or left out move the rest of a copy: places up to ``DRIFT`` words off count where ``PIECE`` of them follow each other
+DRIFT, PIECE = 4, 3
 #: fixed values: units that are recognised behind a number
 UNITS = "mm cm dm m km in ft yd mi inch inches foot feet yard yards mile miles meter meters metre metres kilometers kilometres mg g kg lb lbs oz gram grams kilogram kilograms pound pounds ounce ounces ton tons ml cl l liter liters litre litres gallon gallons s sec min h hr hrs second seconds minute minutes hour hours day days week weeks month months year years percent degrees dollars euros cents usd eur gbp mph kph km/h m/s kb mb gb tb hz khz mhz ghz w kw mw v kv a j kj cal kcal pa kpa".split()
 _SPACE = r"[\x20\x09-\x0D]+"
@@ -26,11 +31,34 @@ def template(text: Column) -> Column:
     """Each word stays one word; only its value is replaced."""
     t = F.regexp_replace(text, r"(?<![\p{L}\p{N}])[0-9]+(?:[.,:/][0-9]+)*", "\u0001")
     units = "|".join(sorted((u.replace("/", "\\/") for u in UNITS), key=len, reverse=True))
-    t = F.regexp_replace(t, rf"(?<=\x01|\x01[ -])(?:{units}|%)(?![\p{{L}}\p{{N}}])", "\u0002")
+    t = F.regexp_replace(t, rf"(\x01[\x20\x09-\x0D-])(?:square|cubic|sq|cu)(?=[\x20\x09-\x0D](?:{units})(?![\p{{L}}\p{{N}}]))", "$1\u0002")
+    t = F.regexp_replace(t, rf"(?<=\x01|\x01[\x20\x09-\x0D-]|\x02[\x20\x09-\x0D])(?:{units}|%)(?![\p{{L}}\p{{N}}])", "\u0002")
     t = F.regexp_replace(t, r"(?<=[^.!?:\x20\x09-\x0D][\x20\x09-\x0D])\p{Lu}[\p{L}'’-]*", "\u0003")
     return F.lower(t)
 
 
+def template_words(text: Column) -> Column:
+    """The template's words; a run of name words is one, and so is a number with its unit."""
+    t = F.regexp_replace(template(text), rf"\x03(?:{_SPACE}\x03)+", "\u0003")
+    return words_of(F.regexp_replace(t, rf"\x01[\x20\x09-\x0D-]?\x02(?:{_SPACE}\x02)*", "\u0002"))
+
+
+def values_of(text: Column) -> Column:
+    """The text behind each word of ``template_words``."""
+    t = F.regexp_replace(template(text), rf"\x03{_SPACE}(?=\x03)", "\u0003\u0004")
+    sizes = F.transform(words_of(F.regexp_replace(t, rf"([\x01\x02]){_SPACE}(?=\x02)", "$1\u0004")), lambda w: F.size(F.split(w, "\u0004")))
+    # for each raw word the number of its run, then the first word of each run
+    runs = F.flatten(F.transform(sizes, lambda n, i: F.array_repeat(i, n)))
+
+    def joined(words: Column, run: Column) -> Column:
+        first = F.filter(F.sequence(F.lit(0), F.size(run)), lambda i: (i == 0) | (i == F.size(run)) | (F.get(run, i) != F.get(run, i - 1)))
+        cut = F.transform(F.array(first), lambda at: F.transform(F.sequence(F.lit(0), F.size(at) - 2), lambda k: F.array_join(F.slice(words, F.get(at, k) + 1, F.get(at, k + 1) - F.get(at, k)), " ")))
+        return F.get(cut, 0)
+
+    one = F.transform(F.array(F.struct(words_of(text).alias("words"), runs.alias("runs"))), lambda r: F.when(F.size(r["runs"]) > 0, joined(r["words"], r["runs"])).otherwise(F.array().cast("array<string>")))
+    return F.get(one, 0)
+
+
 def words_of(text: Column) -> Column:
     return F.filter(F.split(text, _SPACE), lambda w: w != "")
 
@@ -58,28 +86,37 @@ def windows(words: Column) -> Column:
     return F.transform(found, lambda w: F.struct(w["at"].alias("at"), F.xxhash64(F.slice(words, w["at"] + 1, w["width"])).alias("hash")))
 
 
+def literals(words: Column) -> Column:
+    return F.size(F.filter(words, lambda w: ~is_slot(w)))
+
+
+def whole_hash(words: Column, raw: Column) -> Column:
+    """The template's hash; the values' where it has fewer than ``LITERALS`` literal words."""
+    return F.when(literals(words) < LITERALS, F.xxhash64(raw)).otherwise(F.xxhash64(words))
+
+
 def whole_windows(words: Column, raw: Column, sizes: list[int]) -> Column:
-    """``at`` and hash of the runs of ``sizes`` words with fewer than ``LITERALS`` literal ones, slots with their values."""
+    """``at`` and hash of the runs of ``sizes`` words that are too short for ``windows`` or have too few literal words."""
     parts = []
     for n in sizes:
         places = F.when(F.size(words) >= n, F.sequence(F.lit(0), F.size(words) - n)).otherwise(F.array().cast("array<int>"))
-        few = F.filter(places, lambda i: F.size(F.filter(F.slice(words, i + 1, n), lambda w: ~is_slot(w))) < LITERALS)
-        parts.append(F.transform(few, lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(raw, i + 1, n)).alias("hash"))))
+        few = places if n < WINDOW else F.filter(places, lambda i: literals(F.slice(words, i + 1, n)) < LITERALS)
+        parts.append(F.transform(few, lambda i: F.struct(i.alias("at"), whole_hash(F.slice(words, i + 1, n), F.slice(raw, i + 1, n)).alias("hash"))))
     return F.concat(*parts)
 
 
 def benchmark_items(benchmark: DataFrame) -> DataFrame:
-    """``item_id, raw, words``: a table of the items' words and template words; null and empty items are left out."""
+    """``item_id, raw, words, told``: a table of the items' template words and the text behind each; null and empty items are left out."""
     text = F.col("text").cast("string")
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), words_of(text).alias("raw"), words_of(template(text)).alias("words"))
+    told = F.size(words_of(text)) >= WINDOW
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), values_of(text).alias("raw"), template_words(text).alias("words"), told.alias("told"))
     return saved(items.filter(F.size("words") > 0).distinct(), "items")
 
 
-def item_windows(items: DataFrame, sizes: list[int]) -> DataFrame:
-    """The windows of all items; those with fewer than ``LITERALS`` literal words, whose templates would match anything, are met by their own values."""
-    own = windows(F.col("words"))
-    if sizes:
-        own = F.when(F.col("thin"), F.filter(whole_windows(F.col("words"), F.col("raw"), sizes), lambda w: (w["at"] == 0) & (w["hash"] == F.xxhash64("raw")))).otherwise(own)
+def item_windows(items: DataFrame) -> DataFrame:
+    """The windows of all items; ``thin`` ones are met as a whole, as templates of few literal words would match anything."""
+    whole = F.array(F.struct(F.lit(0).alias("at"), whole_hash(F.col("words"), F.col("raw")).alias("hash")))
+    own = F.when(F.col("thin"), whole).otherwise(windows(F.col("words")))
     return items.select("item_id", F.explode(own).alias("w")).select("item_id", F.col("w.at").alias("item_at"), F.col("w.hash").alias("hash"))
 
 
@@ -87,36 +124,65 @@ def item_windows(items: DataFrame, sizes: list[int]) -> DataFrame:
 def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.5, enough: int = 13, text_col: str = "text") -> DataFrame:
     """``key, item_id, matched, slots, item_words``: one row for each different text (``key``: its md5) and item it holds.
 
-    A text holds an item if, at one alignment, ``share`` of the item's words or ``enough`` of them match (and at least WINDOW).
-    Items of fewer than WINDOW words are too short to tell; items of fewer than LITERALS literal words are told by their own values only; null texts hold nothing; repeated rows share their row here.
+    A text holds an item if, at one alignment and the shifts near it, ``share`` of the item's template words or ``enough`` of them
+    match (and at least WINDOW, or all).  Items of fewer than WINDOW words are too short to tell; items of fewer than LITERALS literal words are told by their own values only; null texts hold nothing; repeated rows share their row here.
     """
     spark = docs.sparkSession
     items = benchmark_items(benchmark)
     text = F.col(text_col).cast("string")
     base = docs.filter(F.col(text_col).isNotNull()).select(F.md5(text.cast("binary")).alias("key"), text.alias("text"))
-    told = items.filter(F.size("words") >= WINDOW).withColumn("thin", F.size(F.filter("words", lambda w: ~is_slot(w))) < LITERALS)
+    told = items.filter("told").withColumn("thin", (literals(F.col("words")) < LITERALS) | (F.size("words") < WINDOW))
     sizes = sorted(r[0] for r in told.filter("thin").select(F.size("words")).distinct().collect())
     # columns of their own: the windows read them many times
-    split = base.select("key", words_of(template(F.col("text"))).alias("words"), *([words_of(F.col("text")).alias("raw")] if sizes else []))
-    split = split.filter(F.size("words") >= WINDOW)
+    split = base.select("key", template_words(F.col("text")).alias("words"), *([values_of(F.col("text")).alias("raw")] if sizes else []))
+    split = split.filter(F.size("words") >= min([WINDOW, *sizes]))
     placed = F.concat(windows(F.col("words")), whole_windows(F.col("words"), F.col("raw"), sizes)) if sizes else windows(F.col("words"))
     hashed = split.select("key", F.explode(placed).alias("w")).select("key", F.col("w.at").alias("doc_at"), F.col("w.hash").alias("hash"))
-    probes = saved(item_windows(told, sizes), "item-windows")
+    probes = saved(item_windows(told), "item-windows")
     small = probes.limit(1_000_001).count() <= 1_000_000  # 20 bytes a row
     found = hashed.join(F.broadcast(probes) if small else probes, "hash")
     aligned = saved(found.select("key", "item_id", (F.col("doc_at") - F.col("item_at")).alias("shift")).distinct(), "alignments")
     keys = saved(aligned.select("key").distinct().withColumn("hit", F.lit(True)), "keys")
     texts = left_join_sized(base, keys, ["key"]).filter("hit").groupBy("key").agg(F.first("text").alias("text"))
-    texts = texts.select("key", words_of(F.col("text")).alias("doc_raw"), words_of(template(F.col("text"))).alias("doc_words"))
+    texts = texts.select("key", values_of(F.col("text")).alias("doc_raw"), template_words(F.col("text")).alias("doc_words"))
     few = items.limit(100_001).count() <= 100_000
     both = aligned.join(F.broadcast(items) if few else items, "item_id").join(texts, "key")
+    places = F.sequence(F.lit(0), F.size("words") - 1)
+    offs = sorted(range(-DRIFT, DRIFT + 1), key=abs)
+    for n, d in enumerate(offs):
+        both = both.withColumn(f"same{n}", F.transform(places, lambda i: F.coalesce(F.get("words", i) == F.get("doc_words", i + F.col("shift") + d), F.lit(False))))
+
+    def piece(n: int, i: Column) -> Column:
+        """Place ``i`` and its neighbours are the same for PIECE places."""
+        at = [F.coalesce(F.get(f"same{n}", i + k), F.lit(False)) for k in range(1 - PIECE, PIECE)]
+        runs = [functools.reduce(Column.__and__, at[k : k + PIECE]) for k in range(PIECE)]
+        return functools.reduce(Column.__or__, runs)
+
+    straight = F.transform(places, lambda i: F.when(F.get("same0", i), F.lit(0)))
+    near = F.transform(places, lambda i: F.coalesce(F.when(F.get("same0", i), F.lit(0)), *[F.when(piece(n, i), F.lit(d)) for n, d in enumerate(offs) if n]))
+    both = both.withColumn("near", near)
+
+    def taken(i: Column) -> Column:
+        """Place ``i`` would cross or share the document's word of a place that is nearer to the shift."""
+        mine = F.get("near", i)
+
+        def crosses(k: Column) -> Column:
+            other = F.get("near", i + k)
+            first = (F.abs(other) < F.abs(mine)) | ((F.abs(other) == F.abs(mine)) & (k < 0))
+            return F.coalesce(first & F.when(k < 0, k + other >= mine).otherwise(k + other <= mine), F.lit(False))
+
+        return F.exists(F.array(*[F.lit(k) for k in range(-2 * DRIFT, 2 * DRIFT + 1) if k]), crosses)
+
+    ordered = F.transform(places, lambda i: F.when(~taken(i), F.get("near", i)))
+    # the one shift alone is a reading too: pieces near it may fill slots otherwise
+    both = both.select("key", "item_id", "shift", "words", "raw", "doc_raw", F.explode(F.array(straight, ordered)).alias("off"))
     pairs = F.transform(
-        F.sequence(F.lit(0), F.size("words") - 1),
+        places,
         lambda i: F.struct(
             is_slot(F.get("words", i)).alias("slot"),
-            (F.get("words", i) == F.get("doc_words", i + F.col("shift"))).alias("same"),
+            F.get("off", i).isNotNull().alias("same"),
             F.get("raw", i).alias("mine"),
-            F.get("doc_raw", i + F.col("shift")).alias("theirs"),
+            F.get("doc_raw", i + F.col("shift") + F.get("off", i)).alias("theirs"),
         ),
     )
     both = both.select("key", "item_id", pairs.alias("pairs")).select("key", "item_id", "pairs", F.filter("pairs", lambda p: p["slot"] & p["same"]).alias("filled"))
@@ -125,7 +191,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.5, enough
     literal = F.size(F.filter("pairs", lambda p: ~p["slot"] & F.coalesce(p["same"], F.lit(False))))
     counted = both.select("key", "item_id", F.size(fits).cast("long").alias("slots"), literal.cast("long").alias("literal"), F.size("pairs").cast("long").alias("item_words"))
     counted = counted.withColumn("matched", F.col("literal") + F.col("slots"))
-    good = counted.filter((F.col("matched") >= WINDOW) & ((F.col("matched") >= F.lit(share) * F.col("item_words")) | (F.col("matched") >= enough)))
+    good = counted.filter((F.col("matched") >= F.least(F.lit(WINDOW), F.col("item_words"))) & ((F.col("matched") >= F.lit(share) * F.col("item_words")) | (F.col("matched") >= enough)))
     best = good.groupBy("key", "item_id").agg(F.max(F.struct("matched", "slots", "item_words")).alias("b"))
     return best.select("key", "item_id", F.col("b.matched").alias("matched"), F.col("b.slots").alias("slots"), F.col("b.item_words").alias("item_words"))
 

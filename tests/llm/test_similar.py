@@ -176,6 +176,18 @@ def test_items_of_many_slots_at_all_offsets(spark):
     assert leaks(spark, docs, [heavy, thin, other, "what is five plus six"]) == want
 
 
+def test_values_of_other_lengths_and_words_put_in(spark):
+    items = ["Tom has 3 apples Ann has 5 pears Bob has 7 plums", "in all the farm of Tom has 5 km of fence and 3 kg of seed", "who is the Mary Jane Watson"]
+    docs = [
+        "Tom has 4 apples Mary Lee has 6 pears Jo Ann Poe has 8 plums",
+        "in all the farm of Mary Lee has 6 square km of fence and 4 cubic inches of seed",
+        "tell me who is the John Smith then",
+        "Tom has 3 apples Ann now has 5 pears",
+        "nothing of this is there at all and so it stays",
+    ]
+    assert leaks(spark, docs, items) == [(0, 0), (1, 1), (2, 2), (3, 0)]
+
+
 def test_decontamination_is_native(spark):
     docs = spark.createDataFrame([(1, ITEM)], "doc_id long, text string")
     plan = decontaminate.leaked(docs, spark.createDataFrame([(1, ITEM)], "item_id long, text string"))._jdf.queryExecution().toString()
