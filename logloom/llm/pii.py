@@ -3,6 +3,7 @@
 The patterns give the base spans.  The field's nodes are a document's words with a digit, ``@`` or ``+``; words without
 any are fixed as "other".  Words that a base span touches are fixed to its kind.  Potentials: a word's shape (softmax regression),
 neighbouring nodes, and skip edges between a word and the last word before it with the same (first SIMILAR) letters and digits, however far.
+The words of numbers that share their last TAIL digits or more are joined as well, however they are spaced.
 Loopy message passing over both kinds of edges carries a label to its distant repetitions and makes a document's labels agree.
 All weights are learned here, by parts, from the base labels of a bounded sample of documents (``most_docs``).
 """
@@ -94,6 +95,10 @@ def shape(word: str, before: bool, after: bool) -> list[int]:
     return on + [at] * before + [at + 1] * after
 
 
+#: fixed values: last digits by which numbers of several words are alike, and the most digits of one
+TAIL, LONGEST = 7, 19
+
+
 class Graph:
     """The nodes of one document, their features, fixed labels and edges."""
 
@@ -117,10 +122,41 @@ class Graph:
         self.skip = []
         for k, i in enumerate(hot):
             name = "".join(c for c in words[i][0].lower() if c.isalnum() or c == "@")
-            if len(name) >= SIMILAR - 2:  # alike: the same letters and digits, or as many of the first
+            # alike: the same letters and digits, or as many of the first; the marks of '10.0.0.1' count for the least length
+            if name and len(words[i][0].strip(_EDGES)) >= SIMILAR - 2:
                 if (like := name[:SIMILAR]) in last:
                     self.skip.append((last[like], k))
                 last[like] = k
+        self.skip = sorted({*self.skip, *self._joined([words[i][0] for i in hot])})
+
+    def _joined(self, words: list[str]) -> list[tuple[int, int]]:
+        """Edges between the words of numbers that end alike, however they are spaced and whatever prefix they have."""
+        digits = ["" if any(c.isalpha() or c == "@" for c in w) else "".join(c for c in w if "0" <= c <= "9") for w in words]
+        edges, ends, last = [], {}, {}
+        for k in range(len(words)):
+            number, i = "", k
+            while i >= 0 and digits[i] and len(number) < LONGEST and self.place[k] - self.place[i] == k - i:
+                number = digits[i] + number
+                i -= 1
+            if len(number) < TAIL:
+                continue
+            ends[k] = number
+            before = last.get(number[-TAIL:])
+            last[number[-TAIL:]] = k
+            if before is None:
+                continue
+            same = 0
+            while same < min(len(number), len(ends[before])) and number[-1 - same] == ends[before][-1 - same]:
+                same += 1
+            i, j, a, b = k, before, 0, 0
+            while a < same and b < same and i > before:  # words that share digits, from the right
+                edges.append((j, i))
+                to_a, to_b = a + len(digits[i]), b + len(digits[j])
+                if to_a <= to_b:
+                    i, a = i - 1, to_a
+                if to_b <= to_a:
+                    j, b = j - 1, to_b
+        return edges
 
 
 class Field:

@@ -191,3 +191,13 @@ def test_one_class_only(spark):
     docs = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r.score for r in byte_cnn.classify(docs, labels).collect()} == {0.5}
+
+
+def test_skip_edges_of_spaced_numbers():
+    text = "call +44 20 7946 0958 now or later by 020 7946 0958 but +14155550123 is for those who had 4155550123 and host 10.0.0.1 is not 10.0.0.1 then"
+    graph = pii.Graph(text, pii.base_spans(text))
+    linked = {tuple(text[slice(*graph.spans[k])] for k in e) for e in graph.skip}
+    assert linked == {("20", "020"), ("7946", "7946"), ("0958", "0958"), ("+14155550123", "4155550123"), ("10.0.0.1", "10.0.0.1")}
+    field = pii.Field()
+    field.unary[:], field.skip = 0, 8 * np.eye(pii.LABELS)
+    assert {text[a:b] for _, a, b in field.added(text, pii.base_spans(text))} >= {"020 7946 0958", "4155550123"}
