@@ -18,12 +18,11 @@ from .common import slices
 
 #: A space with a visible Latin or ASCII character behind it is a break; other spaces stay inside their piece.
 _BREAK = re.compile(" (?=[!-~¡-¬®-ȳ])")
-_OTHER_SPACE = re.compile(" (?![!-~¡-¬®-ȳ])")
-#: A comma or full stop between a letter or digit and a space is a piece of its own, here written with a mark before it.
-_MARK = "\0"
-#: A line end between visible characters is a word of its own.
-_OTHER_LINE = re.compile("(?<![!-~¡-¬®-ȳ])\n|\n(?![!-~¡-¬®-ȳ])")
-_AFTER_OTHER = re.compile(" \0(?<![0-9A-Za-zÀ-ÖØ-öø-ɏ] \0)")
+#: Such pieces begin behind a break, and a line end behind them is a word of its own.
+_SAFE = re.compile("[!-~¡-¬®-ȳ](?:[^\\s\0]*[!-~¡-¬®-ȳ])?").fullmatch
+#: Signs behind letters or digits, up to the end of a piece, are words of their own.  Letters whose lower-case form ends in a combining mark,
+#: as that of U+0130 does, are none of them: the mark joins what follows; nor is an apostrophe a sign, which may begin a contraction.
+_SIGNED = re.compile("(.*[0-9A-Za-zÀ-ÖØ-öø-įıĲ-ɏ])([!-&(-/:-@\\[-`{-~]+)").fullmatch
 #: Pieces of such letters alone are one word for either pre-tokenizer.
 _WORD = re.compile("[A-Za-zÀ-ÖØ-öø-įıĲ-ɏ]+").fullmatch
 #: Byte-level models name a byte by the character with its number if that is printable, else by those from 256 on.
@@ -42,23 +41,28 @@ def id_type(vocabulary: int) -> np.dtype:
     return np.dtype("<u2") if vocabulary <= 1 << 16 else np.dtype("<u4")
 
 
-def _lines(text: str) -> list[list[str]] | None:
-    """The pieces of each line; None if some space, line end or mark stands where pieces would not be safe."""
-    if _MARK in text or _OTHER_SPACE.search(text) or _OTHER_LINE.search(text):
-        return None
-    marked = text.replace(", ", " \0, ").replace(". ", " \0. ").replace(".\n", " \0.\n")
-    return [line.split(" ") for line in (text if _AFTER_OTHER.search(marked) else marked).split("\n")]
+class _Unsafe(Exception):
+    """A text holds a piece that must be seen with its neighbours."""
 
 
 class _Known(dict):
     """Ids of pieces; a missing one is encoded and, while there is room, remembered."""
 
-    def __init__(self, encode, most: int, longest: int):
-        self.encode, self.most, self.longest = encode, most, longest
+    def __init__(self, encode, most: int, longest: int, signs: dict[str, bytes] | None = None, special: tuple[str, ...] = ()):
+        self.encode, self.most, self.longest, self.signs, self.special = encode, most, longest, signs, special
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self.encode(piece)
-        if len(self) < self.most and len(piece) <= self.longest:
+        if not _SAFE(piece):
+            raise _Unsafe
+        room = len(self) < self.most and len(piece) <= self.longest
+        signed = _SIGNED(piece) if self.signs is not None else None
+        if signed and not any(x in piece for x in self.special):
+            word, signs = signed.groups()
+            room = room and word in self  # a new word is remembered once
+            ids = self[word] + self.signs[signs]
+        else:
+            ids = self.encode(piece)
+        if room:
             self[piece] = ids
         return ids
 
@@ -66,7 +70,7 @@ class _Known(dict):
 class PieceEncoder:
     """``encode(texts)`` gives each text's ids as little-endian bytes of ``self.dtype``."""
 
-    def __init__(self, path: str, most_pieces: int = 600_000, longest: int = 40):
+    def __init__(self, path: str, most_pieces: int = 1_000_000, longest: int = 40):
         self.tokenizer = load(path)
         self.dtype = id_type(self.tokenizer.get_vocab_size())
         self.code = "H" if self.dtype.itemsize == 2 else "I"
@@ -75,10 +79,10 @@ class PieceEncoder:
         self.direct = True
         samples = ["the", "Étrangère", "Größe", "niño", "Zzyzx", "internationalisation"]
         self.direct = all(self._encode(p, self.prefix, " ") == self._plain(" " + p) and self._encode(p, "", "") == self._plain(p) for p in samples)
-        self.inside = _Known(lambda p: self._encode(p, self.prefix, " "), most_pieces, longest)
-        self.heads = _Known(lambda p: self._encode(p, "", ""), most_pieces // 10, longest)
-        for p in ",.":
-            self.inside[_MARK + p] = self._plain(p)
+        signs = _Known(self._plain, most_pieces // 100, longest)
+        special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.inside = _Known(lambda p: self._encode(p, self.prefix, " "), most_pieces, longest, signs, special)
+        self.heads = _Known(lambda p: self._encode(p, "", ""), most_pieces // 10, longest, signs, special)
         self.line_end = self._plain("\n")
 
     @classmethod
@@ -100,22 +104,25 @@ class PieceEncoder:
             return array(self.code, [t.id for t in self.tokenizer.model.tokenize(prefix + w)]).tobytes()
         return self._plain(space + piece)
 
+    def _by_pieces(self, text: str) -> bytes:
+        inside, heads, end = self.inside.__getitem__, self.heads.__getitem__, self.line_end
+        got = []
+        for line in text.split("\n"):
+            parts = line.split(" ")
+            got.append(heads(parts[0]))
+            got.extend(map(inside, parts[1:]))
+            got.append(end)
+        got.pop()
+        return b"".join(got)
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        inside, heads = self.inside.__getitem__, self.heads.__getitem__
         out = []
         for text in texts:
-            lines = _lines(text)
-            if lines is None:
+            try:
+                out.append(self._by_pieces(text))
+            except _Unsafe:
                 parts = _BREAK.split(text)
-                out.append(self._plain(parts[0]) + b"".join([self._plain(" " + p) if not _WORD(p) else inside(p) for p in parts[1:]]))
-                continue
-            got = []
-            for parts in lines:
-                got.append(heads(parts[0]))
-                got.extend(map(inside, parts[1:]))
-                got.append(self.line_end)
-            got.pop()
-            out.append(b"".join(got))
+                out.append(self._plain(parts[0]) + b"".join([self._encode(p, self.prefix, " ") for p in parts[1:]]))
         return out
 
 

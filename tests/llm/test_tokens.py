@@ -15,7 +15,7 @@ DOCS = "doc_id long, text string, source string, ids int"
 
 def texts(n=60, seed=5):
     g = random.Random(seed)
-    parts = ["the", "Été", " ", " ", " ", "  ", "\n", ", ", ". ", ".\n", "'s", "\t", "1234", "　", "x", "<|endoftext|>", "!", "#,", "\0", "日本", "é", "\x1c", "plain words here", "other, words."]
+    parts = ["the", "Été", " ", " ", " ", "  ", "\n", ", ", ". ", ".\n", "'s", "\t", "1234", "　", "x", "<|endoftext|>", "!", "#,", "\0", "日本", "é", "\x1c", "İ", "\u0307", "İ. ", "İ, ", "END!! ", "***", "plain words here", "other, words."]
     return ["".join(g.choice(parts) for _ in range(g.randrange(0, 60))) for _ in range(n)]
 
 
@@ -34,6 +34,14 @@ def test_pieces_equal_plain_encoding(path):
     assert encoder.direct
 
 
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_signs_beside_every_latin_letter(path):
+    encoder, plain = pieces.PieceEncoder(path), pieces.load(path)
+    for c in map(chr, range(0x250)):
+        for t in (f"a{c}. b", f"{c}, b", f"{c}.\nb", f"a {c}a, b", f"x {c}", f"{c}{c}.", f"x {c}!?,", f"{c}'s {c}'"):
+            assert np.frombuffer(encoder.encode([t])[0], encoder.dtype).tolist() == plain.encode(t, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("n", [0, 1, 3, 4, 5, 1000])
 def test_ranks_round_trip(n):
     g = np.random.default_rng(n)
