@@ -1,34 +1,39 @@
 """N-gram Jaccard join with set-relation skipping.
 
-Documents with equal shingle sets are one node.  The shingles of a set are ordered from rare to frequent; sets that are
-similar enough share one of their first shingles (the prefix), so an index of prefixes proposes pairs.
-
-* Skipping in the lists: a list of the index is sorted by set size, in blocks that know their sizes and positions; blocks
-  whose sizes or positions cannot reach the needed overlap are skipped whole.
-* Skipping by answers: in rounds, every set is first compared with the one that looks most alike among its neighbours in the
-  lists (in another order each round).  Sets that turn out to be highly similar share their answers: inside a component no further
-  pair is compared, and for pairs that lead out of it the distance follows incrementally from the computed one of a linked set: it
-  differs by no more than the distance of the two, which settles pairs unread.
-* Skipping by counts: a pair's common shingles up to the last one in both prefixes are all seen, so their number and what
-  is left behind them bound the overlap; so do the sets' counts in 64 buckets.  Only pairs that all this leaves open are compared in full.
-
-No list, group or component is capped.  Frequencies come from a table of fixed size that only sets the order of shingles,
-which the result does not depend on.
+Documents with equal shingle sets are one node.  Two sets link when they have at least ``percent`` hundredths of their union in common, that is
+when their distance (the size of the symmetric difference) is at most a share of the sum of their sizes.
+
+* Answers of similar sets.  Sets that look alike by minhash are compared with a set that stands in the middle of many (a centre), once each.
+  A set that links with its centre joins the centre's star and keeps its answer as a difference list: the shingles by which the two differ.
+  From the centre's distance to a set z, that of every member follows by correcting for its difference list; z's text is not read again, nor the member's.
+* Skipping in the lists.  The shingles of a set are ordered from rare to frequent; linked sets share one of their first shingles (the
+  prefix).  A star has one row for each shingle in its members' prefixes, with the bounds of their positions and sizes.  Lists are sorted by size; long ones are
+  skipped in blocks that know their sizes and positions.  Lists of one component are dropped.
+* Pairs of stars that the lists leave open are bounded by the number of common shingles and by counts in 64 buckets (with a star's radius);
+  what is still open is compared: centre with centre, and from that answer member with member.
+
+No list, star or component is capped.  Frequencies and looks set only the order of work, which the result does not depend on.
 """
 
 from __future__ import annotations
 
+import struct
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import free_name, left_join_sized, partitions, saved, sized, slices, table, tidy
 from .components import components
-from .shingles import common, set_id, sets_of
+from .shingles import common, set_key, sets_of
 
 SLOTS = 1 << 22
 FREQUENT = 32
 BLOCK = 64
+#: Sizes of work: postings in a bucket of lists, members in a block of a star, pairs in a part.
+POSTINGS, MEMBERS, PAIRS = 2_000_000, 1000, 500
+BANDS, IN_BAND = 6, 2
+
 
 
 def frequency_levels(docs: DataFrame, k: int) -> np.ndarray:
@@ -80,27 +85,14 @@ def prefix_of(values: np.ndarray, levels: np.ndarray, percent: int) -> np.ndarra
     return values[:length]
 
 
-_SKETCH = np.random.default_rng(11).integers(1, 1 << 63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-#: Digits of two sketches that must agree for their sets to be tried early; it decides the order of work only.
-ALIKE = 9
-
-
-def sketch_of(values: np.ndarray) -> int:
-    """Sixteen minhashes of four bits each."""
-    with np.errstate(over="ignore"):
-        least = np.array([(values * m).min() for m in _SKETCH])
-    digits = (least * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(60)).astype(np.uint64)
-    return int((digits << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(dtype=np.uint64).view(np.int64))
+_HASHES = np.random.default_rng(11).integers(1, 1 << 63, BANDS * IN_BAND, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def agreeing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """How many of the sixteen digits agree."""
-    x = (a ^ b).view(np.uint64)
-    x |= x >> np.uint64(2)
-    x |= x >> np.uint64(1)
-    differ = x & np.uint64(0x1111111111111111)
+def bands_of(values: np.ndarray) -> np.ndarray:
+    """Minhashes, two to a band: sets of a similarity s share a band with a chance of s squared."""
     with np.errstate(over="ignore"):
-        return (16 - (differ * np.uint64(0x1111111111111111) >> np.uint64(60))).astype(np.int64) % 16 + 16 * (differ == 0)
+        least = np.array([(values * m).min() for m in _HASHES]).reshape(BANDS, IN_BAND)
+        return (least[:, 0] * np.uint64(0x9E3779B97F4A7C15) ^ least[:, 1]).view(np.int64)
 
 
 def bucket_counts(values: np.ndarray) -> bytes:
@@ -108,64 +100,37 @@ def bucket_counts(values: np.ndarray) -> bytes:
     return np.minimum(np.bincount((values >> np.uint64(58)).astype(np.int64), minlength=64), 255).astype(np.uint8).tobytes()
 
 
-def may_reach(a: list, b: list, need: np.ndarray) -> np.ndarray:
-    """Whether sets with these bucket counts can have ``need`` in common: no more than the lesser count of each bucket."""
-    x, y = (np.frombuffer(b"".join(side), np.uint8).reshape(-1, 64).astype(np.int64) for side in (a, b))
-    full = (x == 255) & (y == 255)
-    return (np.minimum(x, y).sum(1) >= need) | full.any(1)
+def _row_key(id_col: str, text_col: str):
+    """A 128-bit name of a row's id and text."""
+    return F.unhex(F.md5(F.concat(F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit("-")), F.lit(":"), F.coalesce(F.col(text_col).cast("string"), F.lit("")))))
+
+
+SETS = "row long, row_key binary, doc_id long, set_key binary, n long, bands array<long>, buckets binary, prefix binary"
 
 
 def summarise(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
-    """``doc_id, text_key, n, node, sketch, buckets, prefix``: a written table with one row for each document."""
+    """A written table with one row (``SETS``) for each document; ``row`` numbers them, ``set_key`` is null without shingles."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).cast("string").alias("text"))
-    levels = spark.sparkContext.broadcast(frequency_levels(rows.select("text"), k))
+    text = F.col(text_col).cast("string").alias("text")
+    levels = spark.sparkContext.broadcast(frequency_levels(docs.select(text), k))
 
     def run(stream):
         import pyarrow as pa
 
+        names = [c.split()[0] for c in SETS.split(", ")]
         for batch in slices(stream):
             sets = list(sets_of(batch.column("text").to_pylist(), k))
-            n = pa.array([len(s) for s in sets], pa.int64())
-            node = pa.array([set_id(s) if len(s) else None for s in sets], pa.int64())
-            sketch = pa.array([sketch_of(s) if len(s) else None for s in sets], pa.int64())
-            prefix = pa.array([prefix_of(s, levels.value, percent).tobytes() if len(s) else b"" for s in sets], pa.binary())
-            buckets = pa.array([bucket_counts(s) for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), n, node, sketch, buckets, prefix], ["doc_id", "text_key", "n", "node", "sketch", "buckets", "prefix"])
-
-    return saved(rows.mapInArrow(run, "doc_id long, text_key long, n long, node long, sketch long, buckets binary, prefix binary"), "sets")
-
-
-def _postings(stream):
-    import pyarrow as pa
+            made = [
+                pa.array([set_key(s) if len(s) else None for s in sets], pa.binary()),
+                pa.array([len(s) for s in sets], pa.int64()),
+                pa.array([bands_of(s) if len(s) else None for s in sets], pa.list_(pa.int64())),
+                pa.array([bucket_counts(s) if len(s) else None for s in sets], pa.binary()),
+                pa.array([prefix_of(s, levels.value, percent).tobytes() if len(s) else None for s in sets], pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in names[:3]] + made, names)
 
-    for batch in slices(stream):
-        prefix = [np.frombuffer(p, np.int64) for p in batch.column("prefix").to_pylist()]
-        sizes = np.array([len(p) for p in prefix])
-        if not sizes.sum():
-            continue
-        node, n, sketch = (np.repeat(batch.column(c).to_numpy(), sizes) for c in ("node", "n", "sketch"))
-        pos = np.concatenate([np.arange(s) for s in sizes])
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(prefix)), pa.array(node), pa.array(n.astype(np.int32)), pa.array(pos.astype(np.int32)), pa.array(sketch)], ["shingle", "node", "n", "pos", "sketch"])
-
-
-def _lists(stream, columns):
-    """Arrays of the rows of each list, from a sorted stream; a list may span batches."""
-    held = None
-    for batch in stream:
-        if not batch.num_rows:
-            continue
-        rows = [batch.column(c).to_numpy(zero_copy_only=False) for c in columns]
-        if held is not None:
-            rows = [np.concatenate([h, r]) for h, r in zip(held, rows)]
-        cuts = np.flatnonzero(np.diff(rows[0])) + 1
-        if len(cuts):
-            yield [r[: cuts[-1]] for r in rows], np.concatenate([[0], cuts])
-            held = [r[cuts[-1] :] for r in rows]
-        else:
-            held = rows
-    if held is not None and len(held[0]):
-        yield held, np.array([0, len(held[0])])
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), _row_key(id_col, text_col).alias("row_key"), F.col(id_col).cast("long").alias("doc_id"), text)
+    return saved(rows.mapInArrow(run, SETS), "sets")
 
 
 def _needed(n1, n2, percent):
@@ -173,245 +138,488 @@ def _needed(n1, n2, percent):
     return -(-percent * (n1 + n2) // (100 + percent))
 
 
-def _proposals(percent: int, turn: int):
-    """For each list, put into an order that changes with the turn, neighbours of different components that look alike."""
+# -- stars ---------------------------------------------------------------------------------------------------------
+
+
+def look_alikes(nodes: DataFrame) -> DataFrame:
+    """``place, value, node``: the bands of each set that another one has too."""
+    bands = nodes.select("node", F.posexplode("bands").alias("place", "value"))
+    shared = saved(bands.groupBy("place", "value").agg(F.count("*").alias("k")).filter("k > 1"), "bands")
+    return saved(left_join_sized(bands, shared, ["place", "value"]).filter("k is not null").drop("k"), "alike")
+
+
+def proposals(alike: DataFrame, starred: DataFrame | None, labels: DataFrame | None, tried: DataFrame | None) -> DataFrame:
+    """``a, b``: for each star b at most one star a of another component, that with most members in the bands that they share."""
+    if starred is None:
+        seen = alike.select("place", "value", F.col("node").alias("star"), F.lit(1).alias("size"))
+    else:
+        named = left_join_sized(alike, starred.select("node", "star"), ["node"]).withColumn("star", F.coalesce("star", "node"))
+        seen = saved(named.groupBy("place", "value", "star").agg(F.count("*").alias("size")), "seen")
+    top = seen.groupBy("place", "value").agg(F.max(F.struct("size", F.xxhash64("star").alias("turn"), F.col("star").alias("lead"))).alias("top"), F.count("*").alias("k"))
+    top = saved(top.filter("k > 1").select("place", "value", F.col("top.lead").alias("a")), "top")
+    pairs = left_join_sized(seen.withColumnRenamed("star", "b"), top, ["place", "value"]).filter("a <> b").groupBy("a", "b").agg(F.count("*").alias("agree"))
+    if labels is not None:
+        for x in ("a", "b"):
+            pairs = left_join_sized(pairs, labels.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}")), [x])
+        pairs = pairs.filter("coalesce(label_a, a) <> coalesce(label_b, b)").select("a", "b", "agree")
+    if tried is not None:
+        pairs = pairs.join(sized(tried.select("a", "b")), ["a", "b"], "left_anti")
+    best = pairs.groupBy("b").agg(F.max(F.struct("agree", F.xxhash64("a").alias("turn"), "a")).alias("best"))
+    return saved(best.select("best.a", "b"), "pairs")
+
+
+def _compare(percent: int, k: int):
+    """Sorted rows: a centre's text, then those to compare with it, then the next centre's."""
 
     def run(stream):
         import pyarrow as pa
 
-        for (shingle, node, n, pos, sketch, label), _ in _lists(stream, ["shingle", "node", "n", "pos", "sketch", "label"]):
-            with np.errstate(over="ignore"):
-                mixed = ((node ^ shingle).astype(np.uint64) + np.uint64(turn)) * np.uint64(0xD6E8FEB86659FD93)
-            order = np.lexsort((mixed ^ (mixed >> np.uint64(32)), shingle))
-            i, j = order[:-1], order[1:]
-            small, large = np.minimum(n[i], n[j]).astype(np.int64), np.maximum(n[i], n[j]).astype(np.int64)
-            same = agreeing(sketch[i], sketch[j])
-            ok = (shingle[i] == shingle[j]) & (label[i] != label[j]) & (100 * small >= percent * large) & (same >= ALIKE)
-            if ok.any():
-                i, j, same = i[ok], j[ok], same[ok]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j])), pa.array(same)], ["a", "b", "alike"])
+        centre, mine, last = None, None, None
+        for batch in slices(stream):
+            out = []
+            for a, part, b, s in zip(*(batch.column(c).to_pylist() for c in ("a", "part", "b")), sets_of(batch.column("text").to_pylist(), k)):
+                if b is None:
+                    centre, mine, last = (a, part), s, None
+                elif centre != (a, part):
+                    raise ValueError("a pair without its centre's text")
+                elif b != last:
+                    last, both = b, common(mine, s)
+                    link = 100 * both >= percent * (len(mine) + len(s) - both)
+                    out.append((a, b, len(s), len(mine) + len(s) - 2 * both, link, np.setxor1d(mine, s, True).tobytes() if link else None))
+            columns = list(zip(*out)) or [[]] * 6
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["a", "b", "n", "d", "link", "diff"])
 
     return run
 
 
-def best_proposals(proposed: DataFrame) -> DataFrame:
-    """For every set at most two pairs, the most alike."""
-    pairs = proposed.groupBy("a", "b").agg(F.max("alike").alias("alike"))
-    ends = pairs.select(F.col("a").alias("x"), "a", "b", "alike").unionByName(pairs.select(F.col("b").alias("x"), "a", "b", "alike"))
-    best = ends.groupBy("x").agg(F.max(F.struct("alike", "a", "b")).alias("first"), F.max(F.struct("alike", "b", "a")).alias("second"))
-    two = best.select(F.explode(F.array(F.struct("first.a", "first.b"), F.struct("second.a", "second.b"))).alias("p"))
-    return two.select("p.a", "p.b").distinct()
+def texts_of(docs: DataFrame, id_col: str, text_col: str, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``node, text`` of the wanted nodes, in a written table; wholly equal rows may give a node twice."""
+    keys = saved(left_join_sized(nodes.select("node", "row_key"), wanted.select("node", F.lit(True).alias("asked")), ["node"]).filter("asked").select("node", "row_key"), "wanted")
+    rows = docs.select(_row_key(id_col, text_col).alias("row_key"), F.col(text_col).cast("string").alias("text"))
+    return saved(rows.join(sized(keys), "row_key").select("node", "text"), "texts")
 
 
-def _crossings(percent: int):
-    """For each list, all pairs of different components that sizes and positions allow; blocks that cannot hold one are skipped.
+@tidy
+def compare(texts: DataFrame, pairs: DataFrame, percent: int, k: int) -> DataFrame:
+    """``a, b, n, d, link, diff``: size of b, distance, and of linked sets the difference list.  A centre's text goes once to each part of its pairs."""
+    n = partitions(texts.sparkSession)
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PAIRS).cast("int").alias("parts"))
+    split = saved(pairs.join(sized(saved(parts, "parts")), "a").withColumn("part", F.pmod(F.xxhash64("b"), "parts").cast("int")).select("a", "b", "part"), "split")
+    heads = saved(split.select("a", "part").distinct(), "heads")
+    members = texts.withColumnRenamed("node", "b").join(sized(split), "b").select("a", "part", "b", "text")
+    centres = texts.withColumnRenamed("node", "a").join(sized(heads), "a").select("a", "part", F.lit(None).cast("long").alias("b"), "text")
+    together = members.unionByName(centres).repartition(n, "a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+    return together.mapInArrow(_compare(percent, k), "a long, b long, n long, d long, link boolean, diff binary")
 
-    A common shingle at these positions has at most as many common ones before it as the lower position, and behind
-    it as the shorter rest.  ``rest`` is what may be common behind it.
+
+def make_stars(nodes: DataFrame, texts_for, percent: int, k: int, turns: int) -> tuple[DataFrame | None, DataFrame | None, DataFrame | None]:
+    """``starred`` (node, star, n, d, diff: sets that joined a star), ``edges`` between stars that are one component, and ``labels`` of stars.
+
+    Turns only find more of the links early; the lists find the rest.
     """
+    alike = look_alikes(nodes)
+    texts = texts_for(saved(alike.select("node").distinct(), "involved"))
+    starred = labels = tried = None
+    for turn in range(turns):
+        pairs = proposals(alike, starred, labels, tried)
+        if pairs.isEmpty():
+            break
+        found = compare(texts, pairs, percent, k)
+        tried = found if tried is None else tried.unionByName(found)
+        joined = found.filter("link").select(F.col("b").alias("node"), F.col("a").alias("star"), "n", "d", "diff")
+        if starred is not None:  # a star with members stays one
+            joined = joined.join(sized(saved(starred.select(F.col("star").alias("node")).distinct(), "stars")), "node", "left_anti")
+        joined = saved(joined, "joined")
+        starred = joined if starred is None else starred.unionByName(joined)
+        centres = saved(starred.select(F.col("star").alias("b")).distinct(), "centres")
+        edges = saved(tried.filter("link").select("a", "b").join(sized(centres), "b", "left_semi"), "links")
+        labels = components(edges)
+    return starred, (None if starred is None else edges), labels
 
-    def run(stream):
-        import pyarrow as pa
 
-        for (shingle, node, n, pos, label), cuts in _lists(stream, ["shingle", "node", "n", "pos", "label"]):
-            bounds = cuts.tolist() + ([len(shingle)] if cuts[-1] != len(shingle) else [])
-            found = []
-            for a, b in zip(bounds[:-1], bounds[1:]):
-                if b - a < 2 or (label[a:b] == label[a]).all():
-                    continue
-                size, at, lab = n[a:b].astype(np.int64), pos[a:b].astype(np.int64), label[a:b]
-                left = size - at
-                starts = np.arange(0, b - a, BLOCK)
-                far, top = np.maximum.reduceat(at, starts), np.maximum.reduceat(left, starts)
-                for i in range(b - a - 1):
-                    end = int(np.searchsorted(size, size[i] * 100 // percent, "right"))
-                    for block in range((i + 1) // BLOCK, -(-end // BLOCK)):
-                        lo, hi = max(i + 1, block * BLOCK), min(end, (block + 1) * BLOCK)
-                        if lo >= hi or min(at[i], far[block]) + min(left[i], top[block]) < _needed(size[i], size[lo], percent):
-                            continue
-                        j = np.arange(lo, hi)
-                        need = _needed(size[i], size[j], percent)
-                        rest = np.minimum(left[i], left[j])
-                        ok = (lab[j] != lab[i]) & (np.minimum(at[i], at[j]) + rest >= need)
-                        if ok.any():
-                            found.append((np.full(int(ok.sum()), node[a + i]), node[a + j[ok]], rest[ok] - 1, need[ok]))
-                if len(found) > 1000:
-                    yield told(found)
-                    found = []
-            if found:
-                yield told(found)
+# -- lists ---------------------------------------------------------------------------------------------------------
 
-    def told(found):
-        import pyarrow as pa
 
-        x, y, rest, need = (np.concatenate(c) for c in zip(*found))
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(rest), pa.array(need)], ["a", "b", "rest", "need"])
+def _unions(stream):
+    """Rows of one part of a star, sorted by it: one row with each shingle of their prefixes, the last of its places and the most that may follow it."""
+    import pyarrow as pa
+
+    def told(key, rows):
+        values = np.concatenate([p for _, p in rows])
+        at = np.concatenate([np.arange(len(p)) for _, p in rows])
+        left = np.concatenate([n - np.arange(len(p)) for n, p in rows])
+        order = np.argsort(values, kind="stable")
+        found, first = np.unique(values[order], return_index=True)
+        sizes = [n for n, _ in rows]
+        binary = [found.tobytes(), np.maximum.reduceat(at[order], first).astype("<u4").tobytes(), np.maximum.reduceat(left[order], first).astype("<u4").tobytes()]
+        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip([key[0], key[1], min(sizes), max(sizes), *binary], [pa.int64()] * 4 + [pa.binary()] * 3)], ["star", "label", "lo", "hi", "shingles", "at", "left"])
+
+    key, rows = None, []
+    for batch in slices(stream):
+        for star, label, part, n, prefix in zip(*(batch.column(c).to_pylist() for c in ("star", "label", "part", "n", "prefix"))):
+            if rows and key != (star, label, part):
+                yield told(key, rows)
+                rows = []
+            key = (star, label, part)
+            rows.append((n, np.frombuffer(prefix, np.uint64)))
+    if rows:
+        yield told(key, rows)
 
-    return run
 
+def _narrow(x: np.ndarray) -> bytes:
+    """A byte with the width, then the numbers."""
+    width = 2 if not len(x) or x.max() < 1 << 16 else 4
+    return bytes([width]) + x.astype(f"<u{width}").tobytes()
 
-def open_by_count(crossings: DataFrame) -> DataFrame:
-    """Pairs whose common prefix shingles and what may follow the last of them reach the needed overlap."""
-    counted = crossings.groupBy("a", "b").agg(F.count("*").alias("seen"), F.min("rest").alias("rest"), F.max("need").alias("need"))
-    return counted.filter(F.col("seen") + F.col("rest") >= F.col("need")).select("a", "b", "need")
 
+def _wide(data: bytes, at: int, count: int) -> tuple[np.ndarray, int]:
+    width = data[at]
+    return np.frombuffer(data, f"<u{width}", count, at + 1).astype(np.int64), at + 1 + width * count
 
-def open_by_buckets(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs whose bucket counts leave them open."""
-    counts = nodes.select("node", "buckets")
-    both = pairs.join(counts.select(F.col("node").alias("a"), F.col("buckets").alias("x")), "a").join(counts.select(F.col("node").alias("b"), F.col("buckets").alias("y")), "b")
 
-    def run(stream):
+def _blocks(buckets: int, most: int = 400_000):
+    """Postings in packed blocks, by bucket of the shingle: the stars of a block once, then for each posting its shingle, star, place and rest."""
+
+    def flush(held):
         import pyarrow as pa
 
-        for batch in stream:
-            if batch.num_rows:
-                ok = pa.array(may_reach(batch.column("x").to_pylist(), batch.column("y").to_pylist(), batch.column("need").to_numpy()))
-                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(ok)
+        single = held[0][6] is None
+        star, label, lo, hi = (np.array([r[i] for r in held], "<i8") for i in range(4))
+        values = np.concatenate([r[4] for r in held])
+        which = np.repeat(np.arange(len(held)), [len(r[4]) for r in held])
+        at = np.concatenate([r[5] for r in held])
+        left = None if single else np.concatenate([r[6] for r in held])
+        bucket = (values >> np.uint64(20)) % np.uint64(buckets)
+        order = np.argsort(bucket, kind="stable")
+        found, first = np.unique(bucket[order], return_index=True)
+        names, data = [], []
+        for b, i, j in zip(found.tolist(), first.tolist(), np.append(first[1:], len(order)).tolist()):
+            mine = order[i:j]
+            used, index = np.unique(which[mine], return_inverse=True)
+            block = struct.pack("<?II", single, len(used), len(mine)) + star[used].tobytes() + label[used].tobytes() + lo[used].astype("<u4").tobytes() + hi[used].astype("<u4").tobytes()
+            block += values[mine].tobytes() + _narrow(index) + _narrow(at[mine]) + (b"" if single else _narrow(left[mine]))
+            names.append(b)
+            data.append(block)
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(data, pa.binary())], ["bucket", "data"])
 
-    return both.select("a", "b", "x", "y", "need").mapInArrow(run, "a long, b long")
+    def run(stream):
+        held, size = [], 0
+        for batch in slices(stream):
+            single = "at" not in batch.schema.names
+            for row in zip(*(batch.column(c).to_pylist() for c in batch.schema.names)):
+                values = np.frombuffer(row[4], np.uint64)
+                if single:
+                    held.append((*row[:4], values, np.arange(len(values)), None))
+                else:
+                    held.append((*row[:4], values, *(np.frombuffer(x, "<u4") for x in row[5:])))
+                size += len(values)
+                if size >= most:
+                    yield flush(held)
+                    held, size = [], 0
+        if size:
+            yield flush(held)
 
+    return run
 
-def _compare(percent: int, k: int):
-    """Sorted rows: a leader's text, then those to compare with it, then the next leader's.  Gives the sizes, the overlap and whether they link."""
 
-    def run(stream):
+def _unpacked(blocks: list[bytes]) -> dict[str, np.ndarray]:
+    got: dict[str, list] = {c: [] for c in ("shingle", "star", "label", "lo", "hi", "at", "left", "single")}
+    for data in blocks:
+        single, k, m = struct.unpack_from("<?II", data)
+        i = struct.calcsize("<?II")
+        star, label = np.frombuffer(data, "<i8", k, i), np.frombuffer(data, "<i8", k, i + 8 * k)
+        lo, hi = np.frombuffer(data, "<u4", k, i + 16 * k), np.frombuffer(data, "<u4", k, i + 20 * k)
+        values = np.frombuffer(data, "<u8", m, i + 24 * k)
+        index, i = _wide(data, i + 24 * k + 8 * m, m)
+        at, i = _wide(data, i, m)
+        left = lo[index].astype(np.int64) - at if single else _wide(data, i, m)[0]
+        for c, v in zip(got, (values, star[index], label[index], lo[index].astype(np.int32), hi[index].astype(np.int32), at.astype(np.int32), left.astype(np.int32), np.full(m, single))):
+            got[c].append(v)
+    return {c: np.concatenate(v) for c, v in got.items()}
+
+
+def _mixed_lists(x: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """The lists of at least two components, each sorted by size, and where each ends."""
+    order = np.argsort(x["shingle"])
+    s = x["shingle"][order]
+    same = np.concatenate([[False], s[1:] == s[:-1], [False]])
+    order = order[same[1:] | same[:-1]]
+    order = order[np.lexsort((x["lo"][order], x["shingle"][order]))]
+    s, label = x["shingle"][order], x["label"][order]
+    if not len(s):
+        return x, np.zeros(0, np.int64)
+    first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+    mixed = np.minimum.reduceat(label, first) != np.maximum.reduceat(label, first)
+    sizes = np.diff(np.append(first, len(s)))
+    order = order[np.repeat(mixed, sizes)]
+    return {c: v[order] for c, v in x.items()}, np.cumsum(sizes[mixed])
+
+
+def _crossings(percent: int):
+    """Of each list the pairs of different components that sizes and positions allow.
+
+    A common shingle at these positions has at most as many common ones before it as the lower position, and behind it as the shorter rest.  ``rest`` is
+    what may be common behind it.  Stars count with the bounds of their members.
+    """
+
+    def allowed(x, i, j):
+        """Which pairs may link (i has the lesser lower size), the overlap they need and what may follow."""
+        lo_i, lo_j = x["lo"][i].astype(np.int64), x["lo"][j].astype(np.int64)
+        least = np.maximum(lo_i, -(-percent * lo_j // 100))
+        need = _needed(least, lo_j, percent)
+        rest = np.minimum(x["left"][i], x["left"][j])
+        ok = (least <= x["hi"][i]) & (x["label"][i] != x["label"][j]) & (np.minimum(x["at"][i], x["at"][j]) + rest >= need)
+        return ok, need, rest
+
+    def pairs(x, ends):
+        sizes = np.diff(np.concatenate([[0], ends]))
+        end = np.repeat(ends, sizes)
+        short = np.repeat(sizes <= 4 * BLOCK, sizes)
+        i, step = np.flatnonzero(short), 1
+        while len(i):  # neighbours at one step after the other, of all short lists at once
+            i = i[i + step < end[i]]
+            i = i[percent * x["lo"][i + step].astype(np.int64) <= 100 * x["hi"][i].astype(np.int64)]
+            ok, need, rest = allowed(x, i, i + step)
+            if ok.any():
+                yield i[ok], i[ok] + step, need[ok], rest[ok]
+            step += 1
+        for a, b in zip((ends - sizes)[sizes > 4 * BLOCK].tolist(), ends[sizes > 4 * BLOCK].tolist()):
+            starts = np.arange(a, b, BLOCK)
+            far, top = np.maximum.reduceat(x["at"][a:b], starts - a), np.maximum.reduceat(x["left"][a:b], starts - a)
+            low = x["lo"][starts].astype(np.int64)
+            for i in range(a, b - 1):
+                least = np.maximum(int(x["lo"][i]), -(-percent * low // 100))
+                reach = np.minimum(x["at"][i], far) + np.minimum(x["left"][i], top) >= _needed(least, low, percent)
+                reach &= (least <= x["hi"][i]) & (np.append(starts[1:], b) > i + 1)
+                reach[(i - a) // BLOCK] = True  # its own block begins before it
+                blocks = np.flatnonzero(reach)
+                blocks = blocks[blocks >= (i - a) // BLOCK]
+                j = (starts[blocks][:, None] + np.arange(BLOCK)).ravel()
+                j = j[(j > i) & (j < b)]
+                ok, need, rest = allowed(x, np.full(len(j), i), j)
+                if ok.any():
+                    yield np.full(int(ok.sum()), i), j[ok], need[ok], rest[ok]
+
+    def told(x, found):
         import pyarrow as pa
 
-        leader, mine = None, None
+        i, j, need, rest = (np.concatenate(c) for c in zip(*found))
+        a, b = x["star"][i], x["star"][j]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(rest.astype(np.int64) - 1), pa.array(need), pa.array(x["single"][i] & x["single"][j])], ["a", "b", "rest", "need", "single"])
+
+    def whole(blocks):
+        x, ends = _mixed_lists(_unpacked(blocks))
+        found, size = [], 0
+        for p in pairs(x, ends) if len(ends) else ():
+            found.append(p)
+            size += len(p[0])
+            if size > 200_000:
+                yield told(x, found)
+                found, size = [], 0
+        if found:
+            yield told(x, found)
+
+    def run(stream):
+        bucket, blocks = None, []
         for batch in slices(stream):
-            lead, other = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            out = []
-            for a, b, s in zip(lead, other, sets_of(batch.column("text").to_pylist(), k)):
-                if b is None:
-                    leader, mine = a, s
-                    continue
-                if leader != a:
-                    raise ValueError("a pair without its leader's text")
-                both = common(mine, s)
-                out.append((a, b, len(mine), len(s), both, 100 * both >= percent * (len(mine) + len(s) - both)))
-            columns = list(zip(*out)) or [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns[:5]] + [pa.array(columns[5], pa.bool_())], ["a", "b", "n_a", "n_b", "overlap", "link"])
+            for b, data in zip(batch.column("bucket").to_pylist(), batch.column("data").to_pylist()):
+                if blocks and b != bucket:
+                    yield from whole(blocks)
+                    blocks = []
+                bucket = b
+                blocks.append(data)
+        if blocks:
+            yield from whole(blocks)
 
     return run
 
 
-@tidy
-def compare(docs: DataFrame, text_col: str, nodes: DataFrame, pairs: DataFrame, percent: int, k: int, most: int = 500) -> DataFrame:
-    """Compare the sets of ``pairs`` (a written table): a leader's text goes once to each part of ``most`` of its pairs, so that no leader is hot."""
-    spark = docs.sparkSession
-    few = sized(pairs)
-    wanted = few.select(F.col("a").alias("node")).unionByName(few.select(F.col("b").alias("node"))).distinct()
-    keys = saved(nodes.join(sized(saved(wanted, "asked")), "node", "left_semi").select("node", "text_key"), "wanted")
-    rows = docs.select(F.xxhash64(text_col).alias("text_key"), F.col(text_col).cast("string").alias("text"))
-    texts = saved(left_join_sized(rows, keys, ["text_key"]).filter("node is not null").groupBy("node").agg(F.first("text").alias("text")), "pair-texts")
-    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / most).cast("int").alias("parts"))
-    split = saved(pairs.join(parts, "a").withColumn("part", F.pmod(F.xxhash64("b"), "parts").cast("int")).select("a", "b", "part"), "split")
-    heads = saved(split.select("a", "part").distinct(), "heads")
-    members = texts.withColumnRenamed("node", "b").join(sized(split), "b").select("a", "part", "b", "text")
-    leaders = texts.withColumnRenamed("node", "a").join(sized(heads), "a").select("a", "part", F.lit(None).cast("long").alias("b"), "text")
-    together = members.unionByName(leaders).repartition(partitions(spark), "a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
-    return together.mapInArrow(_compare(percent, k), "a long, b long, n_a long, n_b long, overlap long, link boolean")
+def candidates(prefixes: DataFrame, starred: DataFrame | None, labels: DataFrame | None, percent: int) -> DataFrame:
+    """``a, b``: pairs of stars of different components whose prefixes leave it open whether some of their members link."""
+    spark = prefixes.sparkSession
+    n = partitions(spark)
+    if starred is None:
+        alone, grouped = prefixes.select(F.col("node").alias("star"), F.col("node").alias("label"), F.col("n").alias("lo"), F.col("n").alias("hi"), "prefix"), None
+    else:
+        sizes = saved(starred.groupBy("star").agg(F.ceil((F.count("*") + 1) / MEMBERS).cast("int").alias("parts")), "sizes")
+        places = starred.select("node", "star").unionByName(sizes.select(F.col("star").alias("node"), "star"))
+        places = left_join_sized(left_join_sized(places, sizes, ["star"]), labels.select(F.col("node").alias("star"), "label"), ["star"]).withColumn("label", F.coalesce("label", "star"))
+        placed = left_join_sized(prefixes, saved(places, "places"), ["node"])
+        alone = placed.filter("star is null").select(F.col("node").alias("star"), F.col("node").alias("label"), F.col("n").alias("lo"), F.col("n").alias("hi"), "prefix")
+        part = F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part")
+        rows = placed.filter("star is not null").select("star", "label", part, "n", "prefix").repartition(n, "star", "part").sortWithinPartitions("star", "part")
+        grouped = rows.mapInArrow(_unions, "star long, label long, lo long, hi long, shingles binary, at binary, left binary")
+    postings = prefixes.agg(F.sum(F.octet_length("prefix") / 8)).first()[0] or 0
+    buckets = max(n, -(-int(postings) // POSTINGS))
+    blocks = alone.mapInArrow(_blocks(buckets), "bucket long, data binary")
+    if grouped is not None:
+        blocks = blocks.unionByName(grouped.mapInArrow(_blocks(buckets), "bucket long, data binary"))
+    crossing = blocks.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_crossings(percent), "a long, b long, rest long, need long, single boolean")
+    counted = crossing.groupBy("a", "b").agg(F.count("*").alias("seen"), F.min("rest").alias("least"), F.max("rest").alias("most"), F.min("need").alias("need"), F.min("single").alias("single"))
+    return saved(counted.filter(F.col("seen") + F.when(F.col("single"), F.col("least")).otherwise(F.col("most")) >= F.col("need")).select("a", "b"), "counted")
+
+
+def open_pairs(pairs: DataFrame, nodes: DataFrame, stars: DataFrame | None, percent: int) -> DataFrame:
+    """``a, b, blocks`` of pairs that bucket counts and radii leave open; a has the more members, ``blocks`` parts of them."""
+    asked = saved(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "asked")
+    known = left_join_sized(nodes.select("node", "n", "buckets"), asked.withColumn("asked", F.lit(True)), ["node"]).filter("asked").drop("asked")
+    if stars is not None:
+        known = left_join_sized(known.withColumnRenamed("node", "star"), stars, ["star"]).withColumnRenamed("star", "node")
+    else:
+        known = known.withColumns({"radius": F.lit(None).cast("long"), "hi": F.lit(None).cast("long"), "members": F.lit(None).cast("long")})
+    told = known.select("node", "buckets", F.coalesce("radius", F.lit(0)).cast("long").alias("r"), F.greatest("n", "hi").alias("hi"), F.coalesce("members", F.lit(0)).cast("long").alias("m"))
+    told = saved(told, "known")
+    both = pairs
+    for x in ("a", "b"):
+        both = left_join_sized(both, told.select(F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("buckets", "r", "hi", "m"))), [x])
+
+    def run(stream):
+        import pyarrow as pa
 
+        for batch in slices(stream, 10_000):
+            x, y = (np.frombuffer(b"".join(batch.column(f"buckets_{s}").to_pylist()), np.uint8).reshape(-1, 64).astype(np.int64) for s in "ab")
+            a, b, r_a, r_b, hi_a, hi_b, m_a, m_b = (batch.column(c).to_numpy() for c in ("a", "b", "r_a", "r_b", "hi_a", "hi_b", "m_a", "m_b"))
+            ok = (100 + percent) * (np.abs(x - y).sum(1) - r_a - r_b) <= (100 - percent) * (hi_a + hi_b)
+            more = m_b > m_a
+            columns = [np.where(more, b, a)[ok], np.where(more, a, b)[ok], 1 + np.maximum(m_a, m_b)[ok] // MEMBERS]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "b", "blocks"])
 
-def _labelled(index: DataFrame, labels: DataFrame | None) -> DataFrame:
-    rows = index.withColumn("label", F.col("node")) if labels is None else left_join_sized(index, labels, ["node"]).withColumn("label", F.coalesce("label", "node"))
-    return rows.select("shingle", "node", "n", "pos", "sketch", "label").repartition(partitions(index.sparkSession), "shingle").sortWithinPartitions("shingle", "n", "node")
+    return saved(both.select("a", "b", "buckets_a", "buckets_b", "r_a", "r_b", "hi_a", "hi_b", "m_a", "m_b").mapInArrow(run, "a long, b long, blocks long"), "open")
 
 
-def _settled(pairs: DataFrame, compared: DataFrame, percent: int) -> DataFrame:
-    """``pairs`` that the answers of a highly similar set do not settle.
+def _decide(percent: int, k: int):
+    """Sorted rows: the text of a centre, difference lists of a block of its members, then other centres' texts, each with its members' lists.
 
-    For a with a linked leader y and a known distance of y and b, the distance of a and b is at least the difference of the two; where that
-    is more than sets of their sizes may have at the threshold, the pair is no link.
+    Gives the pairs of centres of which some members link.  With the centres' difference E, members with lists Y and Z are |Y ^ Z ^ E| apart (^: the
+    symmetric difference), so a block is answered by looking its lists up in Z ^ E.
     """
-    d = (F.col("n_a") + F.col("n_b") - 2 * F.col("overlap")).alias("d")
-    known = compared.select("a", "b", "n_a", "n_b", d, "link")
-    known = saved(known.unionByName(known.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("n_b").alias("n_a"), F.col("n_a").alias("n_b"), "d", "link")), "known")
-    near = known.filter("link").groupBy(F.col("a").alias("x")).agg(F.min(F.struct("d", F.col("b").alias("y"), F.col("n_a").alias("n_x"))).alias("near")).select("x", "near.y", "near.n_x", F.col("near.d").alias("d_xy"))
-    far = known.filter("not link").select(F.col("a").alias("y"), F.col("b").alias("z"), F.col("n_b").alias("n_z"), F.col("d").alias("d_yz"))
-    near, far = sized(saved(near, "near")), saved(far, "far")
-    for x, z in (("a", "b"), ("b", "a")):
-        bound = far.withColumnRenamed("z", z)
-        tried = pairs.join(near.withColumnRenamed("x", x), x, "left").join(bound, ["y", z], "left")
-        no = (100 + percent) * (F.col("d_yz") - F.col("d_xy")) > (100 - percent) * (F.col("n_x") + F.col("n_z"))
-        pairs = tried.filter(~F.coalesce(no, F.lit(False))).select("a", "b")
-    return pairs
+
+    def run(stream):
+        import pyarrow as pa
+
+        key = centre = lists = sizes = flat = last = None
+        between, linked = None, False
+
+        def links(apart: np.ndarray, n: int) -> bool:
+            nonlocal flat
+            if flat is None:
+                lengths = np.array([len(x) for x in lists])
+                flat = np.concatenate(lists), np.concatenate([[0], np.cumsum(lengths)]), lengths, np.array(sizes)
+            values, ends, lengths, n_each = flat
+            if (100 + percent) * (len(apart) - lengths.max()) > (100 - percent) * (n_each.max() + n):
+                return False
+            hit = np.zeros(len(values) + 1, np.int64)
+            if len(apart) and len(values):
+                place = np.searchsorted(apart, values)
+                place[place == len(apart)] = 0
+                np.cumsum(apart[place] == values, out=hit[1:])
+            distance = lengths + len(apart) - 2 * (hit[ends[1:]] - hit[ends[:-1]])
+            return bool(((100 + percent) * distance <= (100 - percent) * (n_each + n)).any())
+
+        for batch in slices(stream):
+            found = []
+            kinds, data = batch.column("kind").to_pylist(), batch.column("data").to_pylist()
+            sets = sets_of([d if kind in (0, 2) else b"" for kind, d in zip(kinds, data)], k)
+            for a, block, part, kind, b, n, d, s in zip(*(batch.column(c).to_pylist() for c in ("a", "block", "part", "kind", "b", "n")), data, sets):
+                if kind == 0:
+                    key, centre, lists, sizes, flat, last = (a, block, part), s, [np.zeros(0, np.uint64)], [len(s)], None, None
+                    continue
+                if key != (a, block, part):
+                    raise ValueError("a pair without its centre's text")
+                if kind == 1:
+                    lists.append(np.frombuffer(d, np.uint64))
+                    sizes.append(n)
+                elif kind == 2:
+                    if b != last:
+                        last, between = b, np.setxor1d(centre, s, True)
+                        linked = links(between, len(s))
+                        if linked:
+                            found.append((a, b))
+                elif b != last:
+                    raise ValueError("a member without its centre's text")
+                elif not linked:
+                    linked = links(np.setxor1d(between, np.frombuffer(d, np.uint64), True), n)
+                    if linked:
+                        found.append((a, b))
+            a, b = zip(*found) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return run
 
 
 @tidy
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """``doc_id, text_key, n_shingles, node, label, component_id`` of every row.
+def decide(texts: DataFrame, pairs: DataFrame, starred: DataFrame | None, percent: int, k: int) -> DataFrame:
+    """The pairs of stars (``a, b``) of which some members link.  Members of a come in blocks, its partners in parts, so that no star is hot."""
+    n = partitions(texts.sparkSession)
+    parts = saved(pairs.groupBy("a").agg(F.ceil(F.count("*") / PAIRS).cast("int").alias("parts"), F.max("blocks").alias("blocks")), "parts")
+    split = pairs.join(sized(parts.select("a", "parts")), "a").withColumn("part", F.pmod(F.xxhash64("b", "a"), "parts").cast("int"))
+    split = saved(split.select("a", "b", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block")), "split")
+    heads = saved(split.select("a", "block", "part").distinct(), "heads")
+    none = lambda t: F.lit(None).cast(t)
+    text = F.encode("text", "utf-8").alias("data")
+    rows = texts.withColumnRenamed("node", "a").join(sized(heads), "a").select("a", "block", "part", F.lit(0).alias("kind"), none("long").alias("b"), none("long").alias("n"), text)
+    rows = rows.unionByName(texts.withColumnRenamed("node", "b").join(sized(split), "b").select("a", "block", "part", F.lit(2).alias("kind"), "b", none("long").alias("n"), text))
+    if starred is not None:
+        lists = starred.join(sized(parts.withColumnRenamed("a", "star")), "star").withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
+        rows = rows.unionByName(lists.withColumnRenamed("star", "a").join(sized(heads), ["a", "block"]).select("a", "block", "part", F.lit(1).alias("kind"), none("long").alias("b"), "n", F.col("diff").alias("data")))
+        rows = rows.unionByName(starred.withColumnRenamed("star", "b").join(sized(split), "b").select("a", "block", "part", F.lit(3).alias("kind"), "b", "n", F.col("diff").alias("data")))
+    # a member's list follows its centre's text: both have a kind over 1, the text the lower
+    together = rows.repartition(n, "a", "block", "part").sortWithinPartitions("a", "block", "part", F.least("kind", F.lit(2)), F.col("b").asc_nulls_first(), "kind")
+    return together.mapInArrow(_decide(percent, k), "a long, b long").distinct()
+
+
+# -- the operator --------------------------------------------------------------------------------------------------
 
-    Rows link when their shingle sets have a Jaccard similarity of at least ``percent`` hundredths; ``label`` names the
-    component and ``component_id`` is its smallest id.  Null, empty and blank texts have no shingles and link with nothing (no label, their own
-    id); texts of fewer than ``k`` words are one shingle; repeated rows share a node; null ids count as no id, and a component
-    of null ids alone has none; an empty table gives no rows.
-    """
-    rows = summarise(docs, id_col, text_col, k, percent)
-    nodes = saved(rows.filter("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.min("text_key").alias("text_key"), F.first("sketch").alias("sketch"), F.first("buckets").alias("buckets"), F.first("prefix").alias("prefix")), "nodes")
-    postings = nodes.select("node", "n", "sketch", "prefix").mapInArrow(_postings, "shingle long, node long, n int, pos int, sketch long")
-    # lists of one set propose nothing
-    counted = postings.repartition(partitions(docs.sparkSession), "shingle").sortWithinPartitions("shingle")
-    index = saved(counted.mapInArrow(_shared_only, "shingle long, node long, n int, pos int, sketch long"), "index")
-    compared, labels, turn = None, None, 0
-    while True:
-        proposed = _labelled(index, labels).mapInArrow(_proposals(percent, turn), "a long, b long, alike long")
-        if compared is not None:
-            proposed = proposed.join(compared.select("a", "b"), ["a", "b"], "left_anti")
-        pairs = saved(best_proposals(proposed), "pairs")
-        tried = pairs.count()
-        found = compare(docs, text_col, nodes, pairs, percent, k) if tried else None
-        if found is not None:
-            compared = found if compared is None else saved(compared.unionByName(found), "compared")
-        links = found.filter("link").count() if found is not None else 0
-        turn += 1
-        done = 20 * links <= tried  # what is rare enough is left to the full comparison
-        if links or (done and compared is not None):
-            labels = components(compared.filter("link"), None if done else 2)  # between rounds labels need not be final
-        if done:
-            break
-    crossing = open_by_count(_labelled(index, labels).mapInArrow(_crossings(percent), "a long, b long, rest long, need long"))
-    crossing = open_by_buckets(saved(crossing, "counted"), nodes)
-    if compared is not None:
-        crossing = crossing.join(compared, ["a", "b"], "left_anti")
-        crossing = _settled(saved(crossing, "crossings"), compared, percent)
-    open_pairs = saved(crossing, "open")
-    if not open_pairs.isEmpty():
-        last = compare(docs, text_col, nodes, open_pairs, percent, k)
-        linked = last.filter("link") if compared is None else compared.filter("link").unionByName(last.filter("link"))
-        labels = components(linked)
-    skinny = rows.select("doc_id", "text_key", F.col("n").alias("n_shingles"), "node")
-    named = (skinny.withColumn("label", F.col("node")) if labels is None else left_join_sized(skinny, labels, ["node"]).withColumn("label", F.coalesce("label", "node"))).select(*skinny.columns, "label")
-    smallest = saved(named.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("members")).filter("members > 1").drop("members"), "smallest")
-    grouped = left_join_sized(named, smallest, ["label"])
-    return grouped.select(*named.columns, F.coalesce("component_id", "doc_id").alias("component_id"))
-
-
-def _shared_only(stream):
-    import pyarrow as pa
 
-    for rows, cuts in _lists(stream, ["shingle", "node", "n", "pos", "sketch"]):
-        bounds = np.append(cuts, len(rows[0])) if cuts[-1] != len(rows[0]) else cuts
-        sizes = np.diff(bounds)
-        keep = np.repeat(sizes > 1, sizes)
-        if keep.any():
-            yield pa.RecordBatch.from_arrays([pa.array(r[keep]) for r in rows], ["shingle", "node", "n", "pos", "sketch"])
+@tidy
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, turns: int = 3) -> DataFrame:
+    """``doc_id, row_key, n_shingles, label, component_id`` of every row.
+
+    Rows link when their shingle sets have a Jaccard similarity of at least ``percent`` hundredths; ``component_id`` is the smallest id that links
+    reach, ``label`` names components of two rows and more (null: a row alone).  Null, empty and blank texts have no shingles and link with nothing;
+    texts of fewer than ``k`` words are one shingle; very long texts are hashed in parts; repeated rows share a set; null ids count as no id, and a
+    component of null ids alone has none; an empty table gives no rows; other columns are ignored, whatever their names.
+    """
+    sets = summarise(docs, id_col, text_col, k, percent)
+    groups = saved(sets.filter("n > 0").groupBy("set_key").agg(F.min("row").alias("node"), F.min("doc_id").alias("first_id"), F.count("*").alias("copies")), "groups")
+    copies = saved(groups.filter("copies > 1").select("set_key", "node"), "copies")
+    one_each = lambda *columns: left_join_sized(sets.filter("n > 0").select("row", "set_key", *columns), copies, ["set_key"]).filter("node is null or node = row").drop("node").withColumnRenamed("row", "node")
+    nodes = saved(one_each("row_key", "n", "bands", "buckets").drop("set_key"), "nodes")
+    texts_for = lambda wanted: texts_of(docs, id_col, text_col, nodes, wanted)
+    starred, edges, labels = make_stars(nodes, texts_for, percent, k, turns)
+    stars = None
+    if starred is not None:
+        stars = saved(starred.groupBy("star").agg(F.max("d").alias("radius"), F.max("n").alias("hi"), F.count("*").alias("members")), "stars")
+    pairs = open_pairs(candidates(one_each("n", "prefix").drop("set_key"), starred, labels, percent), nodes, stars, percent)
+    if not pairs.isEmpty():
+        ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        found = decide(texts_for(saved(ends, "ends")), pairs, starred, percent, k)
+        labels = components(found if edges is None else edges.unionByName(found))
+    level = groups if starred is None else left_join_sized(groups, starred.select("node", "star"), ["node"])
+    level = level.withColumn("star", F.coalesce("star", "node") if starred is not None else F.col("node"))
+    if labels is not None:
+        level = left_join_sized(level, labels.select(F.col("node").alias("star"), "label"), ["star"])
+    level = saved(level.select("set_key", "first_id", "copies", (F.coalesce("label", "star") if labels is not None else F.col("star")).alias("label")), "level")
+    found = saved(level.groupBy("label").agg(F.min("first_id").alias("component_id"), F.sum("copies").alias("rows")).filter("rows > 1").drop("rows"), "found")
+    named = saved(left_join_sized(level.select("set_key", "label"), found.withColumn("named", F.lit(True)), ["label"]).filter("named").drop("named"), "named")
+    out = left_join_sized(sets.select("doc_id", "row_key", F.col("n").alias("n_shingles"), "set_key"), named, ["set_key"])
+    return out.select("doc_id", "row_key", "n_shingles", "label", F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """All columns of one row of each group: one with the smallest id; rows without words all stay."""
-    groups = similar_groups(docs, id_col, text_col, **options)
-    # the text that stands for its component: of the smallest id, and of those the smallest key
-    chosen = groups.filter("label is not null").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("c"))
-    key, id_key, stays = free_name(docs, "_text_key"), free_name(docs, "_id_key"), free_name(docs, "_stays")
-    name = lambda c: F.coalesce(c.cast("string"), F.lit("-"))
-    wanted = saved(chosen.select(F.col("c.text_key").alias(key), name(F.col("c.doc_id")).alias(id_key), F.lit(True).alias(stays)), "chosen")
-    empty = saved(groups.filter("label is null").select(F.col("text_key").alias(key), name(F.col("doc_id")).alias(id_key), F.lit(False).alias(stays)).distinct(), "empty")
-    rows = docs.withColumn(key, F.xxhash64(text_col)).withColumn(id_key, name(F.col(id_col).cast("long")))
-    kept = rows.join(wanted.unionByName(empty), [key, id_key])
-    once = kept.filter(stays).dropDuplicates([key, id_key])
-    return once.unionByName(kept.filter(~F.col(stays))).select(*docs.columns)
+    """All columns of one row of each group: one with the smallest id; rows without words all stay; null ids come last; wholly repeated rows of a group count once."""
+    groups = similar_groups(docs, id_col, text_col, **options).filter("label is not null").select("doc_id", "row_key", "label")
+    chosen = groups.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("c")).select("label", F.col("c.row_key").alias("best"))
+    key = free_name(docs, "_row_key")
+    told = left_join_sized(groups, saved(chosen, "chosen"), ["label"]).groupBy(F.col("row_key").alias(key)).agg(F.max(F.col("row_key") == F.col("best")).alias("stays"), F.count("*").alias("n"))
+    told = saved(told.filter("not stays or n > 1").select(key, F.col("stays").alias(f"{key}_stays")), "told")
+    rows = left_join_sized(docs.withColumn(key, _row_key(id_col, text_col)), told, [key])
+    kept = rows.filter(F.col(f"{key}_stays").isNull()).select(*docs.columns)
+    if told.filter(f"{key}_stays").isEmpty():
+        return kept
+    repeated = rows.filter(f"{key}_stays").dropDuplicates([key]).select(*docs.columns)
+    return kept.unionByName(repeated)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
