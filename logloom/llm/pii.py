@@ -5,7 +5,8 @@ any are fixed as "other".  Words that a base span touches are fixed to its kind.
 neighbouring nodes, and skip edges between a word and the last word before it with the same (first SIMILAR) letters and digits, however far.
 The words of numbers that share their last TAIL digits or more are joined as well, however they are spaced.
 Loopy message passing over both kinds of edges carries a label to its distant repetitions and makes a document's labels agree.
-All weights are learned here, by parts, from the base labels of a bounded sample of documents (``most_docs``).
+All weights are learned here, by parts, from the base labels of a bounded sample of documents (``most_docs``).  What the patterns miss is not taught as "other": words
+without a base label are unknown.  Those that a first regression cannot tell from labelled ones stay unknown and teach nothing; only the rest are "other".
 """
 
 from __future__ import annotations
@@ -78,7 +79,7 @@ def _bucket(n: int, limits: tuple) -> int:
 
 
 _DIGITS, _DOTS = (1, 4, 9, 13, 16, 17, 20), (1, 2, 3, 4)
-FEATURES = 1 + 8 + len(_DIGITS) + 1 + len(_DOTS) + 1 + 2
+FEATURES = 1 + 11 + len(_DIGITS) + 1 + len(_DOTS) + 1 + 2
 
 
 def shape(word: str, before: bool, after: bool) -> list[int]:
@@ -86,6 +87,10 @@ def shape(word: str, before: bool, after: bool) -> list[int]:
     core = word.strip(_EDGES)
     digits = sum("0" <= c <= "9" for c in core)
     marks = ["@" in core, word.startswith("+") or core.startswith("+"), "(" in word or ")" in word, "-" in core, "=" in core, any(c.isalpha() for c in core), core.startswith("555-") or len(core) == 8 and core[3:4] == "-", digits == len(core)]
+    parts = core.split(".")
+    quad = len(parts) == 4 and all(p.isascii() and p.isdigit() for p in parts)
+    fits = quad and all(len(p) <= 3 and int(p) <= 255 for p in parts)
+    marks += [fits, quad and not fits, digits == len(core) and 13 <= digits <= 19 and core.isascii() and luhn(core)]
     on = [0] + [1 + i for i, m in enumerate(marks) if m]
     at = 1 + len(marks)
     on.append(at + _bucket(digits, _DIGITS))
@@ -159,6 +164,10 @@ class Graph:
         return edges
 
 
+#: Weight of the examples that stand for other words with one feature.
+PRIOR = 3.0
+
+
 class Field:
     def __init__(self):
         self.unary = np.zeros((FEATURES, LABELS))
@@ -166,32 +175,56 @@ class Field:
         self.chain = np.zeros((LABELS, LABELS))
         self.skip = 2.0 * np.eye(LABELS)
 
-    def fit(self, graphs: list[tuple[list[list[int]], list[int], list, list]], steps: int = 1500) -> "Field":
-        """Piecewise training: the regression on single words, the edges on pairs of labels."""
+    @staticmethod
+    def _regression(x: np.ndarray, labels: np.ndarray, weight: np.ndarray, steps: int) -> np.ndarray:
+        y, w, total = np.eye(LABELS)[labels], np.zeros((FEATURES, LABELS)), max(weight.sum(), 1.0)
+        for _ in range(steps):
+            z = x @ w
+            z -= z.max(1, keepdims=True)
+            p = np.exp(z)
+            p /= p.sum(1, keepdims=True)
+            w -= 2.0 * (x.T @ ((p - y) * weight[:, None]) / total + 1e-5 * w)
+        return w
+
+    def fit(self, graphs: list[tuple[list[list[int]], list[int], list, list]], steps: int = 1500, alike: float = 0.5) -> "Field":
+        """Piecewise training: the regression on single words, the edges on pairs of labels.  Labels are -1 where the patterns say nothing.
+
+        An unlabelled word that the first regression holds for data with a chance of ``alike`` or more stays unknown.
+        """
         rows = [(f, y) for fs, ys, _, _ in graphs for f, y in zip(fs, ys)]
         if rows:
             x = np.zeros((len(rows), FEATURES))
             for i, (f, _) in enumerate(rows):
                 x[i, f] = 1
-            y = np.eye(LABELS)[[y for _, y in rows]]
-            w = np.zeros((FEATURES, LABELS))
-            for _ in range(steps):
-                z = x @ w
-                z -= z.max(1, keepdims=True)
-                p = np.exp(z)
-                p /= p.sum(1, keepdims=True)
-                w -= 2.0 * (x.T @ (p - y) / len(rows) + 1e-5 * w)
-            self.unary = w
-            share = (y.sum(0) + 1) / (len(rows) + LABELS)
+            given = np.array([y for _, y in rows])
+            # each feature alone, and with neighbours, has been seen on a few other words: one trait makes no data
+            alone = np.repeat(np.eye(FEATURES), 2, axis=0)
+            alone[:, 0] = 1
+            alone[1::2, -2:] = 1
+            x, given = np.concatenate([x, alone]), np.concatenate([given, np.zeros(len(alone), int)])
+            weight = np.concatenate([np.ones(len(rows)), np.full(len(alone), PRIOR)])
+            labels = np.maximum(given, 0)
+            first = x @ self._regression(x, labels, weight, steps // 3)
+            chance = np.exp(first - first.max(1, keepdims=True))
+            chance = 1 - chance[:, 0] / chance.sum(1)
+            known = (given > 0) | (chance < alike)
+            self.unary = self._regression(x, labels, known * weight, steps)
+            known = known[: len(rows)]
             pairs = np.ones((LABELS, LABELS)) * 0.5
-            same = np.ones(2)
+            same = np.array([0.1, 40.0])  # differing and equal labels of words that are alike, before any is seen
+            at = 0
             for _, ys, chain, skip in graphs:
+                ok = known[at : at + len(ys)]
+                at += len(ys)
                 for a, b in chain:
-                    pairs[ys[a], ys[b]] += 1
+                    if ok[a] and ok[b]:
+                        pairs[max(ys[a], 0), max(ys[b], 0)] += 1
                 for a, b in skip:
-                    same[int(ys[a] == ys[b])] += 1
-            self.chain = np.clip(np.log(pairs / pairs.sum()) - np.log(np.outer(share, share)), -3, 3)
-            self.skip = np.clip(np.log(same[1] / same[0]), 1.0, 4.0) * np.eye(LABELS)
+                    if ys[a] > 0 and ys[b] > 0:  # one label missing says nothing of the other
+                        same[int(ys[a] == ys[b])] += 1
+            joint = pairs / pairs.sum()
+            self.chain = np.clip(np.log(joint) - np.log(np.outer(joint.sum(1), joint.sum(0))), -3, 3)
+            self.skip = np.clip(np.log(same[1] / same[0]), 3.0, 6.0) * np.eye(LABELS)
         return self
 
     def marginals(self, g: Graph, rounds: int = 20) -> np.ndarray:
@@ -225,7 +258,7 @@ class Field:
         p = np.exp(local)
         return p / p.sum(1, keepdims=True) if n else p
 
-    def added(self, text: str, base: list[tuple[int, int, int]], sure: float = 0.95) -> list[tuple[int, int, int]]:
+    def added(self, text: str, base: list[tuple[int, int, int]], sure: float = 0.5) -> list[tuple[int, int, int]]:
         """Spans that the field finds beside the base spans; neighbouring words of one kind make one."""
         if not _HOT.search(text):
             return []
@@ -250,8 +283,20 @@ class Field:
         return out
 
 
+def spread(graph: Graph, most: int, stretch: int = 20) -> tuple[list[list[int]], list[int], list[list[int]], list[list[int]]]:
+    """Features, labels (-1: unknown), chain and skip edges of at most ``most`` words: all, or stretches of neighbours spread over the whole text."""
+    n = len(graph.spans)
+    kept = np.arange(n)
+    if n > most:
+        begins = np.linspace(0, n - stretch, max(1, most // stretch)).astype(int)
+        kept = np.unique((begins[:, None] + np.arange(stretch)).ravel())[:most]
+    new = {int(k): i for i, k in enumerate(kept)}
+    edges = [[[new[a], new[b]] for a, b in e if a in new and b in new] for e in (graph.chain, graph.skip)]
+    return [graph.features[k] for k in kept], graph.fixed[kept].tolist(), *edges
+
+
 def train(docs: DataFrame, text_col: str = "text", most_docs: int = 600, most_words: int = 200) -> Field:
-    """Learn from the base labels of ``most_docs`` documents in hash order; at most ``most_words`` words of each come to the driver."""
+    """Learn from the base labels of ``most_docs`` documents in hash order; at most ``most_words`` words of each come to the driver, spread over its text."""
     texts = docs.select(F.col(text_col).cast("string").alias("text")).filter(F.col("text").rlike("[0-9@+]")).withColumn("h", F.xxhash64("text"))
     chosen = [r.h for r in texts.select("h").distinct().orderBy("h").limit(most_docs).collect()]
 
@@ -259,12 +304,9 @@ def train(docs: DataFrame, text_col: str = "text", most_docs: int = 600, most_wo
         import pyarrow as pa
 
         for batch in stream:
-            rows = []
-            for text in batch.column("text").to_pylist():
-                g = Graph(text, base_spans(text))
-                rows.append({"f": g.features[:most_words], "y": np.maximum(g.fixed, 0)[:most_words].tolist(), "chain": [list(e) for e in g.chain if e[1] < most_words], "skip": [list(e) for e in g.skip if e[1] < most_words]})
+            rows = [spread(Graph(text, base_spans(text)), most_words) for text in batch.column("text").to_pylist()]
             pairs = pa.list_(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pairs if c != "y" else pa.list_(pa.int64())) for c in ("f", "y", "chain", "skip")], ["f", "y", "chain", "skip"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pairs if i != 1 else pa.list_(pa.int64())) for i in range(4)], ["f", "y", "chain", "skip"])
 
     some = texts.filter(F.col("h").isin(chosen)).groupBy("h").agg(F.min("text").alias("text")).select("text")
     rows = some.mapInArrow(run, "f array<array<bigint>>, y array<bigint>, chain array<array<bigint>>, skip array<array<bigint>>").collect()
