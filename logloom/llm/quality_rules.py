@@ -2,7 +2,7 @@
 
 Each document is measured and held against rules.  Rule failures are then counted for each host; a host's rate is shrunk towards
 the rate of all hosts with a beta prior that is fitted to the hosts' rates, so that a host with few documents is not judged by
-chance; hosts whose shrunk rate of a rule passes the limit reject all their documents.
+chance; hosts whose shrunk rate of a rule lies far beyond what the prior holds for likely reject all their documents.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ RULES = {
     "lines": lambda m: 10 * m["n_dup_lines"] > 3 * m["n_lines"],
 }
 BASE_RULES = ("short", "repeat")
+#: Documents that the prior is worth at most: it steadies small hosts, and does not talk large ones out of their own rates.
+MOST_WORTH = 50.0
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -84,41 +86,57 @@ def measured(docs: DataFrame, text_col: str = "text", out: str = "measures") ->
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, kind)]))
 
 
-def beta_prior(hosts: DataFrame, failed: str, total: str) -> tuple[float, float]:
-    """The beta prior fitted to the hosts' rates by moments: their spread beyond what chance gives at their sizes.  One row comes to the driver."""
+def beta_prior(hosts: DataFrame, failed: str, total: str, rounds: int = 5) -> tuple[float, float]:
+    """The beta prior fitted to the hosts' rates by moments: their spread beyond what chance gives at their sizes.
+
+    Hosts that lie far above the fit would widen it until they looked likely, so they are left out and it is fitted again.  One row a round comes to the driver.
+    """
     k, n = F.col(failed), F.col(total)
-    s = hosts.agg(F.sum(k).alias("k"), F.sum(n).alias("n"), F.count("*").alias("hosts"), F.sum(k * k / n).alias("kk")).first()
-    if not s.n:
-        return 1.0, 1.0
-    mean = (s.k + 0.5) / (s.n + 1.0)
-    spread = max(s.kk / s.n - (s.k / s.n) ** 2, 0.0) - mean * (1 - mean) * s.hosts / s.n
-    strength = mean * (1 - mean) / spread - 1 if spread > 1e-9 else 1e6
-    strength = min(max(strength, 2.0), 1e6)
-    return mean * strength, (1 - mean) * strength
-
-
-def bad_hosts(rows: DataFrame, measures: str, host_col: str, limit: float) -> DataFrame:
-    """One row for each host that a rule rejects, with the shrunk rates.  Documents are counted in their own tasks first; a null host is none."""
+    rows, seen, prior = hosts, None, (1.0, 1.0)
+    for _ in range(rounds):
+        s = rows.agg(F.sum(k).alias("k"), F.sum(n).alias("n"), F.count("*").alias("hosts"), F.sum(k * k / n).alias("kk")).first()
+        if not s.n or s.hosts == seen:
+            break
+        seen = s.hosts
+        mean = (s.k + 0.5) / (s.n + 1.0)
+        spread = max(s.kk / s.n - (s.k / s.n) ** 2, 0.0) - mean * (1 - mean) * s.hosts / s.n
+        strength = mean * (1 - mean) / spread - 1 if spread > 1e-9 else 1e6
+        strength = min(max(strength, 2.0), MOST_WORTH)
+        prior = mean * strength, (1 - mean) * strength
+        chance = F.sqrt(F.lit(mean * (1 - mean)) * (1 / F.lit(strength + 1) + 1 / n))
+        rows = hosts.filter(k / n <= F.lit(mean) + 2 * chance)
+    return prior
+
+
+def likely_most(a: float, b: float, times: float = 3.0, deviations: float = 6.0, ceiling: float = 0.5) -> float:
+    """The rate beyond which a host is no likely draw from the prior: so many times its mean and so many of its standard deviations above it, or the ceiling."""
+    mean = a / (a + b)
+    return min(max(times * mean, mean + deviations * (mean * (1 - mean) / (a + b + 1)) ** 0.5), ceiling)
+
+
+def bad_hosts(rows: DataFrame, measures: str, host_col: str, limit: float | None) -> DataFrame:
+    """One row for each host that a rule rejects, with its worst shrunk rate.  Documents are counted in their own tasks first; a null host is none."""
     m = F.col(measures)
     counts = [F.sum(rule(m).cast("long")).alias(name) for name, rule in RULES.items()]
     hosts = saved(rows.filter(F.col(host_col).isNotNull()).groupBy(F.col(host_col).alias("host")).agg(F.count("*").alias("n"), *counts), "hosts")
-    rates = {}
+    found = []
     for name in RULES:
         a, b = beta_prior(hosts, name, "n")
-        rates[name] = (F.col(name) + F.lit(a)) / (F.col("n") + F.lit(a + b))
-    worst: Column = F.greatest(*rates.values()) if len(rates) > 1 else next(iter(rates.values()))
-    return hosts.select("host", worst.alias("host_rate")).filter(F.col("host_rate") > limit)
+        rate = (F.col(name) + F.lit(a)) / (F.col("n") + F.lit(a + b))
+        found.append(F.struct((rate / F.lit(limit or likely_most(a, b))).alias("excess"), rate.alias("rate")))
+    worst: Column = F.greatest(*found) if len(found) > 1 else found[0]
+    return hosts.select("host", worst.alias("worst")).filter(F.col("worst.excess") > 1).select("host", F.col("worst.rate").alias("host_rate"))
 
 
 @tidy
-def rejected_hosts(docs: DataFrame, host_col: str = "source", text_col: str = "text", limit: float = 0.5) -> DataFrame:
-    """``host, host_rate`` of the hosts that a rule rejects; only measures are written, no texts."""
+def rejected_hosts(docs: DataFrame, host_col: str = "source", text_col: str = "text", limit: float | None = None) -> DataFrame:
+    """``host, host_rate`` of the hosts that a rule rejects (``limit``: a fixed rate in place of the prior's); only measures are written, no texts."""
     out, host = free_name(docs, "measures"), free_name(docs, "_host")
     rows = measured(docs.select(F.col(host_col).cast("string").alias(host), F.col(text_col).alias(text_col)), text_col, out)
     return bad_hosts(saved(rows.select(host, out), "measured"), out, host, limit)
 
 
-def judge(docs: DataFrame, host_col: str = "source", text_col: str = "text", limit: float = 0.5, keep: list[str] | None = None) -> DataFrame:
+def judge(docs: DataFrame, host_col: str = "source", text_col: str = "text", limit: float | None = None, keep: list[str] | None = None) -> DataFrame:
     """The kept columns of every row of ``docs`` (all by default) and a struct ``verdict``: the measures, ``base_failed``, ``host_failed``, ``kept``.
 
     Two passes over the texts: one for the hosts, one for the documents.  Null and empty texts have no words and fail; a null host has no
