@@ -6,6 +6,7 @@ import duckdb
 import numpy as np
 import pytest
 import zstandard
+from pyspark.sql import functions as F
 
 from logloom.llm import byte_cnn, pii, quality_rules, warc
 
@@ -47,6 +48,27 @@ def test_hosts(spark):
     assert quality_rules.judge(df.limit(0)).count() == 0
 
 
+def test_limit_comes_from_the_prior(spark):
+    """A host far above what the others' spread makes likely goes, at a rate that no fixed half would find; a small one with one bad document stays."""
+    good, bad = " ".join(f"word{i}" for i in range(20)), "same same same same " * 6
+    hosts = [(f"h{h}", 60, 4 + h % 3) for h in range(15)] + [("spam", 200, 80), ("small", 1, 1)]
+    rows = [(f"{h}", bad if i < k else f"{good} {h} {i}") for h, n, k in hosts for i in range(n)]
+    df = spark.createDataFrame(rows, "source string, text string")
+    found = {r.host: r.host_rate for r in quality_rules.rejected_hosts(df).collect()}
+    assert found.keys() == {"spam"} and 0.3 < found["spam"] < 0.42
+    a, b = 2.0, 18.0
+    assert 0.1 < quality_rules.likely_most(a, b) <= 0.5
+
+
+def test_very_long_and_empty_texts(spark):
+    long = "word line\n" * 120_000
+    df = spark.createDataFrame([(1, long, "s"), (2, "", "s"), (3, None, None)], "doc_id long, text string, source string")
+    verdicts = {r.doc_id: r[-1] for r in quality_rules.judge(df).collect()}
+    assert (verdicts[1].n_words, verdicts[1].n_dup_lines, verdicts[2].n_words, verdicts[3].n_words) == (240_000, 119_999, 0, 0)
+    found = {r.doc_id: r[-1] for r in pii.find(df.withColumn("text", F.concat("text", F.lit(" a@b.cc"))), field=pii.Field()).collect()}
+    assert [(s.kind, s.start) for s in found[1].base] == [("email", len(long) + 1)] and found[3].base == []
+
+
 # -- personal data -------------------------------------------------------------------------------------------------
 
 PATTERNS = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
@@ -71,6 +93,40 @@ def test_long_words_are_linear():
     assert pii.base_spans("a" * 2_000_000 + " x@y.zz " + "1" * 400_000 + "." + "9" * 5000) == [(0, 2_000_001, 2_000_007)]
 
 
+def test_planted_misses_are_found(spark):
+    """What the patterns miss is no example of "other": repeats without a prefix, with a wrong digit or cut off are found, other numbers are left alone."""
+    g = random.Random(11)
+    word = lambda: "".join(g.choice("abcdefghij") for _ in range(g.randrange(2, 8)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    digits = lambda n: "".join(g.choice("0123456789") for _ in range(n))
+    card = lambda ok: next(c for c in iter(lambda: "4" + digits(15), 0) if pii.luhn(c) == ok)
+    bare = lambda: f"({g.randrange(100, 999)}) 555-{digits(4)}"
+    mail = lambda: f"{word()}.{g.randrange(10, 99)}@mail{g.randrange(9)}.example.com"
+    address = lambda: ".".join(str(g.randrange(1, 255)) for _ in range(4))
+    one = [lambda: card(True), lambda: card(False), lambda: "+1 " + bare(), mail, address, lambda: str(g.randrange(1900, 2030)), lambda: "version 3.", lambda: "BY-NC 4.0.", lambda: f'token = "{g.getrandbits(160):x}"']
+    field = pii.train(spark.createDataFrame([(i, " ".join(f"{prose(8)} {g.choice(one)()}" for _ in range(2))) for i in range(500)], "doc_id long, text string"))
+    planted = hits = told = right = 0
+    for _ in range(60):
+        p, c, m = bare(), card(True), mail()
+        wrong = c[:12] + str((int(c[12]) + 1) % 10) + c[13:]
+        cases = [(3, f"+1 {p}", p), (2, c, wrong), (0, m, m.split(".example")[0])]
+        for kind, whole, part in cases:
+            text = f"{prose(15)} {whole} {prose(40)} again {part} {prose(6)}"
+            at = text.rindex(part)
+            found = field.added(text, pii.base_spans(text))
+            good = [x for x in found if x[0] == kind and at <= x[1] < x[2] <= at + len(part)]
+            planted, hits, told, right = planted + 1, hits + bool(good), told + len(found), right + len(good)
+        for text in (f"{prose(9)} order {card(False)} {prose(5)}", f"in {g.randrange(1900, 2030)} we had 7.2 and 300.{g.randrange(400)}.1.7 {prose(4)}", f"{c} {prose(20)} item {card(False)} 3 of 4 10,000 {digits(8)}"):
+            told += len(field.added(text, pii.base_spans(text)))
+    assert hits >= 0.9 * planted and right >= 0.9 * told
+
+
+def test_sample_words_are_spread():
+    text = " ".join(f"{i}" for i in range(1000))
+    f, y, chain, skip = pii.spread(pii.Graph(text, []), 200)
+    assert len(f) == len(y) == 200 and set(y) == {-1} and len(chain) == 190 and all(b == a + 1 for a, b in chain)
+
+
 def test_field_and_mask(spark):
     g = random.Random(0)
     card = lambda: next(c for c in iter(lambda: "4" + "".join(g.choice("0123456789") for _ in range(15)), 0) if pii.luhn(c))
