@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
+import re
 import tempfile
 import uuid
 
@@ -11,13 +13,14 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder name below the folder that driver and executors share.
+    """A new folder name below the folder that driver and executors share: the session's ``spark.checkpoint.dir``.
 
-    The place is the session's ``spark.checkpoint.dir``; only where that is unset (tests on one
-    machine) a local temporary folder becomes that setting.
+    Only where that is unset and the master is this machine alone (tests), a local temporary folder becomes that setting.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -27,13 +30,31 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 _scratch: list[list[str]] = []
 
 
+#: Rows that one Arrow batch has where a table is written.
+BATCH = 2000
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession):
+    """Python workers get batches of few rows meanwhile: texts may be long."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(BATCH, int(before)) if int(before) > 0 else BATCH))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def saved(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there and lost executors cost nothing."""
-    path = shared_dir(df.sparkSession, name)
-    df.write.option("compression", codec).parquet(path)
+    spark = df.sparkSession
+    path = shared_dir(spark, name)
+    with small_batches(spark):
+        df.write.option("compression", codec).parquet(path)
     if _scratch:
         _scratch[-1].append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_folder(spark: SparkSession, path: str) -> None:
@@ -50,7 +71,8 @@ def tidy(operator):
         try:
             result = operator(docs, *args, **options)
             path = shared_dir(docs.sparkSession, operator.__name__)
-            result.write.option("compression", "zstd").parquet(path)
+            with small_batches(docs.sparkSession):
+                result.write.option("compression", "zstd").parquet(path)
         finally:
             for old in _scratch.pop():
                 drop_folder(docs.sparkSession, old)
@@ -76,24 +98,33 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def left_join_sized(left: DataFrame, right: DataFrame, keys: list[str], max_rows: int = 200_000, salts: int = 16) -> DataFrame:
-    """Left join whose right side has one row for each key.
+#: Bytes of a written table (compressed) up to which it is broadcast.
+SMALL = 4 << 20
+
+
+def written_bytes(df: DataFrame) -> int:
+    """Size of the files behind a written table, or an upper bound for a filter or selection of it, from the plan: no job runs."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
-    ``right`` must be cheap to count (a written table).  Up to ``max_rows`` rows it is broadcast; beyond
-    that both sides are shuffled with a salt, so that a key with a third of the left rows is spread.
+
+def sized(df: DataFrame, most: int = SMALL) -> DataFrame:
+    """``df`` (a written table, or columns of one) marked for broadcast if its files are small."""
+    return F.broadcast(df) if written_bytes(df) <= most else df
+
+
+def left_join_sized(left: DataFrame, right: DataFrame, keys: list[str], most: int = SMALL, salts: int = 16) -> DataFrame:
+    """Left join whose right side is a written table with one row for each key (or few).
+
+    Up to ``most`` bytes it is broadcast; beyond that both sides are shuffled with a salt, so that a key with a third of the left rows is spread.
     """
-    if right.limit(max_rows + 1).count() <= max_rows:
+    if written_bytes(right) <= most:
         return left.join(F.broadcast(right), keys, "left")
     salted = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    spread = left.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in left.columns if c not in keys][:4]), F.lit(salts)).cast("int"))
+    # a hash, not a random number: a task that runs again must deal its rows as before
+    spread = left.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in left.columns if c not in keys]), F.lit(salts)).cast("int"))
     return spread.join(salted, [*keys, "_salt"], "left").drop("_salt")
 
 
-def sized(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
-    """``df`` (a written table of a few numbers a row) marked for broadcast if it has at most ``max_rows`` rows."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
 def free_name(df: DataFrame, name: str) -> str:
     """A column name that ``df`` does not have."""
     taken = {c.lower() for c in df.columns}

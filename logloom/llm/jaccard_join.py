@@ -9,7 +9,7 @@ when their distance (the size of the symmetric difference) is at most a share of
 * Skipping in the lists.  The shingles of a set are ordered from rare to frequent; linked sets share one of their first shingles (the
   prefix).  A star has one row for each shingle in its members' prefixes, with the bounds of their positions and sizes.  Lists are sorted by size; long ones are
   skipped in blocks that know their sizes and positions.  Lists of one component are dropped.
-* Pairs of stars that the lists leave open are bounded by the number of common shingles and by counts in 64 buckets (with a star's radius);
+* Pairs of stars that the lists leave open are bounded by the number of common shingles and by the parities of buckets (with a star's radius);
   what is still open is compared: centre with centre, and from that answer member with member.
 
 No list, star or component is capped.  Frequencies and looks set only the order of work, which the result does not depend on.
@@ -95,9 +95,18 @@ def bands_of(values: np.ndarray) -> np.ndarray:
         return (least[:, 0] * np.uint64(0x9E3779B97F4A7C15) ^ least[:, 1]).view(np.int64)
 
 
-def bucket_counts(values: np.ndarray) -> bytes:
-    """How many of the set's shingles fall into each of 64 buckets (255 stands for more)."""
-    return np.minimum(np.bincount((values >> np.uint64(58)).astype(np.int64), minlength=64), 255).astype(np.uint8).tobytes()
+def parities(values: np.ndarray) -> bytes:
+    """A bit for each of so many buckets that two to four are there for each shingle: whether an odd number of shingles fall into it."""
+    bits = max(64, 1 << (2 * len(values) - 1).bit_length())
+    return np.packbits((np.bincount((values >> np.uint64(24)).astype(np.int64) & (bits - 1), minlength=bits) & 1).astype(bool)).tobytes()
+
+
+def apart(a: bytes, b: bytes) -> int:
+    """The least size of the symmetric difference of two sets with these parities: a bucket of differing parity holds one of it."""
+    x, y = sorted((np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)), key=len)
+    while len(y) > len(x):  # the bucket is the low bits of a hash: halves fold onto each other
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
 
 
 def _row_key(id_col: str, text_col: str):
@@ -105,7 +114,7 @@ def _row_key(id_col: str, text_col: str):
     return F.unhex(F.md5(F.concat(F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit("-")), F.lit(":"), F.coalesce(F.col(text_col).cast("string"), F.lit("")))))
 
 
-SETS = "row long, row_key binary, doc_id long, set_key binary, n long, bands array<long>, buckets binary, prefix binary"
+SETS = "row long, row_key binary, doc_id long, set_key binary, n long, bands array<long>, parity binary, prefix binary"
 
 
 def summarise(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
@@ -124,7 +133,7 @@ def summarise(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int)
                 pa.array([set_key(s) if len(s) else None for s in sets], pa.binary()),
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([bands_of(s) if len(s) else None for s in sets], pa.list_(pa.int64())),
-                pa.array([bucket_counts(s) if len(s) else None for s in sets], pa.binary()),
+                pa.array([parities(s) if len(s) else None for s in sets], pa.binary()),
                 pa.array([prefix_of(s, levels.value, percent).tobytes() if len(s) else None for s in sets], pa.binary()),
             ]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in names[:3]] + made, names)
@@ -267,6 +276,10 @@ def _unions(stream):
         yield told(key, rows)
 
 
+FIELDS = ("shingle", "star", "label", "lo", "hi", "at", "left", "single")
+BLOCKS = "bucket long, data binary"
+
+
 def _narrow(x: np.ndarray) -> bytes:
     """A byte with the width, then the numbers."""
     width = 2 if not len(x) or x.max() < 1 << 16 else 4
@@ -278,30 +291,62 @@ def _wide(data: bytes, at: int, count: int) -> tuple[np.ndarray, int]:
     return np.frombuffer(data, f"<u{width}", count, at + 1).astype(np.int64), at + 1 + width * count
 
 
+def _packed(x: dict[str, np.ndarray], bucket: np.ndarray):
+    """Postings in blocks, one for each bucket: the stars of a block once, then for each posting its shingle, star, place and rest."""
+    import pyarrow as pa
+
+    order = np.argsort(bucket, kind="stable")
+    found, first = np.unique(bucket[order], return_index=True)
+    data = []
+    for i, j in zip(first.tolist(), np.append(first[1:], len(order)).tolist()):
+        mine = order[i:j]
+        stars, at, index = np.unique(x["star"][mine], return_index=True, return_inverse=True)
+        of = {c: x[c][mine[at]] for c in ("label", "lo", "hi", "single")}
+        left = x["left"][mine]
+        plain = bool((left == x["lo"][mine] - x["at"][mine]).all())
+        block = struct.pack("<?II", plain, len(stars), len(mine)) + stars.astype("<i8").tobytes() + of["label"].astype("<i8").tobytes() + of["lo"].astype("<u4").tobytes() + of["hi"].astype("<u4").tobytes() + of["single"].astype("<u1").tobytes()
+        data.append(block + x["shingle"][mine].tobytes() + _narrow(index.reshape(-1)) + _narrow(x["at"][mine]) + (b"" if plain else _narrow(left)))
+    return pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64)), pa.array(data, pa.binary())], ["bucket", "data"])
+
+
+def _unpacked(blocks: list[bytes]) -> dict[str, np.ndarray]:
+    got: dict[str, list] = {c: [] for c in FIELDS}
+    for data in blocks:
+        plain, k, m = struct.unpack_from("<?II", data)
+        i = struct.calcsize("<?II")
+        of = {}
+        for c, kind in (("star", "<i8"), ("label", "<i8"), ("lo", "<u4"), ("hi", "<u4"), ("single", "<u1")):
+            of[c] = np.frombuffer(data, kind, k, i)
+            i += of[c].nbytes
+        values = np.frombuffer(data, "<u8", m, i)
+        index, i = _wide(data, i + 8 * m, m)
+        at, i = _wide(data, i, m)
+        lo = of["lo"][index].astype(np.int32)
+        left = lo - at if plain else _wide(data, i, m)[0]
+        for c, v in zip(FIELDS, (values, of["star"][index], of["label"][index], lo, of["hi"][index].astype(np.int32), at.astype(np.int32), left.astype(np.int32), of["single"][index].astype(bool))):
+            got[c].append(v)
+    return {c: np.concatenate(v) for c, v in got.items()}
+
+
+def _by_shingle(x: dict[str, np.ndarray], buckets: int) -> np.ndarray:
+    return (x["shingle"] >> np.uint64(20)) % np.uint64(buckets)
+
+
+def _by_star(x: dict[str, np.ndarray], buckets: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return (x["star"].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)) % np.uint64(buckets)
+
+
 def _blocks(buckets: int, most: int = 400_000):
-    """Postings in packed blocks, by bucket of the shingle: the stars of a block once, then for each posting its shingle, star, place and rest."""
+    """Postings of rows (``star, label, lo, hi`` and a prefix, or shingles with places and rests) in packed blocks, by bucket of the shingle."""
 
     def flush(held):
-        import pyarrow as pa
-
+        x = {c: np.repeat(np.array([r[i] for r in held], np.int64), [len(r[4]) for r in held]) for i, c in enumerate(("star", "label", "lo", "hi"))}
+        x |= {"shingle": np.concatenate([r[4] for r in held]), "at": np.concatenate([r[5] for r in held])}
         single = held[0][6] is None
-        star, label, lo, hi = (np.array([r[i] for r in held], "<i8") for i in range(4))
-        values = np.concatenate([r[4] for r in held])
-        which = np.repeat(np.arange(len(held)), [len(r[4]) for r in held])
-        at = np.concatenate([r[5] for r in held])
-        left = None if single else np.concatenate([r[6] for r in held])
-        bucket = (values >> np.uint64(20)) % np.uint64(buckets)
-        order = np.argsort(bucket, kind="stable")
-        found, first = np.unique(bucket[order], return_index=True)
-        names, data = [], []
-        for b, i, j in zip(found.tolist(), first.tolist(), np.append(first[1:], len(order)).tolist()):
-            mine = order[i:j]
-            used, index = np.unique(which[mine], return_inverse=True)
-            block = struct.pack("<?II", single, len(used), len(mine)) + star[used].tobytes() + label[used].tobytes() + lo[used].astype("<u4").tobytes() + hi[used].astype("<u4").tobytes()
-            block += values[mine].tobytes() + _narrow(index) + _narrow(at[mine]) + (b"" if single else _narrow(left[mine]))
-            names.append(b)
-            data.append(block)
-        return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(data, pa.binary())], ["bucket", "data"])
+        x["left"] = x["lo"] - x["at"] if single else np.concatenate([r[6] for r in held])
+        x["single"] = np.full(len(x["at"]), single)
+        return _packed(x, _by_shingle(x, buckets))
 
     def run(stream):
         held, size = [], 0
@@ -312,7 +357,7 @@ def _blocks(buckets: int, most: int = 400_000):
                 if single:
                     held.append((*row[:4], values, np.arange(len(values)), None))
                 else:
-                    held.append((*row[:4], values, *(np.frombuffer(x, "<u4") for x in row[5:])))
+                    held.append((*row[:4], values, *(np.frombuffer(x, "<u4").astype(np.int64) for x in row[5:])))
                 size += len(values)
                 if size >= most:
                     yield flush(held)
@@ -323,20 +368,53 @@ def _blocks(buckets: int, most: int = 400_000):
     return run
 
 
-def _unpacked(blocks: list[bytes]) -> dict[str, np.ndarray]:
-    got: dict[str, list] = {c: [] for c in ("shingle", "star", "label", "lo", "hi", "at", "left", "single")}
-    for data in blocks:
-        single, k, m = struct.unpack_from("<?II", data)
-        i = struct.calcsize("<?II")
-        star, label = np.frombuffer(data, "<i8", k, i), np.frombuffer(data, "<i8", k, i + 8 * k)
-        lo, hi = np.frombuffer(data, "<u4", k, i + 16 * k), np.frombuffer(data, "<u4", k, i + 20 * k)
-        values = np.frombuffer(data, "<u8", m, i + 24 * k)
-        index, i = _wide(data, i + 24 * k + 8 * m, m)
-        at, i = _wide(data, i, m)
-        left = lo[index].astype(np.int64) - at if single else _wide(data, i, m)[0]
-        for c, v in zip(got, (values, star[index], label[index], lo[index].astype(np.int32), hi[index].astype(np.int32), at.astype(np.int32), left.astype(np.int32), np.full(m, single))):
-            got[c].append(v)
-    return {c: np.concatenate(v) for c, v in got.items()}
+def _each_bucket(make):
+    """For mapInArrow over blocks sorted by bucket: what ``make`` gives for the postings of each bucket."""
+
+    def run(stream):
+        bucket, blocks = None, []
+        for batch in slices(stream):
+            for b, data in zip(batch.column("bucket").to_pylist(), batch.column("data").to_pylist()):
+                if blocks and b != bucket:
+                    yield from make(_unpacked(blocks))
+                    blocks = []
+                bucket = b
+                blocks.append(data)
+        if blocks:
+            yield from make(_unpacked(blocks))
+
+    return run
+
+
+def _shared_postings(buckets: int):
+    """Of each list those that more than one component shares, by star."""
+
+    def make(x):
+        x, ends = _mixed_lists(x)
+        if len(ends):
+            yield _packed(x, _by_star(x, buckets))
+
+    return make
+
+
+def _ranked(percent: int, buckets: int):
+    """Places of a single set's postings among those that another component has too: what only it has can be common with no other.
+
+    So much less may be common before a posting and behind it; behind the prefix anything may be.
+    """
+
+    def make(x):
+        order = np.lexsort((x["at"], x["star"]))
+        x = {c: v[order] for c, v in x.items()}
+        first = np.flatnonzero(np.concatenate([[True], x["star"][1:] != x["star"][:-1]]))
+        sizes = np.diff(np.append(first, len(order)))
+        rank = np.arange(len(order)) - np.repeat(first, sizes)
+        behind = -(-percent * x["lo"].astype(np.int64) // 100) - 1
+        x["at"] = np.where(x["single"], rank, x["at"])
+        x["left"] = np.where(x["single"], np.repeat(sizes, sizes) - rank + behind, x["left"])
+        yield _packed(x, _by_shingle(x, buckets))
+
+    return make
 
 
 def _mixed_lists(x: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], np.ndarray]:
@@ -359,7 +437,7 @@ def _mixed_lists(x: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], np.nd
 def _crossings(percent: int):
     """Of each list the pairs of different components that sizes and positions allow.
 
-    A common shingle at these positions has at most as many common ones before it as the lower position, and behind it as the shorter rest.  ``rest`` is
+    A common shingle at these positions has at most as many common ones before it as the lower position, and from it on as the shorter rest.  ``rest`` is
     what may be common behind it.  Stars count with the bounds of their members.
     """
 
@@ -402,14 +480,22 @@ def _crossings(percent: int):
                     yield np.full(int(ok.sum()), i), j[ok], need[ok], rest[ok]
 
     def told(x, found):
+        """Rows of one star with many of its partners, packed; a pair that several lists of the bucket hold is one entry."""
         import pyarrow as pa
 
         i, j, need, rest = (np.concatenate(c) for c in zip(*found))
         a, b = x["star"][i], x["star"][j]
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(rest.astype(np.int64) - 1), pa.array(need), pa.array(x["single"][i] & x["single"][j])], ["a", "b", "rest", "need", "single"])
-
-    def whole(blocks):
-        x, ends = _mixed_lists(_unpacked(blocks))
+        entries = _summed(np.minimum(a, b), np.maximum(a, b), np.ones(len(a), np.int64), rest.astype(np.int64) - 1, rest.astype(np.int64) - 1, need, x["single"][i] & x["single"][j])
+        with np.errstate(over="ignore"):
+            slot = ((entries[1].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % SLOT
+        order = np.lexsort((slot, entries[0]))
+        entries, slot = [e[order] for e in entries], slot[order]
+        first = np.flatnonzero(np.concatenate([[True], (entries[0][1:] != entries[0][:-1]) | (slot[1:] != slot[:-1])]))
+        data = [b"".join(e[p:q].astype(t).tobytes() for e, t in zip(entries[1:], _ENTRY)) for p, q in zip(first.tolist(), np.append(first[1:], len(slot)).tolist())]
+        return pa.RecordBatch.from_arrays([pa.array(entries[0][first]), pa.array(slot[first]), pa.array(data, pa.binary())], ["a", "slot", "data"])
+
+    def make(x):
+        x, ends = _mixed_lists(x)
         found, size = [], 0
         for p in pairs(x, ends) if len(ends) else ():
             found.append(p)
@@ -420,19 +506,49 @@ def _crossings(percent: int):
         if found:
             yield told(x, found)
 
-    def run(stream):
-        bucket, blocks = None, []
-        for batch in slices(stream):
-            for b, data in zip(batch.column("bucket").to_pylist(), batch.column("data").to_pylist()):
-                if blocks and b != bucket:
-                    yield from whole(blocks)
-                    blocks = []
-                bucket = b
-                blocks.append(data)
-        if blocks:
-            yield from whole(blocks)
+    return make
 
-    return run
+
+#: Parts of a star's partners, and what is told of each: partner, common shingles, least and most that may follow, need, whether both are single sets.
+SLOT = 8
+_ENTRY = ("<i8", "<i4", "<i4", "<i4", "<i4", "<i1")
+
+
+def _summed(a, b, seen, least, most, need, single) -> list[np.ndarray]:
+    """Entries of the same pair together."""
+    order = np.lexsort((b, a))
+    a, b, seen, least, most, need, single = (v[order] for v in (a, b, seen, least, most, need, single))
+    first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+    return [a[first], b[first], np.add.reduceat(seen, first), np.minimum.reduceat(least, first), np.maximum.reduceat(most, first), np.minimum.reduceat(need, first), single[first]]
+
+
+def _by_count(stream):
+    """Pairs whose common shingles in the lists and what may follow the last of them reach the needed overlap; rows sorted by star and slot."""
+    import pyarrow as pa
+
+    def opened(key, parts):
+        count = [len(d) // 25 for d in parts]
+        columns = [[] for _ in _ENTRY]
+        for d, n in zip(parts, count):
+            at = 0
+            for c, t in zip(columns, _ENTRY):
+                c.append(np.frombuffer(d, t, n, at).astype(np.int64))
+                at += c[-1].size * np.dtype(t).itemsize
+        b, *rest = (np.concatenate(c) for c in columns)
+        a, b, seen, least, most, need, single = _summed(np.full(len(b), key[0]), b, *rest)
+        ok = seen + np.where(single == 1, least, most) >= need
+        return pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], ["a", "b"])
+
+    key, parts = None, []
+    for batch in slices(stream, 10_000):
+        for a, slot, data in zip(*(batch.column(c).to_pylist() for c in ("a", "slot", "data"))):
+            if parts and key != (a, slot):
+                yield opened(key, parts)
+                parts = []
+            key = (a, slot)
+            parts.append(data)
+    if parts:
+        yield opened(key, parts)
 
 
 def candidates(prefixes: DataFrame, starred: DataFrame | None, labels: DataFrame | None, percent: int) -> DataFrame:
@@ -452,40 +568,55 @@ def candidates(prefixes: DataFrame, starred: DataFrame | None, labels: DataFrame
         grouped = rows.mapInArrow(_unions, "star long, label long, lo long, hi long, shingles binary, at binary, left binary")
     postings = prefixes.agg(F.sum(F.octet_length("prefix") / 8)).first()[0] or 0
     buckets = max(n, -(-int(postings) // POSTINGS))
-    blocks = alone.mapInArrow(_blocks(buckets), "bucket long, data binary")
+    blocks = alone.mapInArrow(_blocks(buckets), BLOCKS)
     if grouped is not None:
-        blocks = blocks.unionByName(grouped.mapInArrow(_blocks(buckets), "bucket long, data binary"))
-    crossing = blocks.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_crossings(percent), "a long, b long, rest long, need long, single boolean")
-    counted = crossing.groupBy("a", "b").agg(F.count("*").alias("seen"), F.min("rest").alias("least"), F.max("rest").alias("most"), F.min("need").alias("need"), F.min("single").alias("single"))
-    return saved(counted.filter(F.col("seen") + F.when(F.col("single"), F.col("least")).otherwise(F.col("most")) >= F.col("need")).select("a", "b"), "counted")
+        blocks = blocks.unionByName(grouped.mapInArrow(_blocks(buckets), BLOCKS))
+    dealt = lambda rows: rows.repartition(n, "bucket").sortWithinPartitions("bucket")
+    shared = dealt(blocks).mapInArrow(_each_bucket(_shared_postings(buckets)), BLOCKS)
+    ranked = dealt(shared).mapInArrow(_each_bucket(_ranked(percent, buckets)), BLOCKS)
+    crossing = dealt(ranked).mapInArrow(_each_bucket(_crossings(percent)), "a long, slot long, data binary")
+    return saved(crossing.repartition(n, "a", "slot").sortWithinPartitions("a", "slot").mapInArrow(_by_count, "a long, b long"), "counted")
+
 
+def open_pairs(pairs: DataFrame, sets: DataFrame, stars: DataFrame | None, percent: int) -> DataFrame:
+    """``a, b, blocks`` of pairs that parities and radii leave open; a has the more members, ``blocks`` parts of them.
 
-def open_pairs(pairs: DataFrame, nodes: DataFrame, stars: DataFrame | None, percent: int) -> DataFrame:
-    """``a, b, blocks`` of pairs that bucket counts and radii leave open; a has the more members, ``blocks`` parts of them."""
-    asked = saved(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "asked")
-    known = left_join_sized(nodes.select("node", "n", "buckets"), asked.withColumn("asked", F.lit(True)), ["node"]).filter("asked").drop("asked")
+    Sorted like texts for a comparison: a centre's facts once for each part of its pairs, then those of its partners.
+    """
+    spark = pairs.sparkSession
+    asked = saved(pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct().withColumn("asked", F.lit(True)), "asked")
+    known = left_join_sized(sets.select("row", "n", "parity"), asked, ["row"]).filter("asked").select(F.col("row").alias("star"), "n", "parity")
     if stars is not None:
-        known = left_join_sized(known.withColumnRenamed("node", "star"), stars, ["star"]).withColumnRenamed("star", "node")
+        known = left_join_sized(known, stars, ["star"])
     else:
         known = known.withColumns({"radius": F.lit(None).cast("long"), "hi": F.lit(None).cast("long"), "members": F.lit(None).cast("long")})
-    told = known.select("node", "buckets", F.coalesce("radius", F.lit(0)).cast("long").alias("r"), F.greatest("n", "hi").alias("hi"), F.coalesce("members", F.lit(0)).cast("long").alias("m"))
-    told = saved(told, "known")
-    both = pairs
-    for x in ("a", "b"):
-        both = left_join_sized(both, told.select(F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("buckets", "r", "hi", "m"))), [x])
+    told = saved(known.select("star", "parity", F.coalesce("radius", F.lit(0)).cast("long").alias("r"), F.greatest("n", "hi").alias("hi"), F.coalesce("members", F.lit(0)).cast("long").alias("m")), "known")
+    parts = saved(pairs.groupBy("a").agg(F.ceil(F.count("*") / PAIRS).cast("int").alias("parts")), "parts")
+    split = saved(left_join_sized(pairs, parts, ["a"]).withColumn("part", F.pmod(F.xxhash64("b"), "parts").cast("int")).select("a", "b", "part"), "split")
+    facts = ["parity", "r", "hi", "m"]
+    centres = told.withColumnRenamed("star", "a").join(sized(saved(split.select("a", "part").distinct(), "heads")), "a").select("a", "part", F.lit(None).cast("long").alias("b"), *facts)
+    partners = told.withColumnRenamed("star", "b").join(sized(split), "b").select("a", "part", "b", *facts)
 
     def run(stream):
         import pyarrow as pa
 
+        key = mine = None
         for batch in slices(stream, 10_000):
-            x, y = (np.frombuffer(b"".join(batch.column(f"buckets_{s}").to_pylist()), np.uint8).reshape(-1, 64).astype(np.int64) for s in "ab")
-            a, b, r_a, r_b, hi_a, hi_b, m_a, m_b = (batch.column(c).to_numpy() for c in ("a", "b", "r_a", "r_b", "hi_a", "hi_b", "m_a", "m_b"))
-            ok = (100 + percent) * (np.abs(x - y).sum(1) - r_a - r_b) <= (100 - percent) * (hi_a + hi_b)
-            more = m_b > m_a
-            columns = [np.where(more, b, a)[ok], np.where(more, a, b)[ok], 1 + np.maximum(m_a, m_b)[ok] // MEMBERS]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "b", "blocks"])
+            out = []
+            for a, part, b, *other in zip(*(batch.column(c).to_pylist() for c in ("a", "part", "b", *facts))):
+                if b is None:
+                    key, mine = (a, part), other
+                    continue
+                if key != (a, part):
+                    raise ValueError("a pair without its centre")
+                (x, r_a, hi_a, m_a), (y, r_b, hi_b, m_b) = mine, other
+                if (100 + percent) * (apart(x, y) - r_a - r_b) <= (100 - percent) * (hi_a + hi_b):
+                    out.append((b, a, 1 + m_b // MEMBERS) if m_b > m_a else (a, b, 1 + m_a // MEMBERS))
+            columns = list(zip(*out)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b", "blocks"])
 
-    return saved(both.select("a", "b", "buckets_a", "buckets_b", "r_a", "r_b", "hi_a", "hi_b", "m_a", "m_b").mapInArrow(run, "a long, b long, blocks long"), "open")
+    together = partners.unionByName(centres).repartition(partitions(spark), "a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+    return saved(together.mapInArrow(run, "a long, b long, blocks long"), "open")
 
 
 def _decide(percent: int, k: int):
@@ -585,13 +716,13 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     groups = saved(sets.filter("n > 0").groupBy("set_key").agg(F.min("row").alias("node"), F.min("doc_id").alias("first_id"), F.count("*").alias("copies")), "groups")
     copies = saved(groups.filter("copies > 1").select("set_key", "node"), "copies")
     one_each = lambda *columns: left_join_sized(sets.filter("n > 0").select("row", "set_key", *columns), copies, ["set_key"]).filter("node is null or node = row").drop("node").withColumnRenamed("row", "node")
-    nodes = saved(one_each("row_key", "n", "bands", "buckets").drop("set_key"), "nodes")
+    nodes = saved(one_each("row_key", "bands").drop("set_key"), "nodes")
     texts_for = lambda wanted: texts_of(docs, id_col, text_col, nodes, wanted)
     starred, edges, labels = make_stars(nodes, texts_for, percent, k, turns)
     stars = None
     if starred is not None:
         stars = saved(starred.groupBy("star").agg(F.max("d").alias("radius"), F.max("n").alias("hi"), F.count("*").alias("members")), "stars")
-    pairs = open_pairs(candidates(one_each("n", "prefix").drop("set_key"), starred, labels, percent), nodes, stars, percent)
+    pairs = open_pairs(candidates(one_each("n", "prefix").drop("set_key"), starred, labels, percent), sets, stars, percent)
     if not pairs.isEmpty():
         ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
         found = decide(texts_for(saved(ends, "ends")), pairs, starred, percent, k)
