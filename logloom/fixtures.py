@@ -32,21 +32,28 @@ FROM (
 """
 
 _BOUNDS = "(SELECT file_seq, file, min(ts) AS ts0, max(ts) AS ts1 FROM log_events GROUP BY file_seq, file)"
+_NO_ID = "CAST(NULL AS STRING) AS uuid, CAST(NULL AS STRING) AS tag, CAST(NULL AS BIGINT) AS gno, CAST(NULL AS BIGINT) AS txn_length, CAST(NULL AS BIGINT) AS sequence_number, CAST(NULL AS BIGINT) AS last_committed"
 FRAMED_EVENTS = f"""
-SELECT file_seq, file, ord, type_name, artificial, event_size, ts, txn_no,
+SELECT file_seq, file, ord, type_name, artificial, event_size, ts, txn_no, uuid, tag, gno, txn_length, sequence_number, last_committed,
        CASE WHEN artificial THEN CAST(0 AS BIGINT) ELSE
          CAST(4 + sum(CASE WHEN artificial THEN 0 ELSE event_size END) OVER (PARTITION BY file_seq ORDER BY ord) AS BIGINT) END AS next_pos
 FROM (
   SELECT file_seq, file, CAST(-3 AS BIGINT) AS ord, 'rotate' AS type_name, TRUE AS artificial, CAST(27 + length(file) AS BIGINT) AS event_size,
-         CAST(NULL AS TIMESTAMP) AS ts, CAST(NULL AS BIGINT) AS txn_no FROM {_BOUNDS} b
-  UNION ALL SELECT file_seq, file, CAST(-2 AS BIGINT), 'format_description', FALSE, CAST(123 AS BIGINT), ts0, CAST(NULL AS BIGINT) FROM {_BOUNDS} b
-  UNION ALL SELECT file_seq, file, CAST(-1 AS BIGINT), 'previous_gtids_log', FALSE, CAST(31 AS BIGINT), ts0, CAST(NULL AS BIGINT) FROM {_BOUNDS} b
-  UNION ALL SELECT file_seq, file, event_no, type_name, FALSE, event_size, ts, txn_no FROM log_events
+         CAST(NULL AS TIMESTAMP) AS ts, CAST(NULL AS BIGINT) AS txn_no, {_NO_ID} FROM {_BOUNDS} b
+  UNION ALL SELECT file_seq, file, CAST(-2 AS BIGINT), 'format_description', FALSE, CAST(123 AS BIGINT), ts0, CAST(NULL AS BIGINT), {_NO_ID} FROM {_BOUNDS} b
+  UNION ALL SELECT file_seq, file, CAST(-1 AS BIGINT), 'previous_gtids_log', FALSE, CAST(31 AS BIGINT), ts0, CAST(NULL AS BIGINT), {_NO_ID} FROM {_BOUNDS} b
+  UNION ALL SELECT file_seq, file, event_no, type_name, FALSE, event_size, ts, txn_no, uuid, tag, gno, txn_length, sequence_number, last_committed FROM log_events
   UNION ALL SELECT file_seq, file, CAST(9000000000 AS BIGINT), CASE WHEN file_seq % 4 = 0 THEN 'stop' ELSE 'rotate' END, FALSE,
-         CAST(CASE WHEN file_seq % 4 = 0 THEN 23 ELSE 31 + length(file) END AS BIGINT), ts1, CAST(NULL AS BIGINT) FROM {_BOUNDS} b WHERE file_seq % 5 <> 0
+         CAST(CASE WHEN file_seq % 4 = 0 THEN 23 ELSE 31 + length(file) END AS BIGINT), ts1, CAST(NULL AS BIGINT), {_NO_ID} FROM {_BOUNDS} b WHERE file_seq % 5 <> 0
 ) u
 """
 
+#: files that lack their description, and files that lack their previous ids
+FRAMED_EVENTS_BAD = "SELECT * FROM framed_events WHERE NOT (file_seq % 6 = 0 AND ord = -2) AND NOT (file_seq % 3 = 1 AND ord = -1)"
+
+#: files that end within a transaction
+LOG_EVENTS_CUT = "SELECT * FROM log_events WHERE event_no % 500 < 497"
+
 LOG_EVENTS_BAD = """
 SELECT event_no, file, file_seq, txn_no, pos_in_txn, ts, type_name, uuid, tag, gno, event_size, start_pos,
        CASE WHEN event_no % 1009 = 100 THEN next_pos + 1 ELSE next_pos END AS next_pos,
@@ -92,6 +99,8 @@ STORE_LISTING = "SELECT name, size FROM log_files WHERE file_seq % 13 <> 5"
 VIEWS = {
     "log_events": LOG_EVENTS,
     "framed_events": FRAMED_EVENTS,
+    "framed_events_bad": FRAMED_EVENTS_BAD,
+    "log_events_cut": LOG_EVENTS_CUT,
     "log_events_bad": LOG_EVENTS_BAD,
     "interval_rows": INTERVAL_ROWS,
     "log_files": LOG_FILES,

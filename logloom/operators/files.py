@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import binlog_base, parse_time
-from .gtid import TSID, canonical, first_cover, format_gtid_set, gtid_set_agg, gtid_subtract, gtid_union, parse_gtid_set
+from ..functions.scalars import binlog_base, is_file_end, parse_time
+from .gtid import TSID, canonical, first_cover, format_gtid_set, gtid_set_agg, gtid_subtract, gtid_union, overlap_join, parse_gtid_set
 from .sequence import assign_transactions, drop_incomplete_tail
 
 
@@ -30,12 +30,23 @@ def file_size(events: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return drop_incomplete_tail(events, keys).groupBy(*(keys or []), "file_seq").agg((F.lit(4) + F.sum("event_size")).cast("long").alias("size"))
 
 
+def _transactions(events: DataFrame, keys: list[str] | None) -> DataFrame:
+    """One row for each transaction of a file, whole or not, and one for each framing row and what stands before the first transaction."""
+    group = [*(keys or []), "file_seq"]
+    ts = F.nullif(F.col("ts"), F.timestamp_seconds(F.lit(0)))
+    first = F.min_by(F.struct("uuid", "tag", "gno", "sequence_number", "txn_length"), "event_no")
+    named = assign_transactions(events, keys)
+    alone = F.when(F.coalesce(F.col("txn_in_file"), F.lit(0)) == 0, F.col("event_no"))
+    artificial = F.col("artificial") if "artificial" in events.columns else F.lit(False)
+    sums = named.withColumn("_alone", alone).withColumn("_end", is_file_end(F.col("type_name"), artificial)).groupBy(*group, "txn_in_file", "_alone").agg(
+        first.alias("t"), F.min("file").alias("name"), F.sum("event_size").alias("_size"), F.min(ts).alias("min_ts"), F.max(ts).alias("max_ts"), F.max("event_no").alias("_last"), F.max("_end").alias("_end")
+    )
+    return sums.withColumn("whole", F.coalesce((F.col("txn_in_file") > 0) & (F.col("_size") == F.col("t.txn_length")), F.lit(False)))
+
+
 def _completed(events: DataFrame, keys: list[str] | None) -> DataFrame:
     """One row for each completed transaction of a file."""
-    group = [*(keys or []), "file_seq", "txn_in_file"]
-    first = F.min_by(F.struct("uuid", "tag", "gno", "sequence_number", "txn_length", "start_pos"), "event_no")
-    txns = assign_transactions(events, keys).filter("txn_in_file > 0").groupBy(*group).agg(first.alias("t"), F.sum("event_size").alias("_size"))
-    return txns.filter(F.col("_size") == F.col("t.txn_length")).select(*(keys or []), "file_seq", "t.*")
+    return _transactions(events, keys).filter("whole").select(*(keys or []), "file_seq", "t.*", "_last")
 
 
 def file_added_gtids(events: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -46,18 +57,26 @@ def file_added_gtids(events: DataFrame, keys: list[str] | None = None) -> DataFr
 def file_last_seq(events: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Sequence number of the last completed transaction, 0 if there is none."""
     group = [*(keys or []), "file_seq"]
-    done = _completed(events, keys).groupBy(*group).agg(F.max_by("sequence_number", "start_pos").alias("last_sequence_number"))
-    return events.select(*group).distinct().join(done, group, "left").select(*group, F.coalesce("last_sequence_number", F.lit(0).cast("long")).alias("last_sequence_number"))
+    done = F.max_by(F.col("t.sequence_number"), F.when(F.col("whole"), F.col("_last")))
+    return _transactions(events, keys).groupBy(*group).agg(F.coalesce(done, F.lit(0).cast("long")).alias("last_sequence_number"))
 
 
 def build_files(events: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """The catalogue's row of each file, with its added set as text.  Events are grouped by transaction, then by file."""
+    """The catalogue's row of each file, with its added set as text.
+
+    Events become transactions in one pass; sizes, times, clocks and sets are sums over those.  What stands behind the last boundary of a file does not count.
+    """
     group = [*(keys or []), "file_seq"]
-    stored = drop_incomplete_tail(events, keys)
-    ts = F.nullif(F.col("ts"), F.timestamp_seconds(F.lit(0)))
-    sums = stored.groupBy(*group).agg(F.min("file").alias("name"), (F.lit(4) + F.sum("event_size")).cast("long").alias("size"), F.min(ts).alias("min_ts"), F.max(ts).alias("max_ts"))
-    added = format_gtid_set(file_added_gtids(events, keys), group, "added_gtids")
-    return sums.join(file_last_seq(events, keys), group, "left").join(added, group, "left").select(*group, "name", "size", "added_gtids", "min_ts", "max_ts", "last_sequence_number")
+    txns = _transactions(events, keys)
+    last = F.max(F.when(F.col("whole") | F.col("_end"), F.col("_last"))).over(Window.partitionBy(*group))
+    stored = txns.withColumn("_stored", last).filter(F.col("_last") <= F.col("_stored"))
+    done = F.max_by(F.col("t.sequence_number"), F.when(F.col("whole"), F.col("_last")))
+    sums = stored.groupBy(*group).agg(
+        F.min("name").alias("name"), (F.lit(4) + F.sum("_size")).cast("long").alias("size"), F.min("min_ts").alias("min_ts"), F.max("max_ts").alias("max_ts"), F.coalesce(done, F.lit(0).cast("long")).alias("last_sequence_number")
+    )
+    ids = txns.filter("whole").select(*group, "t.uuid", "t.tag", "t.gno").filter(F.col("gno") >= 1)
+    added = format_gtid_set(gtid_set_agg(ids, group), group, "added_gtids")
+    return sums.join(added, group, "left").select(*group, "name", "size", "added_gtids", "min_ts", "max_ts", "last_sequence_number")
 
 
 # -- questions ---------------------------------------------------------------------------------------------------
@@ -86,22 +105,26 @@ def search_by_timestamp(files: DataFrame, t: str, keys: list[str] | None = None,
     return out
 
 
-def covering_files(wanted: DataFrame, added: DataFrame) -> DataFrame:
-    """``file_seq`` of the files that a walk in order would take: those that are the first to hold some wanted number."""
-    overlap = first_cover(gtid_intersect_by_file(wanted, added))
-    return overlap.select("file_seq").distinct()
+def covering_files(wanted: DataFrame, added: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """``keys, file_seq`` of the files that a walk in order would take: those that are the first to hold some wanted number."""
+    overlap = first_cover(gtid_intersect_by_file(wanted, added, keys), keys)
+    return overlap.select(*(keys or []), "file_seq").distinct()
+
 
+def gtid_intersect_by_file(wanted: DataFrame, added: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """What each file adds of the wanted set: clipped intervals with their file.  ``wanted`` has the keys too if it differs between them."""
+    keys = keys or []
+    own = [k for k in keys if k in wanted.columns]
+    hit = overlap_join(added.select(*keys, "file_seq", *TSID, "lo", "hi"), canonical(wanted, own), keys=own)
+    return hit.select(*keys, "file_seq", *TSID, F.greatest("lo", "b_lo").alias("lo"), F.least("hi", "b_hi").alias("hi"))
 
-def gtid_intersect_by_file(wanted: DataFrame, added: DataFrame) -> DataFrame:
-    """What each file adds of the wanted set: clipped intervals with their file."""
-    a = canonical(wanted).withColumnRenamed("lo", "_lo").withColumnRenamed("hi", "_hi")
-    hit = added.join(a, TSID).filter((F.col("lo") <= F.col("_hi")) & (F.col("_lo") <= F.col("hi")))
-    return hit.select("file_seq", *TSID, F.greatest("lo", "_lo").alias("lo"), F.least("hi", "_hi").alias("hi"))
 
+def search_by_gtid_set(files: DataFrame, added: DataFrame, wanted: DataFrame | str, check: bool = True, keys: list[str] | None = None, mode: str = "gtid") -> DataFrame:
+    """The files, in order, that a walk takes until all wanted ids are found.  ``added``: ``keys, file_seq, uuid, tag, lo, hi``.
 
-def search_by_gtid_set(files: DataFrame, added: DataFrame, wanted: DataFrame | str, check: bool = True) -> DataFrame:
-    """The files, in order, that a walk takes until all wanted ids are found.  ``added``: ``file_seq, uuid, tag, lo, hi``."""
-    spark = files.sparkSession
+    ``mode`` is the store's replication mode.  Checks come in this order: the set's text, an empty store, the mode, ids that no file holds (with keys: no file of a store).
+    """
+    spark, keys = files.sparkSession, keys or []
     if isinstance(wanted, str):
         try:
             wanted = _parsed(spark, wanted)
@@ -110,13 +133,13 @@ def search_by_gtid_set(files: DataFrame, added: DataFrame, wanted: DataFrame | s
     if check:
         if files.isEmpty():
             raise CatalogueError("Binlog storage is empty")
-        if wanted.isEmpty():
-            return files.limit(0)
-        if added.isEmpty():
+        if mode != "gtid":
             raise CatalogueError("GTID set search is not supported in storages created in position-based replication mode")
-        if not gtid_subtract(wanted, canonical(added)).isEmpty():
+        own = [k for k in keys if k in wanted.columns]
+        asked = wanted if own == keys else files.select(*(k for k in keys if k not in own)).distinct().withColumn("_one", F.lit(1)).join(F.broadcast(wanted.withColumn("_one", F.lit(1))), "_one").drop("_one")  # a question is small
+        if not gtid_subtract(asked, added.select(*keys, *TSID, "lo", "hi"), keys).isEmpty():
             raise CatalogueError("The specified GTID set cannot be covered")
-    return files.join(covering_files(wanted, added), "file_seq", "left_semi").orderBy("file_seq")
+    return files.join(covering_files(wanted, added, keys), [*keys, "file_seq"], "left_semi").orderBy(*keys, "file_seq")
 
 
 def _parsed(spark, text: str) -> DataFrame:

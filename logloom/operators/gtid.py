@@ -1,6 +1,6 @@
 """Algebra of transaction-id sets in long form: rows ``uuid, tag, lo, hi`` (inclusive), with leading keys if there are many sets.
 
-Sorted sweeps instead of self-joins.  A log usually has one dominant uuid, so where inputs are large the numbers are first cut into
+Sorted sweeps for the algebra, whole blocks of numbers that meet by equality for joins.  A log usually has one dominant uuid, so where inputs are large the numbers are first cut into
 ranges of ``BUCKET`` that are merged side by side; only the few merged intervals meet by uuid and tag.
 """
 
@@ -94,25 +94,61 @@ def gtid_intersect(a: DataFrame, b: DataFrame, keys: list[str] | None = None) ->
     return _sweep(a, b, keys, lambda x, y: x & y)
 
 
-def overlap_join(a: DataFrame, b: DataFrame, how: str = "inner", width: int = BUCKET) -> DataFrame:
-    """Pairs of overlapping intervals with equal uuid and tag, the second's other columns and ends prefixed ``b_``.
+def nodes_of(lo: str, hi: str, levels: int) -> Column:
+    """The interval ``lo .. hi`` (from 0 on) as a few whole blocks of 16 to the power of their level: an array of (level, node).
 
-    Both sides are listed under every range of ``width`` numbers that they touch, which makes the join an equi-join that one
-    dominant uuid does not gather; a pair counts in the range where it begins.
+    Whatever the length, there are at most 30 blocks of a level, and each number lies in exactly one of them.  ``levels`` must be enough for the longest interval.
     """
-    cell = lambda d: d.withColumn("_cell", F.explode(F.sequence(_div("lo", width), _div("hi", width))))
-    right = cell(b).select(*[F.col(c).alias(c if c in TSID or c == "_cell" else f"b_{c}") for c in [*b.columns, "_cell"]])
-    hit = (F.col("lo") <= F.col("b_hi")) & (F.col("b_lo") <= F.col("hi")) & (F.col("_cell") == _div("greatest(lo, b_lo)", width))
-    joined = cell(a).join(right, [*TSID, "_cell"]).filter(hit).drop("_cell")
+    left = lambda j: f"(shiftright({lo}, 4 * ({j})) + if(({lo} & (shiftleft(1L, 4 * ({j})) - 1)) <> 0, 1, 0))"
+    right = lambda j: f"shiftright({hi} + 1, 4 * ({j}))"
+    some = lambda x, y: f"if({x} < {y}, sequence({x}, {y} - 1), cast(array() as array<bigint>))"
+    above = f"(j + 1 < {levels} and {left('j + 1')} < {right('j + 1')})"
+    blocks = f"if({above}, concat({some(left('j'), '16 * ' + left('j + 1'))}, {some('16 * ' + right('j + 1'), right('j'))}), {some(left('j'), right('j'))})"
+    return F.expr(f"flatten(transform(sequence(0, {levels - 1}), j -> transform({blocks}, n -> struct(j as level, n as node))))")
+
+
+def nodes_above(point: str, levels: int) -> Column:
+    """The blocks of each level that hold a number."""
+    return F.expr(f"transform(sequence(0, {levels - 1}), j -> struct(j as level, shiftright({point}, 4 * j) as node))")
+
+
+def levels_for(rows: DataFrame, length: str = "hi - lo") -> int:
+    """How many levels of blocks the longest interval needs: one figure of the table."""
+    longest = rows.agg(F.max(F.expr(length))).first()[0]
+    return max(1, -(-int((longest or 0) + 1).bit_length() // 4))
+
+
+def _placed(rows: DataFrame, nodes: Column) -> DataFrame:
+    """``rows`` with a row for each block."""
+    return rows.withColumn("_at", F.explode(nodes)).withColumns({"_level": F.col("_at.level"), "_node": F.col("_at.node")}).drop("_at")
+
+
+PLACE = ["_level", "_node"]
+
+
+def overlap_join(a: DataFrame, b: DataFrame, how: str = "inner", keys: list[str] | None = None) -> DataFrame:
+    """Pairs of overlapping intervals with equal keys, uuid and tag, the second's other columns and ends prefixed ``b_``.
+
+    Of two overlapping intervals one begins inside the other.  Intervals are cut into blocks, beginnings are listed under the blocks that hold them, and
+    the two meet by equality: no group is compared pair by pair, and an interval of all numbers has as few blocks as any.
+    """
+    on = [*(keys or []), *TSID]
+    right = b.select(*[F.col(c).alias(c if c in on else f"b_{c}") for c in b.columns])
+    # numbers begin at 1 and end at 2^63 - 1; blocks count from 0
+    n, m = levels_for(a), levels_for(b)
+    first = _placed(a, nodes_of("(lo - 1)", "(hi - 1)", n)).join(_placed(right, nodes_above("(b_lo - 1)", n)), [*on, *PLACE])
+    second = _placed(a, nodes_above("(lo - 1)", m)).join(_placed(right, nodes_of("(b_lo - 1)", "(b_hi - 1)", m)), [*on, *PLACE]).filter("lo > b_lo")
+    joined = first.drop(*PLACE).unionByName(second.drop(*PLACE))
     return joined if how == "inner" else joined.select(*a.columns).distinct()
 
 
-def point_in_set_join(gtids: DataFrame, intervals: DataFrame, width: int = BUCKET) -> DataFrame:
+def point_in_set_join(gtids: DataFrame, intervals: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """The rows of ``gtids`` (``uuid, tag, gno``) that lie in the set; its intervals must be canonical."""
-    cells = intervals.select(*TSID, "lo", "hi", F.explode(F.sequence(_div("lo", width), _div("hi", width))).alias("_cell"))
-    points = gtids.withColumn("_cell", _div("gno", width))
-    on = [points[c].eqNullSafe(cells[c]) if c == "tag" else points[c] == cells[c] for c in [*TSID, "_cell"]]
-    return points.join(cells, [*on, points["gno"].between(cells["lo"], cells["hi"])], "left_semi").drop("_cell")
+    on, n = [*(keys or []), *TSID], levels_for(intervals)
+    blocks = _placed(intervals.select(*on, "lo", "hi"), nodes_of("(lo - 1)", "(hi - 1)", n)).select(*on, *PLACE)
+    points = _placed(gtids.filter(F.col("gno").between(1, MAX_GNO)), nodes_above("(gno - 1)", n))
+    match = [points[c].eqNullSafe(blocks[c]) if c == "tag" else points[c] == blocks[c] for c in [*on, *PLACE]]
+    return points.join(blocks, match, "left_semi").drop(*PLACE)
 
 
 gtid_contains = point_in_set_join
@@ -122,6 +158,17 @@ def gtid_intersects(a: DataFrame, b: DataFrame) -> bool:
     return not overlap_join(a, b).isEmpty()
 
 
+def numbered(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds ``place``, the order of a set's intervals: by uuid, tag (none first) and number."""
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*TSID, "lo")).cast("long"))
+
+
+def sets_with_facts(sets: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, is_empty, has_tags`` of every named set, those without rows included."""
+    facts = rows.groupBy(*keys).agg(F.bool_or(F.col("tag") != "").alias("has_tags"))
+    return sets.select(*keys).distinct().join(facts, keys, "left").select(*keys, F.col("has_tags").isNull().alias("is_empty"), F.coalesce("has_tags", F.lit(False)).alias("has_tags"))
+
+
 def gtid_equal(a: DataFrame, b: DataFrame) -> bool:
     a, b = canonical(a), canonical(b)
     return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
@@ -201,27 +248,45 @@ def gtid_encoded_size(rows: DataFrame, keys: list[str] | None = None) -> DataFra
 
 # -- sets over files in order ------------------------------------------------------------------------------------
 
+def _next(points: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds ``_next``, the next ``_p`` of the same keys: within cells of numbers, and from the first of the next cell that has any."""
+    rows = points.withColumn("_cell", _div("_p", BUCKET))
+    firsts = rows.groupBy(*keys, "_cell").agg(F.min("_p").alias("_first"))
+    later = firsts.select(*keys, "_cell", F.lead("_first").over(Window.partitionBy(*keys).orderBy("_cell")).alias("_later"))  # a row for each cell
+    inside = F.lead("_p").over(Window.partitionBy(*keys, "_cell").orderBy("_p"))
+    return rows.withColumn("_inside", inside).join(later, [*keys, "_cell"]).withColumn("_next", F.coalesce("_inside", "_later")).drop("_cell", "_inside", "_later")
+
+
 def first_cover(added: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Disjoint segments ``keys, uuid, tag, lo, hi, file_seq``: for every number the first file that holds it.
 
-    A sweep over end points; the files open at a point are the running opens less closes, so the first of them comes
-    from a join of each elementary segment with the intervals that cover it, in cells of its own set.
+    Each interval leaves its file in a few blocks, each block keeps its first file, and a segment between two neighbouring end points takes the first
+    of the blocks that hold it, one of each level: joins on equality only, whose rows follow the number of intervals.
     """
-    keys = [*(keys or []), *TSID]
+    keys, n = [*(keys or []), *TSID], levels_for(added)
     rows = added.select(*keys, "lo", "hi", "file_seq")
-    top = F.lit(MAX_GNO)
-    starts = rows.select(*keys, F.col("lo").alias("_p")).unionByName(rows.filter(F.col("hi") < top).select(*keys, (F.col("hi") + 1).alias("_p"))).distinct()
-    w = Window.partitionBy(*keys).orderBy("_p")
-    segments = starts.select(*keys, F.col("_p").alias("lo"), F.coalesce(F.lead("_p").over(w) - 1, top).alias("hi"))
-    a, b = segments.alias("a"), rows.withColumnRenamed("lo", "_lo").withColumnRenamed("hi", "_hi").alias("b")
-    return a.join(b, keys).filter((F.col("lo") >= F.col("_lo")) & (F.col("lo") <= F.col("_hi"))).groupBy(*keys, "lo", "hi").agg(F.min("file_seq").alias("file_seq"))
+    starts = rows.select(*keys, F.col("lo").alias("_p")).unionByName(rows.select(*keys, F.when(F.col("hi") < MAX_GNO, F.col("hi") + 1).alias("_p")).filter("_p is not null")).distinct()
+    blocks = _placed(rows, nodes_of("(lo - 1)", "(hi - 1)", n)).groupBy(*keys, *PLACE).agg(F.min("file_seq").alias("file_seq"))
+    firsts = _placed(starts, nodes_above("(_p - 1)", n)).join(blocks, [*keys, *PLACE]).groupBy(*keys, "_p").agg(F.min("file_seq").alias("file_seq"))
+    segments = _next(starts, keys).select(*keys, "_p", F.coalesce(F.col("_next") - 1, F.lit(MAX_GNO)).alias("hi"))
+    return segments.join(firsts, [*keys, "_p"]).select(*keys, F.col("_p").alias("lo"), "hi", "file_seq")
+
 
+def gtid_running_union(files: DataFrame, added: DataFrame, purged: DataFrame | None = None, keys: list[str] | None = None) -> DataFrame:
+    """``keys, file_seq, uuid, tag, lo, hi``: for every file the set of all ids added before it, with the purged ones.
 
-def gtid_running_union(files: DataFrame, added: DataFrame, purged: DataFrame | None = None) -> DataFrame:
-    """``file_seq, uuid, tag, lo, hi``: for every file the set of all ids added before it, with the purged ones."""
-    firsts = first_cover(added).select(*TSID, "lo", "hi", "file_seq")
+    The files before one are a few whole blocks of files; each block's set is made once and joined by equality, so rows follow the result's size.
+    """
+    keys = keys or []
+    last = files.agg(F.max("file_seq")).first()[0]  # one figure
+    n = max(1, -(-int((last or 0) + 2).bit_length() // 4))
+    rows = added.select(*keys, (F.col("file_seq") + 1).cast("long").alias("_p"), *TSID, "lo", "hi")
     if purged is not None:
-        firsts = firsts.unionByName(purged.select(*TSID, "lo", "hi").withColumn("file_seq", F.lit(-1).cast("long")))
-    later = files.select(F.col("file_seq").alias("_file"))
-    before = later.join(firsts, F.col("file_seq") < F.col("_file")).select(F.col("_file").alias("file_seq"), *TSID, "lo", "hi")
-    return canonical(before, ["file_seq"], bucket=None)
+        stores = files.select(*keys).distinct() if keys else files.sparkSession.range(1).drop("id")
+        old = purged.select(*(k for k in keys if k in purged.columns), *TSID, "lo", "hi")
+        shared = [k for k in keys if k in purged.columns]
+        old = stores.join(old, shared) if shared else old.join(F.broadcast(stores.withColumn("_one", F.lit(1))), F.col("_one") == 1).drop("_one")
+        rows = rows.unionByName(old.select(*keys, F.lit(0).cast("long").alias("_p"), *TSID, "lo", "hi"))
+    sets = canonical(_placed(rows, nodes_above("_p", n)).drop("_p"), [*keys, *PLACE])
+    before = _placed(files.select(*keys, "file_seq", F.col("file_seq").cast("long").alias("_hi")), nodes_of("0L", "_hi", n)).drop("_hi")
+    return canonical(before.join(sets, [*keys, *PLACE]).drop(*PLACE), [*keys, "file_seq"])

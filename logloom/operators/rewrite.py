@@ -15,73 +15,112 @@ from ..session import cut
 MAGIC, LEAST = 4, 1024
 
 
-def prefix_sums(txns: DataFrame, size: str = "size", out: str = "before") -> DataFrame:
+def prefix_sums(txns: DataFrame, size: str = "size", out: str = "before", keys: list[str] | None = None) -> DataFrame:
     """Adds the total of all transactions before each one, in (``file_seq``, ``txn_no``) order, in two levels."""
-    inside = Window.partitionBy("file_seq").orderBy("txn_no").rowsBetween(Window.unboundedPreceding, -1)
-    totals = txns.groupBy("file_seq").agg(F.sum(size).alias("_t"))
-    over = Window.orderBy("file_seq").rowsBetween(Window.unboundedPreceding, -1)  # a row for each source file
-    base = totals.select("file_seq", F.coalesce(F.sum("_t").over(over), F.lit(0)).alias("_base"))
-    rows = txns.withColumn("_in", F.coalesce(F.sum(size).over(inside), F.lit(0))).join(base, "file_seq")
+    keys = keys or []
+    inside = Window.partitionBy(*keys, "file_seq").orderBy("txn_no").rowsBetween(Window.unboundedPreceding, -1)
+    totals = txns.groupBy(*keys, "file_seq").agg(F.sum(size).alias("_t"))
+    over = Window.partitionBy(*keys).orderBy("file_seq").rowsBetween(Window.unboundedPreceding, -1)  # a row for each source file
+    base = totals.select(*keys, "file_seq", F.coalesce(F.sum("_t").over(over), F.lit(0)).alias("_base"))
+    rows = txns.withColumn("_in", F.coalesce(F.sum(size).over(inside), F.lit(0))).join(base, [*keys, "file_seq"])
     return rows.withColumn(out, F.col("_base") + F.col("_in")).drop("_in", "_base")
 
 
-def next_cut(rows: DataFrame, limit: int, head: int, first_head: int | None = None) -> DataFrame:
-    """``before, next``: for a file that begins at ``before``, the first later beginning at or past the limit.
+def previous_sizes(txns: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Adds ``previous_size``: bytes of the binary set of all ids before each transaction (``uuid, tag, gno``; none without ``gno``).
+
+    A new id adds an interval unless its neighbours are there; a new uuid and tag adds a head, and tags are stored once any set has one.  So the size is a
+    sum over what the transactions before have changed.
+    """
+    keys = keys or []
+    ids = txns.filter(F.col("gno") >= 1).groupBy(*keys, "uuid", "tag", "gno").agg(F.min(F.struct("file_seq", "txn_no")).alias("_at"))
+    near = lambda step, name: ids.select(*keys, "uuid", "tag", (F.col("gno") - step).alias("gno"), F.col("_at").alias(name))
+    on = [*keys, "uuid", "tag", "gno"]
+    joined = ids.join(near(-1, "_below"), on, "left").join(near(1, "_above"), on, "left")
+    earlier = lambda c: F.coalesce((F.col(c) < F.col("_at")).cast("long"), F.lit(0))
+    changed = joined.select(*keys, F.col("_at.file_seq").alias("file_seq"), F.col("_at.txn_no").alias("txn_no"), (16 * (1 - earlier("_below") - earlier("_above"))).alias("_set"))
+    heads = ids.groupBy(*keys, "uuid", "tag").agg(F.min("_at").alias("_at")).select(*keys, F.col("_at.file_seq").alias("file_seq"), F.col("_at.txn_no").alias("txn_no"), F.lit(24).alias("_head"), (1 + F.length("tag")).alias("_tag"), (F.col("tag") != "").cast("long").alias("_tagged"))
+    place = [*keys, "file_seq", "txn_no"]
+    rows = txns.join(changed, place, "left").join(heads, place, "left")
+    rows = rows.withColumns({"_fixed": F.coalesce("_set", F.lit(0)) + F.coalesce("_head", F.lit(0)), "_tag": F.coalesce("_tag", F.lit(0)), "_tagged": F.coalesce("_tagged", F.lit(0))})
+    for c in ("_fixed", "_tag", "_tagged"):
+        rows = prefix_sums(rows, c, f"{c}_before", keys)
+    size = F.lit(8) + F.col("_fixed_before") + F.when(F.col("_tagged_before") > 0, F.col("_tag_before")).otherwise(0)
+    return rows.withColumn("previous_size", size.cast("long")).select(*txns.columns, "previous_size")
+
+
+def file_heads(txns: DataFrame, fde_size: int = 122, keys: list[str] | None = None) -> DataFrame:
+    """Adds ``previous_size`` and ``head``: the bytes before a file's first transaction, if the file begins with this one."""
+    return previous_sizes(txns, keys).withColumn("head", (F.lit(MAGIC + fde_size + 19 + 4) + F.col("previous_size")).cast("long"))
+
+
+def next_cut(rows: DataFrame, limit: int, keys: list[str]) -> DataFrame:
+    """``keys, before, next``: for a file that begins at ``before`` with ``head`` bytes, the first later beginning at or past the limit.
 
     Beginnings and thresholds are sorted together in cells of one limit; a threshold past its cell's last beginning takes the first beginning of
     the next cell that has one.
     """
-    points = rows.select("before").distinct()
+    points = rows.groupBy(*keys, "before").agg(F.min("head").alias("head"))
+    points = points.withColumn("reach", F.greatest(F.col("before") + 1, F.col("before") + limit - F.col("head")))
     cell = lambda c: F.floor(c / limit)
-    firsts = points.groupBy(cell(F.col("before")).alias("cell")).agg(F.min("before").alias("first"))
-    all_cells = points.select(cell(F.col("before") + limit - head).alias("cell")).distinct().join(firsts, "cell", "full_outer")
-    after = F.min("first").over(Window.orderBy("cell").rowsBetween(1, Window.unboundedFollowing))  # a row for each output file at most
-    later = all_cells.select("cell", after.alias("later"))
-    both = points.select(F.col("before").alias("v"), F.lit(1).alias("kind"), F.col("before").alias("b")).unionByName(points.select((F.col("before") + limit - head).alias("v"), F.lit(0).alias("kind"), F.col("before").alias("b")))
-    w = Window.partitionBy("cell").orderBy("v", "kind").rowsBetween(1, Window.unboundedFollowing)
+    firsts = points.groupBy(*keys, cell(F.col("before")).alias("cell")).agg(F.min("before").alias("first"))
+    all_cells = points.select(*keys, cell(F.col("reach")).alias("cell")).distinct().join(firsts, [*keys, "cell"], "full_outer")
+    after = F.min("first").over(Window.partitionBy(*keys).orderBy("cell").rowsBetween(1, Window.unboundedFollowing))  # a row for each output file at most
+    later = all_cells.select(*keys, "cell", after.alias("later"))
+    both = points.select(*keys, F.col("before").alias("v"), F.lit(1).alias("kind"), F.col("before").alias("b")).unionByName(points.select(*keys, F.col("reach").alias("v"), F.lit(0).alias("kind"), F.col("before").alias("b")))
+    w = Window.partitionBy(*keys, "cell").orderBy("v", "kind").rowsBetween(1, Window.unboundedFollowing)
     found = both.withColumn("cell", cell(F.col("v"))).withColumn("hit", F.min(F.when(F.col("kind") == 1, F.col("b"))).over(w)).filter("kind = 0")
-    return found.join(later, "cell", "left").select(F.col("b").alias("before"), F.coalesce("hit", "later").alias("next"))
+    return found.join(later, [*keys, "cell"], "left").select(*keys, F.col("b").alias("before"), F.coalesce("hit", "later").alias("next"))
 
 
-def pack_transactions(txns: DataFrame, file_size: int, head: int = MAGIC, open_size: int | None = None, base: str = "binlog") -> DataFrame:
-    """Adds ``out_file`` and ``out_name``: a new file begins before the first transaction that would begin at or past ``file_size``.
-
-    ``txns``: ``file_seq, txn_no, size``.  ``head`` are the bytes before the first transaction of a file; ``open_size`` is the current size of the file that is
-    resumed.  No transaction is split, so a file may pass the size by one transaction.
+def _reached(start: DataFrame, jump: DataFrame, keys: list[str]) -> DataFrame:
+    """All beginnings that jumps reach from the first ones: what 1, 2, 4, ... jumps reach from those known so far."""
+    cuts, known = start, -1
+    while True:
+        more = cuts.join(jump, [*keys, "before"]).select(*keys, F.col("next").alias("before")).filter("before is not null")
+        cuts = cut(cuts.unionByName(more).distinct(), "cuts")
+        count = cuts.count()
+        if count == known:
+            return cuts
+        known = count
+        far = jump.select(*keys, "before", F.col("next").alias("mid")).join(jump.select(*keys, F.col("before").alias("mid"), "next"), [*keys, "mid"], "left")
+        jump = cut(far.select(*keys, "before", "next"), "jump")
+
+
+def _filled(marks: DataFrame, numbered: DataFrame, keys: list[str], width: int) -> DataFrame:
+    """``keys, before, out_file``: for every beginning the last numbered one at or before it, in two levels over cells of the log."""
+    rows = marks.join(numbered, [*keys, "before"], "left").withColumn("cell", F.floor(F.col("before") / width))
+    w = Window.partitionBy(*keys, "cell").orderBy("before").rowsBetween(Window.unboundedPreceding, 0)
+    tops = rows.groupBy(*keys, "cell").agg(F.max("out_file").alias("top"))
+    carried = tops.select(*keys, "cell", F.max("top").over(Window.partitionBy(*keys).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
+    return rows.withColumn("mine", F.max("out_file").over(w)).join(carried, [*keys, "cell"]).select(*keys, "before", F.coalesce("mine", "carried").alias("out_file"))
+
+
+def pack_transactions(txns: DataFrame, file_size: int, head: int = MAGIC, open_size: int | None = None, base: str = "binlog", keys: list[str] | None = None) -> DataFrame:
+    """Adds ``before``, ``out_file`` and ``out_name``: a new file begins before the first transaction that would begin at or past ``file_size``.
+
+    ``txns``: ``keys, file_seq, txn_no, size``.  A column ``head`` (see ``file_heads``) has the bytes before the first transaction of a file that begins there, else they
+    are ``head``; ``open_size`` is the current size of the file that is resumed.  No transaction is split, so a file may pass the size by one transaction.
     """
     if file_size < LEAST:
         raise ValueError(f"a file has at least {LEAST} bytes")
-    rows = cut(prefix_sums(txns), "prefix")
-    jump = cut(next_cut(rows, file_size, head), "jump")
-    start = jump.sparkSession.range(1).select(F.lit(0).cast("long").alias("before"))
+    keys = keys or []
+    rows = cut(prefix_sums(txns if "head" in txns.columns else txns.withColumn("head", F.lit(head).cast("long")), keys=keys), "prefix")
+    first = rows.groupBy(*keys).agg(F.min("before").alias("before")).filter("before is not null")
+    start = first if open_size is None else rows.filter(F.col("before") >= max(0, file_size - open_size)).groupBy(*keys).agg(F.min("before").alias("before")).filter("before is not null")
+    cuts = _reached(start, cut(next_cut(rows, file_size, keys), "jump"), keys)
     if open_size is not None:  # the first file has less room
-        start = rows.filter(F.col("before") >= max(0, file_size - open_size)).agg(F.min("before").alias("before")).filter("before is not null")
-    cuts = start
-    # all starts are what 1, 2, 4, ... jumps reach from the starts known so far
-    while True:
-        more = cuts.join(jump, "before").select(F.col("next").alias("before")).filter("before is not null")
-        grown = cut(cuts.unionByName(more).distinct(), "cuts")
-        if grown.count() == cuts.count():
-            break
-        cuts = grown
-        far = jump.select("before", F.col("next").alias("mid")).join(jump.select(F.col("before").alias("mid"), "next"), "mid", "left")
-        jump = cut(far.select("before", "next"), "jump")
-    # files are numbered in two levels over cells of the log
-    cell = lambda c: F.floor(c / (64 * file_size))
-    if open_size is not None:
-        cuts = cuts.unionByName(cuts.sparkSession.range(1).select(F.lit(0).cast("long").alias("before"))).distinct()
-    numbered = cuts.select("before", F.row_number().over(Window.orderBy("before")).cast("long").alias("out_file"))  # a row for each output file
-    marks = rows.select("before").distinct().join(numbered, "before", "left").withColumn("cell", cell(F.col("before")))
-    w = Window.partitionBy("cell").orderBy("before").rowsBetween(Window.unboundedPreceding, 0)
-    tops = marks.groupBy("cell").agg(F.max("out_file").alias("top"))
-    carried = tops.select("cell", F.max("top").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
-    filled = marks.withColumn("mine", F.max("out_file").over(w)).join(carried, "cell").select("before", F.coalesce("mine", "carried").alias("out_file"))
-    return rows.join(filled, "before").withColumn("out_name", output_name(F.lit(base), F.col("out_file")))
-
-
-def renumber(txns: DataFrame, resume_offset: int = 0) -> DataFrame:
+        cuts = cuts.unionByName(first).distinct()
+    numbered = cuts.withColumn("out_file", F.row_number().over(Window.partitionBy(*keys).orderBy("before")).cast("long"))  # a row for each output file
+    filled = _filled(rows.select(*keys, "before").distinct(), numbered, keys, 64 * file_size)
+    out = rows.join(filled, [*keys, "before"]).withColumn("out_name", output_name(F.lit(base), F.col("out_file")))
+    return out if "head" in txns.columns else out.drop("head")
+
+
+def renumber(txns: DataFrame, resume_offset: int = 0, keys: list[str] | None = None) -> DataFrame:
     """Adds ``new_sequence_number`` 1, 2, 3, ... in each output file and ``new_last_committed`` as far behind it as before, within the file."""
-    sn = F.row_number().over(Window.partitionBy("out_file").orderBy("file_seq", "txn_no")).cast("long") + F.when(F.col("out_file") == 1, resume_offset).otherwise(0)
+    w = Window.partitionBy(*(keys or []), "out_file").orderBy("file_seq", "txn_no")
+    sn = F.row_number().over(w).cast("long") + F.when(F.col("out_file") == 1, resume_offset).otherwise(0)
     rows = txns.withColumn("new_sequence_number", sn)
     delta = F.col("sequence_number") - F.col("last_committed")
     behind = F.col("new_sequence_number") - delta
@@ -95,27 +134,28 @@ def normalize_checksum(events: DataFrame, mode: str = "add") -> DataFrame:
     return events.withColumn("new_size", (F.col("event_size") + change).cast("long"))
 
 
-def relocate(events: DataFrame, head: Column | int = MAGIC, size: str = "new_size") -> DataFrame:
-    """Adds ``new_next_pos``: running size in the output file."""
-    w = Window.partitionBy("out_file").orderBy("file_seq", "event_no").rowsBetween(Window.unboundedPreceding, 0)
-    head = F.lit(head) if isinstance(head, int) else head
+def relocate(events: DataFrame, head: Column | int = MAGIC, size: str = "new_size", keys: list[str] | None = None) -> DataFrame:
+    """Adds ``new_next_pos``: running size in the output file, behind ``head`` bytes (a column: that of the file's first row)."""
+    w = Window.partitionBy(*(keys or []), "out_file").orderBy("file_seq", "event_no").rowsBetween(Window.unboundedPreceding, 0)
+    head = F.lit(head) if isinstance(head, int) else F.first(head).over(w)
     return events.withColumn("new_next_pos", (head + F.sum(size).over(w)).cast("long"))
 
 
-def frame_files(packed: DataFrame, previous_size: int = 8, fde_size: int = 122, base: str = "binlog") -> DataFrame:
-    """Rows ``out_file, ord, type_name, event_size`` around the transactions: description and previous ids first, a rotate in all files but the last."""
-    files = packed.groupBy("out_file").agg(F.max("out_name").alias("out_name"))
-    last = packed.agg(F.max("out_file").alias("last_file"))
-    one = F.lit(1).alias("_one")
-    files = files.select("*", one).join(F.broadcast(last.select("*", one)), "_one")
-    rotate = F.lit(19 + 8 + 4) + F.length(output_name(F.lit(base), F.col("out_file") + 1))
-    rows = F.array(
-        F.struct(F.lit(-2).cast("long").alias("ord"), F.lit("format_description").alias("type_name"), F.lit(fde_size).cast("long").alias("event_size")),
-        F.struct(F.lit(-1).cast("long").alias("ord"), F.lit("previous_gtids_log").alias("type_name"), F.lit(19 + previous_size + 4).cast("long").alias("event_size")),
-    )
-    end = F.when(F.col("out_file") < F.col("last_file"), F.array(F.struct(F.lit(9_000_000_000).cast("long").alias("ord"), F.lit("rotate").alias("type_name"), rotate.cast("long").alias("event_size"))))
-    all_rows = F.concat(rows, F.coalesce(end, F.expr("cast(array() as array<struct<ord:bigint,type_name:string,event_size:bigint>>)")))
-    return files.select("out_file", F.explode(all_rows).alias("r")).select("out_file", "r.*")
+def frame_files(packed: DataFrame, fde_size: int = 122, base: str = "binlog", keys: list[str] | None = None) -> DataFrame:
+    """Rows ``keys, out_file, ord, type_name, event_size`` around the transactions: description and previous ids first, a rotate in all files but the last.
+
+    ``packed`` has ``previous_size`` (see ``file_heads``); that of a file's first transaction counts, 8 (no ids) without the column.
+    """
+    keys = keys or []
+    previous = F.min_by("previous_size", "before") if "previous_size" in packed.columns else F.lit(8)
+    files = packed.groupBy(*keys, "out_file").agg(previous.cast("long").alias("_previous"))
+    last = F.max("out_file").over(Window.partitionBy(*keys)).alias("_last")  # a row for each output file
+    kind = "array<struct<ord:bigint,type_name:string,event_size:bigint>>"
+    row = lambda ord, name, size: F.struct(F.lit(ord).cast("long").alias("ord"), F.lit(name).alias("type_name"), size.cast("long").alias("event_size"))
+    front = F.array(row(-2, "format_description", F.lit(fde_size)), row(-1, "previous_gtids_log", F.lit(19 + 4) + F.col("_previous")))
+    rotate = F.array(row(9_000_000_000, "rotate", F.lit(19 + 8 + 4) + F.length(output_name(F.lit(base), F.col("out_file") + 1))))
+    framed = files.select("*", last).select(*keys, "out_file", F.explode(F.concat(front, F.when(F.col("out_file") < F.col("_last"), rotate).otherwise(F.array().cast(kind)))).alias("r"))
+    return framed.select(*keys, "out_file", "r.*")
 
 
 def tagged_size(fixed: Column, seq: Column, committed: Column, rest: Column) -> tuple[Column, Column]:
@@ -130,25 +170,18 @@ def tagged_size(fixed: Column, seq: Column, committed: Column, rest: Column) ->
     return event, event + rest
 
 
-def flush_points(txns: DataFrame, size: int) -> DataFrame:
-    """Transactions after which completed data of their file is flushed: those that reach ``size`` bytes since the last flush, and each file's last."""
-    after = F.lead("flushed", 1, -1).over(Window.partitionBy("file_seq").orderBy("txn_no"))
-    return next_flush(txns, size).withColumn("_after", after).filter("flushed <> _after").drop("_after")
-
+def flush_points(txns: DataFrame, size: int, keys: list[str] | None = None) -> DataFrame:
+    """Transactions after which completed data of their file is flushed: those that reach ``size`` bytes since the last flush, and each file's last.
 
-def next_flush(txns: DataFrame, size: int) -> DataFrame:
-    """Adds ``flushed``: number of flushes of the file before each transaction.  A fold over each file's transactions, side by side over files."""
-    import pandas as pd
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("txn_no")
-        held, n, out = 0, 0, []
-        for s in rows["size"]:
-            out.append(n)
-            held += s
-            if held >= size:
-                held, n = 0, n + 1
-        return rows.assign(flushed=pd.Series(out, index=rows.index, dtype="int64"))
-
-    skinny = txns.select("file_seq", "txn_no", "size")
-    return skinny.groupBy("file_seq").applyInPandas(fold, "file_seq long, txn_no long, size long, flushed long")
+    Flushes cut a file as files cut a log: the jumps from one flush to the next are followed by pointer doubling, all files at once.
+    """
+    group = [*(keys or []), "file_seq"]
+    before = F.sum("size").over(Window.partitionBy(*group).orderBy("txn_no").rowsBetween(Window.unboundedPreceding, -1))
+    rows = cut(txns.select(*group, "txn_no", "size", F.coalesce(before, F.lit(0)).cast("long").alias("before"), F.lit(0).cast("long").alias("head")), "prefix")
+    start = rows.groupBy(*group).agg(F.min("before").alias("before"))
+    cuts = _reached(start, cut(next_cut(rows, size, group), "jump"), group)
+    # a flush comes behind the transaction before each cut, and behind the last one
+    after = F.lead("before").over(Window.partitionBy(*group).orderBy("txn_no"))
+    ends = rows.withColumn("_after", after)
+    hit = ends.join(cuts.withColumnRenamed("before", "_after"), [*group, "_after"], "left_semi")
+    return hit.unionByName(ends.filter("_after is null").select(*hit.columns)).select(*group, "txn_no", "size")

@@ -5,7 +5,7 @@ The SQL is written another way than the operators wherever there is one: sets nu
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..fixtures import U1, view, with_views
@@ -19,17 +19,17 @@ from ..session import shared_path
 from ..sources import tables as tb
 
 _QUERIES: dict = {}
-_SQL: dict[str, str] = {}
+_SQL: dict = {}
 SIZE = 20_000
 
 
-def query(name: str, sql: str | None = None):
-    """Register a query under its name; ``sql`` may use the derived views."""
+def query(name: str, sql=None):
+    """Register a query under its name; ``sql`` (a text, or what makes it) may use the derived views."""
 
     def add(f):
         _QUERIES[name] = f
         if sql:
-            _SQL[name] = with_views(sql)
+            _SQL[name] = sql
         return f
 
     return add
@@ -40,7 +40,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return {name: with_views(sql() if callable(sql) else sql) for name, sql in _SQL.items()}
 
 
 def _set(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -72,10 +72,11 @@ def _(spark, d):
     return tb.read_events(spark, path).withColumn("file_seq", F.col("file_seq").cast("long"))
 
 
-@query("a3_read_files", "SELECT name, size, CAST(NULL AS STRING) AS previous_gtids, CAST(NULL AS STRING) AS added_gtids, min_ts, max_ts, last_sequence_number FROM log_files")
+@query("a3_read_files", lambda: "SELECT f.name, f.size, p.previous_gtids, g.added_gtids, f.min_ts, f.max_ts, f.last_sequence_number FROM log_files f JOIN (" + _TEXT.format(k="file_seq", src="file_added_gtids", out="added_gtids") + ") g ON g.file_seq = f.file_seq LEFT JOIN (" + _TEXT.format(k="file_seq", src=f"({_BEFORE})", out="previous_gtids") + ") p ON p.file_seq = f.file_seq")
 def _(spark, d):
-    path = shared_path(spark, "files")
-    tb.write_files(view(spark, d, "log_files"), path)
+    path, files, added = shared_path(spark, "files"), view(spark, d, "log_files"), view(spark, d, "file_added_gtids")
+    before = gt.format_gtid_set(gt.gtid_running_union(files, added), ["file_seq"], "previous_gtids")
+    tb.write_files(files.join(gt.format_gtid_set(added, ["file_seq"], "added_gtids"), "file_seq").join(before, "file_seq", "left"), path)
     return tb.read_files(spark, path)
 
 
@@ -86,17 +87,18 @@ def _(spark, d):
     return tb.read_index(spark, path)
 
 
-@query("a5_list_store")
+@query("a5_list_store", "SELECT CAST((file_seq % 7 + 1) * length(name) + 1 AS BIGINT) AS size, count(*) AS objects FROM log_files GROUP BY 1")
 def _(spark, d):
-    path = shared_path(spark, "files")
-    tb.write_files(view(spark, d, "log_files"), path)
-    return tb.list_store(spark, f"{path}/name=*/*.json").groupBy().agg(F.count("*").alias("objects"), F.sum("size").alias("bytes"))
+    """Objects of known content: a file's name some times over, and a line end."""
+    path = shared_path(spark, "objects")
+    view(spark, d, "log_files").select(F.expr("repeat(name, cast(file_seq % 7 + 1 as int))").alias("value"), F.col("name").alias("object")).write.partitionBy("object").text(path)
+    return tb.list_store(spark, f"{path}/object=*/part-*").groupBy("size").agg(F.count("*").alias("objects"))
 
 
-@query("a7_write_events", "SELECT event_no, event_size, next_pos, file_seq FROM log_events WHERE txn_no % 101 <> 50 OR TRUE")
+@query("a7_write_events", "SELECT event_no, event_size, next_pos, file_seq FROM log_events_cut e WHERE event_no <= (SELECT max(g.event_no) FROM log_events_cut g WHERE g.file_seq = e.file_seq AND g.pos_in_txn = 4)")
 def _(spark, d):
     path = shared_path(spark, "events")
-    tb.write_events(view(spark, d, "log_events"), path)
+    tb.write_events(view(spark, d, "log_events_cut"), path)
     return tb.read_events(spark, path).select("event_no", "event_size", "next_pos", F.col("file_seq").cast("long").alias("file_seq"))
 
 
@@ -262,7 +264,7 @@ def _(spark, d):
 
 @query("j4_overlap_join", "SELECT a.uuid, a.tag, a.lo, a.hi, b.lo AS b_lo, b.hi AS b_hi FROM interval_rows a JOIN interval_rows b ON a.uuid = b.uuid AND a.tag = b.tag AND a.lo <= b.hi AND b.lo <= a.hi WHERE a.set_id = 'A' AND b.set_id = 'B'")
 def _(spark, d):
-    return gt.overlap_join(_set(spark, d, "A"), _set(spark, d, "B"), width=1000)
+    return gt.overlap_join(_set(spark, d, "A"), _set(spark, d, "B"))
 
 
 @query("j5_point_in_set_join", "SELECT uuid, tag, gno, txn_no FROM log_events e WHERE pos_in_txn = 0 AND EXISTS (SELECT 1 FROM interval_rows i WHERE i.set_id = 'A' AND i.uuid = e.uuid AND i.tag = e.tag AND e.gno BETWEEN i.lo AND i.hi)")
@@ -343,7 +345,7 @@ def _(spark, d):
 
 @query("d6_intersects", f"SELECT EXISTS (SELECT 1 FROM ({A} INTERSECT {B}) x) AS intersects")
 def _(spark, d):
-    hit = gt.overlap_join(_set(spark, d, "A"), _set(spark, d, "B"), width=1000)
+    hit = gt.overlap_join(_set(spark, d, "A"), _set(spark, d, "B"))
     return hit.agg((F.count("*") > 0).alias("intersects"))
 
 
@@ -375,10 +377,10 @@ def _(spark, d):
     return both.withColumn("equal_self", F.lit(gt.gtid_equal(_set(spark, d, "A"), gt.gtid_union(a, a))))
 
 
-@query("d10_has_tags", "SELECT set_id, bool_or(tag <> '') AS has_tags, count(*) = 0 AS is_empty FROM interval_rows GROUP BY set_id")
+@query("d10_has_tags", "SELECT set_id, bool_or(tag <> '') AS has_tags, FALSE AS is_empty FROM interval_rows WHERE hi % 7 <> 0 AND set_id <> 'C' GROUP BY set_id UNION ALL SELECT DISTINCT set_id, FALSE, TRUE FROM interval_rows WHERE set_id = 'C'")
 def _(spark, d):
     rows = view(spark, d, "interval_rows")
-    return gt.has_tags(rows, ["set_id"]).withColumn("is_empty", F.lit(False))
+    return gt.sets_with_facts(rows, rows.filter("hi % 7 <> 0 and set_id <> 'C'"), ["set_id"])
 
 
 @query("d12_encoded_size", "SELECT file_seq, CAST(8 + sum(24 + 16 * n + 1 + length(tag)) AS BIGINT) AS encoded_size FROM (SELECT file_seq, uuid, tag, count(*) AS n FROM file_added_gtids GROUP BY file_seq, uuid, tag) t GROUP BY file_seq")
@@ -418,10 +420,9 @@ def _(spark, d):
     return sq.assign_cycle(view(spark, d, "framed_events")).select("file_seq", "ord", "cycle")
 
 
-@query("w5_ordering", "SELECT uuid, tag, lo, hi, CAST(row_number() OVER (ORDER BY uuid, tag, lo) AS BIGINT) AS place FROM file_added_gtids WHERE file_seq = 1")
+@query("w5_ordering", "SELECT file_seq, uuid, tag, lo, hi, CAST(row_number() OVER (PARTITION BY file_seq ORDER BY uuid, tag, lo) AS BIGINT) AS place FROM file_added_gtids")
 def _(spark, d):
-    rows = view(spark, d, "file_added_gtids").filter("file_seq = 1")
-    return rows.select("uuid", "tag", "lo", "hi", F.row_number().over(Window.partitionBy("file_seq").orderBy("uuid", "tag", "lo")).cast("long").alias("place"))
+    return gt.numbered(view(spark, d, "file_added_gtids"), ["file_seq"])
 
 
 @query("w6_take_while", "SELECT store, file_seq FROM clock_files f WHERE NOT EXISTS (SELECT 1 FROM clock_files g WHERE g.store = f.store AND g.file_seq <= f.file_seq AND g.size >= (SELECT max(size) FROM clock_files))")
@@ -443,12 +444,16 @@ def _(spark, d):
     return sq.broken_chain(view(spark, d, "log_events_bad"))
 
 
-@query("f2_grammar", "SELECT 'F2' AS rule, file_seq, ord AS position, CASE WHEN ord = -1 THEN 'no format description first' WHEN ord = (SELECT min(event_no) FROM log_events e WHERE e.file_seq = f.file_seq) THEN 'no previous ids second' END AS detail FROM framed_events f WHERE NOT artificial AND ((file_seq % 3 = 0 AND ord = -1 AND file_seq % 2 = 0) OR (file_seq % 3 = 1 AND ord = (SELECT min(event_no) FROM log_events e WHERE e.file_seq = f.file_seq)) OR FALSE)")
+_FIRST = "(SELECT file_seq, min(event_no) AS ord FROM log_events GROUP BY file_seq)"
+
+
+@query(
+    "f2_grammar",
+    "SELECT 'F2' AS rule, file_seq, CAST(-1 AS BIGINT) AS position, 'no format description first' AS detail FROM log_files WHERE file_seq % 6 = 0 "
+    f"UNION ALL SELECT 'F2', file_seq, ord, 'no previous ids second' FROM {_FIRST} f WHERE file_seq % 6 = 0 OR file_seq % 3 = 1",
+)
 def _(spark, d):
-    rows = view(spark, d, "framed_events")
-    broken = rows.filter(~((F.col("file_seq") % 6 == 0) & (F.col("ord") == -2)) & ~((F.col("file_seq") % 3 == 1) & (F.col("ord") == -1)))
-    found = sq.grammar_faults(broken)
-    return found.filter(~((F.col("file_seq") % 6 == 0) & (F.col("detail") != "no format description first")))
+    return sq.grammar_faults(view(spark, d, "framed_events_bad"))
 
 
 @query("f3_rotate", "SELECT 'F3' AS rule, file_seq, ord AS position, 'time or position' AS detail FROM framed_events WHERE artificial AND file_seq % 4 = 1")
@@ -500,20 +505,32 @@ def _(spark, d):
 
 def _txns(spark, d):
     rows = view(spark, d, "log_events").groupBy("file_seq", "txn_no")
-    return rows.agg(F.sum("event_size").cast("long").alias("size"), F.min("sequence_number").alias("sequence_number"), F.min("last_committed").alias("last_committed"))
+    return rows.agg(F.sum("event_size").cast("long").alias("size"), F.min("sequence_number").alias("sequence_number"), F.min("last_committed").alias("last_committed"), F.min("uuid").alias("uuid"), F.min("tag").alias("tag"), F.min("gno").alias("gno"))
 
 
-_TXNS = "(SELECT file_seq, txn_no, CAST(sum(event_size) AS BIGINT) AS size, min(sequence_number) AS sequence_number, min(last_committed) AS last_committed, row_number() OVER (ORDER BY txn_no) AS i FROM log_events GROUP BY file_seq, txn_no)"
-_PACKED = f"""(WITH RECURSIVE t AS (SELECT * FROM {_TXNS} x), walk AS (
-  SELECT i, CAST(1 AS BIGINT) AS out_file, CAST(4 AS BIGINT) AS at, size FROM t WHERE i = 1
-  UNION ALL SELECT t.i, CASE WHEN w.at + w.size >= {SIZE} THEN w.out_file + 1 ELSE w.out_file END, CASE WHEN w.at + w.size >= {SIZE} THEN CAST(4 AS BIGINT) ELSE w.at + w.size END, t.size
+def _packed(spark, d):
+    """Packed into files whose heads grow with the ids before them."""
+    return rw.pack_transactions(rw.file_heads(_txns(spark, d)), SIZE)
+
+
+_TXNS = "(SELECT file_seq, txn_no, CAST(sum(event_size) AS BIGINT) AS size, min(sequence_number) AS sequence_number, min(last_committed) AS last_committed, min(uuid) AS uuid, min(tag) AS tag, min(gno) AS gno, row_number() OVER (ORDER BY txn_no) AS i FROM log_events GROUP BY file_seq, txn_no)"
+#: bytes of the set of all ids before a transaction, from the intervals, uuids and tags seen so far
+_HEADED = f"""(SELECT *, 122 + 4 + 19 + 4 + previous_size AS head FROM (
+  SELECT *, CAST(8 + coalesce(sum(16 * islands + 24 * fresh) OVER w, 0) + CASE WHEN coalesce(max(CASE WHEN tag <> '' THEN 1 ELSE 0 END) OVER w, 0) = 1 THEN sum(CASE WHEN fresh = 1 THEN 1 + length(tag) ELSE 0 END) OVER w ELSE 0 END AS BIGINT) AS previous_size
+  FROM (SELECT t.*, CASE WHEN row_number() OVER (PARTITION BY t.uuid, t.tag ORDER BY t.i) = 1 THEN 1 ELSE 0 END AS fresh,
+               1 - CASE WHEN p.i < t.i THEN 1 ELSE 0 END - CASE WHEN q.i < t.i THEN 1 ELSE 0 END AS islands
+        FROM {_TXNS} t LEFT JOIN {_TXNS} p ON p.uuid = t.uuid AND p.tag = t.tag AND p.gno = t.gno - 1 LEFT JOIN {_TXNS} q ON q.uuid = t.uuid AND q.tag = t.tag AND q.gno = t.gno + 1) x
+  WINDOW w AS (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) y)"""
+_PACKED = f"""(WITH RECURSIVE t AS (SELECT * FROM {_HEADED} x), walk AS (
+  SELECT i, CAST(1 AS BIGINT) AS out_file, CAST(head AS BIGINT) AS at, size FROM t WHERE i = 1
+  UNION ALL SELECT t.i, CASE WHEN w.at + w.size >= {SIZE} THEN w.out_file + 1 ELSE w.out_file END, CASE WHEN w.at + w.size >= {SIZE} THEN CAST(t.head AS BIGINT) ELSE w.at + w.size END, t.size
   FROM walk w JOIN t ON t.i = w.i + 1)
-SELECT t.*, w.out_file, 'binlog.' || lpad(CAST(w.out_file AS VARCHAR), 6, '0') AS out_name FROM t JOIN walk w ON w.i = t.i)"""
+SELECT t.*, w.out_file, 'binlog.' || lpad(CAST(w.out_file AS VARCHAR), 6, '0') AS out_name, first_value(t.head) OVER (PARTITION BY w.out_file ORDER BY t.i) AS file_head, first_value(t.previous_size) OVER (PARTITION BY w.out_file ORDER BY t.i) AS file_previous FROM t JOIN walk w ON w.i = t.i)"""
 
 
 @query("r1_pack_transactions", f"SELECT txn_no, out_file, out_name FROM {_PACKED} p")
 def _(spark, d):
-    return rw.pack_transactions(_txns(spark, d), SIZE).select("txn_no", "out_file", "out_name")
+    return _packed(spark, d).select("txn_no", "out_file", "out_name")
 
 
 _RENUMBERED = f"(SELECT *, row_number() OVER (PARTITION BY out_file ORDER BY txn_no) AS sn FROM {_PACKED} p)"
@@ -521,14 +538,14 @@ _RENUMBERED = f"(SELECT *, row_number() OVER (PARTITION BY out_file ORDER BY txn
 
 @query("r2_renumber", f"SELECT txn_no, CAST(sn AS BIGINT) AS new_sequence_number, CAST(CASE WHEN sn > sequence_number - last_committed THEN sn - (sequence_number - last_committed) WHEN sn = 1 THEN 0 ELSE 1 END AS BIGINT) AS new_last_committed FROM {_RENUMBERED} r")
 def _(spark, d):
-    return rw.renumber(rw.pack_transactions(_txns(spark, d), SIZE)).select("txn_no", "new_sequence_number", "new_last_committed")
+    return rw.renumber(_packed(spark, d)).select("txn_no", "new_sequence_number", "new_last_committed")
 
 
-@query("r3_relocate", f"SELECT e.event_no, CAST(4 + sum(e.event_size + CASE WHEN e.txn_no % 2 = 0 THEN 4 ELSE 0 END) OVER (PARTITION BY p.out_file ORDER BY e.event_no) AS BIGINT) AS new_next_pos FROM log_events e JOIN {_PACKED} p ON p.txn_no = e.txn_no")
+@query("r3_relocate", f"SELECT e.event_no, CAST(p.file_head + sum(e.event_size + CASE WHEN e.txn_no % 2 = 0 THEN 4 ELSE 0 END) OVER (PARTITION BY p.out_file ORDER BY e.event_no) AS BIGINT) AS new_next_pos FROM log_events e JOIN {_PACKED} p ON p.txn_no = e.txn_no")
 def _(spark, d):
-    packed = rw.pack_transactions(_txns(spark, d), SIZE).select("txn_no", "out_file")
+    packed = _packed(spark, d).select("txn_no", "out_file", "head")
     events = view(spark, d, "log_events").join(packed, "txn_no").withColumn("has_checksum", F.col("txn_no") % 2 != 0)
-    return rw.relocate(rw.normalize_checksum(events)).select("event_no", "new_next_pos")
+    return rw.relocate(rw.normalize_checksum(events), F.col("head")).select("event_no", "new_next_pos")
 
 
 @query("r4_normalize_checksum", "SELECT event_no, event_size + CASE WHEN txn_no % 2 = 0 THEN 4 ELSE 0 END AS added, event_size - CASE WHEN txn_no % 2 = 0 THEN 0 ELSE 4 END AS removed FROM log_events")
@@ -543,14 +560,19 @@ def _(spark, d):
     return view(spark, d, "log_files").select("file_seq", fn.output_name(F.lit("copy"), F.col("file_seq")).alias("out_name"))
 
 
-@query("r6_frame_files", f"SELECT out_file, CAST(unnest([-2, -1]) AS BIGINT) AS ord, unnest(['format_description', 'previous_gtids_log']) AS type_name, CAST(unnest([122, 31]) AS BIGINT) AS event_size FROM (SELECT DISTINCT out_file FROM {_PACKED} p) f UNION ALL SELECT DISTINCT out_file, CAST(9000000000 AS BIGINT), 'rotate', CAST(31 + 13 AS BIGINT) FROM {_PACKED} p WHERE out_file < (SELECT max(out_file) FROM {_PACKED} q)")
+@query("r6_frame_files", f"SELECT * FROM (WITH p AS (SELECT * FROM {_PACKED} x) SELECT DISTINCT out_file, CAST(-2 AS BIGINT) AS ord, 'format_description' AS type_name, CAST(122 AS BIGINT) AS event_size FROM p UNION ALL SELECT DISTINCT out_file, CAST(-1 AS BIGINT), 'previous_gtids_log', CAST(23 + file_previous AS BIGINT) FROM p UNION ALL SELECT DISTINCT out_file, CAST(9000000000 AS BIGINT), 'rotate', CAST(31 + 13 AS BIGINT) FROM p WHERE out_file < (SELECT max(out_file) FROM p)) z")
 def _(spark, d):
-    return rw.frame_files(rw.pack_transactions(_txns(spark, d), SIZE))
+    return rw.frame_files(_packed(spark, d))
+
+
+_VARLEN = " ".join(f"WHEN {{v}} < {1 << (7 * n)} THEN {n}" for n in range(1, 9))
+_SN = "SELECT txn_no, size - 65 AS rest, sn, CASE WHEN sn > sequence_number - last_committed THEN sn - (sequence_number - last_committed) WHEN sn = 1 THEN 0 ELSE 1 END AS lc"
 
 
-@query("r7_tagged_size")
+@query("r7_tagged_size", lambda: f"SELECT txn_no, CAST(min(s) AS BIGINT) AS event_size, CAST(min(s) + min(rest) AS BIGINT) AS txn_length FROM (SELECT txn_no, rest, fixed + n AS s, n, CASE {_VARLEN.format(v='fixed + n + rest')} END AS w FROM (SELECT *, unnest(generate_series(1, 8)) AS n FROM (SELECT txn_no, rest, 60 + CASE {_VARLEN.format(v='2 * sn')} END + CASE {_VARLEN.format(v='2 * lc')} END AS fixed FROM ({_SN} FROM {_RENUMBERED} r) a) b) c) e WHERE w = n GROUP BY txn_no")
 def _(spark, d):
-    packed = rw.renumber(rw.pack_transactions(_txns(spark, d), SIZE))
+    """The size is the least that holds its own width."""
+    packed = rw.renumber(_packed(spark, d))
     event, txn = rw.tagged_size(F.lit(60), F.col("new_sequence_number"), F.col("new_last_committed"), F.col("size") - 65)
     return packed.select("txn_no", event.cast("long").alias("event_size"), txn.cast("long").alias("txn_length"))
 
@@ -606,10 +628,9 @@ def _(spark, d):
 
 # -- streaming, in batch form ----------------------------------------------------------------------------------------
 
-@query("s4_drop_incomplete_tail", "SELECT event_no FROM log_events e WHERE event_no % 500 < 497 AND (event_no < (SELECT max(event_no) - 4 FROM log_events g WHERE g.file_seq = e.file_seq) OR FALSE) AND txn_no < (SELECT max(txn_no) FROM log_events g WHERE g.file_seq = e.file_seq AND g.event_no % 500 < 497)")
+@query("s4_drop_incomplete_tail", "SELECT event_no FROM log_events_cut e WHERE event_no <= (SELECT max(g.event_no) FROM log_events_cut g WHERE g.file_seq = e.file_seq AND g.pos_in_txn = 4)")
 def _(spark, d):
-    cut_short = view(spark, d, "log_events").filter("event_no % 500 < 497")
-    return sq.drop_incomplete_tail(cut_short).select("event_no")
+    return sq.drop_incomplete_tail(view(spark, d, "log_events_cut")).select("event_no")
 
 
 @query("s5_resume_filter", "SELECT event_no FROM log_events WHERE file_seq > (SELECT max(file_seq) - 1 FROM log_files) OR (file_seq = (SELECT max(file_seq) - 1 FROM log_files) AND start_pos >= 5000)")
@@ -636,26 +657,26 @@ def _(spark, d):
 
 
 def _streamed(spark, d):
-    """Log events in pieces that cut transactions, drained by the streaming job."""
+    """A log with its framing, in pieces that cut transactions, drained by the streaming job."""
     from ..streaming import ingest as stream
 
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     source, out = shared_path(spark, "stream-in"), shared_path(spark, "stream-out")
-    rows = view(spark, d, "log_events")
-    for piece in range(3):
-        rows.filter((F.col("event_no") % 500 >= piece * 167) & (F.col("event_no") % 500 < (piece + 1) * 167)).coalesce(1).write.parquet(f"{source}/piece{piece}")
-    events = stream.read_event_stream(spark, f"{source}/*", rows.schema, max_files=1)
+    rows = view(spark, d, "framed_events").withColumnRenamed("ord", "event_no").repartition("file_seq")
+    piece = F.when(F.col("event_no") < 0, 0).when(F.col("event_no") > 8_000_000_000, 2).otherwise(F.floor(F.col("event_no") % 500 / 167)).cast("int")
+    rows.withColumn("piece", piece).write.partitionBy("piece").parquet(source)
+    events = stream.read_event_stream(spark, f"{source}/piece=*", rows.schema, max_files=int(spark.conf.get("spark.sql.shuffle.partitions")))
     stream.ingest(events, out, f"{out}/checkpoint").awaitTermination()
     return stream, out
 
 
-@query("s1_ingest_once", "SELECT event_no, file_seq, txn_no, next_pos FROM log_events")
+@query("s1_ingest_once", "SELECT ord AS event_no, file_seq, type_name, next_pos FROM framed_events WHERE NOT artificial")
 def _(spark, d):
     stream, out = _streamed(spark, d)
-    return stream.stored_events(spark, out).select("event_no", "file_seq", "txn_no", "next_pos")
+    return stream.stored_events(spark, out).select("event_no", "file_seq", "type_name", "next_pos")
 
 
-@query("s7_live_files", "SELECT * FROM log_files")
+@query("s7_live_files", lambda: "SELECT f.file_seq, f.name, t.size, g.added_gtids, f.min_ts, f.max_ts, f.last_sequence_number FROM log_files f JOIN (SELECT file_seq, CAST(4 + sum(event_size) AS BIGINT) AS size FROM framed_events WHERE NOT artificial GROUP BY file_seq) t ON t.file_seq = f.file_seq JOIN (" + _TEXT.format(k="file_seq", src="file_added_gtids", out="added_gtids") + ") g ON g.file_seq = f.file_seq")
 def _(spark, d):
     stream, out = _streamed(spark, d)
     return stream.live_files(spark, out)

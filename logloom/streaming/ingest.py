@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.types import StructType
 
-from ..functions.scalars import is_txn_start
+from ..functions.scalars import FRAMING, is_txn_start
+from ..operators.gtid import canonical, format_gtid_set, gtid_set_agg
 
 
 def read_event_stream(spark: SparkSession, path: str, schema: StructType, max_files: int | None = None) -> DataFrame:
@@ -22,7 +23,10 @@ def read_event_stream(spark: SparkSession, path: str, schema: StructType, max_fi
 
 
 class _Assembler(StatefulProcessor):
-    """Holds a log's events until their transaction has its declared length; emits whole transactions in log order."""
+    """Holds a log's events until their transaction has its declared length; emits whole transactions and framing rows in log order.
+
+    Framing rows (description, previous ids, closing rotate or stop) belong to no transaction and pass at once; events whose transaction has not begun wait.
+    """
 
     def __init__(self, schema: StructType):
         self.schema = schema
@@ -34,19 +38,22 @@ class _Assembler(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         names = self.schema.names
         held = [pd.DataFrame(list(self.open.get()), columns=names)] if self.open.exists() else []
-        frame = pd.concat([*held, *rows], ignore_index=True)[names].sort_values("event_no", kind="stable").drop_duplicates("event_no")
-        starts = frame["type_name"].isin(["gtid_log", "anonymous_gtid_log", "gtid_tagged_log"])
+        frame = pd.concat([f.astype(object) for f in (*held, *rows)], ignore_index=True)[names].sort_values("event_no", kind="stable").drop_duplicates("event_no")
+        framing = frame["type_name"].isin(FRAMING)
+        body = frame[~framing]
+        starts = body["type_name"].isin(["gtid_log", "anonymous_gtid_log", "gtid_tagged_log"])
         number = starts.cumsum()
-        size = frame.groupby(number)["event_size"].transform("sum")
-        declared = frame["txn_length"].where(starts).groupby(number).transform("first")
-        whole = (number > 0) & (size == declared)
+        size = body["event_size"].astype("int64").groupby(number).transform("sum")
+        declared = dict(zip(number[starts], (int(v) for v in body["txn_length"][starts])))
+        whole = size == number.map(declared)  # none is declared before the first start
         self.open.clear()
-        rest = frame[~whole & (number > 0)]
+        rest = body[~whole]
         if len(rest):
             # None for missing values, as the state's schema has them
             self.open.put([tuple(None if pd.isna(v) else v for v in r) for r in rest.itertuples(index=False, name=None)])
-        if whole.any():
-            yield frame[whole]
+        out = frame[framing | whole.reindex(frame.index, fill_value=False)]
+        if len(out):
+            yield out
 
     def close(self) -> None:
         pass
@@ -57,25 +64,42 @@ def assemble_transactions_stream(events: DataFrame, source: str = "file_seq") ->
 
     Needs the RocksDB state store (``spark.sql.streaming.stateStore.providerClass``).
     """
-    return events.groupBy(source).transformWithStateInPandas(statefulProcessor=_Assembler(events.schema), outputStructType=events.schema, outputMode="Append", timeMode="None")
+    # whole numbers that may be missing pass as text: pandas would turn them into floats, which do not hold all of them
+    loose = [f.name for f in events.schema if f.dataType.typeName() in ("long", "integer") and f.name not in ("event_no", "event_size", source)]
+    rows = events.withColumns({c: F.col(c).cast("string") for c in loose})
+    whole = rows.groupBy(source).transformWithStateInPandas(statefulProcessor=_Assembler(rows.schema), outputStructType=rows.schema, outputMode="Append", timeMode="None")
+    return whole.select(*[F.col(f.name).cast(f.dataType) if f.name in loose else F.col(f.name) for f in events.schema])
 
 
-def _merge_files(batch: DataFrame, path: str) -> None:
-    """Partial summaries of one batch, added to those of the batches before."""
+def _write_batch(batch: DataFrame, path: str, number: int) -> None:
+    """A batch's events, partial summaries of its files and the ids they added, under the batch's number."""
+    write = lambda df, kind: df.write.mode("overwrite").parquet(f"{path}/{kind}/batch={number}")
+    write(batch, "events")
     ts = F.nullif(F.col("ts"), F.timestamp_seconds(F.lit(0)))
-    last = F.max(F.when(is_txn_start(F.col("type_name")), F.struct("event_no", "sequence_number")))
-    batch.groupBy("file_seq", "file").agg(F.sum("event_size").cast("long").alias("bytes"), F.min(ts).alias("min_ts"), F.max(ts).alias("max_ts"), last.alias("last")).write.mode("overwrite").parquet(path)
+    starts = is_txn_start(F.col("type_name"))
+    last = F.max(F.when(starts, F.struct("event_no", "sequence_number")))
+    write(batch.groupBy("file_seq", "file").agg(F.sum("event_size").cast("long").alias("bytes"), F.min(ts).alias("min_ts"), F.max(ts).alias("max_ts"), last.alias("last")), "files")
+    write(gtid_set_agg(batch.filter(starts).select("file_seq", "uuid", "tag", "gno"), ["file_seq"]), "added")
+
+
+def live_added(spark: SparkSession, path: str) -> DataFrame:
+    """``file_seq, uuid, tag, lo, hi``: the ids of each file as of now."""
+    return canonical(spark.read.option("recursiveFileLookup", True).parquet(f"{path}/added"), ["file_seq"])
 
 
 def live_files(spark: SparkSession, path: str) -> DataFrame:
-    """The catalogue as of now: the batches' partial summaries together."""
+    """The catalogue as of now: the batches' partial summaries together, with each file's ids as text."""
     parts = spark.read.option("recursiveFileLookup", True).parquet(f"{path}/files")
-    sums = parts.groupBy("file_seq", F.col("file").alias("name")).agg((F.lit(4) + F.sum("bytes")).cast("long").alias("size"), F.min("min_ts").alias("min_ts"), F.max("max_ts").alias("max_ts"), F.max("last.sequence_number").alias("last_sequence_number"))
-    return sums
+    last = F.coalesce(F.max("last")["sequence_number"], F.lit(0).cast("long"))
+    sums = parts.groupBy("file_seq", F.col("file").alias("name")).agg((F.lit(4) + F.sum("bytes")).cast("long").alias("size"), F.min("min_ts").alias("min_ts"), F.max("max_ts").alias("max_ts"), last.alias("last_sequence_number"))
+    added = format_gtid_set(live_added(spark, path), ["file_seq"], "added_gtids")
+    return sums.join(added, "file_seq", "left").select("file_seq", "name", "size", "added_gtids", "min_ts", "max_ts", "last_sequence_number")
 
 
 def ingest(events: DataFrame, path: str, checkpoint: str, trigger: str = "once") -> StreamingQuery:
-    """Start a job that appends whole transactions to ``path/events`` and their summaries to ``path/files``.
+    """Start a job that appends whole transactions and stored framing to ``path/events``, summaries of files to ``path/files`` and ids to ``path/added``.
+
+    Artificial events tell of the connection and are not stored.
 
     ``trigger='once'`` drains what is there and stops; an interval such as ``'5 seconds'`` follows the source.  Each batch writes folders of its
     own number, so a batch that is run again after a failure replaces what it wrote before: nothing is lost or doubled.
@@ -84,11 +108,12 @@ def ingest(events: DataFrame, path: str, checkpoint: str, trigger: str = "once")
     def write(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
         try:
-            batch.write.mode("overwrite").parquet(f"{path}/events/batch={batch_id}")
-            _merge_files(batch, f"{path}/files/batch={batch_id}")
+            _write_batch(batch, path, batch_id)
         finally:
             batch.unpersist()
 
+    if "artificial" in events.columns:
+        events = events.filter(~F.col("artificial"))
     writer = assemble_transactions_stream(events).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("append")
     writer = writer.trigger(availableNow=True) if trigger == "once" else writer.trigger(processingTime=trigger)
     return writer.start()

@@ -142,5 +142,66 @@ def test_stream_equals_batch(spark, events, tmp_path):
     events.filter("event_no = 10").coalesce(1).write.parquet(str(source / "p3"))
     rows = stream.read_event_stream(spark, f"{source}/*", events.schema, max_files=1)
     stream.ingest(rows, str(out), str(out / "checkpoint")).awaitTermination()
-    got = {(r.file_seq, r.size, r.last_sequence_number) for r in stream.live_files(spark, str(out)).collect()}
-    assert got == {(r.file_seq, r.size, r.last_sequence_number) for r in fl.build_files(events).collect()}
+    facts = lambda files: {(r.file_seq, r.size, r.last_sequence_number, r.added_gtids) for r in files.collect()}
+    assert facts(stream.live_files(spark, str(out))) == facts(fl.build_files(events))
+
+
+def test_stream_keeps_framing(spark, events, tmp_path):
+    """Description, previous ids and a closing rotate are stored; the transaction before the rotate is not lost."""
+    source, out = tmp_path / "in", tmp_path / "out"
+    frame = lambda no, kind, seq: (f"b.{seq:06d}", seq, no, kind, kind == "artificial", None, None, None, 50, 0, 0, None, None, None, None)
+    body = events.filter("file_seq = 1").withColumn("event_no", F.col("event_no") + 10)
+    framing = spark.createDataFrame([frame(0, "format_description", 1), frame(1, "previous_gtids_log", 1), frame(30, "rotate", 1), frame(31, "artificial", 2)], EVENT)
+    rows = body.unionByName(framing)
+    for n, part in enumerate(("event_no < 12", "event_no in (13, 30, 31)", "event_no in (12, 14)")):
+        rows.filter(part).coalesce(1).write.parquet(str(source / f"p{n}"))
+    stream.ingest(stream.read_event_stream(spark, f"{source}/*", rows.schema, max_files=1), str(out), str(out / "checkpoint")).awaitTermination()
+    assert sorted(r.event_no for r in stream.stored_events(spark, str(out)).collect()) == [0, 1, 10, 11, 12, 13, 14, 30]
+    live = stream.live_files(spark, str(out)).first()
+    assert (live.size, live.last_sequence_number, live.added_gtids[-4:]) == (4 + 195 + 150, 2, ":1-2")
+    found = fl.search_by_gtid_set(stream.live_files(spark, str(out)), stream.live_added(spark, str(out)), "11111111-aaaa-1111-aaaa-111111111111:2")
+    assert [r.file_seq for r in found.collect()] == [1]
+
+
+def encoded(ids):
+    """Bytes of a set of (uuid, tag, number)."""
+    size, tagged = 8, any(t for _, t, _ in ids)
+    for key in {(u, t) for u, t, _ in ids}:
+        have = {g for u, t, g in ids if (u, t) == key}
+        size += 24 + 16 * sum(g - 1 not in have for g in have) + (1 + len(key[1]) if tagged else 0)
+    return size
+
+
+def test_heads_grow_with_the_ids(spark):
+    g = random.Random(2)
+    pool = [(u, t, n) for u in ("u1", "u2") for t in ("", "tag") for n in range(1, 30)]
+    g.shuffle(pool)
+    txns = [("s%d" % s, 1 + i // 25, i, g.choice([200, 600, 2000]), *pool[i], i, i) for s in range(2) for i in range(len(pool))]
+    df = spark.createDataFrame(txns, "store string, file_seq long, txn_no long, size long, uuid string, tag string, gno long, sequence_number long, last_committed long")
+    packed = rw.pack_transactions(rw.file_heads(df, keys=["store"]), 2048, keys=["store"])
+    got = {(r.store, r.txn_no): (r.out_file, r.previous_size) for r in packed.collect()}
+    framed = {(r.store, r.out_file): r.event_size for r in rw.frame_files(packed, keys=["store"]).filter("ord = -1").collect()}
+    for s in ("s0", "s1"):
+        at, n, ids = None, 0, set()
+        for _, _, i, size, u, t, no, *_ in (x for x in txns if x[0] == s):
+            if at is None or at >= 2048:
+                n, at = n + 1, 4 + 122 + 23 + encoded(ids)
+                assert framed[s, n] == 23 + encoded(ids)
+            assert got[s, i] == (n, encoded(ids))
+            ids.add((u, t, no))
+            at += size
+
+
+def test_flush_points_equal_a_walk(spark):
+    g = random.Random(3)
+    rows = [(f, i, g.choice([10, 90, 300])) for f in range(3) for i in range(40)]
+    df = spark.createDataFrame(rows, "file_seq long, txn_no long, size long")
+    want = []
+    for f in range(3):
+        held = 0
+        for _, i, s in (r for r in rows if r[0] == f):
+            held += s
+            if held >= 1024 or i == 39:
+                want.append((f, i))
+                held = 0
+    assert sorted((r.file_seq, r.txn_no) for r in rw.flush_points(df, 1024).collect()) == want
