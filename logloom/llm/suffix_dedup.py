@@ -9,8 +9,8 @@
    place of a run the longest match with the neighbour in suffix order is read off the text; at every other place it is one
    byte shorter than at the place before.  Starts whose longest match has ``length`` bytes are marked.
 
-Anchors shared by very many blocks are split by the contents that all strings of a few neighbouring starts have in common, so
-no task takes more than one such piece at a time.
+Blocks of anchors that very many blocks share are cut into cells, named by the contents that all strings of a few neighbouring starts have in common.  Equal
+cells are counted; different ones go to the index, or string by string to a count of digests where a cell has very many: no task gathers an unbounded group.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions, saved, slices, table
+from .common import left_join_sized, partitions, saved, sized, slices, table
 from .shingles import _BYTE, U, _mix, powers
 
 GRAM = 160
@@ -262,33 +262,100 @@ def _mark_blocks(length: int, most: int = 1 << 20):
     return run
 
 
-def _cut_blocks(length: int):
-    """The bytes of each wanted block, those of large groups split by the common contents of SPLIT neighbouring starts."""
+def _cells(w: dict, length: int):
+    """A block's starts by their distance to the anchor, in cells of SPLIT: number, first and last start, and where the bytes that all of a cell's strings share begin."""
+    for cell in range((w["place"] - w["hi"]) // SPLIT, (w["place"] - w["lo"]) // SPLIT + 1):
+        a, b = max(w["lo"], w["place"] - cell * SPLIT - SPLIT + 1), min(w["hi"], w["place"] - cell * SPLIT)
+        if a <= b:
+            yield cell, a, b, w["place"] - cell * SPLIT
+
+
+def _digest(data: bytes) -> bytes:
+    return hashlib.blake2b(data, digest_size=16).digest()
+
+
+CELLS = "cell binary, content binary, key long, lo long, hi long"
+
+
+def _name_cells(length: int):
+    """The cells of wanted blocks: named by what all strings in one have in common, with a digest of their bytes."""
 
     def run(stream):
         import pyarrow as pa
 
         for batch in slices(stream):
-            grp, keys, los, parts = [], [], [], []
+            out = []
             for key, text, wanted in zip(batch.column("key").to_pylist(), batch.column("text"), batch.column("wanted").to_pylist()):
                 data = text.as_buffer().to_pybytes()
                 for w in wanted:
-                    lo, hi, place = w["lo"], w["hi"], w["place"]
-                    if not w["large"]:
-                        grp.append(w["anchor"]), keys.append(key), los.append(lo), parts.append(data[lo : hi + length])
-                        continue
-                    # starts by their distance to the anchor, in cells of SPLIT
-                    for cell in range((place - hi) // SPLIT, (place - lo) // SPLIT + 1):
-                        a, b = max(lo, place - cell * SPLIT - SPLIT + 1), min(hi, place - cell * SPLIT)
-                        inner = data[place - cell * SPLIT : place - cell * SPLIT - SPLIT + 1 + length]
-                        if a <= b:
-                            name = hashlib.blake2b(inner + b"%d %d" % (w["anchor"], cell), digest_size=8).digest()
-                            grp.append(int.from_bytes(name, "little", signed=True)), keys.append(key), los.append(a), parts.append(data[a : b + length])
-            yield pa.RecordBatch.from_arrays([pa.array(grp, pa.int64()), pa.array(keys, pa.int64()), pa.array(los, pa.int64()), pa.array(parts, pa.binary())], ["grp", "key", "lo", "bytes"])
+                    for cell, a, b, shared in _cells(w, length):
+                        inner = data[shared : shared - SPLIT + 1 + length]
+                        # equal bytes at another place in the cell are other starts
+                        out.append((_digest(inner + b"%d %d" % (w["anchor"], cell)), _digest(data[a : b + length] + b"%d" % (shared - a)), key, a, b + length))
+            columns = list(zip(*out)) or [()] * 5
+            kinds = [pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["cell", "content", "key", "lo", "hi"])
 
     return run
 
 
+def _cut_blocks(stream):
+    """The bytes of wanted ranges, in their groups."""
+    import pyarrow as pa
+
+    for batch in slices(stream):
+        grp, keys, los, parts = [], [], [], []
+        for key, text, wanted in zip(batch.column("key").to_pylist(), batch.column("text"), batch.column("wanted").to_pylist()):
+            data = text.as_buffer().to_pybytes()
+            for w in wanted:
+                grp.append(w["grp"]), keys.append(key), los.append(w["lo"]), parts.append(data[w["lo"] : w["hi"]])
+        yield pa.RecordBatch.from_arrays([pa.array(grp, pa.binary()), pa.array(keys, pa.int64()), pa.array(los, pa.int64()), pa.array(parts, pa.binary())], ["grp", "key", "lo", "bytes"])
+
+
+def _single_starts(length: int):
+    """A digest of every string of the wanted ranges."""
+
+    def run(stream):
+        import pyarrow as pa
+
+        for batch in slices(stream):
+            out = []
+            for key, text, wanted in zip(batch.column("key").to_pylist(), batch.column("text"), batch.column("wanted").to_pylist()):
+                data = text.as_buffer().to_pybytes()
+                out += [(_digest(data[i : i + length]), key, i) for w in wanted for i in range(w["lo"], w["hi"] - length + 1)]
+            columns = list(zip(*out)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.int64(), pa.int64()))], ["string", "key", "lo"])
+
+    return run
+
+
+def _with_texts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``key, text, wanted`` (a list of what is wanted of the text), one row for each text: copies are read once."""
+    listed = saved(wanted.groupBy("key").agg(F.collect_list("w").alias("wanted")), "wanted")
+    once = texts.join(sized(listed.select("key")), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+    return once.join(listed, "key")
+
+
+def _large_groups(texts: DataFrame, wanted: DataFrame, length: int, large: int) -> tuple[DataFrame, DataFrame]:
+    """Blocks of anchors that very many blocks share, cell by cell: spans that are repeated, and what is left for the index (``key, grp, lo, hi``).
+
+    Equal contents are counted, not gathered.  Of different contents in a cell one each goes to the index; where still more than ``large`` are left, every
+    string of theirs is a row of its own, counted by its digest.
+    """
+    cells = saved(_with_texts(texts, wanted.select("key", F.struct("anchor", "lo", "hi", "place").alias("w"))).mapInArrow(_name_cells(length), CELLS), "cells")
+    contents = saved(cells.groupBy("cell", "content").agg(F.count("*").alias("n"), F.min(F.struct("key", "lo", "hi")).alias("w")), "contents")
+    again = saved(contents.filter("n > 1").select("cell", "content", F.lit(True).alias("again")), "again")
+    spans = left_join_sized(cells, again, ["cell", "content"]).filter("again").select("key", "lo", "hi")
+    crowd = saved(contents.groupBy("cell").agg(F.count("*").alias("contents")).filter("contents > 1"), "crowd")
+    stand = left_join_sized(contents.select("cell", "w.*"), crowd, ["cell"]).filter("contents > 1")
+    stand = saved(stand.select("key", F.col("cell").alias("grp"), "lo", "hi", "contents"), "stand")
+    single = _with_texts(texts, stand.filter(F.col("contents") > large).select("key", F.struct("lo", "hi").alias("w"))).mapInArrow(_single_starts(length), "string binary, key long, lo long").distinct()
+    single = saved(single, "starts")
+    twice = saved(single.groupBy("string").agg(F.count("*").alias("n")).filter("n > 1"), "twice")
+    spans = spans.unionByName(left_join_sized(single, twice, ["string"]).filter("n > 1").select("key", "lo", (F.col("lo") + length).alias("hi")))
+    return spans, stand.filter(F.col("contents") <= large).select("key", "grp", "lo", "hi")
+
+
 def repeated_spans(texts: DataFrame, length: int = 400, gram: int = GRAM, large: int = 2000) -> DataFrame:
     """``key, lo, hi`` of the byte ranges that repeated strings cover (they may overlap), from ``key, text`` (binary, one key for each different text)."""
     spark = texts.sparkSession
@@ -296,15 +363,16 @@ def repeated_spans(texts: DataFrame, length: int = 400, gram: int = GRAM, large:
     rows = texts.filter(F.length("text") >= length).mapInArrow(_anchors(length, gram), "anchor long, block long, key long, place long, lo long, hi long")
     placed = rows.repartition(n, "anchor").sortWithinPartitions("anchor", "block", "key", "place")
     shared = saved(placed.mapInArrow(_shared, "anchor long, block long, key long, place long, lo long, hi long, repeated boolean, stands boolean"), "anchors")
-    whole = shared.filter("repeated").select("key", "lo", (F.col("hi") + length).alias("hi"))
+    spans = shared.filter("repeated").select("key", "lo", (F.col("hi") + length).alias("hi"))
     sizes = saved(shared.filter("stands").groupBy("anchor").agg(F.count("*").alias("blocks")).filter("blocks > 1"), "groups")
-    wanted = shared.filter("stands").join(sizes, "anchor").select("key", F.struct("anchor", "lo", "hi", "place", (F.col("blocks") > large).alias("large")).alias("w"))
-    by_text = saved(wanted.groupBy("key").agg(F.collect_list("w").alias("wanted")), "wanted")
-    # copies of a text are cut once: bytes come with the first of them
-    once = texts.join(by_text.select("key"), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
-    blocks = once.join(by_text, "key").mapInArrow(_cut_blocks(length), "grp long, key long, lo long, bytes binary")
+    stands = shared.filter("stands").join(sized(sizes), "anchor")
+    wanted = stands.filter(F.col("blocks") <= large).select("key", F.unhex(F.hex("anchor")).alias("grp"), "lo", (F.col("hi") + length).alias("hi"))
+    if not sizes.filter(F.col("blocks") > large).isEmpty():
+        more, rest = _large_groups(texts, stands.filter(F.col("blocks") > large), length, large)
+        spans, wanted = spans.unionByName(more), wanted.unionByName(rest)
+    blocks = _with_texts(texts, wanted.select("key", F.struct("grp", "lo", "hi").alias("w"))).mapInArrow(_cut_blocks, "grp binary, key long, lo long, bytes binary")
     marked = blocks.repartition(n, "grp").sortWithinPartitions("grp", "key", "lo").mapInArrow(_mark_blocks(length), "key long, lo long, hi long")
-    return whole.unionByName(marked)
+    return spans.unionByName(marked)
 
 
 def _strip(stream):
@@ -340,10 +408,17 @@ def strip_repeats(docs: DataFrame, length: int = 400, gram: int = GRAM, large: i
         raise ValueError("anchors must be shorter than the strings")
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("key"), F.octet_length(text).cast("long").alias("n_bytes"))
-    copies = saved(rows.filter(F.col("n_bytes") >= length).groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key", F.lit(True).alias("copy")), "copies")
+    # a key is 64 bits of a text; a second hash tells different texts with one key, which chance makes at most a few: these get keys of another kind
+    again = lambda seed: F.xxhash64(F.lit(seed), "text")
+    counted = rows.filter(F.col("n_bytes") >= length).groupBy("key").agg(F.count("*").alias("n"), F.min(again(1)).alias("least"), F.max(again(1)).alias("most"))
+    counted = saved(counted.filter("n > 1"), "counted")
+    if clash := [r.key for r in counted.filter("least <> most").select("key").collect()]:
+        rows = rows.withColumn("key", F.when(F.col("key").isin(clash), again(2)).otherwise(F.col("key")))
+        counted = saved(rows.filter(F.col("n_bytes") >= length).groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "counted")
+    copies = counted.select("key", F.lit(True).alias("copy"))
     spans = repeated_spans(rows.select("key", "text"), length, gram, large)
     marks = saved(spans.join(copies, "key", "left_anti").groupBy("key").agg(F.collect_set(F.struct("lo", "hi")).alias("marks")), "marks")
-    told = rows.join(copies, "key", "left")
+    told = left_join_sized(rows, copies, ["key"])
     out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
     single = told.filter("copy is null").join(marks, "key", "left").select("doc_id", "text", "n_bytes", "marks").mapInArrow(_strip, out)
     gone = told.filter("copy").select("doc_id", "n_bytes", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(b"").alias("kept"))
@@ -352,4 +427,4 @@ def strip_repeats(docs: DataFrame, length: int = 400, gram: int = GRAM, large: i
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     stripped = strip_repeats(table(spark, sf_dir, "documents"))
-    return stripped.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return stripped.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), (F.col("n_removed") > 0).alias("changed"))
