@@ -83,11 +83,24 @@ def tidy(operator):
     return run
 
 
+def give_back() -> None:
+    """Return memory that this Python worker has freed to the system: workers live on from stage to stage."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def slices(stream, rows: int = 1000):
     """The batches of a mapInArrow stream in parts of fewer rows, so that what is made from them stays small."""
+    give_back()
     for batch in stream:
         for i in range(0, batch.num_rows, rows):
             yield batch.slice(i, rows)
+    give_back()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
