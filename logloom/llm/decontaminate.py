@@ -147,10 +147,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.5, enough
     texts = texts.select("key", values_of(F.col("text")).alias("doc_raw"), template_words(F.col("text")).alias("doc_words"))
     few = items.limit(100_001).count() <= 100_000
     both = aligned.join(F.broadcast(items) if few else items, "item_id").join(texts, "key")
+    # the same text matches whatever its template: a capital is a name inside a sentence and a plain word at its start
+    lower = lambda c: F.transform(F.col(c), lambda w: F.lower(w))
+    both = both.withColumns({"plain": lower("raw"), "doc_plain": lower("doc_raw")})
     places = F.sequence(F.lit(0), F.size("words") - 1)
     offs = sorted(range(-DRIFT, DRIFT + 1), key=abs)
     for n, d in enumerate(offs):
-        both = both.withColumn(f"same{n}", F.transform(places, lambda i: F.coalesce(F.get("words", i) == F.get("doc_words", i + F.col("shift") + d), F.lit(False))))
+        both = both.withColumn(f"same{n}", F.transform(places, lambda i: F.coalesce(F.get("words", i) == F.get("doc_words", i + F.col("shift") + d), F.lit(False)) | F.coalesce(F.get("plain", i) == F.get("doc_plain", i + F.col("shift") + d), F.lit(False))))
 
     def piece(n: int, i: Column) -> Column:
         """Place ``i`` and its neighbours are the same for PIECE places."""
