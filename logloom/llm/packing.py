@@ -207,8 +207,12 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, size: int = 4096, tar
     return ready.mapInArrow(_cut_rows(schedule, dtype), out)
 
 
+#: The mixture of the query: these sources' shares of every window while they last; all others share the rest.
+MIXTURE = {"src0": 0.30, "src1": 0.10, "src2": 0.08}
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    packed = pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    packed = pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), targets=MIXTURE)
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source")
