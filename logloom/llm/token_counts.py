@@ -20,7 +20,7 @@ from .common import saved, slices, table
 
 MARGIN = 32
 #: Texts of more characters than this are cut.
-HUGE = 48_000
+HUGE = 16_384
 
 
 def _count_short(path: str):
@@ -81,7 +81,7 @@ def _seam(left_at, left_n, right_at, right_n):
     return F.when(common.isNotNull(), F.struct(F.element_at(left_n, F.array_position(left_at, common).cast("int")).alias("a"), F.element_at(right_n, F.array_position(right_at, common).cast("int")).alias("b")))
 
 
-def count_huge(texts: DataFrame, tokenizer: str, chunk: int = 16_384, overlap: int = 256) -> DataFrame:
+def count_huge(texts: DataFrame, tokenizer: str, chunk: int = 8_192, overlap: int = 256) -> DataFrame:
     """``sha, n_tokens`` of texts (``sha, text``, one row for each text), by overlapping chunks."""
     spark = texts.sparkSession
     done = None
@@ -115,7 +115,7 @@ def count_huge(texts: DataFrame, tokenizer: str, chunk: int = 16_384, overlap: i
         chunk, overlap = chunk * 4, overlap * 4
 
 
-def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 512, huge: int = HUGE, chunk: int = 16_384, overlap: int = 256) -> DataFrame:
+def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 512, huge: int = HUGE, chunk: int = 8_192, overlap: int = 256) -> DataFrame:
     """``doc_id, n_bytes, n_tokens, over_limit`` of every document.
 
     Null and empty texts have no bytes and no tokens; repeated rows each give a row; null ids stay null; an empty table
