@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import binlog_base, is_file_end, parse_time
 from .gtid import TSID, canonical, first_cover, format_gtid_set, gtid_set_agg, gtid_subtract, gtid_union, overlap_join, parse_gtid_set
+from ..session import cut
 from .sequence import assign_transactions, drop_incomplete_tail
 
 
@@ -107,7 +108,7 @@ def search_by_timestamp(files: DataFrame, t: str, keys: list[str] | None = None,
 
 def covering_files(wanted: DataFrame, added: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """``keys, file_seq`` of the files that a walk in order would take: those that are the first to hold some wanted number."""
-    overlap = first_cover(gtid_intersect_by_file(wanted, added, keys), keys)
+    overlap = first_cover(cut(gtid_intersect_by_file(wanted, added, keys), "overlap"), keys)
     return overlap.select(*(keys or []), "file_seq").distinct()
 
 
@@ -125,6 +126,7 @@ def search_by_gtid_set(files: DataFrame, added: DataFrame, wanted: DataFrame | s
     ``mode`` is the store's replication mode.  Checks come in this order: the set's text, an empty store, the mode, ids that no file holds (with keys: no file of a store).
     """
     spark, keys = files.sparkSession, keys or []
+    added = cut(added.select(*keys, "file_seq", *TSID, "lo", "hi"), "added")  # read for the check, for the sizes of blocks and for the join
     if isinstance(wanted, str):
         try:
             wanted = _parsed(spark, wanted)
