@@ -102,13 +102,13 @@ def resume_filter(events: DataFrame, files: DataFrame, keys: list[str] | None =
 
 # -- rules -----------------------------------------------------------------------------------------------------------
 
-def _row(rows: DataFrame, rule: str, position: Column, detail: Column) -> DataFrame:
-    return rows.select(F.lit(rule).alias("rule"), "file_seq", position.cast("long").alias("position"), detail.alias("detail"))
+def _row(rows: DataFrame, keys: list[str] | None, rule: str, position: Column, detail: Column) -> DataFrame:
+    return rows.select(*(keys or []), F.lit(rule).alias("rule"), "file_seq", position.cast("long").alias("position"), detail.alias("detail"))
 
 
 def broken_chain(events: DataFrame, keys: list[str] | None = None, order: str = "event_no") -> DataFrame:
     rows = position_chain(events, keys, order).filter(~F.col("chain_ok"))
-    return _row(rows, "F1", F.col("expected_start"), F.when(F.col("next_pos") == 0, "zero").otherwise("broken"))
+    return _row(rows, keys, "F1", F.col("expected_start"), F.when(F.col("next_pos") == 0, "zero").otherwise("broken"))
 
 
 def grammar_faults(events: DataFrame, keys: list[str] | None = None, order: str = "ord", previous_required: bool = True) -> DataFrame:
@@ -128,14 +128,14 @@ def grammar_faults(events: DataFrame, keys: list[str] | None = None, order: str
         .when(F.col("_ended") > 0, "event after the end")
         .when(~kind.isin(*FRAMING) & (F.col("_txn") == 0), "event before any transaction")
     )
-    return _row(rows.withColumn("_fault", fault).filter(F.col("_fault").isNotNull()), "F2", F.col(order), F.col("_fault"))
+    return _row(rows.withColumn("_fault", fault).filter(F.col("_fault").isNotNull()), keys, "F2", F.col(order), F.col("_fault"))
 
 
-def rotate_faults(events: DataFrame, order: str = "ord") -> DataFrame:
+def rotate_faults(events: DataFrame, order: str = "ord", keys: list[str] | None = None) -> DataFrame:
     """artificial rotates carry no time and no next position.  F4: the end of a file is not artificial."""
     head = events.filter(F.col("artificial") & (F.col("type_name") == "rotate") & (F.col("ts").isNotNull() | (F.col("next_pos") != 0)))
     tail = events.filter(F.col("artificial") & (F.col("type_name") == "stop"))
-    return _row(head, "F3", F.col(order), F.lit("time or position")).unionByName(_row(tail, "F4", F.col(order), F.lit("artificial end")))
+    return _row(head, keys, "F3", F.col(order), F.lit("time or position")).unionByName(_row(tail, keys, "F4", F.col(order), F.lit("artificial end")))
 
 
 def rotate_position_faults(rotates: DataFrame, resume_file: str | None = None, resume_position: int | None = None) -> DataFrame:
@@ -152,26 +152,26 @@ def length_faults(events: DataFrame, keys: list[str] | None = None) -> DataFrame
     group = [*(keys or []), "file_seq", "txn_in_file"]
     sums = assign_transactions(events, keys).filter("txn_in_file > 0").groupBy(*group).agg(F.sum("event_size").alias("_size"), F.min_by("txn_length", "event_no").alias("_declared"), F.min("start_pos").alias("_at"))
     fault = F.when(F.col("_declared") > MAX_TXN, "too long").when(F.col("_size") > F.col("_declared"), "exceeds").when(F.col("_size") < F.col("_declared"), "short")
-    return _row(sums.withColumn("_fault", fault).filter(F.col("_fault").isNotNull()), "F5", F.col("_at"), F.col("_fault"))
+    return _row(sums.withColumn("_fault", fault).filter(F.col("_fault").isNotNull()), keys, "F5", F.col("_at"), F.col("_fault"))
 
 
-def gtid_faults(events: DataFrame, gtid_mode: bool = True) -> DataFrame:
+def gtid_faults(events: DataFrame, gtid_mode: bool = True, keys: list[str] | None = None) -> DataFrame:
     """anonymous in gtid mode; anonymous with an id; an id event without one."""
     kind, has = F.col("type_name"), F.col("gno").isNotNull() & (F.col("gno") >= 1)
     fault = F.when((kind == "anonymous_gtid_log") & F.lit(gtid_mode), "anonymous in gtid mode").when((kind == "anonymous_gtid_log") & has, "anonymous with an id").when(kind.isin("gtid_log", "gtid_tagged_log") & ~has, "no id")
-    return _row(events.filter(is_txn_start(kind)).withColumn("_fault", fault).filter(F.col("_fault").isNotNull()), "F6", F.col("start_pos"), F.col("_fault"))
+    return _row(events.filter(is_txn_start(kind)).withColumn("_fault", fault).filter(F.col("_fault").isNotNull()), keys, "F6", F.col("start_pos"), F.col("_fault"))
 
 
-def clock_faults(events: DataFrame) -> DataFrame:
+def clock_faults(events: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """a transaction that claims to follow itself or a later one."""
     rows = events.filter(is_txn_start(F.col("type_name")) & (F.col("last_committed") >= F.col("sequence_number")))
-    return _row(rows, "F10", F.col("start_pos"), F.lit("clock"))
+    return _row(rows, keys, "F10", F.col("start_pos"), F.lit("clock"))
 
 
-def checksum_faults(descriptions: DataFrame) -> DataFrame:
+def checksum_faults(descriptions: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """files (``file_seq, checksum_alg``) whose events have no checksum cannot be rewritten."""
     rows = descriptions.filter(F.coalesce(F.col("checksum_alg"), F.lit("off")) != "crc32")
-    return _row(rows, "F9", F.lit(4), F.lit("no checksum"))
+    return _row(rows, keys, "F9", F.lit(4), F.lit("no checksum"))
 
 
 def assert_checksums(descriptions: DataFrame) -> None:
@@ -180,8 +180,8 @@ def assert_checksums(descriptions: DataFrame) -> None:
 
 
 def validate_log(events: DataFrame, rules: tuple[str, ...] = ("F1", "F5", "F6", "F10"), keys: list[str] | None = None) -> DataFrame:
-    """``rule, file_seq, position, detail`` of all chosen rules; an ordered log has none."""
-    checks = {"F1": lambda: broken_chain(events, keys), "F5": lambda: length_faults(events, keys), "F6": lambda: gtid_faults(events), "F10": lambda: clock_faults(events)}
+    """``keys, rule, file_seq, position, detail`` of all chosen rules; an ordered log has none."""
+    checks = {"F1": lambda: broken_chain(events, keys), "F5": lambda: length_faults(events, keys), "F6": lambda: gtid_faults(events, keys=keys), "F10": lambda: clock_faults(events, keys)}
     found = [checks[r]() for r in rules]
     out = found[0]
     for f in found[1:]:

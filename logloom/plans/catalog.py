@@ -224,6 +224,42 @@ def _(spark, d):
     return st.audit_store(view(spark, d, "store_index"), view(spark, d, "store_metadata"), view(spark, d, "store_listing"))
 
 
+@query("c6_audit_fleet", "SELECT store, 'V7' AS rule, name, '' AS detail FROM (SELECT DISTINCT store, name FROM clock_files WHERE file_seq % 3 = 1 OR file_seq % 13 <> 5) o WHERE name NOT IN (SELECT name FROM store_index) UNION ALL SELECT store, 'V6', name, '' FROM clock_files WHERE file_seq % 11 <> 0 AND NOT (file_seq % 3 = 1 OR file_seq % 13 <> 5) UNION ALL SELECT store, 'V5', name, '' FROM clock_files WHERE file_seq % 11 <> 0 AND file_seq % 5 = 1 UNION ALL SELECT store, 'V8', name, 'orphaned' FROM clock_files WHERE file_seq % 11 = 0")
+def _(spark, d):
+    """Three stores at once: some index lines twice, some objects missing, some not listed."""
+    files = view(spark, d, "clock_files").withColumn("added_gtids", F.lit("x:1"))
+    index = files.filter("file_seq % 11 <> 0").select("store", F.concat(F.lit("./"), "name").alias("entry"), F.col("file_seq").alias("line_no"), "name")
+    index = index.unionByName(index.filter("line_no % 5 = 1"))
+    listing = files.filter("file_seq % 3 = 1 or file_seq % 13 <> 5").select("store", "name", "size")
+    return st.audit_store(index, files, listing, keys=["store"])
+
+
+_ERRORS = {
+    "cannot parse GTID set": lambda files, added: fl.search_by_gtid_set(files, added, "junk"),
+    "Binlog storage is empty": lambda files, added: fl.search_by_gtid_set(files.limit(0), added, ""),
+    "GTID set search is not supported in storages created in position-based replication mode": lambda files, added: fl.search_by_gtid_set(files, added, "", mode="position"),
+    "The specified GTID set cannot be covered": lambda files, added: fl.search_by_gtid_set(files, added, f"{U1}:1-9223372036854775807"),
+    "Invalid timestamp format": lambda files, added: fl.search_by_timestamp(files, "yesterday"),
+    "Timestamp is too old": lambda files, added: fl.search_by_timestamp(files, "1971-01-01T00:00:00"),
+    "cannot purge the last file": lambda files, added: fl.plan_purge(files, files.agg(F.max("name")).first()[0]),
+    "no such file": lambda files, added: fl.plan_purge(files, "binlog.999999"),
+    "base name differs": lambda files, added: fl.plan_purge(files, "other.000001"),
+}
+
+
+@query("c2e_c3e_errors", "SELECT m AS message, count(*) AS files FROM log_files, (SELECT unnest([" + ", ".join(repr(m) for m in _ERRORS) + "]) AS m) e GROUP BY m")
+def _(spark, d):
+    """What the catalogue refuses, and why, each with the number of files that it was asked about."""
+    files, added = view(spark, d, "log_files"), view(spark, d, "file_added_gtids")
+    told, n = [], files.count()
+    for message, ask in _ERRORS.items():
+        try:
+            ask(files, added)
+        except fl.CatalogueError as e:
+            told.append((str(e), n))
+    return spark.createDataFrame(told, "message string, files long")
+
+
 @query("c7_load_files_tolerant", "SELECT name, line_no FROM store_index WHERE name IN (SELECT name FROM store_metadata)")
 def _(spark, d):
     return st.load_files(view(spark, d, "store_index"), view(spark, d, "store_metadata"), strict=False).select("name", "line_no")
