@@ -41,3 +41,35 @@ def test_stages(spark, tmp_path):
     assert masked.text.startswith("mail me at [EMAIL] ") and masked.n_chars == len(masked.text)
     whole = {(r.doc_id, r.start, r.length, r.sequence_id, r.offset) for r in corpus_pipeline.run(spark, d).collect()}
     assert whole == {(r.doc_id, r.start, r.length, r.sequence_id, r.offset) for r in seen["packing"].collect()}
+
+
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, label string, verdict int, pii string, _row_key int"
+
+
+def test_empty_table(spark, tmp_path):
+    d = str(tmp_path)
+    spark.createDataFrame([], COLUMNS).write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(1, "one two three four five six seven eight")], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, d).count() == 0
+
+
+def test_odd_rows(spark, tmp_path):
+    """Null ids, texts and sources, repeated rows, a very long text and columns with the operators' own names pass every stage."""
+    g = random.Random(9)
+    prose = lambda n: " ".join("".join(g.choice("abcdefghijklmnop") for _ in range(g.randrange(2, 8))) for _ in range(n))
+    item, again, long = prose(20), prose(50), prose(60_000)
+    rows = [(1, prose(40), "s"), (None, prose(40), None), (2, again, "s"), (2, again, "s"), (3, None, "s"), (4, "", None), (5, long, "t"), (6, f"{prose(9)} {item} {prose(9)}", "t"), (7, f"{prose(30)} a.b@c.dd", None)]
+    d = str(tmp_path)
+    spark.createDataFrame([(i, t, "en", s, len(t or ""), "x", 1, "y", 2) for i, t, s in rows], COLUMNS).write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(1, item), (2, None), (3, "")], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    want = [{1, None, 2, 5, 6, 7}, {1, None, 2, 5, 6, 7}, {1, None, 2, 5, 7}, {1, None, 2, 5, 7}]
+    for n, ((_, stage), ids) in enumerate(zip(corpus_pipeline.STAGES, want)):
+        out = stage(spark, docs, d)
+        assert out.columns == docs.columns
+        out.write.parquet(f"{d}/out{n}")
+        docs = spark.read.parquet(f"{d}/out{n}")
+        assert {r.doc_id for r in docs.select("doc_id").collect()} == ids and docs.count() == len(ids) + (n == 0)
+    assert docs.filter("doc_id = 7").first().text.endswith(" [EMAIL]") and docs.filter("doc_id = 5").first().text == long
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, d).collect()
+    assert {r.doc_id for r in pieces} == want[-1] and {r.sequence_id for r in pieces} == set(range(1 + max(r.sequence_id for r in pieces)))

@@ -188,6 +188,32 @@ def test_values_of_other_lengths_and_words_put_in(spark):
     assert leaks(spark, docs, items) == [(0, 0), (1, 1), (2, 2), (3, 0)]
 
 
+def test_planted_questions_asked_again(spark):
+    """Items asked with other names, numbers and units, anywhere in a document, in other words around; clean documents hold nothing."""
+    g = random.Random(21)
+    word = lambda: "".join(g.choice("abcdefghijklm") for _ in range(g.randrange(3, 8)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    name = lambda: word().capitalize() + g.choice(["", "", f" {word().capitalize()}"])
+    number = lambda: g.choice([str(g.randrange(2, 99)), f"{g.randrange(2, 9)}.{g.randrange(9)}", f"{g.randrange(2, 99)} {g.choice(['km', 'kg', 'hours', 'percent'])}"])
+    shapes = [[g.choice([word(), word(), word(), "NAME", "NUMBER"]) for _ in range(g.randrange(14, 30))] for _ in range(25)]
+    fill = lambda shape: " ".join(name() if w == "NAME" else number() if w == "NUMBER" else w for w in shape)
+    items = [(i, fill(s)) for i, s in enumerate(shapes)]
+    docs = [(i, f"{prose(g.randrange(5, 40))} {fill(s)} {prose(g.randrange(5, 40))}") for i, s in enumerate(shapes)]
+    docs += [(100 + i, f"{t} {prose(20)}") for i, t in items] + [(200 + i, f"{prose(40)} {name()} {prose(9)} {number()} {prose(9)}") for i in range(40)]
+    found = {(r.doc_id, r.item_id): r for r in decontaminate.leaked(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert sum((i, i) in found for i in range(25)) >= 0.9 * 25 and all((100 + i, i) in found for i in range(25))
+    assert not [k for k in found if k[0] >= 200] and any(r.slots for k, r in found.items() if k[0] < 25)
+    assert all(found[100 + i, i].matched == found[100 + i, i].item_words for i in range(25))
+
+
+def test_capital_inside_a_sentence(spark):
+    """A verbatim copy in mid-sentence matches in every word: its first word is a name there and a plain word in the item."""
+    item = "Every morning the old keeper climbs the narrow stair to light the lamp"
+    docs = spark.createDataFrame([(1, f"he wrote that {item} and left")], "doc_id long, text string")
+    row = decontaminate.leaked(docs, spark.createDataFrame([(5, item), (6, None), (7, "")], "item_id long, text string")).first()
+    assert (row.item_id, row.matched, row.item_words) == (5, 13, 13)
+
+
 def test_decontamination_is_native(spark):
     docs = spark.createDataFrame([(1, ITEM)], "doc_id long, text string")
     plan = decontaminate.leaked(docs, spark.createDataFrame([(1, ITEM)], "item_id long, text string"))._jdf.queryExecution().toString()
