@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import slices, table
 
 WIDTH, FILTERS, CHUNK = 8, 16, 512
 STEP = CHUNK - WIDTH + 1
@@ -149,18 +149,16 @@ def training_rows(docs: DataFrame, labels: DataFrame, most_rows: int, most_chunk
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``doc_id, held_out, score, predicted`` of every row: null texts are empty, repeated rows are scored each, a null doc_id is not held out."""
+    """``doc_id, held_out, score, predicted`` of every row: null texts are empty, repeated rows are scored each, long ones in chunks, a null doc_id is not held out; an empty table gives no rows."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def run(stream):
         import pyarrow as pa
 
         pairs = model.pairs()
-        for batch in stream:
-            ids, texts = batch.column("doc_id"), batch.column("text").to_pylist()
-            for i in range(0, len(texts), 256):
-                got = model.scores([(t or "").encode("utf-8", "surrogatepass") for t in texts[i : i + 256]], pairs)
-                yield pa.RecordBatch.from_arrays([ids.slice(i, 256), pa.array(got, pa.float64())], ["doc_id", "score"])
+        for batch in slices(stream, 256):
+            got = model.scores([(t or "").encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()], pairs)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(got, pa.float64())], ["doc_id", "score"])
 
     scored = rows.mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))

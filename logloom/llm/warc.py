@@ -54,7 +54,7 @@ def train(records: list[bytes], size: int, sample_bytes: int):
 
     total = sum(map(len, records))
     step = max(1, -(-total // sample_bytes))
-    samples = [r[: 1 << 17] for r in records[::step]]
+    samples = [r[i : i + (1 << 17)] for r in records[::step] for i in range(0, len(r), 1 << 17)]
     if len(samples) < 16 or sum(map(len, samples)) < 8 * size:
         return None
     try:
@@ -167,7 +167,7 @@ def write_warc(pages: DataFrame, folder: str, least: int = 1000, archive_bytes:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload")).withColumn("_key", F.coalesce(F.col("page_id").cast("string"), F.lit("")))
     revisits = saved(plan_revisits(rows, least), "revisits")
-    planned = rows.join(revisits, ["_key", "digest"], "left")
+    planned = left_join_sized(rows, revisits, ["_key", "digest"])
     planned.select("page_id", "url", "payload", "digest", "refers_to").mapInArrow(_writer(folder, archive_bytes, date), MANIFEST).write.parquet(f"{folder}/manifest")
     return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
