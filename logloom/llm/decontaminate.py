@@ -16,12 +16,14 @@ import functools
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_name, left_join_sized, saved, table, tidy
+from .common import free_name, left_join_sized, saved, sized, table, tidy
 
 WINDOW = 5
 LITERALS = 3
 #: words put in or left out move the rest of a copy: places up to ``DRIFT`` words off count where ``PIECE`` of them follow each other
 DRIFT, PIECE = 4, 3
+#: bytes of the benchmark's tables (compressed) up to which they are broadcast
+BROADCAST = 16 << 20
 #: fixed values: units that are recognised behind a number
 UNITS = "mm cm dm m km in ft yd mi inch inches foot feet yard yards mile miles meter meters metre metres kilometers kilometres mg g kg lb lbs oz gram grams kilogram kilograms pound pounds ounce ounces ton tons ml cl l liter liters litre litres gallon gallons s sec min h hr hrs second seconds minute minutes hour hours day days week weeks month months year years percent degrees dollars euros cents usd eur gbp mph kph km/h m/s kb mb gb tb hz khz mhz ghz w kw mw v kv a j kj cal kcal pa kpa".split()
 _SPACE = r"[\x20\x09-\x0D]+"
@@ -29,11 +31,12 @@ _SPACE = r"[\x20\x09-\x0D]+"
 
 def template(text: Column) -> Column:
     """Each word stays one word; only its value is replaced."""
-    t = F.regexp_replace(text, r"(?<![\p{L}\p{N}])[0-9]+(?:[.,:/][0-9]+)*", "\u0001")
+    # what a match begins with is asked first, before what stands in front of it: most places fail at once
+    t = F.regexp_replace(text, r"(?=[0-9])(?<![\p{L}\p{N}])[0-9]+(?:[.,:/][0-9]+)*", "\u0001")
     units = "|".join(sorted((u.replace("/", "\\/") for u in UNITS), key=len, reverse=True))
     t = F.regexp_replace(t, rf"(\x01[\x20\x09-\x0D-])(?:square|cubic|sq|cu)(?=[\x20\x09-\x0D](?:{units})(?![\p{{L}}\p{{N}}]))", "$1\u0002")
-    t = F.regexp_replace(t, rf"(?<=\x01|\x01[\x20\x09-\x0D-]|\x02[\x20\x09-\x0D])(?:{units}|%)(?![\p{{L}}\p{{N}}])", "\u0002")
-    t = F.regexp_replace(t, r"(?<=[^.!?:\x20\x09-\x0D][\x20\x09-\x0D])\p{Lu}[\p{L}'’-]*", "\u0003")
+    t = F.regexp_replace(t, rf"(?<=[\x01\x02\x20\x09-\x0D-])(?<=\x01|\x01[\x20\x09-\x0D-]|\x02[\x20\x09-\x0D])(?:{units}|%)(?![\p{{L}}\p{{N}}])", "\u0002")
+    t = F.regexp_replace(t, r"(?=\p{Lu})(?<=[^.!?:\x20\x09-\x0D][\x20\x09-\x0D])\p{Lu}[\p{L}'’-]*", "\u0003")
     return F.lower(t)
 
 
@@ -64,26 +67,29 @@ def words_of(text: Column) -> Column:
 
 
 def is_slot(word: Column) -> Column:
-    return word.rlike("[\u0001-\u0003]")
+    return word.contains("\u0001") | word.contains("\u0002") | word.contains("\u0003")
 
 
 def windows(words: Column) -> Column:
-    """``at`` and hash of the shortest run from each place on with ``WINDOW`` words and ``LITERALS`` literal ones; none where the text ends before."""
+    """``at`` and hash of the shortest run from each place on with ``WINDOW`` words and ``LITERALS`` literal ones; the hash is null where the text ends before."""
     literal = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: ~is_slot(F.get(words, i)))
 
-    def runs(at: Column) -> Column:
-        """For each literal word the places behind the literal word before it; their runs end at the same literal word or later."""
+    def stretches(at: Column) -> Column:
+        """For each literal word the places behind the literal word before it, whose runs end behind the same literal word or later."""
         return F.transform(
             F.sequence(F.lit(0), F.size(at) - LITERALS),
-            lambda k: F.transform(
-                F.sequence(F.when(k > 0, F.get(at, k - 1) + 1).otherwise(F.lit(0)), F.get(at, k)),
-                lambda i: F.struct(i.alias("at"), F.greatest(F.lit(WINDOW), F.get(at, k + LITERALS - 1) - i + 1).alias("width")),
-            ),
+            lambda k: F.struct(F.when(k > 0, F.get(at, k - 1) + 1).otherwise(F.lit(0)).alias("first"), F.get(at, k).alias("last"), (F.get(at, k + LITERALS - 1) + 1).alias("end"), F.size(words).alias("n")),
         )
 
-    enough = F.transform(F.array(literal), lambda at: F.when(F.size(at) >= LITERALS, F.flatten(runs(at))))
-    found = F.filter(F.coalesce(F.get(enough, 0), F.array().cast("array<struct<at:int,width:int>>")), lambda w: w["at"] + w["width"] <= F.size(words))
-    return F.transform(found, lambda w: F.struct(w["at"].alias("at"), F.xxhash64(F.slice(words, w["at"] + 1, w["width"])).alias("hash")))
+    def runs(r: Column) -> Column:
+        def one(i: Column) -> Column:
+            end = F.greatest(i + WINDOW, r["end"])
+            return F.struct(i.alias("at"), F.when(end <= r["n"], F.xxhash64(F.slice(words, i + 1, end - i))).alias("hash"))
+
+        return F.transform(F.sequence(r["first"], r["last"]), one)
+
+    found = F.transform(F.array(literal), lambda at: F.when(F.size(at) >= LITERALS, F.flatten(F.transform(stretches(at), runs))))
+    return F.coalesce(F.get(found, 0), F.array().cast("array<struct<at:int,hash:bigint>>"))
 
 
 def literals(words: Column) -> Column:
@@ -139,14 +145,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.5, enough
     placed = F.concat(windows(F.col("words")), whole_windows(F.col("words"), F.col("raw"), sizes)) if sizes else windows(F.col("words"))
     hashed = split.select("key", F.explode(placed).alias("w")).select("key", F.col("w.at").alias("doc_at"), F.col("w.hash").alias("hash"))
     probes = saved(item_windows(told), "item-windows")
-    small = probes.limit(1_000_001).count() <= 1_000_000  # 20 bytes a row
-    found = hashed.join(F.broadcast(probes) if small else probes, "hash")
+    found = hashed.join(sized(probes, BROADCAST), "hash")
     aligned = saved(found.select("key", "item_id", (F.col("doc_at") - F.col("item_at")).alias("shift")).distinct(), "alignments")
     keys = saved(aligned.select("key").distinct().withColumn("hit", F.lit(True)), "keys")
     texts = left_join_sized(base, keys, ["key"]).filter("hit").groupBy("key").agg(F.first("text").alias("text"))
     texts = texts.select("key", values_of(F.col("text")).alias("doc_raw"), template_words(F.col("text")).alias("doc_words"))
-    few = items.limit(100_001).count() <= 100_000
-    both = aligned.join(F.broadcast(items) if few else items, "item_id").join(texts, "key")
+    both = aligned.join(sized(items, BROADCAST), "item_id").join(texts, "key")
     # the same text matches whatever its template: a capital is a name inside a sentence and a plain word at its start
     lower = lambda c: F.transform(F.col(c), lambda w: F.lower(w))
     both = both.withColumns({"plain": lower("raw"), "doc_plain": lower("doc_raw")})
