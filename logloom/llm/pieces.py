@@ -70,7 +70,7 @@ class _Known(dict):
 class PieceEncoder:
     """``encode(texts)`` gives each text's ids as little-endian bytes of ``self.dtype``."""
 
-    def __init__(self, path: str, most_pieces: int = 1_000_000, longest: int = 40):
+    def __init__(self, path: str, most_pieces: int = 500_000, longest: int = 40):
         self.tokenizer = load(path)
         self.dtype = id_type(self.tokenizer.get_vocab_size())
         self.code = "H" if self.dtype.itemsize == 2 else "I"
