@@ -97,7 +97,7 @@ def _shards(folder: str, dtype: np.dtype, size: int):
 
         pieces.forget()
         filesystem, base = _filesystem(folder)
-        with filesystem.open_input_stream(f"{base}/ranks.bin") as f:
+        with filesystem.open_input_stream(f"{base}/ranks.bin", compression=None) as f:
             order = np.frombuffer(f.read(), "<u4")
         rank = np.zeros(size, "<u4")
         rank[order] = np.arange(len(order))
@@ -118,7 +118,7 @@ def _shards(folder: str, dtype: np.dtype, size: int):
 
         for batch in stream:
             for doc, ids in zip(batch.column("doc_id").to_pylist(), batch.column("ids")):
-                sink = sink or filesystem.open_output_stream(f"{base}/{name}")
+                sink = sink or filesystem.open_output_stream(f"{base}/{name}", compression=None)
                 ids = np.frombuffer(ids.as_buffer(), dtype)
                 doc_ids.append(doc), counts.append(len(ids)), parts.append(ids.copy())
                 held += len(ids)
@@ -148,7 +148,7 @@ def write_ids(tokens: DataFrame, folder: str, vocabulary: int) -> DataFrame:
     order = np.argsort(-counts, kind="stable").astype("<u4")
     filesystem, base = _filesystem(folder)
     filesystem.create_dir(base, recursive=True)
-    with filesystem.open_output_stream(f"{base}/ranks.bin") as f:
+    with filesystem.open_output_stream(f"{base}/ranks.bin", compression=None) as f:
         f.write(order.tobytes())
     spark = tokens.sparkSession
     placed = tokens.select("doc_id", "ids").repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "ids")
@@ -171,11 +171,11 @@ def read_ids(spark: SparkSession, folder: str, digest: bool = False) -> DataFram
 
         pieces.forget()
         filesystem, base = _filesystem(folder)
-        with filesystem.open_input_stream(f"{base}/ranks.bin") as f:
+        with filesystem.open_input_stream(f"{base}/ranks.bin", compression=None) as f:
             order = np.frombuffer(f.read(), "<u4")
         for batch in stream:
             for name, start in zip(batch.column("file").to_pylist(), batch.column("start").to_pylist()):
-                with filesystem.open_input_stream(f"{base}/{name}") as f:
+                with filesystem.open_input_stream(f"{base}/{name}", compression=None) as f:
                     while head := f.read(struct.calcsize(HEAD)):
                         magic, n_docs, n_ids, n_data = struct.unpack(HEAD, head)
                         if magic != MAGIC:

@@ -19,7 +19,7 @@ from .common import left_join_sized, saved, shared_dir, table
 
 DICTIONARY_MAGIC = 0x184D2A5D
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-MANIFEST = "file string, n_records long, n_bytes long"
+MANIFEST = "file string, n_records long, n_bytes long, dictionary_bytes long"
 
 
 def plan_revisits(pages: DataFrame, least: int) -> DataFrame:
@@ -78,6 +78,12 @@ def archive(records: list[bytes], level: int = 3, dictionary_bytes: int = 65_536
     return b"".join(parts + [packer.compress(r) for r in records])
 
 
+def dictionary_size(data: bytes) -> int:
+    """Bytes of the dictionary in an archive's leading frame, 0 without one."""
+    magic, size = struct.unpack("<II", data[:8])
+    return size if magic == DICTIONARY_MAGIC else 0
+
+
 def read_archive(stream):
     """The records of an open archive, as bytes, one after the other."""
     import zstandard
@@ -133,9 +139,9 @@ def _writer(folder: str, archive_bytes: int, date: str):
             nonlocal records, held
             name = f"pages-{uuid.uuid4().hex}.warc.zst"
             data = archive(records)
-            with filesystem.open_output_stream(f"{base}/{name}") as f:
+            with filesystem.open_output_stream(f"{base}/{name}", compression=None) as f:
                 f.write(data)
-            told.append((name, len(records), len(data)))
+            told.append((name, len(records), len(data), dictionary_size(data)))
             records, held = [], 0
 
         for batch in stream:
@@ -147,7 +153,7 @@ def _writer(folder: str, archive_bytes: int, date: str):
                     flush()
         if records:
             flush()
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in told], pa.string()), pa.array([x[1] for x in told], pa.int64()), pa.array([x[2] for x in told], pa.int64())], ["file", "n_records", "n_bytes"])
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in told], pa.string()), pa.array([x[1] for x in told], pa.int64()), pa.array([x[2] for x in told], pa.int64()), pa.array([x[3] for x in told], pa.int64())], ["file", "n_records", "n_bytes", "dictionary_bytes"])
 
     return run
 
@@ -186,7 +192,7 @@ def read_warc(spark: SparkSession, folder: str, payloads: bool = True) -> DataFr
         kinds = {"page_id": pa.int64(), "payload_bytes": pa.int64(), "refers_to": pa.int64(), "payload": pa.binary()}
         for batch in stream:
             for name in batch.column("file").to_pylist():
-                with filesystem.open_input_stream(f"{base}/{name}") as f:
+                with filesystem.open_input_stream(f"{base}/{name}", compression=None) as f:
                     rows, held = [], 0
                     for data in read_archive(f):
                         row = parse(data)

@@ -204,6 +204,27 @@ def test_dictionary_frame():
         list(warc.read_archive(io.BytesIO(data[:-3])))
 
 
+def test_bytes_on_disk(spark, tmp_path):
+    g = random.Random(3)
+    rows = [(i, f"http://a/{i}", "<html><head><title>" + str(g.random()) + "</title></head>" + " ".join(g.choice(["lorem", "ipsum", "dolor", "sit"]) for _ in range(120))) for i in range(2500)]
+    folder = tmp_path / "w"
+    manifest = warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), f"file://{folder}").filter("file is not null").collect()
+    assert len(manifest) == 1
+    for m in manifest:
+        data = (folder / m.file).read_bytes()
+        assert len(data) == m.n_bytes and data[:4] == bytes([0x5D, 0x2A, 0x4D, 0x18]) and int.from_bytes(data[4:8], "little") == m.dictionary_bytes > 0
+        at = 8 + m.dictionary_bytes
+        tool = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(data[8:at]))
+        offsets = []
+        while at < len(data):  # each frame is read alone, at its own offset of the file
+            one = tool.decompressobj()
+            record = one.decompress(data[at:])
+            offsets.append((at, record))
+            at = len(data) - len(one.unused_data)
+        assert len(offsets) == m.n_records == len(rows) and all(r.startswith(b"WARC/1.1") for _, r in offsets)
+        assert tool.decompressobj().decompress(data[offsets[1234][0] :]) == offsets[1234][1]
+
+
 def test_no_pages(spark, tmp_path):
     empty = spark.createDataFrame([], "page_id long, url string, html string")
     warc.write_warc(empty, f"file://{tmp_path}/e")
