@@ -75,6 +75,36 @@ def _encode_chunks(path: str):
     return run
 
 
+_CHUNKS = "sha binary, chunk long, n_chunks long, begins long, ends long, overlap long, part string"
+
+
+def _cut_chunks(chunk: int, overlap: int):
+    """For mapInArrow: a row for each chunk of a text, cut by position while the text is held once; what goes out at a time is bounded."""
+
+    def run(stream):
+        import pyarrow as pa
+
+        kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+        names = [x.split()[0] for x in _CHUNKS.split(", ")]
+        step = chunk - overlap
+        for batch in stream:
+            rows, held = [], 0
+            for sha, text in zip(batch.column("sha"), batch.column("text")):
+                sha, text = sha.as_py(), text.as_py()
+                n = max(1, -(-(len(text) - overlap) // step))
+                for i in range(n):
+                    ends = min(len(text), i * step + chunk)
+                    rows.append((sha, i, n, i * step, ends, overlap, text[i * step : ends]))
+                    held += ends - i * step
+                    if held >= 4_000_000:
+                        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
+                        rows, held = [], 0
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
+
+    return run
+
+
 def _seam(left_at, left_n, right_at, right_n):
     """In an overlap, the first common boundary: tokens of the left chunk before it, tokens of the right chunk before it."""
     common = F.array_min(F.array_intersect(left_at, right_at))
@@ -87,13 +117,7 @@ def count_huge(texts: DataFrame, tokenizer: str, chunk: int = 8_192, overlap: in
     done = None
     todo = texts
     while True:
-        n_chars = F.char_length("text")
-        n_chunks = F.greatest(F.lit(1), F.ceil((n_chars - F.lit(overlap)) / F.lit(chunk - overlap))).cast("long")
-        cut = todo.withColumn("n_chunks", n_chunks).withColumn("total", n_chars.cast("long"))
-        cut = cut.select("sha", "text", "n_chunks", "total", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_chunks") - 1)).alias("chunk"))
-        begins = F.col("chunk") * F.lit(chunk - overlap)
-        cut = cut.withColumn("begins", begins).withColumn("ends", F.least(F.col("total"), begins + chunk))
-        cut = cut.select("sha", "chunk", "n_chunks", "begins", "ends", F.lit(overlap).cast("long").alias("overlap"), F.expr(f"substring(text, cast(begins + 1 as int), {chunk})").alias("part"))
+        cut = todo.select("sha", "text").mapInArrow(_cut_chunks(chunk, overlap), _CHUNKS)
         coded = saved(
             cut.repartition(F.col("sha"), F.col("chunk")).mapInArrow(
                 _encode_chunks(tokenizer), "sha binary, chunk long, n_chunks long, n long, left_at array<long>, left_n array<long>, right_at array<long>, right_n array<long>"
