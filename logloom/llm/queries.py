@@ -16,6 +16,9 @@ _MODULES = {
     "op8_packing": "packing",
     "op9_byte_cnn": "byte_cnn",
     "op10_warc": "warc",
+    "op11_spelling": "spelling",
+    "op12_shards": "shards",
+    "op13_cross_tokenizer": "cross_tokenizer",
 }
 
 
