@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import MAX_GNO
+from ..session import cut, sized
 
 BUCKET = 1_000_000
 TSID = ["uuid", "tag"]
@@ -124,6 +125,18 @@ def _placed(rows: DataFrame, nodes: Column) -> DataFrame:
 
 
 PLACE = ["_level", "_node"]
+#: Blocks from this level on (65536 numbers) may hold very many points of one uuid: they are met in so many parts.
+TALL, PARTS = 4, 16
+
+
+def _meet(points: DataFrame, blocks: DataFrame, on: list, how: str = "inner") -> DataFrame:
+    """Points under the blocks that hold them: a small side is broadcast; else tall blocks are there once for each part of their points, so that no block is one task."""
+    small = sized(blocks)
+    if small is not blocks:
+        return points.join(small, on, how)
+    dealt = F.when(F.col("_level") >= TALL, F.pmod(F.xxhash64(*points.columns), F.lit(PARTS)).cast("int")).otherwise(0)
+    copies = F.when(F.col("_level") >= TALL, F.sequence(F.lit(0), F.lit(PARTS - 1))).otherwise(F.array(F.lit(0)))
+    return points.withColumn("_part", dealt).join(blocks.withColumn("_part", F.explode(copies)), [*on, "_part"], how).drop("_part")
 
 
 def overlap_join(a: DataFrame, b: DataFrame, how: str = "inner", keys: list[str] | None = None) -> DataFrame:
@@ -134,21 +147,24 @@ def overlap_join(a: DataFrame, b: DataFrame, how: str = "inner", keys: list[str]
     """
     on = [*(keys or []), *TSID]
     right = b.select(*[F.col(c).alias(c if c in on else f"b_{c}") for c in b.columns])
+    # both are read four times: their sizes choose the joins
+    a, right = cut(a, "a"), cut(right, "b")
     # numbers begin at 1 and end at 2^63 - 1; blocks count from 0
-    n, m = levels_for(a), levels_for(b)
-    first = _placed(a, nodes_of("(lo - 1)", "(hi - 1)", n)).join(_placed(right, nodes_above("(b_lo - 1)", n)), [*on, *PLACE])
-    second = _placed(a, nodes_above("(lo - 1)", m)).join(_placed(right, nodes_of("(b_lo - 1)", "(b_hi - 1)", m)), [*on, *PLACE]).filter("lo > b_lo")
-    joined = first.drop(*PLACE).unionByName(second.drop(*PLACE))
+    n, m = levels_for(a), levels_for(right, "b_hi - b_lo")
+    first = _meet(_placed(right, nodes_above("(b_lo - 1)", n)), _placed(a, nodes_of("(lo - 1)", "(hi - 1)", n)), [*on, *PLACE])
+    second = _meet(_placed(a, nodes_above("(lo - 1)", m)), _placed(right, nodes_of("(b_lo - 1)", "(b_hi - 1)", m)), [*on, *PLACE]).filter("lo > b_lo")
+    joined = first.drop(*PLACE).select(*a.columns, *[c for c in right.columns if c not in on]).unionByName(second.drop(*PLACE))
     return joined if how == "inner" else joined.select(*a.columns).distinct()
 
 
 def point_in_set_join(gtids: DataFrame, intervals: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """The rows of ``gtids`` (``uuid, tag, gno``) that lie in the set; its intervals must be canonical."""
-    on, n = [*(keys or []), *TSID], levels_for(intervals)
-    blocks = _placed(intervals.select(*on, "lo", "hi"), nodes_of("(lo - 1)", "(hi - 1)", n)).select(*on, *PLACE)
+    on = [*(keys or []), *TSID]
+    intervals = cut(intervals.select(*on, "lo", "hi"), "set")
+    n = levels_for(intervals)
+    blocks = _placed(intervals, nodes_of("(lo - 1)", "(hi - 1)", n)).select(*on, *PLACE)
     points = _placed(gtids.filter(F.col("gno").between(1, MAX_GNO)), nodes_above("(gno - 1)", n))
-    match = [points[c].eqNullSafe(blocks[c]) if c == "tag" else points[c] == blocks[c] for c in [*on, *PLACE]]
-    return points.join(blocks, match, "left_semi").drop(*PLACE)
+    return _meet(points, blocks, [*on, *PLACE], "left_semi").select(*gtids.columns)
 
 
 gtid_contains = point_in_set_join
@@ -263,30 +279,52 @@ def first_cover(added: DataFrame, keys: list[str] | None = None) -> DataFrame:
     Each interval leaves its file in a few blocks, each block keeps its first file, and a segment between two neighbouring end points takes the first
     of the blocks that hold it, one of each level: joins on equality only, whose rows follow the number of intervals.
     """
-    keys, n = [*(keys or []), *TSID], levels_for(added)
-    rows = added.select(*keys, "lo", "hi", "file_seq")
-    starts = rows.select(*keys, F.col("lo").alias("_p")).unionByName(rows.select(*keys, F.when(F.col("hi") < MAX_GNO, F.col("hi") + 1).alias("_p")).filter("_p is not null")).distinct()
-    blocks = _placed(rows, nodes_of("(lo - 1)", "(hi - 1)", n)).groupBy(*keys, *PLACE).agg(F.min("file_seq").alias("file_seq"))
-    firsts = _placed(starts, nodes_above("(_p - 1)", n)).join(blocks, [*keys, *PLACE]).groupBy(*keys, "_p").agg(F.min("file_seq").alias("file_seq"))
+    keys = [*(keys or []), *TSID]
+    rows = cut(added.select(*keys, "lo", "hi", "file_seq"), "covered")
+    n = levels_for(rows)
+    starts = cut(rows.select(*keys, F.col("lo").alias("_p")).unionByName(rows.select(*keys, F.when(F.col("hi") < MAX_GNO, F.col("hi") + 1).alias("_p")).filter("_p is not null")).distinct(), "starts")
+    blocks = cut(_placed(rows, nodes_of("(lo - 1)", "(hi - 1)", n)).groupBy(*keys, *PLACE).agg(F.min("file_seq").alias("file_seq")), "blocks")
+    firsts = _meet(_placed(starts, nodes_above("(_p - 1)", n)), blocks, [*keys, *PLACE]).groupBy(*keys, "_p").agg(F.min("file_seq").alias("file_seq"))
     segments = _next(starts, keys).select(*keys, "_p", F.coalesce(F.col("_next") - 1, F.lit(MAX_GNO)).alias("hi"))
     return segments.join(firsts, [*keys, "_p"]).select(*keys, F.col("_p").alias("lo"), "hi", "file_seq")
 
 
-def gtid_running_union(files: DataFrame, added: DataFrame, purged: DataFrame | None = None, keys: list[str] | None = None) -> DataFrame:
-    """``keys, file_seq, uuid, tag, lo, hi``: for every file the set of all ids added before it, with the purged ones.
+def _file_levels(last: int) -> int:
+    return max(1, -(-int(last + 2).bit_length() // 4))
+
+
+def set_deltas(added: DataFrame, last_file: int, purged: DataFrame | None = None, keys: list[str] | None = None) -> DataFrame:
+    """``keys, _level, _node, uuid, tag, lo, hi``: what each whole block of files adds, from which the set before any file is put together.
 
-    The files before one are a few whole blocks of files; each block's set is made once and joined by equality, so rows follow the result's size.
+    ``last_file`` is the highest number.  Files are counted in blocks of 16 to some power; the purged ids stand before the first file, once for each store.  An interval is in
+    one block of each level, so this table is a few times as large as ``added``, however many files ask.
     """
-    keys = keys or []
-    last = files.agg(F.max("file_seq")).first()[0]  # one figure
-    n = max(1, -(-int((last or 0) + 2).bit_length() // 4))
+    keys, n = keys or [], _file_levels(last_file)
     rows = added.select(*keys, (F.col("file_seq") + 1).cast("long").alias("_p"), *TSID, "lo", "hi")
     if purged is not None:
-        stores = files.select(*keys).distinct() if keys else files.sparkSession.range(1).drop("id")
-        old = purged.select(*(k for k in keys if k in purged.columns), *TSID, "lo", "hi")
-        shared = [k for k in keys if k in purged.columns]
-        old = stores.join(old, shared) if shared else old.join(F.broadcast(stores.withColumn("_one", F.lit(1))), F.col("_one") == 1).drop("_one")
+        old = purged if set(keys) <= set(purged.columns) else _for_all_stores(purged, added, keys)
         rows = rows.unionByName(old.select(*keys, F.lit(0).cast("long").alias("_p"), *TSID, "lo", "hi"))
-    sets = canonical(_placed(rows, nodes_above("_p", n)).drop("_p"), [*keys, *PLACE])
-    before = _placed(files.select(*keys, "file_seq", F.col("file_seq").cast("long").alias("_hi")), nodes_of("0L", "_hi", n)).drop("_hi")
-    return canonical(before.join(sets, [*keys, *PLACE]).drop(*PLACE), [*keys, "file_seq"])
+    return canonical(_placed(rows, nodes_above("_p", n)).drop("_p"), [*keys, *PLACE])
+
+
+def sets_before(files: DataFrame, deltas: DataFrame, last_file: int, keys: list[str] | None = None) -> DataFrame:
+    """``keys, file_seq, uuid, tag, lo, hi``: the set before each of ``files``, the union of its few blocks of ``deltas``; blocks that none of them needs are not merged."""
+    keys = keys or []
+    before = _placed(files.select(*keys, "file_seq", F.col("file_seq").cast("long").alias("_hi")), nodes_of("0L", "_hi", _file_levels(last_file))).drop("_hi")
+    return canonical(deltas.join(before, [*keys, *PLACE]).drop(*PLACE), [*keys, "file_seq"])
+
+
+def gtid_running_union(files: DataFrame, added: DataFrame, purged: DataFrame | None = None, keys: list[str] | None = None) -> DataFrame:
+    """``keys, file_seq, uuid, tag, lo, hi``: for every file the set of all ids added before it, with the purged ones.
+
+    Every file's whole set is written out; where few files are asked, ``set_deltas`` and ``sets_before`` are the way.
+    """
+    last = files.agg(F.max("file_seq")).first()[0] or 0  # one figure
+    if purged is not None and keys:
+        purged = purged if set(keys) <= set(purged.columns) else _for_all_stores(purged, files, keys)
+    return sets_before(files, set_deltas(added, last, purged, keys), last, keys)
+
+
+def _for_all_stores(purged: DataFrame, files: DataFrame, keys: list[str]) -> DataFrame:
+    shared, stores = [k for k in keys if k in purged.columns], files.select(*keys).distinct()
+    return purged.join(stores, shared) if shared else purged.join(F.broadcast(stores.withColumn("_one", F.lit(1))), F.col("_one") == 1).drop("_one")

@@ -10,43 +10,60 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import output_name, varlen_size
-from ..session import cut
+from ..session import cut, cut_counted
+from .gtid import BUCKET
 
 MAGIC, LEAST = 4, 1024
 
 
 def prefix_sums(txns: DataFrame, size: str = "size", out: str = "before", keys: list[str] | None = None) -> DataFrame:
     """Adds the total of all transactions before each one, in (``file_seq``, ``txn_no``) order, in two levels."""
-    keys = keys or []
-    inside = Window.partitionBy(*keys, "file_seq").orderBy("txn_no").rowsBetween(Window.unboundedPreceding, -1)
-    totals = txns.groupBy(*keys, "file_seq").agg(F.sum(size).alias("_t"))
+    return _prefixes(txns, {out: size}, keys or [])
+
+
+def _prefixes(rows: DataFrame, sums: dict[str, str], keys: list[str]) -> DataFrame:
+    """Adds, for each new name, the sum of a column over all rows of smaller (``file_seq``, ``txn_no``): one window over files, one over their totals."""
+    inside = Window.partitionBy(*keys, "file_seq").orderBy("txn_no").rangeBetween(Window.unboundedPreceding, -1)
     over = Window.partitionBy(*keys).orderBy("file_seq").rowsBetween(Window.unboundedPreceding, -1)  # a row for each source file
-    base = totals.select(*keys, "file_seq", F.coalesce(F.sum("_t").over(over), F.lit(0)).alias("_base"))
-    rows = txns.withColumn("_in", F.coalesce(F.sum(size).over(inside), F.lit(0))).join(base, [*keys, "file_seq"])
-    return rows.withColumn(out, F.col("_base") + F.col("_in")).drop("_in", "_base")
+    totals = rows.groupBy(*keys, "file_seq").agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
+    base = totals.select(*keys, "file_seq", *[F.coalesce(F.sum(f"_t_{n}").over(over), F.lit(0)).alias(f"_b_{n}") for n in sums])
+    own = rows.withColumns({f"_i_{n}": F.coalesce(F.sum(c).over(inside), F.lit(0)) for n, c in sums.items()})
+    both = own.join(base, [*keys, "file_seq"])
+    return both.withColumns({n: F.col(f"_b_{n}") + F.col(f"_i_{n}") for n in sums}).drop(*[f"_{x}_{n}" for n in sums for x in "ib"])
+
+
+def _neighbours(ids: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds ``_below`` and ``_above``: where the ids one lower and one higher stand (``_at``), if they are there.
+
+    Numbers are sorted in cells, so one dominant uuid is many tasks; the first and last number of a cell are also shown to the cell beside it.
+    """
+    cell = ids.withColumn("_cell", F.expr(f"gno div {BUCKET}")).withColumn("_ghost", F.lit(False))
+    last = cell.filter(F.col("gno") % BUCKET == BUCKET - 1).withColumns({"_cell": F.col("_cell") + 1, "_ghost": F.lit(True)})
+    first = cell.filter(F.col("gno") % BUCKET == 0).withColumns({"_cell": F.col("_cell") - 1, "_ghost": F.lit(True)})
+    w = Window.partitionBy(*keys, "uuid", "tag", "_cell").orderBy("gno")
+    beside = lambda f, step: F.when(f("gno").over(w) == F.col("gno") + step, f("_at").over(w))
+    rows = cell.unionByName(last).unionByName(first).withColumns({"_below": beside(F.lag, -1), "_above": beside(F.lead, 1)})
+    return rows.filter(~F.col("_ghost")).drop("_cell", "_ghost")
 
 
 def previous_sizes(txns: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Adds ``previous_size``: bytes of the binary set of all ids before each transaction (``uuid, tag, gno``; none without ``gno``).
 
     A new id adds an interval unless its neighbours are there; a new uuid and tag adds a head, and tags are stored once any set has one.  So the size is a
-    sum over what the transactions before have changed.
+    sum over what the transactions before have changed; changes and transactions go through one window together.
     """
     keys = keys or []
     ids = txns.filter(F.col("gno") >= 1).groupBy(*keys, "uuid", "tag", "gno").agg(F.min(F.struct("file_seq", "txn_no")).alias("_at"))
-    near = lambda step, name: ids.select(*keys, "uuid", "tag", (F.col("gno") - step).alias("gno"), F.col("_at").alias(name))
-    on = [*keys, "uuid", "tag", "gno"]
-    joined = ids.join(near(-1, "_below"), on, "left").join(near(1, "_above"), on, "left")
     earlier = lambda c: F.coalesce((F.col(c) < F.col("_at")).cast("long"), F.lit(0))
-    changed = joined.select(*keys, F.col("_at.file_seq").alias("file_seq"), F.col("_at.txn_no").alias("txn_no"), (16 * (1 - earlier("_below") - earlier("_above"))).alias("_set"))
-    heads = ids.groupBy(*keys, "uuid", "tag").agg(F.min("_at").alias("_at")).select(*keys, F.col("_at.file_seq").alias("file_seq"), F.col("_at.txn_no").alias("txn_no"), F.lit(24).alias("_head"), (1 + F.length("tag")).alias("_tag"), (F.col("tag") != "").cast("long").alias("_tagged"))
-    place = [*keys, "file_seq", "txn_no"]
-    rows = txns.join(changed, place, "left").join(heads, place, "left")
-    rows = rows.withColumns({"_fixed": F.coalesce("_set", F.lit(0)) + F.coalesce("_head", F.lit(0)), "_tag": F.coalesce("_tag", F.lit(0)), "_tagged": F.coalesce("_tagged", F.lit(0))})
-    for c in ("_fixed", "_tag", "_tagged"):
-        rows = prefix_sums(rows, c, f"{c}_before", keys)
-    size = F.lit(8) + F.col("_fixed_before") + F.when(F.col("_tagged_before") > 0, F.col("_tag_before")).otherwise(0)
-    return rows.withColumn("previous_size", size.cast("long")).select(*txns.columns, "previous_size")
+    none = F.lit(0).cast("long")
+    place = [*keys, F.col("_at.file_seq").alias("file_seq"), F.col("_at.txn_no").alias("txn_no")]
+    changed = _neighbours(ids, keys).select(*place, (16 * (1 - earlier("_below") - earlier("_above"))).cast("long").alias("_fixed"), none.alias("_tag"), none.alias("_tagged"))
+    heads = ids.groupBy(*keys, "uuid", "tag").agg(F.min("_at").alias("_at")).select(*place, F.lit(24).cast("long").alias("_fixed"), (1 + F.length("tag")).cast("long").alias("_tag"), (F.col("tag") != "").cast("long").alias("_tagged"))
+    rows = txns.select(*keys, "file_seq", "txn_no", none.alias("_fixed"), none.alias("_tag"), none.alias("_tagged"), F.struct(*txns.columns).alias("_row"))
+    changes = changed.unionByName(heads).withColumn("_row", F.lit(None).cast(rows.schema["_row"].dataType))
+    summed = _prefixes(rows.unionByName(changes), {"_f": "_fixed", "_t": "_tag", "_n": "_tagged"}, keys).filter("_row is not null")
+    size = F.lit(8) + F.col("_f") + F.when(F.col("_n") > 0, F.col("_t")).otherwise(0)
+    return summed.select("_row.*", size.cast("long").alias("previous_size"))
 
 
 def file_heads(txns: DataFrame, fde_size: int = 122, keys: list[str] | None = None) -> DataFrame:
@@ -74,17 +91,19 @@ def next_cut(rows: DataFrame, limit: int, keys: list[str]) -> DataFrame:
 
 
 def _reached(start: DataFrame, jump: DataFrame, keys: list[str]) -> DataFrame:
-    """All beginnings that jumps reach from the first ones: what 1, 2, 4, ... jumps reach from those known so far."""
-    cuts, known = start, -1
+    """All beginnings that jumps reach from the first ones: of those known so far what one, two and three jumps reach, then with jumps four times as far."""
+    on = [*keys, "before"]
+    far = lambda rows, jumps: rows.join(jumps, on).select(*keys, F.col("next").alias("before")).filter("before is not null")
+    twice = lambda j: j.select(*keys, F.col("before").alias("_from"), F.col("next").alias("before")).join(j, on).select(*keys, F.col("_from").alias("before"), "next").filter("next is not null")
+    jump, cuts, known = jump.filter("next is not null"), start, -1
     while True:
-        more = cuts.join(jump, [*keys, "before"]).select(*keys, F.col("next").alias("before")).filter("before is not null")
-        cuts = cut(cuts.unionByName(more).distinct(), "cuts")
-        count = cuts.count()
+        one = far(cuts, jump)
+        two = far(one, jump)
+        cuts, count = cut_counted(cuts.unionByName(one).unionByName(two).unionByName(far(two, jump)).distinct(), "cuts")
         if count == known:
             return cuts
         known = count
-        far = jump.select(*keys, "before", F.col("next").alias("mid")).join(jump.select(*keys, F.col("before").alias("mid"), "next"), [*keys, "mid"], "left")
-        jump = cut(far.select(*keys, "before", "next"), "jump")
+        jump = cut(twice(twice(jump)), "jump")
 
 
 def _filled(marks: DataFrame, numbered: DataFrame, keys: list[str], width: int) -> DataFrame:
@@ -185,3 +204,44 @@ def flush_points(txns: DataFrame, size: int, keys: list[str] | None = None) -> D
     ends = rows.withColumn("_after", after)
     hit = ends.join(cuts.withColumnRenamed("before", "_after"), [*group, "_after"], "left_semi")
     return hit.unionByName(ends.filter("_after is null").select(*hit.columns)).select(*group, "txn_no", "size")
+
+
+def checkpoints(events: DataFrame, size: int | None = None, interval: int | None = None, keys: list[str] | None = None) -> DataFrame:
+    """When completed data of each file is flushed, by size or by elapsed time: ``keys, file_seq, event_no, position, cause``.
+
+    ``events``: ``keys, file_seq, event_no, event_size, boundary`` (see ``mark_boundaries``) and ``arrived``, the time of arrival, which never goes back.  Ready is what ends at or before the last
+    boundary.  An event flushes if something is ready and either ``size`` bytes of it have come since the last flush or ``interval`` seconds have gone by; a file's last event flushes what is
+    left.  ``position`` is the file's size after the flush.
+
+    What follows a flush depends on its event alone, so the next flush of every event is looked up at once (three thresholds over sorted columns) and the chains from the files' beginnings
+    are followed by doubled jumps.
+    """
+    if size is None and interval is None:
+        raise ValueError("a size or an interval")
+    group = [*(keys or []), "file_seq"]
+    w = Window.partitionBy(*group).orderBy("event_no")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    steady = F.max(F.unix_micros("arrived")).over(upto)
+    own = events.select(*group, "event_no", F.row_number().over(w).cast("long").alias("before"), F.sum("event_size").over(upto).alias("_all"), "boundary", F.coalesce(steady, F.lit(0)).alias("time"))
+    own = own.withColumn("ready", F.coalesce(F.max(F.when(F.col("boundary"), F.col("_all"))).over(upto), F.lit(0)).cast("long")).drop("_all", "boundary")
+    opened = own.groupBy(*group).agg(F.min("time").alias("time")).select(*group, F.lit(None).cast("long").alias("event_no"), F.lit(0).cast("long").alias("before"), "time", F.lit(0).cast("long").alias("ready"))
+    rows = cut(own.unionByName(opened), "ready")
+    point = lambda axis: rows.filter("before > 0").select(*group, F.lit(axis).alias("axis"), F.col(axis).alias("v"), F.lit("point").alias("kind"), "before")
+    wanted = lambda axis, kind, v: rows.select(*group, F.lit(axis).alias("axis"), v.alias("v"), F.lit(kind).alias("kind"), "before")
+    marks = point("ready").unionByName(point("time")).unionByName(wanted("ready", "more", F.col("ready") + 1))
+    marks = marks.unionByName(wanted("ready", "full", F.col("ready") + (size or 0)).filter(F.lit(size is not None))).unionByName(wanted("time", "late", F.col("time") + (interval or 0) * 1_000_000).filter(F.lit(interval is not None)))
+    later = Window.partitionBy(*group, "axis").orderBy("v", F.col("kind") == "point").rowsBetween(1, Window.unboundedFollowing)
+    hits = marks.withColumn("hit", F.min(F.when(F.col("kind") == "point", F.col("before"))).over(later)).filter("kind <> 'point'")
+    of = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("hit")))
+    found = hits.groupBy(*group, "before").agg(of("more").alias("more"), of("full").alias("full"), of("late").alias("late"))
+    # events must come after this one, and time alone flushes nothing
+    full = F.when(F.col("full") > F.col("before"), F.col("full"))
+    late = F.when(F.col("more").isNotNull() & F.col("late").isNotNull(), F.greatest("more", "late", F.col("before") + 1))
+    jump = cut(found.select(*group, "before", F.least(full, late).alias("next"), F.coalesce(full <= F.coalesce(late, full), F.lit(False)).alias("by_size")), "jump")
+    reached = _reached(rows.filter("before = 0").select(*group, "before"), jump.select(*group, "before", "next"), group)
+    causes = jump.join(reached, [*group, "before"]).filter("next is not null").select(*group, F.col("next").alias("before"), F.when(F.col("by_size"), "size").otherwise("interval").alias("cause"))
+    ends = rows.groupBy(*group).agg(F.max(F.struct("before", "ready")).alias("_e"))
+    done = causes.join(rows.select(*group, "before", "ready"), [*group, "before"]).groupBy(*group).agg(F.max("ready").alias("_done"))
+    closed = ends.join(done, group, "left").filter(F.col("_e.ready") > F.coalesce("_done", F.lit(0))).select(*group, F.col("_e.before").alias("before"), F.lit("close").alias("cause"))
+    flushed = causes.unionByName(closed).join(rows, [*group, "before"])
+    return flushed.select(*group, "event_no", (F.lit(MAGIC) + F.col("ready")).alias("position"), "cause")

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import FRAMING, is_file_end, is_txn_start
+from ..functions.scalars import EVENT_TYPES, FRAMING, POST_HEADER_LENGTHS, is_file_end, is_txn_start, post_header_len
 
 MAX_TXN = 2**32 - 1
 
@@ -74,13 +74,23 @@ def file_end_kind(events: DataFrame, keys: list[str] | None = None, order: str =
     return kinds.select(*(keys or []), "file_seq", end.alias("end_kind"))
 
 
-def file_transitions(events: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """For every artificial rotate, in order: the file is ``created`` first, ``reused`` if it is the one before, else ``switched``."""
+def file_transitions(events: DataFrame, keys: list[str] | None = None, mode: str = "gtid") -> DataFrame:
+    """For every artificial rotate, in order: the file is ``created`` first, ``reused`` if it is the one before, else ``switched``.
+
+    ``mode='position'`` also holds the position that the rotate tells (column ``position``) against what is stored of a reused file, the end of its last boundary
+    before the rotate: ``position differs``.
+    """
     keys = keys or []
-    rows = events.filter(F.col("artificial") & (F.col("type_name") == "rotate"))
-    before = F.lag("file").over(Window.partitionBy(*keys).orderBy("file_seq", "ord"))
-    status = F.when(before.isNull(), "created").when(before == F.col("file"), "reused").otherwise("switched")
-    return rows.select(*keys, "file_seq", "file", status.alias("status"))
+    rotate = F.col("artificial") & (F.col("type_name") == "rotate")
+    rows = events
+    if mode == "position":
+        ended = F.when(F.col("boundary") & ~F.col("artificial"), F.col("next_pos"))
+        rows = mark_boundaries(events, keys, "ord").withColumn("_stored", F.max(ended).over(_in_file(keys, "ord").rowsBetween(Window.unboundedPreceding, -1)))
+    before = F.lag("file").over(Window.partitionBy(*keys).orderBy("file_seq", "ord"))  # a row for each connection
+    status = F.when(before.isNull(), "created").when(before != F.col("file"), "switched")
+    if mode == "position":
+        status = status.when(F.col("position") != F.coalesce("_stored", F.lit(4)), "position differs")
+    return rows.filter(rotate).select(*keys, "file_seq", "file", status.otherwise("reused").alias("status"))
 
 
 def drop_incomplete_tail(events: DataFrame, keys: list[str] | None = None, order: str = "event_no") -> DataFrame:
@@ -138,13 +148,13 @@ def rotate_faults(events: DataFrame, order: str = "ord", keys: list[str] | None
     return _row(head, keys, "F3", F.col(order), F.lit("time or position")).unionByName(_row(tail, keys, "F4", F.col(order), F.lit("artificial end")))
 
 
-def rotate_position_faults(rotates: DataFrame, resume_file: str | None = None, resume_position: int | None = None) -> DataFrame:
+def rotate_position_faults(rotates: DataFrame, resume_file: str | None = None, resume_position: int | None = None, keys: list[str] | None = None) -> DataFrame:
     """F3 and F4 on decoded rotates (``file_seq, artificial, next_file, position``): the position is 4, or that of the resumed file."""
     allowed = F.col("position") == 4
     if resume_file is not None:
         allowed = allowed | (F.col("artificial") & (F.col("next_file") == resume_file) & (F.col("position") == resume_position))
     rows = rotates.filter(~allowed)
-    return rows.select(F.when(F.col("artificial"), "F3").otherwise("F4").alias("rule"), "file_seq", "position", F.lit("position").alias("detail"))
+    return rows.select(*(keys or []), F.when(F.col("artificial"), "F3").otherwise("F4").alias("rule"), "file_seq", "position", F.lit("position").alias("detail"))
 
 
 def length_faults(events: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -179,11 +189,70 @@ def assert_checksums(descriptions: DataFrame) -> None:
         raise ValueError("rewriting needs checksums in every source file")
 
 
-def validate_log(events: DataFrame, rules: tuple[str, ...] = ("F1", "F5", "F6", "F10"), keys: list[str] | None = None) -> DataFrame:
-    """``keys, rule, file_seq, position, detail`` of all chosen rules; an ordered log has none."""
-    checks = {"F1": lambda: broken_chain(events, keys), "F5": lambda: length_faults(events, keys), "F6": lambda: gtid_faults(events, keys=keys), "F10": lambda: clock_faults(events, keys)}
-    found = [checks[r]() for r in rules]
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out
+#: The rules that are judged from the order of a file's events.
+RULES = ("F1", "F2", "F3", "F4", "F5", "F6", "F9", "F10")
+
+
+def validate_log(events: DataFrame, rules: tuple[str, ...] = ("F1", "F5", "F6", "F10"), keys: list[str] | None = None, order: str = "event_no", previous_required: bool = True, gtid_mode: bool = True) -> DataFrame:
+    """``keys, rule, file_seq, position, detail`` of all chosen rules; an ordered log has none.
+
+    All rules are judged in one pass: events are dealt by file once, windows over that order give each event the faults that it shows, and those become rows.  F1, F5 and F6 are those of stored events,
+    so artificial rotates are passed over; F9 looks at ``checksum_alg`` of descriptions (in ``fde`` or a column of its own).  Positions are those of the rules' own functions.
+    """
+    if unknown := set(rules) - set(RULES):
+        raise ValueError(f"no rules of a log's order: {sorted(unknown)}")
+    keys, have = keys or [], set(events.columns)
+    artificial = F.coalesce(F.col("artificial"), F.lit(False)) if "artificial" in have else F.lit(False)
+    kind = F.col("type_name")
+    rows = events.withColumns({"_art": artificial, "_skip": artificial & (kind == "rotate"), "_framing": kind.isin(*FRAMING), "_start": is_txn_start(kind)})
+    file = Window.partitionBy(*keys, "file_seq", "_skip").orderBy(order)  # stored events of a file, its rotates apart
+    count = lambda c: F.sum(c.cast("long")).over(_upto(file))
+    start_pos = F.col("start_pos") if "start_pos" in have else F.col("next_pos") - F.col("event_size")
+    rows = rows.withColumns({
+        "_expected": F.lag("next_pos", 1, 4).over(file), "_n": F.row_number().over(file), "_fde": count(kind == "format_description"), "_prev": count(kind == "previous_gtids_log"), "_begun": count(F.col("_start")),
+        "_ended": F.coalesce(F.sum(is_file_end(kind, F.col("_art")).cast("long")).over(file.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "_start_pos": start_pos,
+    })
+    txn = Window.partitionBy(*keys, "file_seq", "_skip", "_framing", "_begun").orderBy(order)
+    whole = txn.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = rows.withColumns({"_size": F.sum("event_size").over(whole), "_declared": F.first("txn_length").over(whole), "_first": F.row_number().over(txn) == 1})
+    stored, at = ~F.col("_skip"), lambda c: c.cast("long")
+    has = F.col("gno").isNotNull() & (F.col("gno") >= 1)
+    checksum = F.col("fde.checksum_alg") if "fde" in have else F.col("checksum_alg") if "checksum_alg" in have else F.lit("crc32")
+    grammar = (
+        F.when(F.col("_art"), "stray artificial event")
+        .when((F.col("_n") == 1) & (kind != "format_description"), "no format description first")
+        .when((kind == "format_description") & (F.col("_fde") > 1), "second format description")
+        .when((kind == "previous_gtids_log") & (F.col("_prev") > 1), "second previous ids")
+        .when((kind == "previous_gtids_log") & (F.col("_n") > 2), "late previous ids")
+        .when(F.lit(previous_required) & (F.col("_n") == 2) & (kind != "previous_gtids_log"), "no previous ids second")
+        .when(F.col("_ended") > 0, "event after the end")
+        .when(~F.col("_framing") & (F.col("_begun") == 0), "event before any transaction")
+    )
+    length = F.when(F.col("_declared") > MAX_TXN, "too long").when(F.col("_size") > F.col("_declared"), "exceeds").when(F.col("_size") < F.col("_declared"), "short")
+    ids = F.when((kind == "anonymous_gtid_log") & F.lit(gtid_mode), "anonymous in gtid mode").when((kind == "anonymous_gtid_log") & has, "anonymous with an id").when(kind.isin("gtid_log", "gtid_tagged_log") & ~has, "no id")
+    broken = (F.col("next_pos") == 0) | (F.col("_expected") + F.col("event_size") != F.col("next_pos"))
+    found = {
+        "F1": (F.when(stored & broken, F.when(F.col("next_pos") == 0, "zero").otherwise("broken")), F.col("_expected")),
+        "F2": (F.when(stored, grammar), F.col(order)),
+        "F3": (F.when(F.col("_skip") & (F.col("ts").isNotNull() | (F.col("next_pos") != 0)), "time or position"), F.col(order)),
+        "F4": (F.when(F.col("_art") & (kind == "stop"), "artificial end"), F.col(order)),
+        "F5": (F.when(stored & ~F.col("_framing") & (F.col("_begun") > 0) & F.col("_first"), length), F.col("_start_pos")),
+        "F6": (F.when(F.col("_start"), ids), F.col("_start_pos")),
+        "F9": (F.when((kind == "format_description") & (F.coalesce(checksum, F.lit("off")) != "crc32"), "no checksum"), F.lit(4)),
+        "F10": (F.when(F.col("_start") & (F.col("last_committed") >= F.col("sequence_number")), "clock"), F.col("_start_pos")),
+    }
+    one = lambda r: F.when(found[r][0].isNotNull(), F.struct(F.lit(r).alias("rule"), at(found[r][1]).alias("position"), found[r][0].alias("detail")))
+    faults = rows.select(*keys, "file_seq", F.explode(F.array_compact(F.array(*[one(r) for r in rules]))).alias("f"))
+    return faults.select(*keys, "f.rule", "file_seq", "f.position", "f.detail")
+
+
+def with_event_dims(events: DataFrame, code: str = "code", before_83: bool = True) -> DataFrame:
+    """Adds ``type_name`` and ``post_header_len`` of each event code; unknown codes have none.  The dimension has a row for each of the format's codes."""
+    spark = events.sparkSession
+    lengths = dict(enumerate(POST_HEADER_LENGTHS, 1))
+    dims = spark.createDataFrame(list(EVENT_TYPES.items()), f"{code} int, type_name string")
+    if before_83:
+        dims = dims.join(F.broadcast(spark.createDataFrame(list(lengths.items()), f"{code} int, post_header_len int")), code, "left")
+    else:
+        dims = dims.withColumn("post_header_len", post_header_len(F.lit(80300), F.col(code)))
+    return events.join(F.broadcast(dims), code, "left")

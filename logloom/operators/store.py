@@ -44,8 +44,10 @@ def _rows(df: DataFrame, keys: list[str], rule: str, detail: str = "") -> DataFr
     return df.select(*keys, F.lit(rule).alias("rule"), F.col("name").cast("string").alias("name"), F.lit(detail).alias("detail"))
 
 
-def audit_store(index: DataFrame, files: DataFrame, listing: DataFrame, mode: str = "gtid", stored_mode: str | None = None, marker: bool = True, index_found: bool = True, keys: list[str] | None = None) -> DataFrame:
-    """``keys, rule, name, detail`` of every broken store rule V0 to V10; what is told of the store as a whole (V0 to V2) has no keys.
+def audit_store(index: DataFrame, files: DataFrame, listing: DataFrame, mode: str = "gtid", stored_mode: str | None = None, marker: bool = True, index_found: bool = True, keys: list[str] | None = None, stores: DataFrame | None = None) -> DataFrame:
+    """``keys, rule, name, detail`` of every broken store rule V0 to V10.
+
+    What holds for a store as a whole (V0 to V2) comes from ``stored_mode, marker, index_found``: arguments for one store, columns of ``stores`` (a row for each store) for many.
 
     ``index``: ``keys, entry, line_no, name``; ``files``: ``keys, name, size, added_gtids``; ``listing``: ``keys, name, size`` of log objects.
     """
@@ -70,6 +72,10 @@ def audit_store(index: DataFrame, files: DataFrame, listing: DataFrame, mode: st
         _rows(three.filter("in_index AND recorded_size <> object_size"), keys, "V9"),
         _rows(files.filter(F.col("added_gtids").isNull() if mode == "gtid" else F.col("added_gtids").isNotNull()), keys, "V10"),
     ]
+    if stores is not None:
+        whole = lambda rule, bad, name, detail: stores.filter(bad).select(*keys, F.lit(rule).alias("rule"), F.lit(name).alias("name"), detail.cast("string").alias("detail"))
+        parts += [whole("V0", F.col("stored_mode") != mode, None, F.col("stored_mode")), whole("V1", ~F.col("marker"), None, F.lit(MARKER)), whole("V2", ~F.col("index_found"), None, F.lit(INDEX))]
+        parts[-3:] = [p.withColumn("name", F.col("name").cast("string")) for p in parts[-3:]]
     if facts:
         parts.append(spark.createDataFrame(facts, "rule string, name string, detail string"))
     out = parts[0]

@@ -5,17 +5,17 @@ The SQL is written another way than the operators wherever there is one: sets nu
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..fixtures import U1, view, with_views
+from ..fixtures import U1, U2, view, with_views
 from ..functions import scalars as fn
 from ..operators import files as fl
 from ..operators import gtid as gt
 from ..operators import rewrite as rw
 from ..operators import sequence as sq
 from ..operators import store as st
-from ..session import shared_path
+from ..session import cut, shared_path
 from ..sources import tables as tb
 
 _QUERIES: dict = {}
@@ -234,30 +234,53 @@ def _(spark, d):
     return st.audit_store(index, files, listing, keys=["store"])
 
 
-_ERRORS = {
-    "cannot parse GTID set": lambda files, added: fl.search_by_gtid_set(files, added, "junk"),
-    "Binlog storage is empty": lambda files, added: fl.search_by_gtid_set(files.limit(0), added, ""),
-    "GTID set search is not supported in storages created in position-based replication mode": lambda files, added: fl.search_by_gtid_set(files, added, "", mode="position"),
-    "The specified GTID set cannot be covered": lambda files, added: fl.search_by_gtid_set(files, added, f"{U1}:1-9223372036854775807"),
-    "Invalid timestamp format": lambda files, added: fl.search_by_timestamp(files, "yesterday"),
-    "Timestamp is too old": lambda files, added: fl.search_by_timestamp(files, "1971-01-01T00:00:00"),
-    "cannot purge the last file": lambda files, added: fl.plan_purge(files, files.agg(F.max("name")).first()[0]),
-    "no such file": lambda files, added: fl.plan_purge(files, "binlog.999999"),
-    "base name differs": lambda files, added: fl.plan_purge(files, "other.000001"),
-}
+#: three stores that name their files alike: the second keeps fewer, the third has its own base name
+_FLEET = "(SELECT store, row_number() OVER (PARTITION BY store ORDER BY file_seq) AS file_seq, (CASE WHEN store = 's2' THEN 'other' ELSE 'binlog' END) || '.' || lpad(CAST(row_number() OVER (PARTITION BY store ORDER BY file_seq) AS VARCHAR), 6, '0') AS name, size, min_ts FROM clock_files WHERE store <> 's1' OR file_seq < (SELECT 2 + max(file_seq) // 2 FROM clock_files))"
 
 
-@query("c2e_c3e_errors", "SELECT m AS message, count(*) AS files FROM log_files, (SELECT unnest([" + ", ".join(repr(m) for m in _ERRORS) + "]) AS m) e GROUP BY m")
+def _fleet(spark, d):
+    files = view(spark, d, "clock_files")
+    top = files.agg(F.max("file_seq")).first()[0]
+    number = F.row_number().over(Window.partitionBy("store").orderBy("file_seq"))
+    rows = files.filter((F.col("store") != "s1") | (F.col("file_seq") < 2 + top // 2)).withColumn("file_seq", number.cast("long"))
+    return rows.withColumn("name", fn.output_name(F.when(F.col("store") == "s2", "other").otherwise("binlog"), F.col("file_seq")))
+
+
+def _last_of(files: DataFrame, store: str) -> str:
+    return files.filter(F.col("store") == store).agg(F.max("name")).first()[0]
+
+
+_TARGET = f"(SELECT max(name) FROM {_FLEET} t WHERE store = 's1')"
+
+
+@query("c4_purge_fleet", f"SELECT store, file_seq, name FROM {_FLEET} f WHERE store = 's0' AND name <= {_TARGET}")
+def _(spark, d):
+    """The target is the last file of one store and not there in another: only the third may be purged up to it."""
+    files = _fleet(spark, d)
+    return fl.plan_purge(files, _last_of(files, "s1"), ["store"], check=False).select("store", "file_seq", "name")
+
+
+@query("c4_purge_faults", "SELECT 's1' AS store, 'cannot purge the last file' AS message UNION ALL SELECT 's2', 'base name differs' UNION ALL SELECT 's3', 'Binlog storage is empty'")
+def _(spark, d):
+    files = _fleet(spark, d)
+    stores = files.select("store").distinct().unionByName(spark.range(1).select(F.lit("s3").alias("store")))
+    return fl.purge_faults(files, _last_of(files, "s1"), ["store"], stores)
+
+
+@query("c2e_timestamp_faults", "SELECT store, 'Timestamp is too old' AS message FROM (SELECT store, arg_min(min_ts, file_seq) AS first FROM clock_files GROUP BY store) f WHERE first > (SELECT min(min_ts) FROM clock_files)")
+def _(spark, d):
+    files = view(spark, d, "clock_files")
+    t = files.agg(F.date_format(F.min("min_ts"), "yyyy-MM-dd'T'HH:mm:ss")).first()[0]
+    return fl.timestamp_faults(files, t, ["store"])
+
+
+@query("c3e_gtid_faults", f"SELECT DISTINCT 's' || (file_seq % 3) AS store, 'The specified GTID set cannot be covered' AS message FROM log_files WHERE 's' || (file_seq % 3) NOT IN (SELECT 's' || (file_seq % 3) FROM log_events WHERE uuid = '{U1}' AND tag = '' AND gno BETWEEN 2 AND 4 GROUP BY 1 HAVING count(DISTINCT gno) = 3)")
 def _(spark, d):
-    """What the catalogue refuses, and why, each with the number of files that it was asked about."""
-    files, added = view(spark, d, "log_files"), view(spark, d, "file_added_gtids")
-    told, n = [], files.count()
-    for message, ask in _ERRORS.items():
-        try:
-            ask(files, added)
-        except fl.CatalogueError as e:
-            told.append((str(e), n))
-    return spark.createDataFrame(told, "message string, files long")
+    """Which of three stores cannot cover a set that one of them holds."""
+    files = view(spark, d, "clock_files")
+    added = fl.file_added_gtids(view(spark, d, "log_events")).withColumn("store", F.concat(F.lit("s"), (F.col("file_seq") % 3).cast("string")))
+    wanted = spark.range(1).select(F.lit(U1).alias("uuid"), F.lit("").alias("tag"), F.lit(2).cast("long").alias("lo"), F.lit(4).cast("long").alias("hi"))
+    return fl.gtid_faults_of_stores(files, added, wanted, keys=["store"])
 
 
 @query("c7_load_files_tolerant", "SELECT name, line_no FROM store_index WHERE name IN (SELECT name FROM store_metadata)")
@@ -311,9 +334,7 @@ def _(spark, d):
 
 @query("j6_event_dims", f"SELECT event_id, CASE code {' '.join(f'WHEN {k} THEN {v!r}' for k, v in fn.EVENT_TYPES.items())} END AS type_name, CASE code {_LENGTHS} END AS post_header_len FROM {_CODES} c")
 def _(spark, d):
-    lengths = dict(enumerate(fn.POST_HEADER_LENGTHS, 1))
-    dims = spark.createDataFrame([(k, v, lengths.get(k)) for k, v in fn.EVENT_TYPES.items()], "code int, type_name string, post_header_len int")  # 43 rows
-    return _coded(spark, d).join(F.broadcast(dims), "code", "left").select("event_id", "type_name", "post_header_len")
+    return sq.with_event_dims(_coded(spark, d)).select("event_id", "type_name", "post_header_len")
 
 
 # -- aggregations --------------------------------------------------------------------------------------------------
@@ -525,9 +546,32 @@ def _(spark, d):
     return sq.clock_faults(view(spark, d, "log_events_bad"))
 
 
-@query("validate_log", "SELECT rule, count(*) AS n FROM (SELECT 'F1' AS rule FROM (SELECT *, coalesce(lag(next_pos) OVER (PARTITION BY file_seq ORDER BY event_no), 4) AS expected FROM log_events_bad) c WHERE expected + event_size <> next_pos UNION ALL SELECT DISTINCT 'F5' || substr(CAST(txn_no AS VARCHAR), 1, 0) FROM log_events_bad WHERE FALSE UNION ALL SELECT 'F5' FROM (SELECT DISTINCT txn_no FROM log_events_bad WHERE txn_no % 101 = 50) t UNION ALL SELECT 'F10' FROM log_events_bad WHERE pos_in_txn = 0 AND last_committed >= sequence_number) r GROUP BY rule")
+_BAD_CHAIN = "SELECT 'F1' AS rule, file_seq, expected AS position, 'broken' AS detail FROM (SELECT *, coalesce(lag(next_pos) OVER (PARTITION BY file_seq ORDER BY event_no), 4) AS expected FROM log_events_bad) c WHERE expected + event_size <> next_pos"
+
+
+@query("validate_log", f"{_BAD_CHAIN} UNION ALL SELECT 'F5', min(file_seq), min(start_pos), 'short' FROM log_events_bad WHERE txn_no % 101 = 50 GROUP BY txn_no UNION ALL SELECT 'F10', file_seq, start_pos, 'clock' FROM log_events_bad WHERE pos_in_txn = 0 AND last_committed >= sequence_number")
 def _(spark, d):
-    return sq.validate_log(view(spark, d, "log_events_bad")).groupBy("rule").agg(F.count("*").alias("n"))
+    return sq.validate_log(view(spark, d, "log_events_bad"))
+
+
+@query(
+    "validate_framed_log",
+    "WITH e AS (SELECT * FROM framed_events WHERE NOT (file_seq % 6 = 0 AND ord = -2) AND NOT (file_seq % 3 = 1 AND ord = -1)), s AS (SELECT *, row_number() OVER (PARTITION BY file_seq ORDER BY ord) AS n, coalesce(lag(next_pos) OVER (PARTITION BY file_seq ORDER BY ord), 4) AS expected FROM e WHERE NOT artificial) "
+    "SELECT 'F1' AS rule, file_seq, expected AS position, 'broken' AS detail FROM s WHERE expected + event_size <> next_pos "
+    "UNION ALL SELECT 'F2', file_seq, ord, CASE WHEN n = 1 THEN 'no format description first' ELSE 'no previous ids second' END FROM s WHERE (n = 1 AND type_name <> 'format_description') OR (n = 2 AND type_name <> 'previous_gtids_log') "
+    "UNION ALL SELECT 'F3', file_seq, ord, 'time or position' FROM e WHERE artificial AND file_seq % 4 = 1 "
+    "UNION ALL SELECT 'F4', file_seq, ord, 'artificial end' FROM e WHERE type_name = 'stop' AND file_seq % 16 = 8 "
+    "UNION ALL SELECT 'F2', file_seq, ord, 'stray artificial event' FROM e WHERE type_name = 'stop' AND file_seq % 16 = 8 "
+    "UNION ALL SELECT 'F6', file_seq, next_pos - event_size, 'no id' FROM e WHERE type_name = 'gtid_log' AND txn_no % 50 = 4 "
+    "UNION ALL SELECT 'F9', file_seq, 4, 'no checksum' FROM e WHERE type_name = 'format_description' AND file_seq % 5 = 2",
+)
+def _(spark, d):
+    """All rules of a framed log in one pass, over a log with faults of every kind but wrong lengths and clocks."""
+    rows = view(spark, d, "framed_events_bad")
+    rows = rows.withColumn("next_pos", F.when(F.col("artificial") & (F.col("file_seq") % 4 == 1), 120).otherwise(F.col("next_pos")))
+    rows = rows.withColumn("artificial", F.col("artificial") | ((F.col("type_name") == "stop") & (F.col("file_seq") % 16 == 8)))
+    rows = rows.withColumn("gno", F.when(F.coalesce(F.col("txn_no") % 50 != 4, F.lit(True)), F.col("gno"))).withColumn("checksum_alg", F.when(F.col("file_seq") % 5 == 2, "off").otherwise("crc32"))
+    return sq.validate_log(rows, sq.RULES, order="ord")
 
 
 @query("n1_name_rules", "SELECT event_id, CASE WHEN event_id % 8 = 0 THEN 'too short' WHEN event_id % 8 = 1 THEN 'no separator' WHEN event_id % 8 = 2 THEN 'not a number' WHEN event_id % 8 = 3 THEN 'empty base' WHEN event_id % 8 = 4 THEN 'path separator' WHEN event_id % 8 = 5 THEN 'number zero' END AS fault FROM events")
@@ -682,6 +726,69 @@ def _(spark, d):
     return rw.flush_points(_txns(spark, d), 2000).select("file_seq", "txn_no")
 
 
+_HELD = f"(SELECT '{U1}' AS uuid, '' AS tag, 5 AS lo, 40 AS hi UNION ALL SELECT '{U1}', '', 60, 61 UNION ALL SELECT '{U2}', 'alpha', 1, 90 UNION ALL SELECT '{U1}', '', 100, 9223372036854775807)"
+
+
+@query("s5_resume_after_ids", f"SELECT file_seq, ord FROM framed_events e WHERE txn_no IS NULL OR NOT EXISTS (SELECT 1 FROM {_HELD} h JOIN log_events g ON g.uuid = h.uuid AND g.tag = h.tag AND g.gno BETWEEN h.lo AND h.hi WHERE g.txn_no = e.txn_no)")
+def _(spark, d):
+    """Whole transactions that a set with gaps does not hold, and all framing."""
+    rows = view(spark, d, "framed_events").withColumn("event_no", F.col("ord"))
+    have = spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(u).alias("uuid"), F.lit(t).alias("tag"), F.lit(a).cast("long").alias("lo"), F.lit(b).cast("long").alias("hi")) for u, t, a, b in ((U1, "", 5, 40), (U1, "", 60, 61), (U2, "alpha", 1, 90), (U1, "", 100, 2**63 - 1))])).alias("h")).select("h.*")
+    return fl.resume_after_ids(rows, have).select("file_seq", "ord")
+
+
+_WALK = """WITH RECURSIVE e AS (
+  SELECT file_seq, event_no, k, t, CASE WHEN pos_in_txn = 4 THEN done ELSE done - part END AS ready FROM (
+    SELECT file_seq, event_no, pos_in_txn, row_number() OVER w AS k, max(epoch_us(ts)) OVER w AS t, sum(event_size) OVER w AS done, sum(event_size) OVER (PARTITION BY file_seq, txn_no ORDER BY event_no) AS part
+    FROM log_events WINDOW w AS (PARTITION BY file_seq ORDER BY event_no)) x
+), w AS (
+  SELECT file_seq, CAST(0 AS BIGINT) AS k, CAST(0 AS HUGEINT) AS held, min(t) AS at, CAST(NULL AS VARCHAR) AS cause, CAST(0 AS HUGEINT) AS ready, CAST(NULL AS BIGINT) AS event_no FROM e GROUP BY file_seq
+  UNION ALL SELECT e.file_seq, e.k,
+    CASE WHEN e.ready > w.held AND (e.ready >= w.held + {size} OR e.t >= w.at + {micros}) THEN e.ready ELSE w.held END,
+    CASE WHEN e.ready > w.held AND (e.ready >= w.held + {size} OR e.t >= w.at + {micros}) THEN e.t ELSE w.at END,
+    CASE WHEN e.ready >= w.held + {size} THEN 'size' WHEN e.ready > w.held AND e.t >= w.at + {micros} THEN 'interval' END, e.ready, e.event_no
+  FROM w JOIN e ON e.file_seq = w.file_seq AND e.k = w.k + 1
+), last AS (SELECT file_seq, max(k) AS k FROM e GROUP BY file_seq)
+SELECT file_seq, event_no, CAST(4 + ready AS BIGINT) AS position, cause FROM w WHERE cause IS NOT NULL
+UNION ALL SELECT w.file_seq, w.event_no, CAST(4 + w.ready AS BIGINT), 'close' FROM w JOIN last ON last.file_seq = w.file_seq AND last.k = w.k WHERE w.cause IS NULL AND w.ready > w.held"""
+
+
+def _with_boundaries(spark, d):
+    return sq.mark_boundaries(view(spark, d, "log_events"), order="event_no").withColumn("arrived", F.col("ts"))
+
+
+@query("s6_checkpoints", "SELECT * FROM (" + _WALK.format(size=3000, micros=4000 * 1_000_000) + ") walked")
+def _(spark, d):
+    """By size or by elapsed time, whichever comes first."""
+    return rw.checkpoints(_with_boundaries(spark, d), 3000, 4000)
+
+
+@query("s6_checkpoints_by_time", "SELECT * FROM (" + _WALK.format(size=10**15, micros=2500 * 1_000_000) + ") walked")
+def _(spark, d):
+    return rw.checkpoints(_with_boundaries(spark, d), interval=2500)
+
+
+@query("d11_set_before_files", f"SELECT * FROM ({{before}}) b WHERE file_seq % 7 = 3".format(before="SELECT file_seq, uuid, tag, min(g) AS lo, max(g) AS hi FROM (SELECT *, g - row_number() OVER (PARTITION BY file_seq, uuid, tag ORDER BY g) AS isl FROM (SELECT DISTINCT f.file_seq, e.uuid, e.tag, e.gno AS g FROM log_files f JOIN log_events e ON e.file_seq < f.file_seq) n) r GROUP BY file_seq, uuid, tag, isl"))
+def _(spark, d):
+    """From a table of deltas, the sets before some files only."""
+    files = view(spark, d, "log_files")
+    last = files.agg(F.max("file_seq")).first()[0]
+    deltas = cut(gt.set_deltas(view(spark, d, "file_added_gtids"), last), "deltas")
+    return gt.sets_before(files.filter("file_seq % 7 = 3"), deltas, last)
+
+
+@query("s8_reconnects", "SELECT file_seq, file, CASE WHEN k = 1 THEN CASE WHEN file_seq = (SELECT min(file_seq) FROM log_files) THEN 'created' ELSE 'switched' END WHEN file_seq % 3 = 0 THEN 'position differs' ELSE 'reused' END AS status FROM (SELECT file_seq, name AS file, unnest([1, 2]) AS k FROM log_files) t")
+def _(spark, d):
+    """Every file's log is lost once within it; the new connection tells the stored place, or another."""
+    rows = view(spark, d, "framed_events").withColumn("ord", 2 * F.col("ord"))
+    stored = F.max_by("next_pos", F.when(F.col("ord") < F.col("_mid"), F.col("ord")))
+    mids = view(spark, d, "log_events").filter("pos_in_txn = 4").groupBy("file_seq").agg((2 * F.min("event_no") + 1).alias("_mid"))
+    again = rows.filter("not artificial").join(mids, "file_seq").groupBy("file_seq", "file", "_mid").agg(stored.alias("_stored"))
+    again = again.select("file_seq", "file", F.col("_mid").alias("ord"), F.lit("rotate").alias("type_name"), F.lit(True).alias("artificial"), F.lit(0).cast("long").alias("next_pos"), (F.col("_stored") + F.when(F.col("file_seq") % 3 == 0, 1).otherwise(0)).alias("position"))
+    first = rows.withColumn("position", F.when(F.col("artificial"), 4).cast("long"))
+    return sq.file_transitions(first.unionByName(again, allowMissingColumns=True), mode="position")
+
+
 @query("s8_file_transitions", "SELECT file_seq, file, CASE WHEN file_seq = (SELECT min(file_seq) FROM log_files) THEN 'created' ELSE 'switched' END AS status FROM framed_events WHERE artificial")
 def _(spark, d):
     return sq.file_transitions(view(spark, d, "framed_events"))
@@ -692,17 +799,19 @@ def _(spark, d):
     return sq.file_end_kind(view(spark, d, "framed_events"))
 
 
-def _streamed(spark, d):
-    """A log with its framing, in pieces that cut transactions, drained by the streaming job."""
+def _streamed(spark, d, view_name="framed_events", **options):
+    """A log with its framing, in pieces that cut transactions and of which the middle one comes last, drained by the streaming job."""
     from ..streaming import ingest as stream
 
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     source, out = shared_path(spark, "stream-in"), shared_path(spark, "stream-out")
-    rows = view(spark, d, "framed_events").withColumnRenamed("ord", "event_no").repartition("file_seq")
-    piece = F.when(F.col("event_no") < 0, 0).when(F.col("event_no") > 8_000_000_000, 2).otherwise(F.floor(F.col("event_no") % 500 / 167)).cast("int")
-    rows.withColumn("piece", piece).write.partitionBy("piece").parquet(source)
+    rows = view(spark, d, view_name).withColumnRenamed("ord", "event_no").repartition("file_seq")
+    third = F.floor(F.col("event_no") % 500 / 167)
+    piece = F.when(F.col("event_no") < 0, 0).when(F.col("event_no") > 8_000_000_000, 1).when(third == 1, 2).otherwise(F.floor(third / 2)).cast("int")
+    for number in range(3):  # one after the other: a stream takes files by their age
+        rows.filter(piece == number).write.parquet(f"{source}/piece={number}")
     events = stream.read_event_stream(spark, f"{source}/piece=*", rows.schema, max_files=int(spark.conf.get("spark.sql.shuffle.partitions")))
-    stream.ingest(events, out, f"{out}/checkpoint").awaitTermination()
+    stream.ingest(events, out, f"{out}/checkpoint", **options).awaitTermination()
     return stream, out
 
 
@@ -712,7 +821,32 @@ def _(spark, d):
     return stream.stored_events(spark, out).select("event_no", "file_seq", "type_name", "next_pos")
 
 
+#: files whose third transaction lost its last event
+_LOST = "(SELECT file_seq, min(ord) AS ord FROM (SELECT *, dense_rank() OVER (PARTITION BY file_seq ORDER BY txn_no) AS k FROM framed_events WHERE txn_no IS NOT NULL) x WHERE k = 3 AND type_name = 'xid' AND file_seq % 2 = 0 GROUP BY file_seq)"
+
+
+@query("s3_hole_and_faults", f"SELECT 'stored' AS what, e.file_seq, count(*) AS n FROM framed_events e LEFT JOIN {_LOST} l ON l.file_seq = e.file_seq WHERE NOT artificial AND (l.ord IS NULL OR e.ord < l.ord - 4) GROUP BY e.file_seq UNION ALL SELECT 'F5 short', file_seq, 1 FROM {_LOST} z WHERE file_seq % 4 = 0")
+def _(spark, d):
+    """In every other file a transaction lacks its end: in half of them the rest moved up, which is a fault; in the others a hole stays, past which nothing is stored."""
+    from ..streaming import ingest as stream
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    source, out = shared_path(spark, "stream-in"), shared_path(spark, "stream-out")
+    rows = view(spark, d, "framed_events")
+    k = F.dense_rank().over(Window.partitionBy("file_seq").orderBy("txn_no"))
+    ends = rows.filter("txn_no is not null").withColumn("k", k).filter("k = 3 and type_name = 'xid' and file_seq % 2 = 0").select("file_seq", F.col("ord").alias("_lost"), F.col("event_size").alias("_gone"))
+    rows = rows.join(F.broadcast(ends), "file_seq", "left").filter("_lost is null or ord <> _lost")  # a row for each file
+    moved = F.when((F.col("file_seq") % 4 == 0) & (F.col("ord") > F.col("_lost")), F.col("next_pos") - F.col("_gone")).otherwise(F.col("next_pos"))
+    rows.withColumn("next_pos", moved).drop("_lost", "_gone").withColumnRenamed("ord", "event_no").repartition("file_seq").write.parquet(source)
+    events = stream.read_event_stream(spark, source, spark.read.parquet(source).schema, max_files=3)
+    stream.ingest(events, out, f"{out}/checkpoint").awaitTermination()
+    stored = stream.stored_events(spark, out).groupBy("file_seq").agg(F.count("*").alias("n"))
+    faults = stream.stream_faults(spark, out).groupBy(F.concat_ws(" ", "rule", "detail").alias("what"), "file_seq").agg(F.count("*").alias("n"))
+    return stored.select(F.lit("stored").alias("what"), "file_seq", "n").unionByName(faults)
+
+
 @query("s7_live_files", lambda: "SELECT f.file_seq, f.name, t.size, g.added_gtids, f.min_ts, f.max_ts, f.last_sequence_number FROM log_files f JOIN (SELECT file_seq, CAST(4 + sum(event_size) AS BIGINT) AS size FROM framed_events WHERE NOT artificial GROUP BY file_seq) t ON t.file_seq = f.file_seq JOIN (" + _TEXT.format(k="file_seq", src="file_added_gtids", out="added_gtids") + ") g ON g.file_seq = f.file_seq")
 def _(spark, d):
-    stream, out = _streamed(spark, d)
+    """Snapshots every other batch."""
+    stream, out = _streamed(spark, d, compact=2)
     return stream.live_files(spark, out)

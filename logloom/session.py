@@ -6,7 +6,8 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def session(name: str = "logloom", **conf: str) -> SparkSession:
@@ -33,3 +34,25 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def cut_counted(df: DataFrame, name: str = "cut") -> tuple[DataFrame, int]:
+    """``cut``, and how many rows were written: counted by the same job."""
+    seen = Observation()
+    table = cut(df.observe(seen, F.count(F.lit(1)).alias("n")), name)
+    return table, seen.get["n"]
+
+
+#: Bytes of files up to which a table is broadcast.
+SMALL = 4 << 20
+
+
+def sized(df: DataFrame, most: int = SMALL) -> DataFrame:
+    """``df`` (a written table, or a selection of one) marked for broadcast if its files are small; no job runs."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(df) if size <= most else df
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
