@@ -97,7 +97,7 @@ def _facts(files: DataFrame, keys: list[str] | None, stores: DataFrame | None, *
     keys = keys or []
     got = files.groupBy(*keys).agg(F.count("*").alias("n"), *[c.alias(k) for k, c in facts.items()])
     if stores is not None and keys:
-        got = stores.select(*keys).distinct().join(got, keys, "left").withColumn("n", F.coalesce("n", F.lit(0)))
+        got = stores.select(*keys).unionByName(files.select(*keys)).distinct().join(got, keys, "left").withColumn("n", F.coalesce("n", F.lit(0)))
     return got
 
 

@@ -8,14 +8,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..fixtures import U1, U2, view, with_views
+from ..fixtures import U1, U2, view, with_views, write_raw_logs
 from ..functions import scalars as fn
 from ..operators import files as fl
 from ..operators import gtid as gt
 from ..operators import rewrite as rw
 from ..operators import sequence as sq
 from ..operators import store as st
+from ..schemas import EVENTS
 from ..session import cut, shared_path
+from ..sources import binlog as bl
+from ..sources import rawlog as raw
 from ..sources import tables as tb
 
 _QUERIES: dict = {}
@@ -556,14 +559,14 @@ def _(spark, d):
 
 @query(
     "validate_framed_log",
-    "WITH e AS (SELECT * FROM framed_events WHERE NOT (file_seq % 6 = 0 AND ord = -2) AND NOT (file_seq % 3 = 1 AND ord = -1)), s AS (SELECT *, row_number() OVER (PARTITION BY file_seq ORDER BY ord) AS n, coalesce(lag(next_pos) OVER (PARTITION BY file_seq ORDER BY ord), 4) AS expected FROM e WHERE NOT artificial) "
+    "SELECT * FROM (WITH e AS (SELECT * FROM framed_events WHERE NOT (file_seq % 6 = 0 AND ord = -2) AND NOT (file_seq % 3 = 1 AND ord = -1)), s AS (SELECT *, row_number() OVER (PARTITION BY file_seq ORDER BY ord) AS n, coalesce(lag(next_pos) OVER (PARTITION BY file_seq ORDER BY ord), 4) AS expected FROM e WHERE NOT artificial) "
     "SELECT 'F1' AS rule, file_seq, expected AS position, 'broken' AS detail FROM s WHERE expected + event_size <> next_pos "
     "UNION ALL SELECT 'F2', file_seq, ord, CASE WHEN n = 1 THEN 'no format description first' ELSE 'no previous ids second' END FROM s WHERE (n = 1 AND type_name <> 'format_description') OR (n = 2 AND type_name <> 'previous_gtids_log') "
     "UNION ALL SELECT 'F3', file_seq, ord, 'time or position' FROM e WHERE artificial AND file_seq % 4 = 1 "
     "UNION ALL SELECT 'F4', file_seq, ord, 'artificial end' FROM e WHERE type_name = 'stop' AND file_seq % 16 = 8 "
     "UNION ALL SELECT 'F2', file_seq, ord, 'stray artificial event' FROM e WHERE type_name = 'stop' AND file_seq % 16 = 8 "
     "UNION ALL SELECT 'F6', file_seq, next_pos - event_size, 'no id' FROM e WHERE type_name = 'gtid_log' AND txn_no % 50 = 4 "
-    "UNION ALL SELECT 'F9', file_seq, 4, 'no checksum' FROM e WHERE type_name = 'format_description' AND file_seq % 5 = 2",
+    "UNION ALL SELECT 'F9', file_seq, 4, 'no checksum' FROM e WHERE type_name = 'format_description' AND file_seq % 5 = 2) v",
 )
 def _(spark, d):
     """All rules of a framed log in one pass, over a log with faults of every kind but wrong lengths and clocks."""
@@ -850,3 +853,100 @@ def _(spark, d):
     """Snapshots every other batch."""
     stream, out = _streamed(spark, d, compact=2)
     return stream.live_files(spark, out)
+
+
+# -- raw files -----------------------------------------------------------------------------------------------------
+
+#: what raw files hold, in order: sizes of id events and framing are left out
+_RAW = f"""SELECT file_seq, row_number() OVER (PARTITION BY file_seq ORDER BY o) AS k, type_name, uuid, tag, gno, sequence_number, last_committed, event_size, note FROM (
+  SELECT file_seq, event_no AS o, CASE WHEN type_name = 'gtid_log' AND tag <> '' THEN 'gtid_tagged_log' ELSE type_name END AS type_name, CASE WHEN pos_in_txn = 0 THEN uuid END AS uuid, CASE WHEN pos_in_txn = 0 THEN tag END AS tag,
+         CASE WHEN pos_in_txn = 0 THEN gno END AS gno, CASE WHEN pos_in_txn = 0 THEN sequence_number END AS sequence_number, CASE WHEN pos_in_txn = 0 THEN last_committed END AS last_committed, CASE WHEN pos_in_txn > 0 THEN greatest(event_size, 36) END AS event_size, NULL AS note FROM log_events
+  UNION ALL SELECT file_seq, -2, 'format_description', NULL, NULL, NULL, NULL, NULL, NULL, CASE WHEN file_seq % 9 = 7 THEN '9.1.0' ELSE '8.4.8' END FROM log_files
+  UNION ALL SELECT file_seq, -1, 'previous_gtids_log', NULL, NULL, NULL, NULL, NULL, NULL, '{U1}:' || CASE WHEN file_seq > 1 THEN '1-' || file_seq ELSE '1' END FROM log_files
+  UNION ALL SELECT file_seq, 9000000000, 'rotate', NULL, NULL, NULL, NULL, NULL, NULL, 'binlog.' || lpad(CAST(file_seq + 1 AS VARCHAR), 6, '0') FROM log_files) r"""
+
+
+def _raw_rows(decoded: DataFrame) -> DataFrame:
+    rows = bl.log_events(decoded)
+    sets = F.array_join(F.transform("previous_gtids", lambda i: F.concat_ws(":", i["uuid"], F.when(i["lo"] == i["hi"], i["lo"].cast("string")).otherwise(F.concat_ws("-", i["lo"], i["hi"])))), ",")
+    note = F.coalesce("fde.server_version", "rotate.file", sets)
+    plain = F.when(~F.col("type_name").isin("gtid_log", "gtid_tagged_log", "format_description", "previous_gtids_log", "rotate"), F.col("event_size"))
+    k = F.row_number().over(Window.partitionBy("file_seq").orderBy("event_no")).cast("long")
+    return rows.select("file_seq", k.alias("k"), "type_name", "uuid", "tag", "gno", "sequence_number", "last_committed", plain.alias("event_size"), note.alias("note"))
+
+
+@query("a1_raw_log", _RAW)
+def _(spark, d):
+    """Raw files in ranges of 4000 bytes."""
+    folder = shared_path(spark, "raw")
+    write_raw_logs(spark, d, folder)
+    return _raw_rows(raw.read_raw_log(spark, folder, 4000, payloads=False))
+
+
+@query("a1_raw_log_stream", _RAW)
+def _(spark, d):
+    """The same files as a stream."""
+    folder = shared_path(spark, "raw")
+    write_raw_logs(spark, d, folder)
+    out = f"{folder}-out"
+    raw.raw_log_stream(spark, folder, 20_000, payloads=False).writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return _raw_rows(spark.read.schema(EVENTS).parquet(out))
+
+
+@query("f7_f8_raw_faults", "SELECT 'F7' AS rule, name AS file, 'newer server' AS detail FROM log_files WHERE file_seq % 9 = 7 UNION ALL SELECT 'F8', name, 'checksum' FROM log_files WHERE file_seq % 9 = 5")
+def _(spark, d):
+    folder = shared_path(spark, "raw")
+    write_raw_logs(spark, d, folder)
+    return bl.description_faults(raw.read_raw_log(spark, folder, 10_000, payloads=False), 80408).select("rule", "file", "detail")
+
+
+# -- fleets ----------------------------------------------------------------------------------------------------------
+
+@query("a3_fleet_records", "SELECT store, name, size, min_ts, last_sequence_number FROM clock_files")
+def _(spark, d):
+    """Records of three stores that name their files alike, below one folder."""
+    path = shared_path(spark, "files")
+    tb.write_files(_fleet_of_equal_names(spark, d), path, ["store"])
+    back = tb.read_files(spark, path, keys=["store"]).select("store", F.regexp_extract("name", "([0-9]+)$", 1).cast("long").alias("n"), "size", "min_ts", "last_sequence_number")
+    names = _fleet_of_equal_names(spark, d).select("store", F.col("file_seq").alias("n"), F.col("_name").alias("name"))
+    return back.join(names, ["store", "n"]).select("store", "name", "size", "min_ts", "last_sequence_number")
+
+
+def _fleet_of_equal_names(spark, d):
+    number = F.row_number().over(Window.partitionBy("store").orderBy("file_seq")).cast("long")
+    rows = view(spark, d, "clock_files").withColumn("_name", F.col("name")).withColumn("file_seq", number)
+    return rows.withColumn("name", fn.output_name(F.lit("binlog"), F.col("file_seq")))
+
+
+@query("a4_fleet_index", "SELECT store, './binlog.' || lpad(CAST(row_number() OVER (PARTITION BY store ORDER BY file_seq) AS VARCHAR), 6, '0') AS entry, row_number() OVER (PARTITION BY store ORDER BY file_seq) - 1 AS line_no FROM clock_files")
+def _(spark, d):
+    """Written twice: the second snapshot is the one in force."""
+    path, files = shared_path(spark, "index"), _fleet_of_equal_names(spark, d)
+    tb.write_index(files.filter("file_seq < 3"), path, ["store"])
+    tb.write_index(files, path, ["store"])
+    return tb.read_index(spark, path, ["store"]).select("store", "entry", "line_no")
+
+
+@query("c8_resume_gtids_fleet", "SELECT store, uuid, tag, min(gno) AS lo, max(gno) AS hi FROM (SELECT *, gno - row_number() OVER (PARTITION BY store, uuid, tag ORDER BY gno) AS isl FROM (SELECT DISTINCT 's' || (file_seq % 3) AS store, uuid, tag, gno FROM log_events) g) r GROUP BY store, uuid, tag, isl")
+def _(spark, d):
+    added = fl.file_added_gtids(view(spark, d, "log_events")).withColumn("store", F.concat(F.lit("s"), (F.col("file_seq") % 3).cast("string")))
+    return fl.resume_gtids(added, keys=["store"])
+
+
+@query("c6_store_rules_fleet", "SELECT store, 'V0' AS rule, CAST(NULL AS VARCHAR) AS name, 'position' AS detail FROM (SELECT DISTINCT store FROM clock_files) s WHERE store = 's1' UNION ALL SELECT store, 'V1', NULL, 'metadata.json' FROM (SELECT DISTINCT store FROM clock_files) t WHERE store = 's2' UNION ALL SELECT store, 'V2', NULL, 'binlog.index' FROM (SELECT DISTINCT store FROM clock_files) v WHERE store <> 's2' UNION ALL SELECT store, 'V3', name, 'no separator' FROM (SELECT store, replace(name, '.', '-') AS name FROM clock_files WHERE file_seq % 5 = 2) w UNION ALL SELECT DISTINCT store, 'V4', 'binlog.index', '' FROM clock_files WHERE file_seq % 5 = 3")
+def _(spark, d):
+    """Rules V0 to V4 by store: modes, markers and indexes of stores, names that are none, an index that lists itself."""
+    files = view(spark, d, "clock_files").withColumn("added_gtids", F.lit("x:1"))
+    name = F.when(F.col("file_seq") % 5 == 2, F.replace(F.col("name"), F.lit("."), F.lit("-"))).otherwise(F.col("name"))
+    index = files.select("store", F.concat(F.lit("./"), name).alias("entry"), F.col("file_seq").alias("line_no"), name.alias("name"))
+    itself = files.filter("file_seq % 5 = 3").select("store").distinct().select("store", F.lit("./binlog.index").alias("entry"), F.lit(0).cast("long").alias("line_no"), F.lit("binlog.index").alias("name"))
+    stores = files.select("store").distinct().select("store", F.when(F.col("store") == "s1", "position").otherwise("gtid").alias("stored_mode"), (F.col("store") != "s2").alias("marker"), (F.col("store") == "s2").alias("index_found"))
+    audit = st.audit_store(index.unionByName(itself), files, files.select("store", "name", "size"), keys=["store"], stores=stores)
+    return audit.filter("rule in ('V0', 'V1', 'V2', 'V3', 'V4')")
+
+
+@query("r2_resumed_rewrite", f"SELECT txn_no, out_file, CASE WHEN out_file = 1 THEN sn + 700 ELSE sn END AS new_sequence_number FROM (SELECT *, row_number() OVER (PARTITION BY out_file ORDER BY txn_no) AS sn FROM (WITH RECURSIVE t AS (SELECT * FROM {_HEADED} x), walk AS (SELECT i, CAST(1 AS BIGINT) AS out_file, CAST(15000 AS BIGINT) AS at, size FROM t WHERE i = 1 UNION ALL SELECT t.i, CASE WHEN w.at + w.size >= {SIZE} THEN w.out_file + 1 ELSE w.out_file END, CASE WHEN w.at + w.size >= {SIZE} THEN CAST(t.head AS BIGINT) ELSE w.at + w.size END, t.size FROM walk w JOIN t ON t.i = w.i + 1) SELECT t.*, w.out_file FROM t JOIN walk w ON w.i = t.i) p) q")
+def _(spark, d):
+    """A rewrite that goes on in a file of 15000 bytes and 700 transactions; later files have heads of their own."""
+    packed = rw.pack_transactions(rw.file_heads(_txns(spark, d)), SIZE, open_size=15_000)
+    return rw.renumber(packed, 700).select("txn_no", "out_file", "new_sequence_number")

@@ -1,9 +1,9 @@
-"""Packs log files byte by byte, for tests only."""
+"""Packs log files byte by byte: what a source would have written, for tests and for queries that read raw files."""
 
 import struct
 import zlib
 
-from logloom.sources.binlog import MAGIC, known_lengths
+from .binlog import MAGIC, known_lengths
 
 
 def varlen(v: int) -> bytes:
@@ -28,12 +28,18 @@ def packed(v: int) -> bytes:
 
 class Log:
     def __init__(self, crc=True):
-        self.data, self.crc = bytearray(MAGIC), crc
+        self.data, self.crc, self.passed_on = bytearray(MAGIC), crc, 0
+
+    def drain(self) -> bytes:
+        """What was packed since the last call; positions go on."""
+        out, self.passed_on = bytes(self.data), self.passed_on + len(self.data)
+        self.data.clear()
+        return out
 
     def event(self, code, rest, ts=1_700_000_000, flags=0, always=False, break_crc=False):
         footer = 4 if self.crc or always else 0
         size = 19 + len(rest) + footer
-        e = struct.pack("<IBIIIH", ts, code, 1, size, len(self.data) + size, flags) + rest
+        e = struct.pack("<IBIIIH", ts, code, 1, size, self.passed_on + len(self.data) + size & 0xFFFFFFFF, flags) + rest
         self.data += e + (((zlib.crc32(e) ^ break_crc) if self.crc else 0).to_bytes(4, "little") if footer else b"")
         return self
 
@@ -57,3 +63,15 @@ class Log:
 
     def rotate(self, name, position=4, flags=0):
         return self.event(4, position.to_bytes(8, "little") + name.encode(), flags=flags)
+
+
+def pack_transaction(log: Log, uuid: str, tag: str, gno: int, committed: int, number: int, sizes: list[tuple[int, int]], broken: bool = False) -> None:
+    """An id event whose length counts itself, and events of given codes and sizes behind it."""
+    key, rest = bytes.fromhex(uuid.replace("-", "")), sum(n for _, n in sizes)
+    begin = lambda to, length: to.tagged(key, tag.encode(), gno, committed, number, length) if tag else to.gtid(key, gno, committed, number, length)
+    length = rest
+    for _ in range(4):  # the length's own width settles at once or after a step
+        length = rest + len(begin(Log(log.crc), length).data) - len(MAGIC)
+    begin(log, length)
+    for i, (code, n) in enumerate(sizes):
+        log.event(code, bytes(n - 19 - (4 if log.crc else 0)), break_crc=broken and i == len(sizes) - 1)

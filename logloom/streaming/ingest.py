@@ -28,7 +28,7 @@ HELD_BYTES, HELD_ROWS = 8_000_000, 5_000
 
 
 class _Assembler(StatefulProcessor):
-    """Emits the longest prefix of a file that ends at a boundary, in the order of the file, and waits for what is missing.
+    """Emits the longest prefix of a file that ends at a boundary, in the order of the file, and waits for what is missing.  Framing without a position passes at once.
 
     An event follows the one that ends where it begins, so the order is the chain of positions and a hole is a place where no event begins.  State is the place up to which the chain is known,
     the open transaction, and the events that are not emitted yet by their position; they are read again only when they go out.  Events before the known place are repeats and are dropped.
@@ -40,11 +40,12 @@ class _Assembler(StatefulProcessor):
         self.schema, self.names = schema, schema.names
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.place = handle.getValueState("place", "emitted long, seen long, declared long, run long, stopped boolean")
+        self.place = handle.getValueState("place", "emitted long, seen long, far long, declared long, run long, stopped boolean")
         self.waiting = handle.getMapState("waiting", "start long", self.schema)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        emitted, seen, declared, run, stopped = self.place.get() if self.place.exists() else (4, 4, None, 0, False)
+        # ``far``: the farthest event that waits in the state
+        emitted, seen, far, declared, run, stopped = self.place.get() if self.place.exists() else (4, 4, 0, None, 0, False)
         column = {n: i for i, n in enumerate(self.names)}
         size_at, next_at, kind_at, length_at = (column[n] for n in ("event_size", "next_pos", "type_name", "txn_length"))
         fresh, fresh_bytes = {}, 0  # by position; the rest of what waits is in the state
@@ -66,6 +67,13 @@ class _Assembler(StatefulProcessor):
                 return fresh[start]
             return tuple(self.waiting.getValue((start,))) if self.waiting.containsKey((start,)) else None
 
+        def put():
+            nonlocal far, fresh, fresh_bytes
+            for start, row in fresh.items():
+                self.waiting.updateValue((start,), row)
+                far = max(far, start)
+            fresh, fresh_bytes = {}, 0
+
         def flush():
             nonlocal out
             frame = pd.DataFrame([(*r, None, None) for r in out], columns=[*self.names, "fault", "fault_at"], dtype=object)
@@ -84,11 +92,13 @@ class _Assembler(StatefulProcessor):
         for frame in rows:
             for row in frame.astype(object).itertuples(index=False, name=None):
                 row = tuple(None if pd.isna(v) else v for v in row)
-                start = int(row[next_at]) - int(row[size_at])
-                if start < emitted or stopped:
+                if not row[next_at] and row[kind_at] in FRAMING and not stopped:
+                    out.append(row)  # told without a place: it has no order to wait for
                     continue
+                start = int(row[next_at] or 0) - int(row[size_at])
+                if start < seen or stopped or start <= far and self.waiting.containsKey((start,)):
+                    continue  # a repeat
                 fresh[start] = row
-                fresh_bytes += int(row[size_at])
             while not stopped and (row := peek(seen)) is not None:
                 size, kind = int(row[size_at]), row[kind_at]
                 framing, begins = kind in FRAMING, kind in TXN_STARTS
@@ -120,12 +130,9 @@ class _Assembler(StatefulProcessor):
             fresh = {k: v for k, v in fresh.items() if k >= emitted}
             fresh_bytes = sum(int(v[size_at]) for v in fresh.values())
             if fresh_bytes > HELD_BYTES or len(fresh) > HELD_ROWS:
-                for start, row in fresh.items():
-                    self.waiting.updateValue((start,), row)
-                fresh, fresh_bytes = {}, 0
-        for start, row in fresh.items():
-            self.waiting.updateValue((start,), row)
-        self.place.update((emitted, seen, declared, run, stopped))
+                put()
+        put()
+        self.place.update((emitted, seen, far, declared, run, stopped))
         if out:
             yield flush()
 
@@ -180,8 +187,9 @@ class _Connections(StatefulProcessor):
                 file = None
             else:
                 file, position = r.file, max(position, int(r.position))
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
+        if self.idle:
+            for t in list(self.handle.listTimers()):
+                self.handle.deleteTimer(t)
         if file is None:
             self.open.clear()
         else:
@@ -189,7 +197,7 @@ class _Connections(StatefulProcessor):
             if self.idle:
                 self.handle.registerTimer(timer_values.getCurrentProcessingTimeInMs() + self.idle)
 
-    def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self.open.exists():
             file, position = self.open.get()
             self.open.clear()
@@ -201,14 +209,14 @@ class _Connections(StatefulProcessor):
 
 def connection_stream(events: DataFrame, log: str = "log", mode: str = "gtid", idle_seconds: int = 0) -> DataFrame:
     """``log, file, status, position`` for every turn of a log's open file: ``created``, ``reused``, ``switched`` and ``position differs`` at artificial rotates, ``closed`` at a file's end, and ``left open``
-    for a file that was told nothing of for ``idle_seconds`` (0: never).
+    for a file that was told nothing of for ``idle_seconds`` (0: never).  Idle time needs a trigger by interval: while timers may come, a query that only drains its source does not end.
 
     ``events``: ``log, ord, file, type_name, artificial, next_pos, boundary`` and ``position``, that which a rotate tells.  Only rotates, ends and boundaries reach the state.
     """
     rotate = F.col("artificial") & (F.col("type_name") == "rotate")
     kind = F.when(rotate, "rotate").when(is_file_end(F.col("type_name"), F.col("artificial")), "end").when(F.col("boundary"), "grown")
     rows = events.select(F.col(log).cast("string").alias("log"), "ord", "file", kind.alias("kind"), F.coalesce(F.when(rotate, F.col("position")).otherwise(F.col("next_pos")), F.lit(0)).cast("long").alias("position")).filter("kind is not null")
-    return rows.groupBy("log").transformWithStateInPandas(statefulProcessor=_Connections(mode, idle_seconds), outputStructType="log string, file string, status string, position long", outputMode="Append", timeMode="ProcessingTime")
+    return rows.groupBy("log").transformWithStateInPandas(statefulProcessor=_Connections(mode, idle_seconds), outputStructType="log string, file string, status string, position long", outputMode="Append", timeMode="ProcessingTime" if idle_seconds else "None")
 
 
 #: Batches between two snapshots of the live catalogue.

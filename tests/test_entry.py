@@ -21,7 +21,7 @@ def test_every_query_has_sql_but_few():
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
-@pytest.mark.parametrize("name", ["c2_search_by_timestamp", "c3_search_by_gtid_set", "d5_subtract", "g6_build_files", "search_by_gtid_set", "r1_pack_transactions", "r6_frame_files", "f2_grammar", "c6_audit_store", "a3_read_files", "a5_list_store", "a7_write_events", "d10_has_tags", "d14_running_union", "s6_flush_points", "s7_live_files"])
+@pytest.mark.parametrize("name", ["c2_search_by_timestamp", "c3_search_by_gtid_set", "d5_subtract", "g6_build_files", "search_by_gtid_set", "r1_pack_transactions", "r6_frame_files", "f2_grammar", "c6_audit_store", "a3_read_files", "a5_list_store", "a7_write_events", "d10_has_tags", "d14_running_union", "s6_flush_points", "s7_live_files", "validate_framed_log", "s6_checkpoints", "s5_resume_after_ids", "s3_hole_and_faults", "a1_raw_log", "a1_raw_log_stream", "f7_f8_raw_faults", "c4_purge_fleet", "c3e_gtid_faults", "s8_reconnects", "d11_set_before_files", "r2_resumed_rewrite", "c6_store_rules_fleet"])
 def test_against_sql(spark, name):
     con = duckdb.connect()
     for t in ("events", "orders"):
