@@ -357,9 +357,8 @@ def mask_text(text: str, spans: list[tuple[int, int, str]]) -> str:
 
 
 def mask(docs: DataFrame, text_col: str = "text", field: Field | None = None) -> DataFrame:
-    """``docs`` with every span replaced by its kind in brackets; nulls stay null."""
-    found = find(docs, text_col, field)
-    out = found.columns[-1]
+    """``docs`` with every span replaced by its kind in brackets; nulls stay null.  Spans are found and replaced by the same Python worker."""
+    field = field or train(docs, text_col)
     at, names = docs.columns.index(text_col), docs.columns
 
     def run(stream):
@@ -367,13 +366,15 @@ def mask(docs: DataFrame, text_col: str = "text", field: Field | None = None) ->
 
         for batch in slices(stream):
             texts = []
-            for text, pii in zip(batch.column(at).to_pylist(), batch.column(out).to_pylist()):
-                texts.append(text if not text or not pii["spans"] else mask_text(text, [(s["start"], s["end"], s["kind"]) for s in pii["spans"]]))
+            for text in batch.column(at).to_pylist():
+                base = base_spans(text) if text else []
+                spans = base + field.added(text, base) if text else []
+                texts.append(mask_text(text, [(a, b, KINDS[k]) for k, a, b in spans]) if spans else text)
             columns = [pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = T.StructType([T.StructField(f.name, T.StringType()) if i == at else f for i, f in enumerate(docs.schema.fields)])
-    return found.mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
