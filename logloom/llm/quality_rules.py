@@ -139,15 +139,19 @@ def rejected_hosts(docs: DataFrame, host_col: str = "source", text_col: str = "t
 def judge(docs: DataFrame, host_col: str = "source", text_col: str = "text", limit: float | None = None, keep: list[str] | None = None) -> DataFrame:
     """The kept columns of every row of ``docs`` (all by default) and a struct ``verdict``: the measures, ``base_failed``, ``host_failed``, ``kept``.
 
-    Two passes over the texts: one for the hosts, one for the documents.  Null and empty texts have no words and fail; a null host has no
+    Texts are measured once and the measures written, for the hosts and for the documents; only where the texts themselves are kept are they measured twice, so that they are not written.  Null and empty texts have no words and fail; a null host has no
     verdict; repeated rows are judged each; an empty table gives no rows; a column of ``docs`` that is named like the
     struct only lengthens the struct's name (it is the last column).
     """
     wanted = keep or docs.columns
     out, host, rate = (free_name(docs, n) for n in ("verdict", "_host", "host_rate"))
-    bad = rejected_hosts(docs, host_col, text_col, limit).select(F.col("host").alias(host), F.col("host_rate").alias(rate))
-    rows = measured(docs.select(*dict.fromkeys([*wanted, host_col, text_col])), text_col, out)
-    judged = left_join_sized(rows.withColumn(host, F.col(host_col).cast("string")).select(*wanted, host, out), bad, [host])
+    rows = measured(docs.select(*dict.fromkeys([*wanted, host_col, text_col])), text_col, out).withColumn(host, F.col(host_col).cast("string")).select(*wanted, host, out)
+    if text_col in wanted:
+        bad = rejected_hosts(docs, host_col, text_col, limit)
+    else:
+        rows = saved(rows, "measured")
+        bad = saved(bad_hosts(rows, out, host, limit), "rejected")
+    judged = left_join_sized(rows, bad.select(F.col("host").alias(host), F.col("host_rate").alias(rate)), [host])
     m = F.col(out)
     base = RULES["short"](m) | RULES["repeat"](m)
     failed = F.col(rate).isNotNull()
