@@ -112,13 +112,28 @@ def whole_windows(words: Column, raw: Column, sizes: list[int]) -> Column:
 
 
 def benchmark_items(benchmark: DataFrame) -> DataFrame:
-    """``item_id, raw, words, told``: a table of the items' template words and the text behind each; null and empty items are left out."""
+    """``item_id, raw, words, plain``: a table of the items' template words, the text behind each, and all words in lower case; null and empty items are left out."""
     text = F.col("text").cast("string")
-    told = F.size(words_of(text)) >= WINDOW
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), values_of(text).alias("raw"), template_words(text).alias("words"), told.alias("told"))
+    plain = F.transform(words_of(text), lambda w: F.lower(w))
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), values_of(text).alias("raw"), template_words(text).alias("words"), plain.alias("plain"))
     return saved(items.filter(F.size("words") > 0).distinct(), "items")
 
 
+def short_leaks(base: DataFrame, items: DataFrame) -> DataFrame:
+    """Texts with an item of fewer than ``WINDOW`` words: too little for a template, so its words must follow each other, values and all."""
+    short = saved(items.filter(F.size("plain") < WINDOW).select("item_id", F.size("plain").alias("n"), F.array_join("plain", " ").alias("said")), "short-items")
+    sizes = sorted(r[0] for r in short.select("n").distinct().collect())  # of 1 to WINDOW - 1
+    split = base.select("key", F.transform(words_of(F.col("text")), lambda w: F.lower(w)).alias("plain"))
+
+    def runs(n: int) -> Column:
+        places = F.when(F.size("plain") >= n, F.sequence(F.lit(0), F.size("plain") - n)).otherwise(F.array().cast("array<int>"))
+        return F.transform(places, lambda i: F.array_join(F.slice("plain", i + 1, n), " "))
+
+    found = split.select("key", F.explode(F.array_distinct(F.concat(*map(runs, sizes)))).alias("said")).join(sized(short, BROADCAST), "said").distinct()
+    n = F.col("n").cast("long")
+    return found.select("key", "item_id", n.alias("matched"), F.lit(0).cast("long").alias("slots"), n.alias("item_words"))
+
+
 def item_windows(items: DataFrame) -> DataFrame:
     """The windows of all items; ``thin`` ones are met as a whole, as templates of few literal words would match anything."""
     whole = F.array(F.struct(F.lit(0).alias("at"), whole_hash(F.col("words"), F.col("raw")).alias("hash")))
@@ -131,13 +146,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.5, enough
     """``key, item_id, matched, slots, item_words``: one row for each different text (``key``: its md5) and item it holds.
 
     A text holds an item if, at one alignment and the shifts near it, ``share`` of the item's template words or ``enough`` of them
-    match (and at least WINDOW, or all).  Items of fewer than WINDOW words are too short to tell; items of fewer than LITERALS literal words are told by their own values only; null texts hold nothing; repeated rows share their row here.
+    match (and at least WINDOW, or all).  Items of fewer than WINDOW words must be there word for word, whatever their case (no slots); items of fewer than LITERALS
+    literal words are told by their own values only; null texts hold nothing; repeated rows share their row here.
     """
     spark = docs.sparkSession
     items = benchmark_items(benchmark)
     text = F.col(text_col).cast("string")
     base = docs.filter(F.col(text_col).isNotNull()).select(F.md5(text.cast("binary")).alias("key"), text.alias("text"))
-    told = items.filter("told").withColumn("thin", (literals(F.col("words")) < LITERALS) | (F.size("words") < WINDOW))
+    told = items.filter(F.size("plain") >= WINDOW).withColumn("thin", (literals(F.col("words")) < LITERALS) | (F.size("words") < WINDOW))
     sizes = sorted(r[0] for r in told.filter("thin").select(F.size("words")).distinct().collect())
     # columns of their own: the windows read them many times
     split = base.select("key", template_words(F.col("text")).alias("words"), *([values_of(F.col("text")).alias("raw")] if sizes else []))
@@ -149,8 +165,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.5, enough
     aligned = saved(found.select("key", "item_id", (F.col("doc_at") - F.col("item_at")).alias("shift")).distinct(), "alignments")
     keys = saved(aligned.select("key").distinct().withColumn("hit", F.lit(True)), "keys")
     texts = left_join_sized(base, keys, ["key"]).filter("hit").groupBy("key").agg(F.first("text").alias("text"))
-    texts = texts.select("key", values_of(F.col("text")).alias("doc_raw"), template_words(F.col("text")).alias("doc_words"))
-    both = aligned.join(sized(items, BROADCAST), "item_id").join(texts, "key")
+    # the words of each text are found once; an alignment takes along only those that it reads
+    texts = saved(texts.select("key", values_of(F.col("text")).alias("doc_raw"), template_words(F.col("text")).alias("doc_words")), "texts")
+    both = aligned.join(sized(told.select("item_id", "words", "raw"), BROADCAST), "item_id").join(sized(texts), "key")
+    first = F.greatest(F.col("shift") - DRIFT, F.lit(0))
+    read = F.greatest(F.col("shift") + F.size("words") + DRIFT - first, F.lit(0))
+    both = both.select("key", "item_id", (F.col("shift") - first).alias("shift"), "words", "raw", *[F.slice(c, first + 1, read).alias(c) for c in ("doc_words", "doc_raw")])
     # the same text matches whatever its template: a capital is a name inside a sentence and a plain word at its start
     lower = lambda c: F.transform(F.col(c), lambda w: F.lower(w))
     both = both.withColumns({"plain": lower("raw"), "doc_plain": lower("doc_raw")})
@@ -200,7 +220,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.5, enough
     counted = counted.withColumn("matched", F.col("literal") + F.col("slots"))
     good = counted.filter((F.col("matched") >= F.least(F.lit(WINDOW), F.col("item_words"))) & ((F.col("matched") >= F.lit(share) * F.col("item_words")) | (F.col("matched") >= enough)))
     best = good.groupBy("key", "item_id").agg(F.max(F.struct("matched", "slots", "item_words")).alias("b"))
-    return best.select("key", "item_id", F.col("b.matched").alias("matched"), F.col("b.slots").alias("slots"), F.col("b.item_words").alias("item_words"))
+    best = best.select("key", "item_id", F.col("b.matched").alias("matched"), F.col("b.slots").alias("slots"), F.col("b.item_words").alias("item_words"))
+    # texts are searched for short items only if the benchmark has any
+    return best if items.filter(F.size("plain") < WINDOW).isEmpty() else best.unionByName(short_leaks(base, items))
 
 
 def leaked(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
