@@ -84,7 +84,9 @@ def windows(words: Column) -> Column:
     def runs(r: Column) -> Column:
         def one(i: Column) -> Column:
             end = F.greatest(i + WINDOW, r["end"])
-            return F.struct(i.alias("at"), F.when(end <= r["n"], F.xxhash64(F.slice(words, i + 1, end - i))).alias("hash"))
+            # most runs have WINDOW words: these are hashed where they stand, as a slice copies them first (the hash is the same)
+            plain = F.xxhash64(*[F.get(words, i + k) for k in range(WINDOW)])
+            return F.struct(i.alias("at"), F.when(end > r["n"], None).when(r["end"] <= i + WINDOW, plain).otherwise(F.xxhash64(F.slice(words, i + 1, end - i))).alias("hash"))
 
         return F.transform(F.sequence(r["first"], r["last"]), one)
 

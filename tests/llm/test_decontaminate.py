@@ -158,3 +158,16 @@ def test_odd_tables(spark):
     clean = decontaminate.clean(docs, items)
     assert clean.columns == docs.columns and sorted(str(r.doc_id) for r in clean.collect()) == ["2", "None"]
     assert decontaminate.clean(docs, items.limit(0)).count() == 4 and decontaminate.clean(docs.limit(0), items).count() == 0
+
+
+def test_runs_have_the_hash_of_their_words(spark):
+    """Whatever their length, so that runs of items and documents meet."""
+    from pyspark.sql import functions as F
+
+    rows = ["a \1 \2 \3 b c d e \1 f", "\1 \1 \1 a b", "a b c", "", "\1", "a \1 b \1 c \1 d \1 e \1", "a b c d e", "a b c d e f a b c d e"]
+    words = [r.split() for r in rows]
+    df = spark.createDataFrame(list(enumerate(words)), "n int, w array<string>").repartition(2)
+    got = {(r.n, r.f.at): r.f.hash for r in df.select("n", F.explode(decontaminate.windows(F.col("w"))).alias("f")).collect()}
+    runs = [(n, i, w[i:e]) for n, w in enumerate(words) for i in range(len(w)) if (e := run_end(w, i))]
+    want = {(r.n, r.i): r.h for r in spark.createDataFrame(runs, "n int, i int, w array<string>").select("n", "i", F.xxhash64("w").alias("h")).collect()}
+    assert want and {k: h for k, h in got.items() if h is not None} == want
