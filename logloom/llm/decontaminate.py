@@ -71,27 +71,52 @@ def is_slot(word: Column) -> Column:
 
 
 def windows(words: Column) -> Column:
-    """``at`` and hash of the shortest run from each place on with ``WINDOW`` words and ``LITERALS`` literal ones; the hash is null where the text ends before."""
+    """``at`` and hash of the shortest run from each place on with ``WINDOW`` words and ``LITERALS`` literal ones; none where the text ends before."""
+    plain = F.transform(_upto(F.size(words) - WINDOW), lambda i: F.struct(i.alias("at"), F.when(literals(F.slice(words, i + 1, WINDOW)) >= LITERALS, F.xxhash64(F.slice(words, i + 1, WINDOW))).alias("hash")))
+    return F.concat(F.filter(plain, lambda w: w["hash"].isNotNull()), long_windows(words))
+
+
+def _upto(last: Column) -> Column:
+    """0 to ``last``; nothing if that is below 0."""
+    return F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+
+
+def long_windows(words: Column) -> Column:
+    """The runs of ``windows`` that have more than ``WINDOW`` words, as they begin among slots."""
+    slots = F.filter(words, is_slot)
     literal = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: ~is_slot(F.get(words, i)))
+    none = F.array().cast("array<struct<at:int,hash:bigint>>")
 
     def stretches(at: Column) -> Column:
-        """For each literal word the places behind the literal word before it, whose runs end behind the same literal word or later."""
-        return F.transform(
+        """For each literal word the places behind the literal word before it whose runs are long: they end behind the same literal word."""
+        all_of = F.transform(
             F.sequence(F.lit(0), F.size(at) - LITERALS),
-            lambda k: F.struct(F.when(k > 0, F.get(at, k - 1) + 1).otherwise(F.lit(0)).alias("first"), F.get(at, k).alias("last"), (F.get(at, k + LITERALS - 1) + 1).alias("end"), F.size(words).alias("n")),
+            lambda k: F.struct(
+                F.when(k > 0, F.get(at, k - 1) + 1).otherwise(F.lit(0)).alias("first"), F.least(F.get(at, k), F.get(at, k + LITERALS - 1) - WINDOW).alias("last"), (F.get(at, k + LITERALS - 1) + 1).alias("end")
+            ),
         )
+        return F.filter(all_of, lambda r: r["last"] >= r["first"])
 
     def runs(r: Column) -> Column:
-        def one(i: Column) -> Column:
-            end = F.greatest(i + WINDOW, r["end"])
-            # most runs have WINDOW words: these are hashed where they stand, as a slice copies them first (the hash is the same)
-            plain = F.xxhash64(*[F.get(words, i + k) for k in range(WINDOW)])
-            return F.struct(i.alias("at"), F.when(end > r["n"], None).when(r["end"] <= i + WINDOW, plain).otherwise(F.xxhash64(F.slice(words, i + 1, end - i))).alias("hash"))
+        return F.transform(F.sequence(r["first"], r["last"]), lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(words, i + 1, r["end"] - i)).alias("hash")))
 
-        return F.transform(F.sequence(r["first"], r["last"]), one)
+    found = F.get(F.transform(F.array(literal), lambda at: F.when(F.size(at) >= LITERALS, F.flatten(F.transform(stretches(at), runs)))), 0)
+    # a long run begins with WINDOW words of which too many are slots
+    return F.when(F.size(slots) > WINDOW - LITERALS, F.coalesce(found, none)).otherwise(none)
 
-    found = F.transform(F.array(literal), lambda at: F.when(F.size(at) >= LITERALS, F.flatten(F.transform(stretches(at), runs))))
-    return F.coalesce(F.get(found, 0), F.array().cast("array<struct<at:int,hash:bigint>>"))
+
+def text_windows(split: DataFrame, sizes: list[int]) -> DataFrame:
+    """``key, doc_at, hash`` of all runs that may meet an item's, from ``key, words`` (and ``raw`` with ``sizes``, the lengths of thin items).
+
+    Runs of WINDOW words are hashed whatever their words, in generated code, as an item's run of equal hash has its literal words.
+    """
+    more = F.concat(long_windows(F.col("words")), whole_windows(F.col("words"), F.col("raw"), sizes)) if sizes else long_windows(F.col("words"))
+    parts = split.select("key", "words", more.alias("more"))
+    n = F.greatest(F.size("words") - (WINDOW - 1), F.lit(0))
+    placed = parts.select("key", "words", "more", F.explode(_upto(n + F.size("more") - 1)).alias("i"))
+    mine, other = F.col("i") < n, F.get("more", F.col("i") - n)
+    plain = F.xxhash64(*[F.get("words", F.col("i") + k) for k in range(WINDOW)])
+    return placed.select("key", F.when(mine, F.col("i")).otherwise(other["at"]).alias("doc_at"), F.when(mine, plain).otherwise(other["hash"]).alias("hash"))
 
 
 def literals(words: Column) -> Column:
@@ -159,9 +184,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.5, enough
     sizes = sorted(r[0] for r in told.filter("thin").select(F.size("words")).distinct().collect())
     # columns of their own: the windows read them many times
     split = base.select("key", template_words(F.col("text")).alias("words"), *([values_of(F.col("text")).alias("raw")] if sizes else []))
-    split = split.filter(F.size("words") >= min([WINDOW, *sizes]))
-    placed = F.concat(windows(F.col("words")), whole_windows(F.col("words"), F.col("raw"), sizes)) if sizes else windows(F.col("words"))
-    hashed = split.select("key", F.explode(placed).alias("w")).select("key", F.col("w.at").alias("doc_at"), F.col("w.hash").alias("hash"))
+    hashed = text_windows(split, sizes)
     probes = saved(item_windows(told), "item-windows")
     found = hashed.join(sized(probes, BROADCAST), "hash")
     aligned = saved(found.select("key", "item_id", (F.col("doc_at") - F.col("item_at")).alias("shift")).distinct(), "alignments")
