@@ -21,10 +21,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import pieces
-from .common import partitions, saved, slices, table
+from .common import partitions, saved, sized, slices, table
 
 UNIT = 1 << 20
 PERIOD = 256
+#: bytes of the table of buckets (compressed) up to which it is broadcast
+BASE_BYTES = 16 << 20
 
 
 def shares_of(weights: list[float], size: int) -> np.ndarray:
@@ -130,17 +132,23 @@ class Schedule:
 
 
 def _cut_rows(schedule: Schedule, dtype: np.dtype):
+    """For mapInArrow over whole buckets in order: the pieces of each row's ids, with the tokens of the rows before it counted on the way."""
+
     def run(stream):
         import pyarrow as pa
 
         pieces.forget()
         names = ["doc_id", "source", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+        cell, after = None, 0
         for batch in slices(stream):
             docs, sources = batch.column("doc_id").to_pylist(), batch.column("source").to_pylist()
-            queues, begins = batch.column("queue").to_pylist(), batch.column("begins").to_pylist()
+            cells = zip(*(batch.column(c).to_pylist() for c in ("queue", "bucket", "base")))
             doc, source, crc, total, cols = [], [], [], [], []
-            for d, s, q, a, ids in zip(docs, sources, queues, begins, batch.column("ids")):
+            for d, s, (q, bucket, base), ids in zip(docs, sources, cells, batch.column("ids")):
                 ids = np.frombuffer(ids.as_buffer(), dtype).astype("<u4")
+                # a bucket's rows come one after the other: each begins where the one before it ended
+                a = after if cell == (q, bucket) else base
+                cell, after = (q, bucket), a + len(ids)
                 found = np.concatenate(schedule.cut(q, a, a + len(ids)), axis=1)
                 found[:2] -= a
                 data = memoryview(ids.tobytes())
@@ -168,7 +176,9 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, size: int = 4096, tar
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
-    tokens = saved(rows.mapInArrow(pieces.encode_rows(tokenizer, "text", ["doc_id", "source"], end_id), "doc_id long, source string, n_tokens long, ids binary"), "pack-tokens")
+    encoded = rows.mapInArrow(pieces.encode_rows(tokenizer, "text", ["doc_id", "source"], end_id), "doc_id long, source string, n_tokens long, ids binary")
+    # the hash is a column of its own, so that ids are read only where they are cut
+    tokens = saved(encoded.withColumn("hash", F.xxhash64("doc_id", "ids")), "pack-tokens")
     dtype = pieces.id_type(pieces.load(tokenizer).get_vocab_size())
     by_source = tokens.groupBy("source").agg(F.sum("n_tokens").alias("n"))
     total = tokens.agg(F.sum("n_tokens")).first()[0] or 0
@@ -197,13 +207,13 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, size: int = 4096, tar
     schedule = Schedule(counts, weights, size)
     mapped = spark.createDataFrame([(s, s is None, q) for q, s in enumerate(named)], "name string, none boolean, queue int")
     placed = tokens.join(F.broadcast(mapped), F.col("source").eqNullSafe(F.col("name")), "left").withColumn("queue", F.coalesce("queue", F.lit(home)))
-    # a queue's order: buckets by hash, then doc_id; the running total inside a bucket plus the totals of the buckets before it
-    placed = placed.select("doc_id", "source", "queue", "n_tokens", "ids").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "ids"), F.lit(2 * partitions(spark))).cast("int"))
+    # a queue's order: buckets by hash, then doc_id; the running total inside a bucket (counted while it is read) plus the totals of the buckets before it
+    placed = placed.withColumn("bucket", F.pmod("hash", F.lit(2 * partitions(spark))).cast("int"))
     cell = Window.partitionBy("queue").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = placed.groupBy("queue", "bucket").agg(F.sum("n_tokens").alias("n")).select("queue", "bucket", F.coalesce(F.sum("n").over(cell), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("queue", "bucket").orderBy("doc_id", "ids").rowsBetween(Window.unboundedPreceding, -1)
-    ordered = placed.withColumn("before", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
-    ready = ordered.join(base, ["queue", "bucket"]).select("doc_id", "source", "queue", (F.col("base") + F.col("before")).alias("begins"), "ids")
+    base = saved(base, "pack-base")
+    whole = placed.join(sized(base, BASE_BYTES), ["queue", "bucket"]).select("doc_id", "source", "queue", "bucket", "base", "ids")
+    ready = whole.repartition("queue", "bucket").sortWithinPartitions("queue", "bucket", "doc_id", "ids")
     return ready.mapInArrow(_cut_rows(schedule, dtype), out)
 
 

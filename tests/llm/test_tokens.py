@@ -135,3 +135,19 @@ def test_empty_tables(spark):
     assert token_binary.encode_documents(empty, BYTE).count() == 0
     assert token_counts.count_tokens(empty, BYTE).count() == 0
     assert packing.pack(empty, WORD).count() == 0
+
+
+def test_packing_of_equal_rows(spark):
+    """Equal rows are documents of their own: they lie one behind the other without a gap, whatever the number of partitions."""
+    rows = [(None, "the same words again", "s")] * 300 + [(5, None, None)] * 40 + [(i, f"number {i}", "t") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    seen = []
+    for n in (1, 7):
+        found = packing.pack(df.repartition(n), WORD, size=32).collect()
+        seen.append(sorted((r.sequence_id, r.offset, r.length, str(r.doc_id), r.start, r.ids_crc32, r.doc_tokens) for r in found))
+        at = 0
+        for window, offset, length, *_ in seen[-1]:
+            assert (window, offset) == divmod(at, 32)
+            at += length
+        assert at == sum(r.doc_tokens for r in found if r.start == 0)
+    assert seen[0] == seen[1]
