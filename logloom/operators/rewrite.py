@@ -180,12 +180,14 @@ def frame_files(packed: DataFrame, fde_size: int = 122, base: str = "binlog", ke
 def tagged_size(fixed: Column, seq: Column, committed: Column, rest: Column) -> tuple[Column, Column]:
     """Size of a tagged id event and its transaction's length: each field's width depends on its value and the length on the event's own size.
 
-    ``fixed``: bytes that do not change; ``rest``: bytes of the transaction's other events.  Three rounds reach the fixed point.
+    ``fixed``: bytes that do not change; ``rest``: bytes of the transaction's other events.  The length's width is the least that holds itself: one choice of nine, as a size
+    put into the next one's expression would make it grow ninefold with each round.
     """
     own = fixed + varlen_size(2 * seq) + varlen_size(2 * committed)  # both are signed: a sign bit comes with them
-    event = own + 1
-    for _ in range(3):
-        event = own + varlen_size(event + rest)
+    width = F.lit(9)
+    for n in range(8, 0, -1):
+        width = F.when(own + rest < F.lit((1 << (7 * n)) - n), n).otherwise(width)
+    event = own + width
     return event, event + rest
 
 

@@ -205,3 +205,34 @@ def test_flush_points_equal_a_walk(spark):
                 want.append((f, i))
                 held = 0
     assert sorted((r.file_seq, r.txn_no) for r in rw.flush_points(df, 1024).collect()) == want
+
+
+def test_tagged_size_is_one_choice(spark):
+    """The least width that holds itself, near all its limits, by an expression that does not grow with rounds."""
+    from pyspark.sql import functions as F
+
+    from logloom.functions.scalars import varlen_size
+    from logloom.operators import rewrite as rw
+
+    width = lambda v: next((n for n in range(1, 9) if v < 1 << (7 * n)), 9)
+    rows = [(1, 0, r) for n in range(1, 9) for r in range((1 << (7 * n)) - 75, (1 << (7 * n)) - 60)] + [(s, s - 1, 40) for s in (63, 64, 8191, 8192)]
+    event, length = rw.tagged_size(F.lit(60), F.col("s"), F.col("c"), F.col("r"))
+    got = spark.createDataFrame(rows, "s long, c long, r long").select("s", "c", "r", event.alias("e"), length.alias("l")).collect()
+    for r in got:
+        own = 60 + width(2 * r.s) + width(2 * r.c)
+        want = own + next(n for n in range(1, 10) if width(own + n + r.r) == n)
+        assert (r.e, r.l) == (want, want + r.r)
+    assert len(str(event._jc)) < 50 * len(str(varlen_size(F.col("s"))._jc))
+
+
+def test_sizes_of_large_numbers(spark, tmp_path):
+    """x8_sizes gives what its SQL gives where numbers pass 2^42."""
+    duckdb = pytest.importorskip("duckdb")
+    import __spark_entry__
+
+    ids = [0, 1, 2, 600, 30_000, 344_778, 344_779, 6_000_000, 36_000_000]
+    spark.createDataFrame([(i,) for i in ids], "event_id long").write.parquet(f"{tmp_path}/events.parquet")
+    got = sorted(map(tuple, __spark_entry__.queries()["x8_sizes"](spark, str(tmp_path)).collect()))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert got == sorted(con.execute(__spark_entry__.oracle_sql()["x8_sizes"]).fetchall())
