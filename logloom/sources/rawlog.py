@@ -9,6 +9,7 @@ event is lost or read twice between ranges.  ``event_no`` is the place of an eve
 
 from __future__ import annotations
 
+import itertools
 import re
 import zlib
 from dataclasses import dataclass
@@ -59,9 +60,9 @@ class RangedLog:
     def read(self, at: int, n: int) -> bytes:
         return self.file.read_at(max(0, min(n, self.end - at)), at)
 
-    def _header(self, at: int) -> int | None:
-        """Where the event that begins here ends, if a header lies here."""
-        h = self.read(at, HEADER_SIZE)
+    def _header(self, at: int, h: bytes | None = None) -> int | None:
+        """Where the event that begins here ends, if a header lies here (``h``: the bytes, if they are read already)."""
+        h = self.read(at, HEADER_SIZE) if h is None else h
         if len(h) < HEADER_SIZE or h[4] not in EVENT_TYPES:
             return None
         size = int.from_bytes(h[9:13], "little")
@@ -137,9 +138,14 @@ class RangedLog:
             if at < self.end or known >= self.end - span:
                 break
             span *= 8  # a longer event, or none yet
-        while (end := self._header(at)) is not None:
+        held, base = b"", at
+        while True:
+            if at - base + HEADER_SIZE > len(held):
+                held, base = self.read(at, WINDOW), at
+            end = self._header(at, held[at - base : at - base + HEADER_SIZE])
+            if end is None:
+                return at
             at = end
-        return at
 
 
 @dataclass
@@ -158,32 +164,59 @@ def ranges(path: str, name: str, begin: int, end: int, size: int, split: int, kn
     return [Range(path, name, a, b, size, known and a == begin, b == end) for a, b in zip(cuts[:-1], cuts[1:])]
 
 
+#: Up to so many ranges are a task each; more are dealt to ``TASKS`` tasks, or to more of so many bytes, where opening a file counts as some.
+MOST_TASKS, TASKS, TASK_BYTES, OPEN_BYTES = 2048, 256, 32 << 20, 64 << 10
+
+
+@dataclass
+class Ranges(InputPartition):
+    """Ranges that one task reads one after the other."""
+
+    parts: list[Range]
+
+
+def packed(parts: list[Range], most: int = MOST_TASKS, tasks: int = TASKS) -> list[Ranges]:
+    """Ranges in order, dealt to tasks: one each, or, where there are more than ``most``, to about ``tasks`` or what their bytes want, whatever the number of files."""
+    cost = [p.end - p.begin + (OPEN_BYTES if i == 0 or parts[i - 1].path != p.path else 0) for i, p in enumerate(parts)]
+    share = min(TASK_BYTES, sum(cost) / tasks) if len(parts) > most else 0
+    out, held = [], share
+    for part, n in zip(parts, cost):
+        if held >= share:
+            out.append(Ranges([]))
+            held = 0
+        out[-1].parts.append(part)
+        held += n
+    return out
+
+
 class _Read:
     def __init__(self, options: dict):
         self.folder, self.payloads = options["path"], options.get("payloads", "true").lower() == "true"
         self.split = int(options.get("split_bytes", 128 << 20))
 
-    def read(self, part: Range):
+    def read(self, partition: Ranges):
         import pyarrow as pa
         from pyspark.sql.pandas.types import to_arrow_schema
 
         schema = to_arrow_schema(EVENTS)
         filesystem, _ = _folder(self.folder)
-        with filesystem.open_input_file(part.path) as file:
-            rows, held = [], 0
-            for row in RangedLog(file, part.name, part.size, self.payloads).rows(part.begin, part.end, part.known, part.last):
-                rows.append(row)
-                held += row["event_size"]
-                if len(rows) >= 5000 or held > 16_000_000:
-                    yield pa.RecordBatch.from_pylist(rows, schema=schema)
-                    rows, held = [], 0
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+        rows, held = [], 0
+        for path, parts in itertools.groupby(partition.parts, lambda p: p.path):
+            with filesystem.open_input_file(path) as file:
+                for part in parts:
+                    for row in RangedLog(file, part.name, part.size, self.payloads).rows(part.begin, part.end, part.known, part.last):
+                        rows.append(row)
+                        held += row["event_size"]
+                        if len(rows) >= 5000 or held > 16_000_000:
+                            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                            rows, held = [], 0
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
 
 class _BatchReader(_Read, DataSourceReader):
     def partitions(self):
-        return [r for name, path, size in log_files(self.folder) for r in ranges(path, name, 4, max(size, 5), size, self.split, True)]
+        return packed([r for name, path, size in log_files(self.folder) for r in ranges(path, name, 4, max(size, 5), size, self.split, True)])
 
 
 class _StreamReader(_Read, DataSourceStreamReader):
@@ -207,7 +240,7 @@ class _StreamReader(_Read, DataSourceStreamReader):
 
     def partitions(self, start: dict, end: dict):
         paths = {name: path for name, path, _ in log_files(self.folder)}
-        return [r for name, stop in sorted(end.items()) if stop > start.get(name, 4) for r in ranges(paths[name], name, start.get(name, 4), stop, stop, self.split, True)]
+        return packed([r for name, stop in sorted(end.items()) if stop > start.get(name, 4) for r in ranges(paths[name], name, start.get(name, 4), stop, stop, self.split, True)])
 
     def commit(self, end: dict) -> None:
         pass

@@ -85,3 +85,20 @@ def test_growing_files_and_a_restart_within_a_transaction(spark, tmp_path):
     whole = bl.log_events(bl.read_binlog(spark, str(source)))
     assert sorted(map(tuple, stored.select("start_pos", "type_name", "gno").collect()), key=repr) == sorted(map(tuple, whole.select("start_pos", "type_name", "gno").collect()), key=repr)
     assert sq.validate_log(whole).count() == 0
+
+
+def test_many_short_ranges_share_tasks(spark, tmp_path):
+    """The number of tasks does not follow the number of files and ranges; every event is read once."""
+    parts = [r for f in range(3000) for r in raw.ranges(f"/b.{f:06d}", f"b.{f:06d}", 4, 20_000, 20_000, 4000, True)]
+    assert len(parts) == 15_000 and len(raw.packed(parts)) <= 2 * raw.TASKS
+    assert [r for task in raw.packed(parts) for r in task.parts] == parts
+    large = raw.ranges("/b.000001", "b.000001", 4, 1 << 40, 1 << 40, 128 << 20, True)
+    assert len(raw.packed(large)) == len(large)
+    for i in range(5):
+        (tmp_path / f"b.{i + 1:06d}").write_bytes(a_log(20, seed=i).data)
+    whole = bl.read_binlog(spark, str(tmp_path)).select("file", "start_pos", "event_size").orderBy("file", "start_pos").collect()
+    reader = raw._BatchReader({"path": str(tmp_path), "split_bytes": "700"})
+    tasks = raw.packed([r for task in reader.partitions() for r in task.parts], 4, 4)
+    assert len(tasks) <= 8
+    rows = [(r["file"], r["start_pos"], r["event_size"]) for task in tasks for batch in reader.read(task) for r in batch.to_pylist()]
+    assert sorted(rows) == [tuple(r) for r in whole]
