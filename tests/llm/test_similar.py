@@ -218,3 +218,22 @@ def test_decontamination_is_native(spark):
     docs = spark.createDataFrame([(1, ITEM)], "doc_id long, text string")
     plan = decontaminate.leaked(docs, spark.createDataFrame([(1, ITEM)], "item_id long, text string"))._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def test_star_stands_around_the_middle_of_its_copies(spark):
+    """Copies that all link with one text, but not with each other, join its star, so that no pairs of theirs are left over."""
+    g = random.Random(5)
+    base = [f"w{i}" for i in range(104)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 61):
+        w = list(base)
+        w[g.randrange(5, 48)] = w[g.randrange(55, 98)] = f"x{i}"  # 10 of 100 shingles: 90 of 110 in common with the text, and 80 to 90 of 120 with a copy
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = jaccard_join.summarise(docs, "doc_id", "text", 5, 80)
+    nodes = sets.withColumnRenamed("row", "node")
+    texts = lambda wanted: jaccard_join.texts_of(docs, "doc_id", "text", nodes, wanted)
+    starred, _, labels = jaccard_join.make_stars(nodes, texts, 80, 5, 3)
+    assert starred.count() >= 55
+    left = jaccard_join.candidates(nodes.select("node", "n", "prefix"), starred, labels, 80)
+    assert left.count() <= 20
