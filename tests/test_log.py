@@ -236,3 +236,19 @@ def test_sizes_of_large_numbers(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
     assert got == sorted(con.execute(__spark_entry__.oracle_sql()["x8_sizes"]).fetchall())
+
+
+def _writers(folder, of):
+    """The tasks that wrote files below a folder."""
+    import pathlib
+
+    return {p.name.split("-")[1] for p in pathlib.Path(folder).glob(f"{of}=*/part-*")}
+
+
+def test_records_are_written_side_by_side(spark, tmp_path):
+    from logloom.sources import tables as tb
+
+    files = spark.range(40).coalesce(1).selectExpr("concat('f', id) AS name", "id AS size", "timestamp'2024-01-01' AS min_ts", "timestamp'2024-01-02' AS max_ts", "id AS last_sequence_number")
+    tb.write_files(files, f"{tmp_path}/files")
+    assert len(_writers(f"{tmp_path}/files", "name")) > 1
+    assert sorted(r.size for r in tb.read_files(spark, f"{tmp_path}/files").collect()) == list(range(40))
