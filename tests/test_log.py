@@ -252,3 +252,16 @@ def test_records_are_written_side_by_side(spark, tmp_path):
     tb.write_files(files, f"{tmp_path}/files")
     assert len(_writers(f"{tmp_path}/files", "name")) > 1
     assert sorted(r.size for r in tb.read_files(spark, f"{tmp_path}/files").collect()) == list(range(40))
+
+
+def test_objects_are_written_side_by_side(spark):
+    import pathlib
+
+    from logloom.plans import catalog
+
+    root = pathlib.Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    before = set(root.glob("objects-*"))
+    found = catalog.queries()["a5_list_store"](spark, "/root/testdata/sf0.01").collect()
+    assert sum(r.objects for r in found) == 20
+    (made,) = set(root.glob("objects-*")) - before
+    assert len(_writers(made, "object")) > 1
