@@ -151,3 +151,12 @@ def test_packing_of_equal_rows(spark):
             at += length
         assert at == sum(r.doc_tokens for r in found if r.start == 0)
     assert seen[0] == seen[1]
+
+
+def test_memory_for_pieces_is_as_asked_for():
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert pieces.PieceEncoder.of(path, 7).inside.most == 7
+    assert pieces.PieceEncoder.of(path).inside.most == 500_000
+    pieces.forget()
