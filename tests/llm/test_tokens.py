@@ -160,3 +160,9 @@ def test_memory_for_pieces_is_as_asked_for():
     assert pieces.PieceEncoder.of(path, 7).inside.most == 7
     assert pieces.PieceEncoder.of(path).inside.most == 500_000
     pieces.forget()
+
+
+def test_packing_remembers_rare_pieces(spark, docs, monkeypatch):
+    asked, encode = [], pieces.encode_rows
+    monkeypatch.setattr(pieces, "encode_rows", lambda path, text, keep, end, most=0: asked.append(most) or encode(path, text, keep, end, most))
+    assert packing.pack(docs[1], WORD, size=64).count() and asked == [1_000_000]
