@@ -237,3 +237,15 @@ def test_star_stands_around_the_middle_of_its_copies(spark):
     assert starred.count() >= 55
     left = jaccard_join.candidates(nodes.select("node", "n", "prefix"), starred, labels, 80)
     assert left.count() <= 20
+
+
+def test_pairs_with_stars_come_before_pairs_of_single_sets(spark):
+    """Once the pairs with a star are decided, single sets that joined its component are not paired with each other."""
+    shared = b"".join((i << 30).to_bytes(8, "little") for i in range(1, 22))
+    prefixes = spark.createDataFrame([(i, 100, bytearray(shared)) for i in range(10)], "node long, n long, prefix binary")
+    starred = spark.createDataFrame([(1, 0, 100, 2, bytearray(b""))], "node long, star long, n long, d long, diff binary")
+    labels = lambda nodes: spark.createDataFrame([(i, 0) for i in nodes], "node long, label long")
+    first = jaccard_join.candidates(prefixes, starred, labels([0]), 80, "stars").collect()
+    assert sorted((r.a, r.b) for r in first) == [(0, i) for i in range(2, 10)]
+    left = jaccard_join.candidates(prefixes, starred, labels([0, *range(2, 8)]), 80, "singles").collect()
+    assert sorted((min(r.a, r.b), max(r.a, r.b)) for r in left) == [(i, j) for i in range(2, 9) for j in (8, 9) if i < j]
