@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import pandas as pd
@@ -23,15 +24,27 @@ def read_event_stream(spark: SparkSession, path: str, schema: StructType, max_fi
     return reader.parquet(path)
 
 
-#: Bytes of events (by their own size) and rows that the assembler holds or passes on at a time.
+#: Bytes of events (by their own size) and rows that the assembler holds or passes on at a time; a block of the file is the least it holds.
 HELD_BYTES, HELD_ROWS = 8_000_000, 5_000
+#: Positions of a file whose waiting events are one entry of the state.
+BLOCK = 1 << 16
+
+
+def _tuples(frame: pd.DataFrame) -> Iterator[tuple]:
+    """The rows of a frame, with None for what is missing."""
+    columns = []
+    for name in frame.columns:
+        values = frame[name].tolist()
+        columns.append([None if none else v for v, none in zip(values, frame[name].isna().tolist())] if frame[name].isna().any() else values)
+    return zip(*columns)
 
 
 class _Assembler(StatefulProcessor):
     """Emits the longest prefix of a file that ends at a boundary, in the order of the file, and waits for what is missing.  Framing without a position passes at once.
 
     An event follows the one that ends where it begins, so the order is the chain of positions and a hole is a place where no event begins.  State is the place up to which the chain is known,
-    the open transaction, and the events that are not emitted yet by their position; they are read again only when they go out.  Events before the known place are repeats and are dropped.
+    the open transaction, and the events that are not emitted yet, by blocks of ``BLOCK`` positions: a call to the state costs far more than an event, so a block is read and written whole.
+    Events before the known place are repeats and are dropped.
 
     A transaction that passes its length, that is cut off by the next one or by the file's end, or an event outside any, is a fault: it is told as a row and the file stops there.
     """
@@ -41,42 +54,57 @@ class _Assembler(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.place = handle.getValueState("place", "emitted long, seen long, far long, declared long, run long, stopped boolean")
-        self.waiting = handle.getMapState("waiting", "start long", self.schema)
+        self.waiting = handle.getMapState("waiting", "block long", "events binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         # ``far``: the farthest event that waits in the state
         emitted, seen, far, declared, run, stopped = self.place.get() if self.place.exists() else (4, 4, 0, None, 0, False)
         column = {n: i for i, n in enumerate(self.names)}
         size_at, next_at, kind_at, length_at = (column[n] for n in ("event_size", "next_pos", "type_name", "txn_length"))
-        fresh, fresh_bytes = {}, 0  # by position; the rest of what waits is in the state
+        held, stored, changed = {}, set(), set()  # blocks at hand, each with its events by position; those that the state has; those that differ from it
+        held_rows = held_bytes = 0
         out = []
 
+        def block(start: int) -> dict:
+            """The waiting events around a place.  Where too much is held, all other blocks go back first."""
+            nonlocal held_rows, held_bytes
+            n = start // BLOCK
+            if n not in held:
+                if held_rows > HELD_ROWS or held_bytes > HELD_BYTES:
+                    put()
+                held[n] = {}
+                if emitted <= far and n <= far // BLOCK and self.waiting.containsKey((n,)):
+                    held[n] = pickle.loads(self.waiting.getValue((n,))[0])
+                    stored.add(n)
+                    held_rows += len(held[n])
+                    held_bytes += sum(int(r[size_at]) for r in held[n].values())
+            return held[n]
+
         def take(start: int):
             """The waiting event that begins at a place, which goes."""
-            if start in fresh:
-                return fresh.pop(start)
-            k = (start,)
-            if self.waiting.containsKey(k):
-                row = tuple(self.waiting.getValue(k))
-                self.waiting.removeKey(k)
-                return row
-            return None
-
-        def peek(start: int):
-            if start in fresh:
-                return fresh[start]
-            return tuple(self.waiting.getValue((start,))) if self.waiting.containsKey((start,)) else None
+            nonlocal held_rows, held_bytes
+            row = block(start).pop(start)
+            changed.add(start // BLOCK)
+            held_rows -= 1
+            held_bytes -= int(row[size_at])
+            return row
 
         def put():
-            nonlocal far, fresh, fresh_bytes
-            for start, row in fresh.items():
-                self.waiting.updateValue((start,), row)
-                far = max(far, start)
-            fresh, fresh_bytes = {}, 0
+            nonlocal far, held_rows, held_bytes
+            for n in changed:
+                if held[n]:
+                    self.waiting.updateValue((n,), (pickle.dumps(held[n], 5),))
+                    far = max(far, *held[n])
+                elif n in stored:
+                    self.waiting.removeKey((n,))
+            for of in (held, stored, changed):
+                of.clear()
+            held_rows = held_bytes = 0
 
         def flush():
             nonlocal out
-            frame = pd.DataFrame([(*r, None, None) for r in out], columns=[*self.names, "fault", "fault_at"], dtype=object)
+            columns = dict(zip(self.names, map(list, zip(*out))))
+            frame = pd.DataFrame(columns | {"fault": None, "fault_at": None}, dtype=object)
             out = []
             return frame
 
@@ -90,16 +118,21 @@ class _Assembler(StatefulProcessor):
             return pd.DataFrame([(*blank, what, str(seen))], columns=[*self.names, "fault", "fault_at"], dtype=object)
 
         for frame in rows:
-            for row in frame.astype(object).itertuples(index=False, name=None):
-                row = tuple(None if pd.isna(v) else v for v in row)
+            fresh = []
+            for row in _tuples(frame):
                 if not row[next_at] and row[kind_at] in FRAMING and not stopped:
                     out.append(row)  # told without a place: it has no order to wait for
                     continue
-                start = int(row[next_at] or 0) - int(row[size_at])
-                if start < seen or stopped or start <= far and self.waiting.containsKey((start,)):
+                fresh.append((int(row[next_at] or 0) - int(row[size_at]), row))
+            fresh.sort(key=lambda r: r[0])  # each block once
+            for start, row in fresh:
+                if start < seen or stopped or start in block(start):
                     continue  # a repeat
-                fresh[start] = row
-            while not stopped and (row := peek(seen)) is not None:
+                block(start)[start] = row
+                changed.add(start // BLOCK)
+                held_rows += 1
+                held_bytes += int(row[size_at])
+            while not stopped and (row := block(seen).get(seen)) is not None:
                 size, kind = int(row[size_at]), row[kind_at]
                 framing, begins = kind in FRAMING, kind in TXN_STARTS
                 whole = framing
@@ -127,10 +160,6 @@ class _Assembler(StatefulProcessor):
                         out.append(ready)
                         if len(out) >= HELD_ROWS:
                             yield flush()
-            fresh = {k: v for k, v in fresh.items() if k >= emitted}
-            fresh_bytes = sum(int(v[size_at]) for v in fresh.values())
-            if fresh_bytes > HELD_BYTES or len(fresh) > HELD_ROWS:
-                put()
         put()
         self.place.update((emitted, seen, far, declared, run, stopped))
         if out:
