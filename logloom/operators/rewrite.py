@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalars import output_name, varlen_size
 from ..session import cut, cut_counted
@@ -208,6 +209,73 @@ def flush_points(txns: DataFrame, size: int, keys: list[str] | None = None) -> D
     return hit.unionByName(ends.filter("_after is null").select(*hit.columns)).select(*group, "txn_no", "size")
 
 
+def _flushes(group: list[str], size: int | None, micros: int | None):
+    """Rows sorted by file and number: those that flush, with the file's size after it and the cause."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        at, types, out = None, None, []
+        total = ready = held = since = steady = last = None  # of the file at hand
+
+        def close():
+            if at is not None and ready > held:
+                out.append((*at, last, MAGIC + ready, "close"))
+
+        def drain():
+            columns = list(zip(*out)) or [()] * len(types)
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], [*group, "event_no", "position", "cause"])
+
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            types = types or [*[batch.schema.field(c).type for c in (*group, "event_no")], pa.int64(), pa.string()]
+            names = [batch.column(c) for c in group]
+            turns = np.zeros(n - 1, bool)
+            for c in names:
+                turns |= pc.fill_null(pc.not_equal(c.slice(1), c.slice(0, n - 1)), True).to_numpy(zero_copy_only=False)
+            bounds = [0, *(np.flatnonzero(turns) + 1).tolist(), n]
+            sizes, ends = batch.column("event_size").to_numpy(), batch.column("boundary").to_numpy(zero_copy_only=False)
+            times, numbers = batch.column("time"), batch.column("event_no")
+            dated, times = pc.is_valid(times).to_numpy(zero_copy_only=False), pc.fill_null(times, 0).to_numpy()
+            for a, b in zip(bounds, bounds[1:]):
+                key = tuple(c[a].as_py() for c in names)
+                if key != at:
+                    close()
+                    at, total, ready, held, since, steady = key, 0, 0, 0, None, None
+                sums = total + np.cumsum(sizes[a:b])
+                whole = np.maximum(np.maximum.accumulate(np.where(ends[a:b], sums, 0)), ready)
+                least = np.iinfo(np.int64).min if steady is None else steady
+                clock = np.maximum(np.maximum.accumulate(np.where(dated[a:b], times[a:b], np.iinfo(np.int64).min)), least)
+                total, steady = int(sums[-1]), None if clock[-1] == np.iinfo(np.int64).min else int(clock[-1])
+                clock = np.where(clock == np.iinfo(np.int64).min, 0, clock)  # no time so far
+                since, i = int(clock[0]) if since is None else since, 0
+                while i < b - a:
+                    full = late = b - a
+                    if size is not None:
+                        full = int(np.searchsorted(whole, held + max(size, 1)))
+                    if micros is not None:
+                        late = max(int(np.searchsorted(whole, held, "right")), int(np.searchsorted(clock, since + micros)))
+                    i = max(i, min(full, late))
+                    if i < b - a:
+                        cause = "size" if size is not None and i >= full else "interval"
+                        held, since = int(whole[i]), int(clock[i])
+                        out.append((*at, numbers[a + i].as_py(), MAGIC + held, cause))
+                        i += 1
+                ready, last = int(whole[-1]), numbers[b - 1].as_py()
+            if len(out) >= 10_000:
+                yield drain()
+        if types:
+            close()
+            yield drain()
+
+    return run
+
+
 def checkpoints(events: DataFrame, size: int | None = None, interval: int | None = None, keys: list[str] | None = None) -> DataFrame:
     """When completed data of each file is flushed, by size or by elapsed time: ``keys, file_seq, event_no, position, cause``.
 
@@ -215,35 +283,12 @@ def checkpoints(events: DataFrame, size: int | None = None, interval: int | None
     boundary.  An event flushes if something is ready and either ``size`` bytes of it have come since the last flush or ``interval`` seconds have gone by; a file's last event flushes what is
     left.  ``position`` is the file's size after the flush.
 
-    What follows a flush depends on its event alone, so the next flush of every event is looked up at once (three thresholds over sorted columns) and the chains from the files' beginnings
-    are followed by doubled jumps.
+    A file's events pass in order, batch by batch, and only the figures of its last flush are kept between batches.  Both sums and times never fall, so the next flush is looked up in sorted columns.
     """
     if size is None and interval is None:
         raise ValueError("a size or an interval")
     group = [*(keys or []), "file_seq"]
-    w = Window.partitionBy(*group).orderBy("event_no")
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    steady = F.max(F.unix_micros("arrived")).over(upto)
-    own = events.select(*group, "event_no", F.row_number().over(w).cast("long").alias("before"), F.sum("event_size").over(upto).alias("_all"), "boundary", F.coalesce(steady, F.lit(0)).alias("time"))
-    own = own.withColumn("ready", F.coalesce(F.max(F.when(F.col("boundary"), F.col("_all"))).over(upto), F.lit(0)).cast("long")).drop("_all", "boundary")
-    opened = own.groupBy(*group).agg(F.min("time").alias("time")).select(*group, F.lit(None).cast("long").alias("event_no"), F.lit(0).cast("long").alias("before"), "time", F.lit(0).cast("long").alias("ready"))
-    rows = cut(own.unionByName(opened), "ready")
-    point = lambda axis: rows.filter("before > 0").select(*group, F.lit(axis).alias("axis"), F.col(axis).alias("v"), F.lit("point").alias("kind"), "before")
-    wanted = lambda axis, kind, v: rows.select(*group, F.lit(axis).alias("axis"), v.alias("v"), F.lit(kind).alias("kind"), "before")
-    marks = point("ready").unionByName(point("time")).unionByName(wanted("ready", "more", F.col("ready") + 1))
-    marks = marks.unionByName(wanted("ready", "full", F.col("ready") + (size or 0)).filter(F.lit(size is not None))).unionByName(wanted("time", "late", F.col("time") + (interval or 0) * 1_000_000).filter(F.lit(interval is not None)))
-    later = Window.partitionBy(*group, "axis").orderBy("v", F.col("kind") == "point").rowsBetween(1, Window.unboundedFollowing)
-    hits = marks.withColumn("hit", F.min(F.when(F.col("kind") == "point", F.col("before"))).over(later)).filter("kind <> 'point'")
-    of = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("hit")))
-    found = hits.groupBy(*group, "before").agg(of("more").alias("more"), of("full").alias("full"), of("late").alias("late"))
-    # events must come after this one, and time alone flushes nothing
-    full = F.when(F.col("full") > F.col("before"), F.col("full"))
-    late = F.when(F.col("more").isNotNull() & F.col("late").isNotNull(), F.greatest("more", "late", F.col("before") + 1))
-    jump = cut(found.select(*group, "before", F.least(full, late).alias("next"), F.coalesce(full <= F.coalesce(late, full), F.lit(False)).alias("by_size")), "jump")
-    reached = _reached(rows.filter("before = 0").select(*group, "before"), jump.select(*group, "before", "next"), group)
-    causes = jump.join(reached, [*group, "before"]).filter("next is not null").select(*group, F.col("next").alias("before"), F.when(F.col("by_size"), "size").otherwise("interval").alias("cause"))
-    ends = rows.groupBy(*group).agg(F.max(F.struct("before", "ready")).alias("_e"))
-    done = causes.join(rows.select(*group, "before", "ready"), [*group, "before"]).groupBy(*group).agg(F.max("ready").alias("_done"))
-    closed = ends.join(done, group, "left").filter(F.col("_e.ready") > F.coalesce("_done", F.lit(0))).select(*group, F.col("_e.before").alias("before"), F.lit("close").alias("cause"))
-    flushed = causes.unionByName(closed).join(rows, [*group, "before"])
-    return flushed.select(*group, "event_no", (F.lit(MAGIC) + F.col("ready")).alias("position"), "cause")
+    known = F.coalesce("boundary", F.lit(False)).alias("boundary")
+    rows = events.select(*group, "event_no", F.coalesce("event_size", F.lit(0)).cast("long").alias("event_size"), known, F.unix_micros("arrived").alias("time"))
+    schema = T.StructType([*[rows.schema[c] for c in (*group, "event_no")], T.StructField("position", T.LongType()), T.StructField("cause", T.StringType())])
+    return rows.repartition(*group).sortWithinPartitions(*group, "event_no").mapInArrow(_flushes(group, size, None if interval is None else interval * 1_000_000), schema)

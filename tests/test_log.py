@@ -265,3 +265,29 @@ def test_objects_are_written_side_by_side(spark):
     assert sum(r.objects for r in found) == 20
     (made,) = set(root.glob("objects-*")) - before
     assert len(_writers(made, "object")) > 1
+
+
+def test_checkpoints_in_one_ordered_pass(spark):
+    """Files that span batches, by size and time, against a walk event by event; one exchange, no look at every event's next flush."""
+    g, rows, expected = random.Random(5), [], []
+    for f in range(3):
+        held, since, done, ready, now = 0, None, 0, 0, 1_700_000_000
+        for n in range(90):
+            size, boundary, now = g.randrange(20, 60), g.random() < 0.4, now + g.randrange(4)
+            rows.append((f, n, size, boundary, now))
+            done += size
+            ready, since = done if boundary else ready, now if since is None else since
+            if ready > held and (ready >= held + 400 or now >= since + 9):
+                expected.append((f, n, 4 + ready, "size" if ready >= held + 400 else "interval"))
+                held, since = ready, now
+            elif n == 89 and ready > held:
+                expected.append((f, n, 4 + ready, "close"))
+    events = spark.createDataFrame(rows, "file_seq long, event_no long, event_size long, boundary boolean, t long").withColumn("arrived", F.timestamp_seconds("t"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = rw.checkpoints(events, 400, 9)
+        assert sorted(map(tuple, got.collect())) == expected
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and "Window" not in plan
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
