@@ -101,7 +101,7 @@ def _reached(start: DataFrame, jump: DataFrame, keys: list[str]) -> DataFrame:
         one = far(cuts, jump)
         two = far(one, jump)
         cuts, count = cut_counted(cuts.unionByName(one).unionByName(two).unionByName(far(two, jump)).distinct(), "cuts")
-        if count == known:
+        if count == known or far(far(far(start, jump), jump), jump).isEmpty():  # three jumps of all starts lead past the end, so four do: longer ones are not made
             return cuts
         known = count
         jump = cut(twice(twice(jump)), "jump")

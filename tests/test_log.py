@@ -291,3 +291,11 @@ def test_checkpoints_in_one_ordered_pass(spark):
         assert "Join" not in plan and "Window" not in plan
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_longer_jumps_are_not_made_where_none_leads_on(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(rw, "cut", lambda df, name="cut": made.append(name) or df.localCheckpoint())
+    jump = spark.range(20).select(F.lit("k").alias("store"), F.col("id").alias("before"), F.when(F.col("id") < 11, F.col("id") + 1).alias("next"))
+    start = jump.filter("before = 0").select("store", "before")
+    assert sorted(r.before for r in rw._reached(start, jump, ["store"]).collect()) == list(range(12)) and len(made) == 1
