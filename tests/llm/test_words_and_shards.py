@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from logloom.llm import cross_tokenizer, shards, spelling
+from logloom.llm import common, cross_tokenizer, shards, spelling
 
 A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
@@ -205,3 +205,30 @@ def test_parts_are_encoded_as_the_whole():
     texts = ["".join(g.choice(signs) for _ in range(g.randrange(1, 30))) for _ in range(4000)]
     for t, (a, b) in zip(texts, al.encode(texts)):
         assert a.tolist() == al.a.encode(" " + t, add_special_tokens=False).ids and b.tolist() == al.b.encode(t), repr(t)
+
+
+# -- joins that are sized ------------------------------------------------------------------------------------------
+
+def joins(df):
+    df.collect()
+    return set(re.findall(r"(\w+Join)\b", df._jdf.queryExecution().executedPlan().toString()))
+
+
+@pytest.mark.parametrize("salts", [1, 16])
+def test_a_table_beyond_the_limit_is_not_broadcast_by_spark(spark, salts):
+    table = common.saved(spark.range(2000).select("id", (F.col("id") * 2).alias("double")), "table")
+    left = spark.range(3000).withColumn("x", F.col("id") % 7)
+    joined = common.left_join_sized(left, table, ["id"], most=1, salts=salts)
+    assert joins(joined) == {"SortMergeJoin"}
+    assert sorted(map(tuple, joined.select("id", "x", "double").collect())) == [(i, i % 7, 2 * i if i < 2000 else None) for i in range(3000)]
+    assert joins(left.join(common.sized(table, most=1), "id")) == {"SortMergeJoin"}
+    assert joins(common.left_join_sized(left, table, ["id"])) == joins(left.join(common.sized(table), "id")) == {"BroadcastHashJoin"}
+
+
+def test_a_table_is_sized_by_what_it_takes_in_memory(spark):
+    many = common.saved(spark.range(400_000).select("id", F.lit("a word of some length").alias("w")), "many")
+    assert common.written_bytes(many) < common.SMALL and common.memory_bytes(many) > 400_000 * 80
+    assert not common.is_small(many) and common.is_small(many.limit(1000))
+    odd = spark.createDataFrame([(1, None, None, None, None), (2, "äb", [1, 2], ["x", None], (3, "yy"))], "a long, s string, n array<long>, t array<string>, r struct<a: int, b: string>")
+    assert common.memory_bytes(odd) == 2 * (64 + 16 * 5) + 3 + 16 + 17 + 2 * 24 + 2
+    assert common.memory_bytes(odd.filter("a > 2")) == 0
