@@ -5,7 +5,7 @@ from collections import defaultdict
 
 import pytest
 
-from logloom.llm import decontaminate, jaccard_join, suffix_dedup
+from logloom.llm import common, components, decontaminate, jaccard_join, suffix_dedup
 from logloom.llm.shingles import shingle_sets
 
 WORDS = "[^\x20\x09-\x0d]+"
@@ -249,3 +249,21 @@ def test_pairs_with_stars_come_before_pairs_of_single_sets(spark):
     assert sorted((r.a, r.b) for r in first) == [(0, i) for i in range(2, 10)]
     left = jaccard_join.candidates(prefixes, starred, labels([0, *range(2, 8)]), 80, "singles").collect()
     assert sorted((min(r.a, r.b), max(r.a, r.b)) for r in left) == [(i, j) for i in range(2, 9) for j in (8, 9) if i < j]
+
+
+# -- large tables --------------------------------------------------------------------------------------------------
+
+def test_tables_beyond_the_limit_are_never_broadcast(spark, monkeypatch):
+    """The Jaccard join with every table taken for a large one: no plan leaves a broadcast to Spark's own guess, and the groups are those of brute force."""
+    rows, plans = near_copies(5), []
+
+    def seen(df, *args, **options):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return common.saved(df, *args, **options)
+
+    monkeypatch.setattr(common, "written_bytes", lambda df: 1 << 40)
+    monkeypatch.setattr(jaccard_join, "saved", seen)
+    monkeypatch.setattr(components, "saved", seen)
+    groups = jaccard_join.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, groups), key=repr) == brute(rows)
+    assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastHashJoin" in p for p in plans)
