@@ -4,6 +4,7 @@ import re
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from logloom.llm import common, components, decontaminate, jaccard_join, suffix_dedup
 from logloom.llm.shingles import shingle_sets
@@ -267,3 +268,15 @@ def test_tables_beyond_the_limit_are_never_broadcast(spark, monkeypatch):
     groups = jaccard_join.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_shingles", "component_id").collect()
     assert sorted(map(tuple, groups), key=repr) == brute(rows)
     assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastHashJoin" in p for p in plans)
+
+
+def test_rows_that_go_are_not_broadcast_beyond_the_limit(spark, monkeypatch):
+    """What the pipeline's second stage joins with all documents: the table of rows that go is large, and Spark is not left to guess its size."""
+    docs = spark.createDataFrame([(i, f"text {i // 2}") for i in range(100)], "doc_id long, text string")
+    groups = common.saved(docs.select("doc_id", jaccard_join._row_key("doc_id", "text").alias("row_key"), F.floor(F.col("doc_id") / 2).alias("label")), "groups")
+    monkeypatch.setattr(jaccard_join, "similar_groups", lambda *args, **options: groups)
+    monkeypatch.setattr(common, "written_bytes", lambda df: 1 << 40)
+    kept = jaccard_join.one_of_each(docs)
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(0, 100, 2))
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
